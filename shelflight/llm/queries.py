@@ -12,7 +12,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm import simhash, spm, token_frames
+from shelflight.llm import (
+    decontam,
+    paragraph_dedup,
+    pii,
+    quality_rules,
+    sharding,
+    simhash,
+    spm,
+    token_frames,
+    warc,
+    zstd_quality,
+)
 from shelflight.llm.common import shared_dir
 
 
@@ -20,6 +31,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Key of the surrogates in the registered query; production passes a secret of its own.
+SURROGATE_KEY = "shelflight"
+
+
+def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 16 by jump consistent hashing of doc_id."""
+    return sharding.assign_shards(_table(spark, sf_dir, "documents"), 16)
+
+
+def op2_line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counters of every document and the verdict of line-first cleaning."""
+    return quality_rules.clean_lines(_table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in which a benchmark item is found, with the item."""
+    return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that repeat across documents, where they stand, and where they stay."""
+    return paragraph_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprint and near-duplicate component of every document."""
     groups = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
@@ -27,6 +62,25 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document from dictionaries fitted on rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = zstd_quality.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = zstd_quality.score(docs.select("doc_id", "text"), model, keep_text=False)
+    return scored.select(
+        "doc_id",
+        zstd_quality.is_held_out().alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with keyed surrogates in place of personal data."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.replace_entities(docs, SURROGATE_KEY)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document and their decoding, as digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
@@ -40,6 +94,27 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata and conversion records of every page, written as WARC files and read back."""
+    path = shared_dir(spark, "warc")
+    derived = warc.derivatives(warc.responses(_table(spark, sf_dir, "pages")))
+    warc.write_records(derived, path).agg(F.sum("records")).collect()
+    read = warc.read_records(spark, path)
+    block = F.col("block").cast("string")
+    return read.select(
+        "page_id",
+        "kind",
+        "record_id",
+        "refers_to",
+        "url",
+        F.col("headers")["WARC-Payload-Digest"].alias("payload_digest"),
+        F.col("headers")["WARC-Block-Digest"].alias("block_digest"),
+        F.octet_length("block").cast("long").alias("n_bytes"),
+        F.when(F.col("kind") == "metadata", F.get_json_object(block, "$.HTML.title")).alias("title"),
+        F.when(F.col("kind") == "conversion", block).alias("text"),
+    )
+
+
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level ids of every document written as zstandard frames, read back as digests."""
     path = shared_dir(spark, "tokens")
@@ -49,9 +124,17 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jump_sharding": op1_jump_sharding,
+    "op2_line_quality_rules": op2_line_quality_rules,
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_paragraph_dedup": op4_paragraph_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_zstd_quality": op6_zstd_quality,
+    "op7_pii_surrogates": op7_pii_surrogates,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_warc_derivatives": op9_warc_derivatives,
     "op10_token_frames": op10_token_frames,
 }
 
+#: The other results rest on hashes, models or libraries that SQL does not have.
 ORACLE_SQL: dict[str, str] = {}
