@@ -16,8 +16,10 @@ words holds whole paragraphs of its own.
    ``cell_rows`` is cut into blocks, each pair of blocks a cell of its own.
 4. In a cell, paragraphs are compared by the exact Jaccard similarity of their
    five-word shingles. A cell returns a spanning forest of the links, not all pairs.
-5. Components of the links are groups. A group found in two or more documents is
-   a repeated passage; it stays in the document with the least id and is marked
+5. Components of the links are groups. Neighbouring paragraphs of groups found in
+   two or more documents form a passage, which counts if it is long enough: a
+   heading or a licence line that many documents share is left alone. A
+   paragraph stays in the document with the least id of its group and is marked
    for removal elsewhere.
 """
 
@@ -30,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import materialise
@@ -55,6 +57,8 @@ class Bands:
     bands: int = 3
     similarity: float = 0.8
     cell_rows: int = 1 << 14
+    least_chars: int = 120  # from first to last of a passage's whole paragraphs: about 20 words
+    most_gap: int = 64  # characters between neighbours, for the short paragraphs left out
 
 
 BANDS = Bands()
@@ -232,8 +236,8 @@ def _linker(bands: Bands):
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: Bands = BANDS) -> DataFrame:
     """(doc_id, passage_id, first_char, end_char, n_documents, kept_in, removed).
 
-    One row per paragraph of a group that occurs in two or more documents.
-    passage_id names the group, kept_in is the least doc_id that holds it, and
+    One row per paragraph of a group that occurs in two or more documents, where
+    it is part of a passage of ``least_chars``. passage_id names the group, kept_in is the least doc_id that holds it, and
     removed is true in all other documents. Characters count from 0. Words are
     compared in lower case. Null, empty and short texts have no paragraphs. Rows
     without a doc_id cannot be named and are left out; rows that repeat a doc_id
@@ -289,7 +293,7 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = named.groupBy("passage_id", "doc_id").agg(F.lit(1))
     groups = members.groupBy("passage_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("kept_in"))
     groups = materialise(groups.where("n_documents > 1"), "passage-groups")
-    return named.join(groups, "passage_id").select(
+    repeated = named.join(groups, "passage_id").select(
         "doc_id",
         "passage_id",
         F.shiftrightunsigned("place", 32).alias("first_char"),
@@ -298,3 +302,9 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "kept_in",
         (F.col("doc_id") != F.col("kept_in")).alias("removed"),
     )
+    in_order = Window.partitionBy("doc_id").orderBy("first_char", "end_char")
+    apart = F.col("first_char") - F.lag("end_char", 1).over(in_order) > F.lit(bands.most_gap)
+    chained = repeated.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
+    chain = Window.partitionBy("doc_id", "chain")
+    length = F.max("end_char").over(chain) - F.min("first_char").over(chain)
+    return chained.withColumn("length", length).where(F.col("length") >= bands.least_chars).drop("chain", "length")
