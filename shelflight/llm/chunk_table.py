@@ -6,7 +6,10 @@ Python worker keeps a table of the chunks it has segmented: chunk -> row, and
 the ids of all rows in one flat array. A text becomes an array of row numbers,
 and its ids are one gather from the flat array. The table is bounded: above
 ``max_chunks`` rows or ``max_ids`` ids it starts afresh, which changes speed only.
-Cuts are made before a single space between two non-space characters.
+
+New chunks are segmented many at a time, joined by single spaces; an id whose
+piece begins with the space (or its mark) begins a chunk. Where the numbers of
+chunks and of such ids differ, the chunks are segmented one by one.
 """
 
 from __future__ import annotations
@@ -16,69 +19,109 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-#: White space other than single spaces between two non-space characters.
-_UNEVEN = re.compile(r"\s\s|[^\S ]|^\s|\s$")
+#: A chunk with its leading space taken off, or a chunk that has none as a 1-tuple.
+Key = str | tuple[str]
+
+#: White space other than single spaces and line ends between two non-space characters.
+_UNEVEN = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a text; all but the first lack the space they begin with."""
+def chunks_by_space(text: str) -> list[Key]:
+    """Chunks cut before each single space between two other characters."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        head, *rest = _CUT.split(text)
+        return [(head,), *[c[1:] for c in rest]]
+    head, *rest = text.split(" ")
+    return [(head,), *rest]
+
+
+def chunks_by_line(text: str) -> list[Key]:
+    """As ``chunks_by_space``, and cut before and behind single line ends, where white space is even."""
     if _UNEVEN.search(text):
         head, *rest = _CUT.split(text)
-        return [head, *[c[1:] for c in rest]]
-    return text.split(" ")
+        return [(head,), *[c[1:] for c in rest]]
+    keys: list[Key] = []
+    for line in text.split("\n"):
+        words: list[Key] = line.split(" ")
+        words[0] = (words[0],)
+        keys += words
+        keys.append(("\n",))
+    keys.pop()
+    return keys
 
 
 class ChunkTable:
     """Ids of texts by way of their distinct chunks.
 
-    ``segment`` gives the ids of each of a list of chunks, spaces included.
+    ``segment`` gives the ids of each of a list of texts; ``begins`` is true for
+    the ids whose piece begins with a space; ``cut`` gives the chunks of a text.
     """
 
     def __init__(
-        self, segment: Callable[[list[str]], Sequence[Sequence[int]]], max_chunks: int = 300_000, max_ids: int = 3_000_000
+        self,
+        segment: Callable[[list[str]], Sequence[Sequence[int]]],
+        begins: np.ndarray,
+        cut: Callable[[str], list[Key]],
+        group: int = 128,
+        max_chunks: int = 300_000,
+        max_ids: int = 3_000_000,
     ):
-        self.segment, self.max_chunks, self.max_ids = segment, max_chunks, max_ids
+        self.segment, self.begins, self.cut, self.group = segment, begins, cut, group
+        self.max_chunks, self.max_ids = max_chunks, max_ids
         self._clear()
 
     def _clear(self) -> None:
-        self.rows: dict[str | tuple[str], int] = {}
+        self.rows: dict[Key, int] = {}
         self.flat = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.sizes = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def _add(self, new: list[str | tuple[str]]) -> None:
-        found = self.segment([c[0] if isinstance(c, tuple) else f" {c}" for c in new])
-        first, total = len(self.rows), sum(map(len, found))
-        while self.used + total > len(self.flat):
+    def _append(self, keys: list[Key], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, end = len(self.rows), len(self.rows) + len(keys)
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while first + len(new) > len(self.starts):
+        while end > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        for row, (chunk, ids) in enumerate(zip(new, found), first):
-            n = len(ids)
-            self.flat[self.used : self.used + n] = ids
-            self.starts[row], self.sizes[row] = self.used, n
-            self.used += n
-            self.rows[chunk] = row
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.sizes[first:end] = sizes
+        self.starts[first:end] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.rows.update(zip(keys, range(first, end)))
+
+    def _add(self, new: list[Key]) -> None:
+        odd = [c for c in new if isinstance(c, tuple)]
+        plain = [c for c in new if not isinstance(c, tuple)] if odd else new
+        groups = [plain[at : at + self.group] for at in range(0, len(plain), self.group)]
+        for own, found in zip(groups, self.segment([" " + " ".join(g) for g in groups])):
+            ids = np.asarray(found, np.int32)
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(own) and starts[0] == 0:
+                self._append(own, ids, np.diff(np.append(starts, len(ids))))
+            else:
+                odd += own
+        if odd:
+            found = self.segment([c[0] if isinstance(c, tuple) else f" {c}" for c in odd])
+            ids = np.fromiter((i for ids in found for i in ids), np.int32)
+            self._append(odd, ids, np.fromiter(map(len, found), np.int64, len(found)))
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the end of each text in it."""
         if len(self.rows) > self.max_chunks or self.used > self.max_ids:
             self._clear()
-        keys: list[str | tuple[str]] = []
+        keys: list[Key] = []
         ends = []
         for text in texts:
             if text:
-                head, *rest = chunks_of(text)
-                keys.append((head,))  # a first chunk has no space before it
-                keys += rest
+                keys += self.cut(text)
             ends.append(len(keys))
         rows = list(map(self.rows.get, keys))
-        if None in rows:
-            self._add(list(dict.fromkeys(k for k, r in zip(keys, rows) if r is None)))
-            rows = list(map(self.rows.__getitem__, keys))
+        if missing := [i for i, r in enumerate(rows) if r is None]:
+            self._add(list(dict.fromkeys(keys[i] for i in missing)))
+            for i in missing:
+                rows[i] = self.rows[keys[i]]
         at = np.asarray(rows, np.int64)
         sizes = self.sizes[at]
         stops = np.cumsum(sizes)

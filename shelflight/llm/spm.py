@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelflight.llm.chunk_table import ChunkTable, slices
+from shelflight.llm.chunk_table import ChunkTable, chunks_by_space, slices
 
 MARK = "▁"
 
@@ -50,8 +50,16 @@ def _table(model: str) -> ChunkTable | None:
     sp = _processor(model)
     if crosses_marks(sp):
         return None
-    # a chunk's leading space is the mark that the library puts in front
-    return ChunkTable(lambda chunks: sp.encode([c[1:] for c in chunks], num_threads=1))
+    begins = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(sp.get_piece_size())])
+    # a text's leading space is the mark that the library puts in front
+    return ChunkTable(lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), begins, _marked_words)
+
+
+def _marked_words(text: str) -> list:
+    """Chunks of a text that begins with the space for the library's mark: each word with its own mark."""
+    if "  " in text or text[-1] == " ":
+        return chunks_by_space(text)
+    return text[1:].split(" ")
 
 
 def encode_texts(texts: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.chunk_table import ChunkTable, slices
+from shelflight.llm.chunk_table import ChunkTable, chunks_by_line, slices
 
 SKIPPABLE_DOCS = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -118,7 +118,12 @@ def _table(tokenizer: str) -> ChunkTable:
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(tokenizer)
-    return ChunkTable(lambda chunks: [e.ids for e in own.encode_batch_fast(chunks, add_special_tokens=False)])
+    size = own.get_vocab_size()
+    # byte-level pieces write the space as U+0120
+    begins = np.array([(own.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+    return ChunkTable(
+        lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)], begins, chunks_by_line
+    )
 
 
 def write_tokens(
