@@ -39,6 +39,7 @@ class Limits:
     score: float = 0.6
     shingle: int = 5
     overlap: float = 0.8
+    common_share: float = 0.25
     block_bytes: int = 16 << 20  # of test items per index
 
 
@@ -68,7 +69,8 @@ class Index:
     def __init__(self, items: list[tuple[int, str]], df: dict[bytes, int], count: int, mean_length: float, limits: Limits):
         self.limits = limits
         self.ids = [i for i, _ in items]
-        self.parts, lengths = [], []
+        self.parts, lengths, need = [], [], []
+        essential: dict[bytes, list[tuple[int, float]]] = {}
         postings: dict[bytes, list[tuple[int, float]]] = {}
         for n, (_, text) in enumerate(items):
             words = tokens(text)
@@ -77,9 +79,14 @@ class Index:
             for term, tf in Counter(words).items():
                 idf = math.log1p((count - df[term] + 0.5) / (df[term] + 0.5))
                 weights[term] = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(words) / max(mean_length, 1)))
-            own = sum(weights.values())
-            for term, w in weights.items():
+            own, rest = sum(weights.values()), 0.0
+            for term, w in sorted(weights.items(), key=lambda x: (-df[x[0]], x[0])):
                 postings.setdefault(term, []).append((n, w / own))
+                if rest + w / own <= limits.common_share:
+                    rest += w / own
+                else:
+                    essential.setdefault(term, []).append((n, w / own))
+            need.append(limits.score - rest - 1e-9)
             both = []
             for part in question_and_answer(text):
                 width = min(limits.shingle, len(part))
@@ -90,7 +97,14 @@ class Index:
         self.items = [[i for i, _ in p] for p in postings.values()]
         self.weights = [[w for _, w in p] for p in postings.values()]
         self.bounds = [[max(w[at : at + POSTINGS]) for at in range(0, len(w), POSTINGS)] for w in self.weights]
-        self.most = np.array([*[max(b) for b in self.bounds], 0.0])  # the last: no term of the index
+        self.most = [max(b) for b in self.bounds]
+        # essential postings, those of a term together; the last row is for words that are no term
+        lists = [essential.get(t, []) for t in postings]
+        self.counts = np.array([*map(len, lists), 0])
+        self.firsts = np.concatenate(([0], np.cumsum(self.counts[:-1])))
+        self.essential_items = np.array([i for own in lists for i, _ in own], np.int64)
+        self.essential_weights = np.array([w for own in lists for _, w in own])
+        self.need = np.array(need)
 
     def search(self, terms: list[int]) -> list[tuple[int, float]]:
         """Every item whose score over the distinct ``terms`` reaches the threshold (block-max WAND)."""
@@ -153,6 +167,25 @@ class Index:
             shares.append(len(wanted & own) / len(wanted))
         return shares[0], shares[1]
 
+    def _promising(self, ids: np.ndarray, step: int) -> list[int]:
+        """Numbers of the windows that may hold a result; window k has the words from k * step on, two steps long."""
+        places = np.flatnonzero(self.counts[ids])
+        if not len(places):
+            return []
+        terms = ids[places]
+        n = self.counts[terms]
+        ends = np.cumsum(n)
+        hits = np.arange(ends[-1]) + np.repeat(self.firsts[terms] - (ends - n), n)
+        items, weights = self.essential_items[hits], self.essential_weights[hits]
+        steps = np.repeat(places // step, n)
+        # a step's words lie in the window that begins there and in the one before
+        cells, inverse = np.unique(
+            np.concatenate([steps * len(self.ids) + items, (steps - 1) * len(self.ids) + items]), return_inverse=True
+        )
+        sums = np.bincount(inverse, np.concatenate([weights, weights]))
+        windows = np.unique(cells[sums >= self.need[cells % len(self.ids)]] // len(self.ids))
+        return np.unique(np.maximum(windows, 0)).tolist()
+
     def leaks(self, text: str) -> list[tuple[int, float, float, float, int, int]]:
         """(item id, score, question share, answer share, first word, end word) for the best window of each item."""
         words = tokens(text)
@@ -161,17 +194,12 @@ class Index:
         none = len(self.terms)
         get = self.terms.get
         ids = np.fromiter((get(w, none) for w in words), np.int32, len(words))
-        sums = np.concatenate(([0.0], np.cumsum(self.most[ids])))
         step = max(1, self.window // 2)
-        starts = np.arange(0, max(1, len(words) - step), step)
-        ends = np.minimum(starts + self.window, len(words))
         best: dict[int, tuple] = {}
-        for at in np.flatnonzero(sums[ends] - sums[starts] >= self.limits.score - 1e-9):
-            s, e = int(starts[at]), int(ends[at])
+        for at in self._promising(ids, step):
+            s, e = at * step, min(at * step + self.window, len(words))
             terms = np.unique(ids[s:e])
             terms = terms[terms < none]
-            if self.most[terms].sum() < self.limits.score - 1e-9:
-                continue
             for item, score in self.search(terms.tolist()):
                 question, answer = self.overlaps(item, words[s:e])
                 if min(question, answer) >= self.limits.overlap:
