@@ -25,22 +25,17 @@ words holds whole paragraphs of its own.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import materialise
 from shelflight.llm.components import connected_components
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 @dataclass(frozen=True)
 class Bands:
     """Paragraph cuts, MinHash bands and the similarity that links two paragraphs.
@@ -85,33 +80,56 @@ def _sliding_least(values: np.ndarray, reach: int) -> np.ndarray:
     return out
 
 
-class WordHashes:
-    """Hashes of words with a bounded memory of those seen."""
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.default_rng(7).integers(1, 1 << 62, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RATIO = 0x9E3779B97F4A7C15
+
+
+class Powers:
+    """Powers of an odd ratio modulo 2^64 and their inverses, as far as the longest text so far."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def __init__(self, most: int = 400_000):
-        self.most, self.seen = most, {}
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n > len(self.up):
+            size = 1 << n.bit_length()
+            ratios = np.full(size, _RATIO, np.uint64), np.full(size, pow(_RATIO, -1, 1 << 64), np.uint64)
+            for r in ratios:
+                r[0] = 1
+            self.up, self.down = (np.cumprod(r) for r in ratios)
+        return self.up[:n], self.down[:n]
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.seen) > self.most:
-            self.seen.clear()
-        found = list(map(self.seen.get, words))
-        if None in found:
-            for w in {w for w, h in zip(words, found) if h is None}:
-                self.seen[w] = xxhash.xxh64_intdigest(w.encode())
-            found = list(map(self.seen.__getitem__, words))
-        return np.array(found, np.uint64)
+
+_POWERS = Powers()
+
+
+def word_hashes(content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end byte of each word of UTF-8 bytes, and a hash of its bytes.
+
+    A word's hash is its part of one running sum over the text, scaled back to
+    the word's first byte: equal words have equal hashes wherever they stand.
+    """
+    inside = np.zeros(len(content) + 2, bool)
+    np.logical_not(_SPACES[content], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = _POWERS.upto(len(content))
+    sums = np.zeros(len(content) + 1, np.uint64)
+    np.cumsum(_BYTES[content] * up, out=sums[1:])
+    return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def paragraphs(words: list[str], hash_words, bands: Bands = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end word of each paragraph, and its band keys as a matrix.
+def paragraphs(h: np.ndarray, bands: Bands = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and end word of each paragraph of the hashed words, and its band keys as a matrix.
 
     Paragraphs of fewer than ``least_words`` words are left out.
     """
-    n, width = len(words), bands.shingle
+    n, width = len(h), bands.shingle
     none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands.bands), np.uint64)
     if n < max(bands.least_words, width):
         return none
-    h = hash_words(words)
     # the hash of a word and the next one, so that a frequent word is no cut of its own
     pair = _mix(h + np.append(h[1:], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
     cut = pair == _sliding_least(pair, bands.reach)
@@ -149,24 +167,27 @@ def paragraph_rows(df: DataFrame, doc: str, text: str, bands: Bands = BANDS) ->
     names = [f"key{b}" for b in range(bands.bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 owner, places, found = [], [], []
                 for i, t in enumerate(part.column(1)):
                     text = t.as_py()
-                    lower = text.lower()
-                    spans = [m.span() for m in WORD.finditer(text)]
-                    if len(lower) == len(text):
-                        words = [lower[a:b] for a, b in spans]
-                    else:
-                        words = [text[a:b].lower() for a, b in spans]
-                    starts, ends, keys = paragraphs(words, hashes, bands)
+                    plain = text.encode()
+                    lower = text.lower().encode()
+                    if len(lower) != len(plain):  # a few letters change their size: then only A to Z are lowered
+                        lower = plain.lower()
+                    content = np.frombuffer(lower, np.uint8)
+                    first, end, hashes = word_hashes(content)
+                    starts, ends, keys = paragraphs(hashes, bands)
                     if len(starts):
-                        chars = np.array(spans, np.int64)
+                        first, end = first[starts], end[ends - 1]
+                        if len(plain) != len(text):  # bytes to characters
+                            heads = np.frombuffer(plain, np.uint8) & 0xC0 != 0x80
+                            chars = np.concatenate(([0], np.cumsum(heads)))
+                            first, end = chars[first], chars[end]
                         owner += [i] * len(starts)
-                        places.append((chars[starts, 0] << 32) | chars[ends - 1, 1])
+                        places.append((first << 32) | end)
                         found.append(keys.view(np.int64))
                 if owner:
                     keys = np.concatenate(found)
