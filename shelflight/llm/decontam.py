@@ -29,6 +29,7 @@ K1, B = 1.2, 0.75
 #: Postings to a block of the index, each with its greatest weight.
 POSTINGS = 64
 _PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACED = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+")
 
 
@@ -44,8 +45,8 @@ class Limits:
 
 
 def tokens(text: str) -> list[bytes]:
-    """Lower-case words without ASCII punctuation."""
-    return text.lower().encode().translate(None, _PUNCTUATION).split()
+    """Lower-case words, cut at white space and ASCII punctuation."""
+    return text.lower().encode().translate(_SPACED).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:
@@ -230,7 +231,7 @@ def _blocks(items: DataFrame, limits: Limits) -> Iterator[Index]:
 
 def _spark_tokens(text: str):
     """``tokens`` in Spark."""
-    plain = F.regexp_replace(F.lower(F.col(text)), r"\p{Punct}+", "")
+    plain = F.regexp_replace(F.lower(F.col(text)), r"\p{Punct}+", " ")
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 

@@ -178,6 +178,7 @@ def write_tokens(
         manifest.append({"shard": row.shard, "docs": row.docs, "tokens": row.tokens, "start": start})
         start += row.tokens
     store, at = filesystem(path)
+    store.create_dir(at, recursive=True)  # an empty table has no tasks
     with store.open_output_stream(f"{at}/manifest.json") as stream:
         stream.write(json.dumps(manifest).encode())
     return manifest
