@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,23 +53,26 @@ def _table(model: str) -> ChunkTable | None:
         return None
     begins = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(sp.get_piece_size())])
     # a text's leading space is the mark that the library puts in front
-    return ChunkTable(lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), begins, _marked_words)
+    return ChunkTable(
+        lambda texts: sp.encode([t[1:] for t in texts], num_threads=1), begins, _marked_words, marked=True
+    )
 
 
 def _marked_words(text: str) -> list:
-    """Chunks of a text that begins with the space for the library's mark: each word with its own mark."""
-    if "  " in text or text[-1] == " ":
-        return chunks_by_space(text)
-    return text[1:].split(" ")
+    """Chunks of a text: each word with its own mark, as if the text began with a space."""
+    return chunks_by_space(f" {text}")
 
 
-def encode_texts(texts: list[str], model: str) -> tuple[np.ndarray, np.ndarray]:
-    """All ids of the texts, and each text's end among them; equal to the library's ``encode`` of each."""
+def encode_column(column: pa.Array, model: str) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of texts, their ids, each text's end) for slices of a column; equal to the library's ``encode`` of each."""
     table = _table(model)
     if table is not None:
-        return table.encode([f" {t.replace(MARK, ' ')}" if t else "" for t in texts])
-    found = _processor(model).encode(texts, num_threads=1)
-    return np.fromiter((i for ids in found for i in ids), np.int32), np.cumsum([len(ids) for ids in found])
+        yield from table.encode_column(pc.replace_substring(column, MARK, " "))
+        return
+    texts = [t or "" for t in column.to_pylist()]
+    for first, last in slices(texts):
+        found = _processor(model).encode(texts[first:last], num_threads=1)
+        yield last - first, np.fromiter((i for ids in found for i in ids), np.int32), np.cumsum([len(ids) for ids in found])
 
 
 def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, drop_source: bool, run) -> DataFrame:
@@ -96,9 +100,7 @@ def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop
     """
 
     def run(column: pa.Array) -> Iterator[pa.Array]:
-        texts = [t or "" for t in column.to_pylist()]
-        for first, last in slices(texts):
-            ids, ends = encode_texts(texts[first:last], model)
+        for _, ids, ends in encode_column(column, model):
             offsets = np.concatenate(([0], ends)).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
 

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.chunk_table import ChunkTable, chunks_by_line, slices
+from shelflight.llm.chunk_table import ChunkTable, chunks_by_line
 
 SKIPPABLE_DOCS = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -122,7 +122,11 @@ def _table(tokenizer: str) -> ChunkTable:
     # byte-level pieces write the space as U+0120
     begins = np.array([(own.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
     return ChunkTable(
-        lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)], begins, chunks_by_line
+        lambda texts: [e.ids for e in own.encode_batch_fast(texts, add_special_tokens=False)],
+        begins,
+        chunks_by_line,
+        max_chunks=800_000,
+        max_ids=6_000_000,
     )
 
 
@@ -156,13 +160,13 @@ def write_tokens(
         with store.open_output_stream(own) as stream:
             writer = ShardWriter(stream)
             for batch in batches:
-                keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for first, last in slices(texts):
-                    ids, ends = table.encode(texts[first:last])
+                keys, at_row = batch.column(0).to_pylist(), 0
+                for count, ids, ends in table.encode_column(batch.column(1)):
                     begin = 0
-                    for key, end in zip(keys[first:last], ends.tolist()):
+                    for key, end in zip(keys[at_row : at_row + count], ends.tolist()):
                         writer.add(key, np.append(ids[begin:end], end_id))
                         docs, total, begin = docs + 1, total + end - begin + 1, end
+                    at_row += count
             writer.close()
         store.move(own, name)
         yield pa.RecordBatch.from_pydict({"shard": [shard], "docs": [docs], "tokens": [total]})
