@@ -323,8 +323,8 @@ def detail_blocks(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"))
             "image_url": (image.get("data-old-hires") or image.get("src")) if image is not None else None,
             "ranks_text": _text(block("prodDetails", "detailBulletsWrapper_feature_div", "productDetails_db_sections")),
             "rows": [r.text() for r in rows],
-            "attributes": list(attributes.items()),
-            "overview": list(dict(_table(page, has_id("productOverview_feature_div", "poExpander"))).items()),
+            "attributes": attributes,
+            "overview": dict(_table(page, has_id("productOverview_feature_div", "poExpander"))),
             "variants": len(page.all(inside(has_id("twister_feature_div"), lambda e: e.tag == "li" and bool(e.get("data-defaultasin"))))),
             "bullets": len(page.all(inside(has_id("feature-bullets"), lambda e: e.tag == "li"))),
             "images": len(page.all(inside(has_id("altImages"), lambda e: e.tag == "img"))),

@@ -105,11 +105,12 @@ def count_deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
 STREAK = "key string, event_id long, ts timestamp, streak int, tripped boolean"
 
 
-def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour") -> DataFrame:
+def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Running failures of each key since its last success, over batches.
 
     ``events`` has key, event_id, ts, ok. State is one number for each key and
-    ends after ``idle`` without events. Inside a batch events go by time.
+    is dropped once the watermark (``delay`` behind the latest event) is ``idle``
+    past the key's last event. Inside a batch events go by time.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -125,11 +126,14 @@ def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour")
         rows["streak"] = (failed - base).astype("int32")
         rows["tripped"] = rows["streak"] >= threshold
         state.update((int(rows["streak"].iloc[-1]),))
-        state.setTimeoutDuration(idle_ms)
+        last = max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(last + idle_ms)
         yield rows[["key", "event_id", "ts", "streak", "tripped"]]
 
-    return events.groupBy("key").applyInPandasWithState(
-        step, STREAK, "streak int", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy("key")
+        .applyInPandasWithState(step, STREAK, "streak int", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
