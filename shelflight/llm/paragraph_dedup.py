@@ -25,6 +25,8 @@ words holds whole paragraphs of its own.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -211,22 +213,38 @@ def _shingle_set(text: str, width: int) -> frozenset:
 
 
 def spanning_links(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that connect what the links at ``similarity`` connect; a set that is reached is not compared again."""
-    links, rest = [], list(range(len(sets)))
-    while rest:
-        frontier, rest = [rest[0]], rest[1:]
-        while frontier and rest:
-            own, i = sets[frontier[-1]], frontier.pop()
-            unseen = []
-            for j in rest:
-                small, large = sorted((len(own), len(sets[j])))
-                shared = len(own & sets[j]) if small >= similarity * large else 0
-                if shared >= similarity * (small + large - shared):
-                    links.append((i, j))
-                    frontier.append(j)
-                else:
-                    unseen.append(j)
-            rest = unseen
+    """Index pairs that connect what the links at ``similarity`` connect.
+
+    Two sets at a Jaccard similarity of s share one of their first n - ceil(s n) + 1
+    members in any common order, so only sets that share one of those, the rarest
+    first, are compared (prefix filtering: nothing is lost). Breadth first: a set
+    that has been reached is not compared again as a target.
+    """
+    often = Counter(s for own in sets for s in own)
+    prefixes = []
+    for own in sets:
+        needed = math.ceil(similarity * len(own) - 1e-9)
+        prefixes.append(sorted(own, key=lambda s: (often[s], s))[: len(own) - needed + 1])
+    holders: dict[tuple, list[int]] = {}
+    for i, prefix in enumerate(prefixes):
+        for s in prefix:
+            holders.setdefault(s, []).append(i)
+    links, reached = [], [False] * len(sets)
+    for first in range(len(sets)):
+        frontier = [] if reached[first] else [first]
+        reached[first] = True
+        while frontier:
+            i = frontier.pop()
+            own = sets[i]
+            for s in prefixes[i]:
+                rest = [j for j in holders[s] if not reached[j]]
+                holders[s] = rest
+                for j in rest:
+                    shared = len(own & sets[j])
+                    if shared >= similarity * (len(own) + len(sets[j]) - shared):
+                        reached[j] = True
+                        links.append((i, j))
+                        frontier.append(j)
     return links
 
 

@@ -223,6 +223,8 @@ def test_sentencepiece_equals_the_library(docs, none):
         ids = sp.encode(r.text or "")
         assert r.ids == ids and r.decoded == sp.decode(ids)
     assert spm.decode(spm.encode(none, MODEL), MODEL).count() == 0
+    both = spm.encode(docs, MODEL, decoded="decoded").select("doc_id", "ids", "decoded")
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, coded.select("doc_id", "ids", "decoded").collect()))
 
 
 def test_chunks_join_to_the_text():
@@ -357,6 +359,17 @@ def test_repeated_passages(spark, none):
     assert paragraph_dedup.repeated_passages(none).count() == 0
 
 
+def test_prefix_filter_loses_no_link():
+    rng = np.random.default_rng(6)
+    base = [frozenset((int(x),) for x in rng.integers(0, 40, 8)) for _ in range(60)]
+    sets = list({*base, *(frozenset([*list(b)[1:], (int(rng.integers(0, 60)),)]) for b in base for _ in range(3))})
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    full = [(i, j) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])]
+    links = paragraph_dedup.spanning_links(sets, 0.8)
+    assert len(full) >= len(links) > 0 and all(near(sets[i], sets[j]) for i, j in links)
+    assert _roots(links, range(len(sets))) == _roots(full, range(len(sets)))
+
+
 def test_word_hashes_do_not_depend_on_place():
     content = np.frombuffer("ab cd  ab\nçé ab".encode(), np.uint8)
     starts, ends, hashes = paragraph_dedup.word_hashes(content)
