@@ -85,7 +85,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SentencePiece ids of every document and their decoding, as digests."""
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = spm.decode(spm.encode(docs, model, drop_text=True), model)
+    coded = spm.encode(docs, model, decoded="decoded", drop_text=True)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -75,36 +75,54 @@ def encode_column(column: pa.Array, model: str) -> Iterator[tuple[int, np.ndarra
         yield last - first, np.fromiter((i for ids in found for i in ids), np.int32), np.cumsum([len(ids) for ids in found])
 
 
-def _with_column(df: DataFrame, source: str, out: str, kind: T.DataType, drop_source: bool, run) -> DataFrame:
-    """``df`` with ``out`` made from ``source`` by ``run``, in Arrow batches."""
-    kept = [f for f in df.schema.fields if f.name.lower() != out.lower() and not (drop_source and f.name == source)]
+def _with_columns(df: DataFrame, source: str, outs: dict[str, T.DataType], drop_source: bool, run) -> DataFrame:
+    """``df`` with columns made from ``source`` by ``run``, which gives arrays for slices of a batch in order."""
+    taken = {o.lower() for o in outs}
+    kept = [f for f in df.schema.fields if f.name.lower() not in taken and not (drop_source and f.name == source)]
     wanted = df.select(F.col(f"`{source}`").alias("__source"), *[F.col(f"`{f.name}`") for f in kept])
-    schema = T.StructType([*kept, T.StructField(out, kind)])
+    schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in outs.items()]])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            made, at = run(part.column(0)), 0
-            for array in made:
-                columns = [c.slice(at, len(array)) for c in part.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*columns, array], names=[*part.schema.names[1:], out])
-                at += len(array)
+            at = 0
+            for arrays in run(part.column(0)):
+                columns = [c.slice(at, len(arrays[0])) for c in part.columns[1:]]
+                yield pa.RecordBatch.from_arrays([*columns, *arrays], names=[*part.schema.names[1:], *outs])
+                at += len(arrays[0])
 
     return wanted.mapInArrow(batches, schema)
 
 
-def encode(df: DataFrame, model: str, text: str = "text", out: str = "ids", drop_text: bool = False) -> DataFrame:
+def encode(
+    df: DataFrame, model: str, text: str = "text", out: str = "ids", decoded: str | None = None, drop_text: bool = False
+) -> DataFrame:
     """``df`` with ``out``, the ids of each whole text, without begin or end ids and without sampling.
 
-    Null and empty texts give an empty array. Equal rows stay as they are. A
-    column of the name ``out`` is replaced.
+    With ``decoded`` named, that column has the library's decoding of the ids, in
+    the same pass. Null and empty texts give an empty array. Equal rows stay as
+    they are. Columns of these names are replaced.
     """
+    outs: dict[str, T.DataType] = {out: T.ArrayType(T.IntegerType())}
+    if decoded:
+        outs[decoded] = T.StringType()
 
-    def run(column: pa.Array) -> Iterator[pa.Array]:
+    def run(column: pa.Array) -> Iterator[list[pa.Array]]:
         for _, ids, ends in encode_column(column, model):
             offsets = np.concatenate(([0], ends)).astype(np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+            if not decoded:
+                yield [arrays]
+                continue
+            for at in range(0, len(arrays), 64):
+                part = arrays.slice(at, 64)
+                yield [part, pa.array(_decoded(part, model), pa.string())]
 
-    return _with_column(df, text, out, T.ArrayType(T.IntegerType()), drop_text, run)
+    return _with_columns(df, text, outs, drop_text, run)
+
+
+def _decoded(ids: pa.Array, model: str) -> list[str]:
+    decode_ids = _processor(model).decode
+    return [decode_ids(x) if x else "" for x in ids.to_pylist()]
 
 
 def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -113,9 +131,8 @@ def decode(df: DataFrame, model: str, ids: str = "ids", out: str = "decoded") ->
     Null and empty arrays give an empty text. A column of the name ``out`` is replaced.
     """
 
-    def run(column: pa.Array) -> Iterator[pa.Array]:
-        sp, step = _processor(model), 64
-        for first in range(0, len(column), step):
-            yield pa.array([sp.decode(x.as_py() or []) if x.is_valid else "" for x in column.slice(first, step)], pa.string())
+    def run(column: pa.Array) -> Iterator[list[pa.Array]]:
+        for at in range(0, len(column), 64):
+            yield [pa.array(_decoded(column.slice(at, 64), model), pa.string())]
 
-    return _with_column(df, ids, out, T.StringType(), False, run)
+    return _with_columns(df, ids, {out: T.StringType()}, False, run)
