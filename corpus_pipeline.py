@@ -46,7 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SentencePiece ids of each text, and their decoding."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    coded = spm.decode(spm.encode(docs.select("doc_id", "text"), model, drop_text=True), model)
+    coded = spm.encode(docs.select("doc_id", "text"), model, decoded="decoded", drop_text=True)
     return coded.select("doc_id", "ids", "decoded", F.size("ids").cast("long").alias("n_tokens"))
 
 
