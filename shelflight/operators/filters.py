@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from shelflight.functions import fields
 
-TRUE = F.lit
 
 
 def all_of(conditions: list[Column]) -> Column:

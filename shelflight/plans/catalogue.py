@@ -20,7 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGS = ["nr_valid", "bs_valid", "ms_valid", "mw_valid"]
 TIES = ["l_orderkey", "l_linenumber", "l_suppkey", "price"]
-AS_OF = F.lit(dt.date(2024, 7, 1))
+AS_OF = dt.date(2024, 7, 1)
 
 
 def query(oracle: str | None = None):
@@ -453,7 +453,7 @@ WHERE n = 1 AND CAST(asin AS BIGINT) % 3 = 0""")
 def watch_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest sighting of each watched item."""
     watched = views.view(spark, sf_dir, "SELECT CAST(p_partkey AS STRING) AS asin FROM {part} WHERE p_partkey % 3 = 0")
-    rows = tracking.snapshot(watched, views.sightings(spark, sf_dir), AS_OF, ["scraped_at", *TIES])
+    rows = tracking.snapshot(watched, views.sightings(spark, sf_dir), F.lit(AS_OF), ["scraped_at", *TIES])
     return rows.withColumn("rating", F.round("rating", 6))
 
 
@@ -565,7 +565,7 @@ SELECT asin, CASE k WHEN 0 THEN try_cast(concat('2024-06-', lpad(CAST(day AS VAR
 def listing_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates in three languages, impossible ones null, and their age."""
     rows = views.details(spark, sf_dir).select("asin", fields.month_date(F.col("date_text")).alias("listed"))
-    return rows.withColumn("age", fields.age_days(F.col("listed"), AS_OF).cast("long"))
+    return rows.withColumn("age", fields.age_days(F.col("listed"), F.lit(AS_OF)).cast("long"))
 
 
 @query(f"""WITH {WITH_DETAILS}, x AS (SELECT d.asin, p_type, p_brand, size, CAST(d.asin AS BIGINT) % 2 AS odd FROM details d JOIN part ON CAST(d.asin AS BIGINT) = p_partkey)
@@ -655,7 +655,7 @@ def _arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "asin", "site", F.col("date_first_available").alias("listing_date"), "bsr_main_rank",
         (F.col("size") % 20).alias("review_count"),
     )
-    return arrivals.arrivals(arrivals.candidates(shown, nodes), details, AS_OF, arrivals.ArrivalRules(signal_age_days=25))
+    return arrivals.arrivals(arrivals.candidates(shown, nodes), details, F.lit(AS_OF), arrivals.ArrivalRules(signal_age_days=25))
 
 
 _ARRIVALS = f"""{WITH_DETAILS}, x AS (SELECT asin, site, size, size % 31 + 1 AS day, CAST(asin AS BIGINT) AS a FROM details
