@@ -482,15 +482,15 @@ def sidebar_children(pages: DataFrame, domain: Column, keep: tuple[str, ...] = (
     )
 
 
-def breadcrumb_rows(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """(pos, name, node_id) of a page's breadcrumb links in order; links without a name or id are left out."""
+def _crumbs(page: Element, _: str = "") -> Iterator[dict]:
+    box = page.find(has_id("wayfinding-breadcrumbs_feature_div"))
+    for pos, a in enumerate(box.all(lambda e: e.tag == "a") if box is not None else []):
+        yield {"pos": pos, "name": a.text(""), "href": a.get("href")}
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        box = page.find(has_id("wayfinding-breadcrumbs_feature_div"))
-        for pos, a in enumerate(box.all(lambda e: e.tag == "a") if box is not None else []):
-            yield {"pos": pos, "name": a.text(""), "href": a.get("href")}
 
-    raw = _per_page(pages, "pos int, name string, href string", make, keep)
+def breadcrumb_rows(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """(pos, name, node_id) of a page's breadcrumb links in order; links without a name or id are left out."""
+    raw = _per_page(pages, "pos int, name string, href string", _crumbs, keep)
     rows = raw.withColumn("node_id", urls.query_node_id(F.col("href"))).where("name <> '' and node_id is not null")
     return rows.select(*keep, "pos", "name", "node_id")
 
@@ -523,16 +523,34 @@ def root_name(pages: DataFrame) -> DataFrame:
     return raw.select("page_id", name.alias("name"))
 
 
-def page_links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, href, name) of every link of a page."""
+def _links(page: Element, _: str = "") -> Iterator[dict]:
+    for pos, a in enumerate(page.all(lambda e: e.tag == "a" and bool(e.get("href")))):
+        yield {"pos": pos, "href": a.get("href"), "name": a.text("")}
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        for pos, a in enumerate(page.all(lambda e: e.tag == "a" and bool(e.get("href")))):
-            yield {"pos": pos, "href": a.get("href"), "name": a.text("")}
 
-    return _per_page(pages, "pos int, href string, name string", make, ("page_id",))
+def page_links(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, href, name) of every link of a page."""
+    return _per_page(pages, "pos int, href string, name string", _links, ("page_id",))
 
 
 def page_items(pages: DataFrame, n: int = 10) -> DataFrame:
     """(page_id, pos, asin) of the first ``n`` distinct item ids of a page: native, no parser."""
     return pages.select("page_id", F.posexplode(urls.first_items(F.col("html"), n)).alias("pos", "asin"))
+
+
+def register_table_functions(spark) -> None:
+    """SQL table functions ``page_links(html)`` and ``page_crumbs(html)`` for LATERAL joins."""
+    from pyspark.sql.functions import udtf
+
+    class Links:
+        def eval(self, html: str):
+            for found in _links(read_page(html)):
+                yield found["pos"], found["href"], found["name"]
+
+    class Crumbs:
+        def eval(self, html: str):
+            for found in _crumbs(read_page(html)):
+                yield found["pos"], found["name"], found["href"]
+
+    spark.udtf.register("page_links", udtf(Links, returnType="pos int, href string, name string"))
+    spark.udtf.register("page_crumbs", udtf(Crumbs, returnType="pos int, name string, href string"))

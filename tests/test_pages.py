@@ -82,6 +82,14 @@ def test_tree_pages(spark):
     assert filters.search_card_gate(F.lit(5), 0) is not None
 
 
+def test_sql_table_functions(spark):
+    extract.register_table_functions(spark)
+    _pages(spark, DETAIL, None).createOrReplaceTempView("captured")
+    rows = spark.sql("SELECT page_id, pos, name FROM captured, LATERAL page_crumbs(html) ORDER BY pos").collect()
+    assert [(r.page_id, r.pos, r.name) for r in rows] == [(0, 0, "Garden"), (0, 1, "Hoses"), (0, 2, "none")]
+    assert spark.sql("SELECT * FROM captured, LATERAL page_links(html)").count() == 2
+
+
 def test_streams(spark, tmp_path):
     schema = "key string, event_id long, ts timestamp, ok boolean"
     at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
