@@ -14,6 +14,7 @@ import base64
 import gzip
 import hashlib
 import html
+import io
 import json
 import os
 import re
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from shelflight.llm.token_frames import filesystem
 
 VERSION = "WARC/1.1"
+#: Of the gzip members.
+LEVEL = 6
 #: Written where a capture has no date of its own.
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 #: Extension field that keeps the key of the page table.
@@ -43,7 +46,8 @@ _BREAK = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
-_SPACE = re.compile(r"[^\S\n]+")
+#: White space in a line, but for the single spaces that may stay.
+_SPACE = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _LINES = re.compile(r"\s*\n\s*")
 
 
@@ -185,12 +189,18 @@ def to_bytes(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return f"{VERSION}\r\n{lines}\r\n".encode() + block + b"\r\n\r\n"
 
 
+def by_page(pages: DataFrame) -> DataFrame:
+    """Pages dealt out by ranges of page_id and in its order, null first, so that a file holds neighbours."""
+    order = F.col("page_id").asc_nulls_first()
+    return pages.repartitionByRange(order).sortWithinPartitions(order)
+
+
 def write_records(records: DataFrame, path: str) -> DataFrame:
     """Write records as ``part-n.warc.gz`` files below ``path``; (file, records, bytes) of each file.
 
-    Records are dealt by ranges of page_id, null first, so a page's records stand
-    together. A file has one gzip member to a record; a task that runs again
-    replaces its file.
+    A file for each partition, records in their order: deal the pages out before
+    they become records (``by_page``), not the larger records. A file has one
+    gzip member to a record; a task that runs again replaces its file.
     """
     if not re.match(r"\w+:", path):
         path = f"file://{os.path.abspath(path)}"
@@ -203,15 +213,13 @@ def write_records(records: DataFrame, path: str) -> DataFrame:
         with store.open_output_stream(own, compression=None) as stream:
             for batch in batches:
                 for headers, block in zip(batch.column(0), batch.column(1)):
-                    member = gzip.compress(to_bytes(headers.as_py(), block.as_py()), mtime=0)
+                    member = gzip.compress(to_bytes(headers.as_py(), block.as_py()), LEVEL, mtime=0)
                     stream.write(member)
                     count, size = count + 1, size + len(member)
         store.move(own, f"{at}/{name}")
         yield pa.RecordBatch.from_pydict({"file": [name], "records": [count], "bytes": [size]})
 
-    order = [F.col("page_id").asc_nulls_first(), F.col("record_id")]
-    dealt = records.repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.select("headers", "block").mapInArrow(write, "file string, records long, bytes long")
+    return records.select("headers", "block").mapInArrow(write, "file string, records long, bytes long")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -219,7 +227,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("content")
 
     def make(row: dict) -> Iterator[tuple]:
-        data, at = gzip.decompress(row["content"]), 0
+        # read as a stream: gzip.decompress copies the rest of the file for each member
+        data, at = gzip.GzipFile(fileobj=io.BytesIO(row["content"])).read(), 0
         while at < len(data):
             end = data.index(b"\r\n\r\n", at)
             pairs = [line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:]]
