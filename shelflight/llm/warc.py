@@ -46,9 +46,6 @@ _BREAK = re.compile(
     re.I,
 )
 _TAG = re.compile(r"<[/!?a-zA-Z][^>]*>?")
-#: White space in a line, but for the single spaces that may stay.
-_SPACE = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
-_LINES = re.compile(r"\s*\n\s*")
 
 
 def digest(content: bytes) -> str:
@@ -63,7 +60,8 @@ def record_id(*parts: str) -> str:
 def page_text(page: str) -> str:
     """Visible text: a line to each block element, white space collapsed."""
     body = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
-    return _LINES.sub("\n", _SPACE.sub(" ", html.unescape(body))).strip()
+    lines = (" ".join(line.split()) for line in html.unescape(body).split("\n"))
+    return "\n".join(line for line in lines if line)
 
 
 def _first(*groups: str | None) -> str:
