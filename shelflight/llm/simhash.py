@@ -147,35 +147,84 @@ def near_block(queries: np.ndarray, planes: np.ndarray, lanes: int, radius: int)
     return np.zeros((len(queries), lanes), bool) if over is None else ~_lanes(over, lanes)
 
 
+def _merge(labels: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """``labels`` with the two labels of each pair made one."""
+    into: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while x in into:
+            x = into[x]
+        return x
+
+    for a, b in pairs.tolist():
+        a, b = find(a), find(b)
+        if a != b:
+            into[max(a, b)] = min(a, b)
+    renamed = np.arange(len(labels))
+    for old in into:
+        renamed[old] = find(old)
+    return renamed[labels]
+
+
 def spanning_links(values: np.ndarray, radius: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs that connect exactly what the links at ``radius`` connect.
 
-    Breadth first: a lane that has been reached is never compared again as a
-    target, so a dense group costs about as many comparisons as it has members.
+    Every lane asks once, ``QUERIES`` at a time: lanes that were reached first,
+    those of the largest component in front, then fresh ones. A query meets all
+    lanes that have not asked yet, except where all queries and the lane are of
+    one component already, so a dense group costs about as many comparisons as
+    it has members.
     """
+    n = len(values)
     left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rest = np.arange(len(values))
-    frontier = np.zeros(0, np.int64)
-    while len(rest) or len(frontier):
-        if not len(frontier):
-            frontier, rest = rest[:QUERIES], rest[QUERIES:]
-            i, j = np.triu_indices(len(frontier), 1)
-            hit = near_pairs(values[frontier[i]], values[frontier[j]], radius)
-            left.append(frontier[i[hit]])
-            right.append(frontier[j[hit]])
-        asking, frontier = frontier[:QUERIES], frontier[QUERIES:]
-        reached, unseen = [], []
-        for at in range(0, len(rest), block):
-            part = rest[at : at + block]
-            near = near_block(values[asking], bit_planes(values[part]), len(part), radius)
-            hit = near.any(axis=0)
-            left.append(asking[near.argmax(axis=0)[hit]])
-            right.append(part[hit])
-            reached.append(part[hit])
-            unseen.append(part[~hit])
-        if reached:
-            frontier = np.concatenate([frontier, *reached])
-            rest = np.concatenate(unseen)
+    labels = np.arange(n)  # component of each lane, named by one of its lanes
+    rest = np.arange(n)  # not reached yet: each a component of its own
+    waiting = np.zeros(0, np.int64)  # reached, still to ask
+
+    def record(queries: np.ndarray, lanes: np.ndarray) -> None:
+        """Keep one link for each two components that the pairs connect, and merge them."""
+        nonlocal labels
+        one, other = labels[queries], labels[lanes]
+        codes, at = np.unique(np.minimum(one, other) * n + np.maximum(one, other), return_index=True)
+        left.append(queries[at])
+        right.append(lanes[at])
+        labels = _merge(labels, np.stack([codes // n, codes % n], axis=1))
+
+    while len(rest) or len(waiting):
+        if len(waiting) > QUERIES:
+            sizes = np.bincount(labels[waiting], minlength=n)[labels[waiting]]
+            waiting = waiting[np.lexsort((labels[waiting], -sizes))]
+        fresh = max(QUERIES - len(waiting), 0)
+        asking = np.concatenate([waiting[:QUERIES], rest[:fresh]])
+        waiting, rest = waiting[QUERIES:], rest[fresh:]
+        if (labels[asking] != labels[asking[0]]).any():
+            i, j = np.triu_indices(len(asking), 1)
+            hit = near_pairs(values[asking[i]], values[asking[j]], radius) & (labels[asking[i]] != labels[asking[j]])
+            if hit.any():
+                record(asking[i[hit]], asking[j[hit]])
+        others = waiting
+        if (labels[asking] == labels[asking[0]]).all():
+            others = waiting[labels[waiting] != labels[asking[0]]]
+        reached, unseen = [waiting], []
+        for lanes, new in ((others, False), (rest, True)):
+            for at in range(0, len(lanes), block):
+                part = lanes[at : at + block]
+                near = near_block(values[asking], bit_planes(values[part]), len(part), radius)
+                if new:
+                    hit = near.any(axis=0)
+                    first = asking[near.argmax(axis=0)[hit]]
+                    left.append(first)
+                    right.append(part[hit])
+                    labels[part[hit]] = labels[first]
+                    reached.append(part[hit])
+                    unseen.append(part[~hit])
+                # a lane near queries of several components connects them all
+                apart = near & (labels[asking][:, None] != labels[part][None, :])
+                if apart.any():
+                    q, t = np.nonzero(apart)
+                    record(asking[q], part[t])
+        waiting = np.concatenate(reached)
+        rest = np.concatenate(unseen) if unseen else rest
     return np.concatenate(left), np.concatenate(right)
 
 

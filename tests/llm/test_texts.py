@@ -193,6 +193,34 @@ def test_spanning_links_connect_what_all_links_connect():
     assert _roots(links, range(n)) == _roots(full, range(n)) and len(links) < len(full)
 
 
+def test_spanning_links_join_seeds_that_share_a_neighbour_behind_them():
+    rng = np.random.default_rng(8)
+    values = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    values[200] = values[0] ^ np.uint64(0xF)
+    values[1] = values[200] ^ np.uint64(0xF0)  # 8 bits from values[0], both 4 bits from values[200]
+    _same_components(values)
+    # chains of links of 4 bits, each end of which waits while another asks
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        values = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        for _ in range(11):
+            last = values[-40:].copy()
+            for i in range(40):
+                for bit in rng.choice(64, rng.integers(3, 6), replace=False):
+                    last[i] ^= np.uint64(1) << np.uint64(bit)
+            values = np.concatenate([values, last])
+        _same_components(rng.permutation(values))
+
+
+def _same_components(values):
+    n = len(values)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    full = [(int(i), int(j)) for i, j in zip(*np.nonzero(near)) if i < j]
+    links = [(int(i), int(j)) for i, j in zip(*simhash.spanning_links(values, 4))]
+    assert all(near[i, j] for i, j in links)
+    assert _roots(links, range(n)) == _roots(full, range(n))
+
+
 def test_hot_buckets_are_cut_without_loss(spark):
     rng = np.random.default_rng(3)
     values = {int(v) for v in rng.integers(0, 1 << 62, 30)}
