@@ -17,7 +17,8 @@ words holds whole paragraphs of its own.
 4. In a cell, paragraphs are compared by the exact Jaccard similarity of their
    five-word shingles. A cell returns a spanning forest of the links, not all pairs.
 5. Components of the links are groups. Neighbouring paragraphs of groups found in
-   two or more documents form a passage, which counts if it is long enough: a
+   two or more documents form a passage, which counts if it is long enough or
+   stands in a run of over 50 words that another document has word by word: a
    heading or a licence line that many documents share is left alone. A
    paragraph stays in the document with the least id of its group and is marked
    for removal elsewhere.
@@ -55,6 +56,7 @@ class Bands:
     similarity: float = 0.8
     cell_rows: int = 1 << 14
     least_chars: int = 120  # from first to last of a passage's whole paragraphs: about 20 words
+    run_words: int = 51  # a repeated run of this many words counts, however short its whole paragraphs are
     most_gap: int = 64  # characters between neighbours, for the short paragraphs left out
 
 
@@ -160,6 +162,24 @@ def paragraphs(h: np.ndarray, bands: Bands = BANDS) -> tuple[np.ndarray, np.ndar
     return starts, ends, keys
 
 
+def _lowered(text: str) -> tuple[bytes, np.ndarray]:
+    """The UTF-8 bytes of a text, and as many bytes of it in lower case."""
+    plain = text.encode()
+    lower = text.lower().encode()
+    if len(lower) != len(plain):  # a few letters change their size: then only A to Z are lowered
+        lower = plain.lower()
+    return plain, np.frombuffer(lower, np.uint8)
+
+
+def _characters(text: str, plain: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte places of a text as character places."""
+    if len(plain) == len(text):
+        return first, end
+    heads = np.frombuffer(plain, np.uint8) & 0xC0 != 0x80
+    chars = np.concatenate(([0], np.cumsum(heads)))
+    return chars[first], chars[end]
+
+
 def paragraph_rows(df: DataFrame, doc: str, text: str, bands: Bands = BANDS) -> DataFrame:
     """(doc, place, key): a row for each band of each paragraph of each text.
 
@@ -175,19 +195,12 @@ def paragraph_rows(df: DataFrame, doc: str, text: str, bands: Bands = BANDS) ->
                 owner, places, found = [], [], []
                 for i, t in enumerate(part.column(1)):
                     text = t.as_py()
-                    plain = text.encode()
-                    lower = text.lower().encode()
-                    if len(lower) != len(plain):  # a few letters change their size: then only A to Z are lowered
-                        lower = plain.lower()
-                    content = np.frombuffer(lower, np.uint8)
+                    plain, content = _lowered(text)
                     first, end, hashes = word_hashes(content)
                     starts, ends, keys = paragraphs(hashes, bands)
                     if len(starts):
                         first, end = first[starts], end[ends - 1]
-                        if len(plain) != len(text):  # bytes to characters
-                            heads = np.frombuffer(plain, np.uint8) & 0xC0 != 0x80
-                            chars = np.concatenate(([0], np.cumsum(heads)))
-                            first, end = chars[first], chars[end]
+                        first, end = _characters(text, plain, first, end)
                         owner += [i] * len(starts)
                         places.append((first << 32) | end)
                         found.append(keys.view(np.int64))
@@ -272,11 +285,66 @@ def _linker(bands: Bands):
     return run
 
 
+def runs_around(text: str, places: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index into ``places`` and hash of every run of ``words`` words that holds the paragraph at the place.
+
+    Of a paragraph of more words the runs inside it are taken.
+    """
+    plain, content = _lowered(text)
+    first, end, h = word_hashes(content)
+    n = len(h)
+    if n < words:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    first, end = _characters(text, plain, first, end)
+    up, down = _POWERS.upto(n)
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up)))
+    runs = _mix((sums[words:] - sums[:-words]) * down[: n - words + 1])
+    starts = np.searchsorted(first, places >> 32)
+    ends = np.searchsorted(end, places & 0xFFFFFFFF) + 1
+    low = np.maximum(np.minimum(starts, ends - words), 0)
+    high = np.minimum(np.maximum(starts, ends - words), n - words)
+    count = np.maximum(high - low + 1, 0)
+    owner = np.repeat(np.arange(len(places)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+    return owner, runs[at]
+
+
+def in_repeated_runs(texts: DataFrame, spots: DataFrame, bands: Bands = BANDS) -> DataFrame:
+    """(doc_id, place) of ``spots`` that stand in a run of ``run_words`` that another document holds at one of its spots.
+
+    ``texts`` has doc, doc_id and text, ``spots`` doc and place. Runs meet by their
+    hash, so a paragraph that many documents hold costs no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                places = np.array(batch.column(2)[at].as_py(), np.int64)
+                owner, runs = runs_around(batch.column(1)[at].as_py(), places, bands.run_words)
+                if len(owner):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(owner), batch.column(0)[at].as_py(), np.int64)),
+                            pa.array(places[owner]),
+                            pa.array(runs.view(np.int64)),
+                        ],
+                        names=["doc_id", "place", "run"],
+                    )
+
+    places = materialise(spots.groupBy("doc").agg(F.collect_set("place").alias("places")), "run-places")
+    runs = texts.join(places, "doc").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, place long, run long")
+    runs = materialise(runs, "runs")
+    ends = runs.groupBy("run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+    shared = materialise(ends.where("least < most").select("run"), "shared-runs")
+    return runs.join(shared, "run", "left_semi").select("doc_id", "place").distinct()
+
+
 def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: Bands = BANDS) -> DataFrame:
     """(doc_id, passage_id, first_char, end_char, n_documents, kept_in, removed).
 
     One row per paragraph of a group that occurs in two or more documents, where
-    it is part of a passage of ``least_chars``. passage_id names the group, kept_in is the least doc_id that holds it, and
+    it is part of a passage of ``least_chars`` or of a run of ``run_words`` that
+    another document holds word by word. passage_id names the group, kept_in is the least doc_id that holds it, and
     removed is true in all other documents. Characters count from 0. Words are
     compared in lower case. Null, empty and short texts have no paragraphs. Rows
     without a doc_id cannot be named and are left out; rows that repeat a doc_id
@@ -346,4 +414,15 @@ def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     chained = repeated.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
     chain = Window.partitionBy("doc_id", "chain")
     length = F.max("end_char").over(chain) - F.min("first_char").over(chain)
-    return chained.withColumn("length", length).where(F.col("length") >= bands.least_chars).drop("chain", "length")
+    chained = materialise(chained.withColumn("length", length).drop("chain"), "chains")
+    long = chained.where(F.col("length") >= bands.least_chars).drop("length")
+    short = chained.where(F.col("length") < bands.least_chars).drop("length")
+    # a short one may stand in a long run: its group is looked at in every document
+    asked = named.join(short.select("passage_id").distinct(), "passage_id", "left_semi").select("doc_id", "place")
+    asked = spots.select("doc", "doc_id", "place").distinct().join(asked.hint("merge"), ["doc_id", "place"]).select("doc", "place")
+    found = in_repeated_runs(texts, asked, bands).select(
+        "doc_id",
+        F.shiftrightunsigned("place", 32).alias("first_char"),
+        F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end_char"),
+    )
+    return long.unionByName(short.join(found.hint("merge"), ["doc_id", "first_char", "end_char"], "left_semi"))

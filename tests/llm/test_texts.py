@@ -387,6 +387,29 @@ def test_repeated_passages(spark, none):
     assert paragraph_dedup.repeated_passages(none).count() == 0
 
 
+def test_repeated_runs_of_51_words_are_kept_though_their_paragraphs_are_short(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n=2: "".join(rng.choice(list("abcdefghijklmnop"), n))
+    text = lambda n: " ".join(word(3) for _ in range(n))
+    rows, held = [], set()
+    heading = text(12)  # shared, but in no long run
+    for i in range(60):
+        passage = f"Ä {' '.join(word() for _ in range(50))}"
+        rows += [(2 * i, f"{text(30)} {passage} {text(30)}"), (2 * i + 1, f"é {text(25)}\n{passage.upper()}  {text(35)}")]
+        bounds = []
+        for _, t in rows[-2:]:
+            h = paragraph_dedup.word_hashes(paragraph_dedup._lowered(t)[1])[2]
+            starts, ends, _ = paragraph_dedup.paragraphs(h)
+            lead = 30 if t is rows[-2][1] else 26
+            bounds.append({(s - lead, e - lead) for s, e in zip(starts, ends) if s >= lead and e <= lead + 51})
+        if bounds[0] & bounds[1]:
+            held |= {2 * i, 2 * i + 1}
+    rows += [(200 + i, f"{text(30)} {heading} {text(30)}") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in paragraph_dedup.repeated_passages(docs).collect()}
+    assert len(held) > 90 and held == got
+
+
 def test_prefix_filter_loses_no_link():
     rng = np.random.default_rng(6)
     base = [frozenset((int(x),) for x in rng.integers(0, 40, 8)) for _ in range(60)]
