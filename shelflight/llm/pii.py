@@ -27,22 +27,25 @@ _FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа"
 _EITHER = "Dr|Prof"
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? "
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40})?"
-_SECRET_KEY = r"(?:password|passwd|pwd|secret|api_key|apikey|token) ?[=:] ?[\"']?"
+_SECRET_KEY = r"(?i:password|passwd|pwd|secret|api_key|apikey|token) ?[=:] ?[\"']?"
 
-#: kind: pattern. Repetitions are bounded, so long texts need no deep recursion.
+#: First four digits of cards of the 2 series.
+_TWO = r"(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)"
+
+#: kind: pattern. Repetitions are bounded or of one class of characters, so long texts need no deep recursion.
 PATTERNS = {
-    "secret": rf"(?<![A-Za-z0-9]){_SECRET_KEY}[A-Za-z0-9_+/.-]{{8,256}}",
+    "secret": rf"(?<![A-Za-z0-9]){_SECRET_KEY}[A-Za-z0-9_+/.-]{{8,}}+",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
     "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[.-]\d{4})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
-    "card": r"(?<![\w-])(?:[3-6]\d{12,18}|[3-6]\d{3}(?:[ -]\d{4}){3})(?![\w-])",
+    "card": rf"(?<![\w-])(?:[3-6]\d{{12,18}}|{_TWO}\d{{12}}|(?:[3-6]\d{{3}}|{_TWO})(?:[ -]\d{{4}}){{3}}|3\d{{3}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-])",
     "name": _TITLE + _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to hold before the patterns are tried.
-MAYBE = rf"[0-9@]|{_SECRET_KEY}|{_TITLE}"
+MAYBE = rf"[0-9@]|AKIA|{_SECRET_KEY}|{_TITLE}"
 
 #: Given names by gender and script, and syllables of family names (fixed values).
 GIVEN = {
@@ -209,7 +212,7 @@ def _surrogate(kind: Column, canonical: Column, digest: Column) -> Column:
         .when(kind == "ip", ip)
         .when(kind == "email", _drawn_chars(canonical, digest, F.length(canonical) - label, F.lit(False)))
         .when(kind == "name", F.when(canonical.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin")))
-        .otherwise(_drawn_chars(canonical, digest, everywhere, canonical.rlike(r"\A[0-9a-f]+\z")))
+        .otherwise(_drawn_chars(canonical, digest, everywhere, canonical.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")))
     )
 
 
