@@ -90,6 +90,7 @@ def is_number(text: Column) -> Column:
     return F.coalesce(text.rlike(r"^[0-9]+$"), F.lit(False))
 
 
-def first_items(html: Column, n: int) -> Column:
-    """The first ``n`` distinct item ids of a page in order."""
-    return F.slice(F.array_distinct(F.regexp_extract_all(html, F.lit(r"/dp/([A-Z0-9]{10})"), F.lit(1))), 1, n)
+def first_items(html: Column, n: int | None) -> Column:
+    """The first ``n`` distinct item ids of a page in order, all of them for None."""
+    items = F.array_distinct(F.regexp_extract_all(html, F.lit(r"/dp/([A-Z0-9]{10})"), F.lit(1)))
+    return items if n is None else F.slice(items, 1, n)

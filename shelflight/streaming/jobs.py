@@ -40,8 +40,8 @@ def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def item_stream(pages: DataFrame, n: int = 10) -> DataFrame:
-    """Items of arriving pages, on to the next step while pages still come in."""
+def item_stream(pages: DataFrame, n: int | None = None) -> DataFrame:
+    """Items of arriving pages, the first ``n`` distinct ones of a page if given, on to the next step while pages still come in."""
     return pages.select("page_id", F.posexplode(urls.first_items(F.col("html"), n)).alias("pos", "asin"))
 
 

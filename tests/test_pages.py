@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from shelflight.operators import extract, filters, quality
+from shelflight.plans import catalogue
 from shelflight.schema import with_locale
 from shelflight.streaming import jobs
 
@@ -121,3 +122,11 @@ def test_streams(spark, tmp_path):
     assert {r.node_id: r.child_count for r in jobs.count_deltas(changes, counts).collect()} == {"p": 1, "q": 1}
     stale = jobs.stale_keys(spark.createDataFrame(batches[0], schema), "key", "ts", F.lit(at(59)) + F.expr("interval 5 seconds"))
     assert {r.key: r.stale for r in stale.collect()} == {"a": True, "b": True}
+
+
+def test_item_query_lists_all_items_of_a_page(spark, tmp_path):
+    items = [f"B{i:09d}" for i in range(12)]
+    html = " ".join(f'<a href="/dp/{i}">x</a>' for i in [*items, items[0]])
+    spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.stream_items(spark, str(tmp_path)).collect()
+    assert sorted((r.page_id, r.pos, r.asin) for r in got) == [(1, n, i) for n, i in enumerate(items)]
