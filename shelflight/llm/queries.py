@@ -97,8 +97,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata and conversion records of every page, written as WARC files and read back."""
     path = shared_dir(spark, "warc")
-    derived = warc.derivatives(warc.responses(warc.by_page(_table(spark, sf_dir, "pages"))))
-    warc.write_records(derived, path).agg(F.sum("records")).collect()
+    warc.write_derivatives(_table(spark, sf_dir, "pages"), path)
     read = warc.read_records(spark, path)
     block = F.col("block").cast("string")
     return read.select(

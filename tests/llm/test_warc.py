@@ -1,8 +1,16 @@
 import base64
+import gzip
 import hashlib
+import html
 import json
+import re
+import time
+from html.parser import HTMLParser
+
+import pytest
 
 from shelflight.llm import warc
+from shelflight.llm.queries import QUERIES
 
 PAGE = (
     "<!DOCTYPE html><html><head><title>A &amp; B</title><meta name='description' content='About it'>"
@@ -46,3 +54,86 @@ def test_records_are_linked_and_round_trip(spark, tmp_path):
     key = lambda r: (r.page_id or 0, r.kind, r.record_id, bytes(r.block), sorted(r.headers.items()))
     assert sorted(map(key, warc.read_records(spark, path).collect())) == sorted(map(key, made))
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
+
+
+class _Shown(HTMLParser):
+    """Visible text by the standard library's parser: a plain second reading of a page."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.out, self.hidden = [], 0
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in HIDDEN
+        self.out.append(" " if tag in HIDDEN else "\n" if tag in warc._BREAKS else "")
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in HIDDEN
+        self.out.append("\n" if tag in warc._BREAKS else "")
+
+    def handle_data(self, data):
+        self.out.append("" if self.hidden else data)
+
+    def handle_comment(self, data):
+        self.out.append(" ")
+
+
+HIDDEN = {"script", "style", "noscript", "template"}
+
+
+def _brute_text(page):
+    reader = _Shown()
+    reader.feed(page)
+    reader.close()
+    return "\n".join(x for x in (" ".join(line.split()) for line in "".join(reader.out).split("\n")) if x)
+
+
+def test_query_agrees_with_a_second_reader(spark, sf_dir):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    rows = QUERIES["op9_warc_derivatives"](spark, sf_dir).collect()
+    assert sorted((r.page_id, r.kind) for r in rows) == sorted((p, k) for p in pages for k in ("conversion", "metadata"))
+    titles = {p: re.search(r"<title>(.*?)</title>", r.html)[1] for p, r in pages.items() if "<title>" in (r.html or "")}
+    for r in rows:
+        page = pages[r.page_id].html or ""
+        assert r.url == pages[r.page_id].url and r.payload_digest == _sha1(page.encode())
+        if r.kind == "conversion":
+            assert r.text == _brute_text(page) and r.block_digest == _sha1(r.text.encode()) and r.n_bytes == len(r.text.encode())
+        elif r.page_id in titles:
+            assert r.title == " ".join(html.unescape(titles[r.page_id]).split())
+    refers = {r.page_id: r.refers_to for r in rows}
+    assert len(set(refers.values())) == len(pages) and all(refers[r.page_id] == r.refers_to for r in rows)
+
+
+def test_headers_hold_any_url_and_files_roll_over(spark, tmp_path):
+    urls = ["http://a.example/\r\nWARC-Type: response", "http://b.example/: x", " http://c ", "", None, "http://d/\x00é"]
+    pages = spark.createDataFrame([(i, u, "<p>x" * 50) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    path = f"file://{tmp_path}/warc"
+    manifest = warc.write_derivatives(pages.coalesce(1), path, file_bytes=300).collect()
+    assert len(manifest) > 3 and sum(m.records for m in manifest) == 12
+    got = {(r.page_id, r.kind): r for r in warc.read_records(spark, path).collect()}
+    made = {(r.page_id, r.kind): r for r in warc.derivatives(warc.responses(pages)).collect()}
+    assert got.keys() == made.keys()
+    for k, r in got.items():
+        assert (r.url, bytes(r.block), sorted(r.headers.items())) == (made[k].url, bytes(made[k].block), sorted(made[k].headers.items()))
+    assert got[0, "metadata"].url == "http://a.example/%0D%0AWARC-Type: response" and got[4, "metadata"].url is None
+    none = f"file://{tmp_path}/none"
+    assert warc.write_derivatives(pages.limit(0), none).count() == 0 and warc.read_records(spark, none).count() == 0
+
+
+def test_damage_is_found(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
+    name = warc.write_derivatives(pages, str(tmp_path / "w")).first().file
+    file = tmp_path / "w" / name
+    content = gzip.decompress(file.read_bytes())
+    file.write_bytes(gzip.compress(content.replace(b'"title"', b'"tItle"')))
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_records(spark, str(tmp_path / "w")).collect()
+
+
+@pytest.mark.parametrize("part", ["<a ", "<script ", "<meta name ", "<!--", "<a href='", "</script ", "<title>", "&amp", "<p>x", "<a x=' \" >"])
+def test_long_broken_pages_take_linear_time(part):
+    page = part * (4_000_000 // len(part))
+    for page in (page, page + ">"):
+        began = time.perf_counter()
+        warc.read_page(page)
+        assert time.perf_counter() - began < 20
