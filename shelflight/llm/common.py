@@ -9,8 +9,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with more than this part of all rows is hot: fewer than HOT_KEYS keys can be.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -28,9 +34,54 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: its lineage ends here."""
+#: Spark's setting that removes a query's shuffle files when the query ends.
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _releasing_shuffles(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
+def materialise(df: DataFrame, name: str, used: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: its lineage and its shuffle files end here.
+
+    The path is added to ``used``, for ``discard`` when nothing reads it any more.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    with _releasing_shuffles(spark):
+        df.write.parquet(path)
+    if used is not None:
+        used.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete written tables that nothing reads any more, and empty the list."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    paths.clear()
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str = "n") -> DataFrame:
+    """``rows`` joined with ``per_key``, which has one row for each key, without gathering a hot key in one task.
+
+    ``count`` is a column of ``per_key``: how many ``rows`` have the key. Keys
+    with more than one in HOT_KEYS of all rows, fewer than HOT_KEYS by that
+    bound, are sent to all tasks; the rows of the other keys are shuffled. Rows
+    without a partner are left out. Both should be written tables: they are read
+    more than once.
+    """
+    total = per_key.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) > F.lit(total / HOT_KEYS)
+    few, many = per_key.where(hot), per_key.where(~hot)
+    spread = rows.join(F.broadcast(few), key)
+    rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many.hint("merge"), key)
+    return spread.unionByName(rest)

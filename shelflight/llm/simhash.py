@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import materialise
+from shelflight.llm.common import join_per_key, materialise
 from shelflight.llm.components import connected_components
 
 SHINGLE = 4
@@ -290,11 +290,11 @@ def candidate_cells(distinct: DataFrame, radius: int, cell_rows: int) -> DataFra
         ]
     )
     rows = distinct.select("fp", F.explode(keys).alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     blocks = F.ceil(F.col("n") / F.lit(cell_rows)).cast("long")
     own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
     return (
-        rows.join(sizes.hint("merge"), "key")
+        join_per_key(rows, sizes, "key")
         .withColumn("blocks", blocks)
         .withColumn("own", own)
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
@@ -348,15 +348,14 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", ra
     )
     prints = materialise(fingerprints(rows), "simhash")
     groups = near_duplicate_groups(prints, radius=radius)
-    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"))
+    least = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
     rooted = least.join(groups.hint("merge"), least["fingerprint"] == groups["node"], "left").select(
-        "fingerprint", "first_id", F.coalesce("root", "fingerprint").alias("root")
+        "fingerprint", "first_id", "rows", F.coalesce("root", "fingerprint").alias("root")
     )
-    named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    class_of = materialise(
-        rooted.join(named.hint("merge"), "root").select("fingerprint", "root", "component_id"), "simhash-class"
-    )
-    return prints.join(class_of.hint("merge"), "fingerprint").select(
+    rooted = materialise(rooted, "simhash-roots")
+    named = materialise(rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "simhash-ids")
+    class_of = join_per_key(rooted, named, "root").select("fingerprint", "root", "component_id", F.col("rows").alias("n"))
+    return join_per_key(prints, materialise(class_of, "simhash-class"), "fingerprint").select(
         "doc_id", "fingerprint", "text_hash", "component_id", "root"
     )
 
