@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.functions import fields, urls
+from shelflight.sources.tables import first_rows
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 _CLOSES = {"li": {"li"}, "p": {"p"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -31,10 +32,16 @@ class Element:
         self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
 
     def walk(self) -> Iterator[Element]:
-        for c in self.content:
-            if isinstance(c, Element):
-                yield c
-                yield from c.walk()
+        """The elements inside, in order of the page; no recursion, so nesting may be of any depth."""
+        stack: list = [iter(self.content)]
+        while stack:
+            for c in stack[-1]:
+                if isinstance(c, Element):
+                    yield c
+                    stack.append(iter(c.content))
+                    break
+            else:
+                stack.pop()
 
     def text(self, between: str = " ") -> str:
         parts: list[str] = []
@@ -55,12 +62,18 @@ class Element:
         return self.get("class").split()
 
     def find(self, *tests: Callable[[Element], bool]) -> Element | None:
-        """The first element of the first test that any element passes."""
-        for test in tests:
-            for e in self.walk():
+        """The first element of the first test that any element passes, in one walk."""
+        found: dict[int, Element] = {}
+        left = list(enumerate(tests))
+        for e in self.walk():
+            for i, test in left:
                 if test(e):
-                    return e
-        return None
+                    found[i] = e
+                    left = left[:i]  # only what would come before still matters
+                    break
+            if not left:
+                break
+        return found[min(found)] if found else None
 
     def all(self, test: Callable[[Element], bool]) -> list[Element]:
         return [e for e in self.walk() if test(e)]
@@ -126,6 +139,10 @@ def _text(e: Element | None) -> str | None:
     return e.text() if e is not None else None
 
 
+#: Rows that a task holds before it hands them on.
+ROWS_AT_ONCE = 500
+
+
 def _per_page(pages: DataFrame, schema: str, make: Callable[[Element, str], Iterator[dict]], keep: tuple[str, ...]) -> DataFrame:
     """A row for each dict that ``make`` gives for a page, with the page's ``keep`` columns."""
     kinds = dict(pages.dtypes)
@@ -133,13 +150,16 @@ def _per_page(pages: DataFrame, schema: str, make: Callable[[Element, str], Iter
     whole = ", ".join([*[f"{k} {kinds[k]}" for k in keep], schema])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list = []
         for batch in batches:
-            out = []
             for row in batch.itertuples(index=False):
                 page = read_page(row.html)
                 for found in make(page, row.html or ""):
                     out.append([*[getattr(row, k) for k in keep], *[found.get(n) for n in names]])
-            yield pd.DataFrame(out, columns=[*keep, *names])
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pd.DataFrame(out, columns=[*keep, *names], dtype=object)
+                    out = []
+        yield pd.DataFrame(out, columns=[*keep, *names], dtype=object)
 
     return pages.select(*keep, "html").mapInPandas(run, whole)
 
@@ -194,16 +214,18 @@ CARD_FIELDS = (
 )
 
 
+def _chart(page: Element, _: str = "") -> Iterator[dict]:
+    cards = _cards(page)
+    for i, card in enumerate(cards):
+        if (found := _card(card)) is not None:
+            yield found | {"idx": i, "n_cards": len(cards)}
+
+
 def chart_cards(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """Raw texts of the item cards of ranked-list pages; cards without an item link are left out."""
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        cards = _cards(page)
-        for i, card in enumerate(cards):
-            if (found := _card(card)) is not None:
-                yield found | {"idx": i, "n_cards": len(cards)}
 
-    return _per_page(pages, CARD_FIELDS, make, keep)
+    return _per_page(pages, CARD_FIELDS, _chart, keep)
 
 
 def chart_rows(cards: DataFrame, domain: Column) -> DataFrame:
@@ -224,45 +246,59 @@ def chart_rows(cards: DataFrame, domain: Column) -> DataFrame:
     ).where("asin is not null")
 
 
+#: Parts of the classes that mark a card's percent change (fixed values).
+PERCENT_CLASSES = ("zg-percent-change", "percent")
+MOVER_FIELDS = "name string, price_raw string, rating_text string, image_url string, texts array<string>"
+
+
+def _movers(page: Element, _: str = "") -> Iterator[dict]:
+    for card in _cards(page):
+        found = _card(card) or {}
+        marked = card.find(*[lambda e, n=n: any(n in c for c in e.classes()) for n in PERCENT_CLASSES])
+        texts = [c for e in card.walk() for c in e.content if isinstance(c, str) and c.strip()]
+        yield found | {"texts": [t.strip() for t in [*([marked.text()] if marked is not None else []), *texts]]}
+
+
 def mover_cards(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
-    """Name, price, rating, percent change and image of the cards of a mover page."""
+    """Name, price, rating, percent change and image of the cards of a mover page.
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        for card in _cards(page):
-            found = _card(card) or {}
-            texts = [c for e in card.walk() for c in e.content if isinstance(c, str) and c.strip()]
-            yield found | {"texts": [t.strip() for t in texts]}
+    The change is the text of an element marked by its class, else the card's
+    first text with a percent sign.
+    """
 
-    raw = _per_page(
-        pages, "name string, price_raw string, rating_text string, image_url string, texts array<string>", make, keep
-    )
+
+    raw = _per_page(pages, MOVER_FIELDS, _movers, keep)
     return raw.withColumn("percent_change", fields.percent_change(F.col("texts"))).drop("texts")
 
 
 # --- search pages ------------------------------------------------------------
 
+RESULT_FIELDS = "idx int, asin string, review_text string, has_next boolean, total_text string"
+
+
+def _results(page: Element, _: str = "") -> Iterator[dict]:
+    total = _text(page.find(inside(has_class("a-spacing-small"), lambda e: e.tag == "span")))
+    following = page.find(lambda e: "s-pagination-next" in e.classes() and "s-pagination-disabled" not in e.classes())
+    cards = page.all(lambda e: e.get("data-component-type") == "s-search-result" and bool(e.get("data-asin").strip()))
+    for i, card in enumerate(cards):
+        reviews = card.find(
+            lambda e: e.tag == "a" and ("customerReviews" in e.get("href") or "#reviews" in e.get("href")),
+            lambda e: {"a-size-base", "s-underline-text"} <= set(e.classes()),
+        )
+        yield {
+            "idx": i,
+            "asin": card.get("data-asin").strip(),
+            "review_text": _text(reviews),
+            "has_next": following is not None,
+            "total_text": total,
+        }
+
 
 def search_cards(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(idx, asin, review_text, has_next, total_text) for each result card with an item id."""
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        total = _text(page.find(inside(has_class("a-spacing-small"), lambda e: e.tag == "span")))
-        following = page.find(lambda e: "s-pagination-next" in e.classes() and "s-pagination-disabled" not in e.classes())
-        cards = page.all(lambda e: e.get("data-component-type") == "s-search-result" and bool(e.get("data-asin").strip()))
-        for i, card in enumerate(cards):
-            reviews = card.find(
-                lambda e: e.tag == "a" and ("customerReviews" in e.get("href") or "#reviews" in e.get("href")),
-                lambda e: {"a-size-base", "s-underline-text"} <= set(e.classes()),
-            )
-            yield {
-                "idx": i,
-                "asin": card.get("data-asin").strip(),
-                "review_text": _text(reviews),
-                "has_next": following is not None,
-                "total_text": total,
-            }
 
-    return _per_page(pages, "idx int, asin string, review_text string, has_next boolean, total_text string", make, keep)
+    return _per_page(pages, RESULT_FIELDS, _results, keep)
 
 
 def search_status(pages: DataFrame, cards: DataFrame) -> DataFrame:
@@ -270,7 +306,7 @@ def search_status(pages: DataFrame, cards: DataFrame) -> DataFrame:
     from shelflight.operators.filters import capture_status
 
     counts = cards.groupBy("page_id").agg(F.count("*").alias("count"), F.max("has_next").alias("has_next"))
-    joined = pages.select("page_id", "html").join(counts, "page_id", "left")
+    joined = pages.select("page_id", "html").join(counts.hint("merge"), "page_id", "left")
     return joined.select(
         "page_id",
         capture_status(F.col("html"), F.col("count")).alias("status"),
@@ -281,6 +317,7 @@ def search_status(pages: DataFrame, cards: DataFrame) -> DataFrame:
 
 # --- detail pages ------------------------------------------------------------
 
+_VIDEO_CLASSES = ("vse-player-container", "a-icon-vse")
 _ROW_BLOCKS = has_id(
     "detailBullets_feature_div", "productDetails_techSpec_section_1", "productDetails_detailBullets_sections1", "prodDetails"
 )
@@ -288,9 +325,68 @@ DETAIL_BLOCKS = (
     "title string, price_text string, rating_text string, review_text string, image_url string, ranks_text string, "
     "rows array<string>, attributes map<string,string>, overview map<string,string>, variants int, bullets int, "
     "images int, sellers_text string, delivery_text string, merchant_text string, offer_text string, badges string, "
-    "breadcrumbs array<string>, stars_text string, json_ld string, description string"
+    "breadcrumbs array<string>, stars_text string, json_ld string, description string, brand_url string, "
+    "original_price string, discount_text string, has_video boolean, bullet_texts array<string>, variant_labels array<string>, "
+    "buybox_texts array<string>, item_input string, parent_input string, n_json_ld int, has_twister_data boolean, "
+    "n_offers int, blocks map<string,string>"
 )
 
+#: Groups of a detail page's fields, each with the element ids it is read from, the first that the page has; ``*`` stands
+#: for any beginning. ``?`` asks only whether there is one (fixed values).
+GROUPS = {
+    "core": {"title": "productTitle", "brand_text": "bylineInfo"},
+    "price": {
+        "coupon_text": "couponBadgeRegularVpc vpcButton", "has_coupon": "?couponBadgeRegularVpc vpcButton",
+        "vat_message": "vatMessage_feature_div", "twister_plus_price": "tp_price_block_total_price_ww",
+        "deal_price": "priceblock_dealprice dealprice_feature_div", "has_deal_badge": "?dealBadge_feature_div",
+    },
+    "ratings": {
+        "review_count": "acrCustomerReviewText", "qa_count": "askATFLink", "bestseller_badge": "zeitgeistBadge_feature_div",
+        "social_proof": "socialProofingAsinFaceout_feature_div",
+    },
+    "media": {
+        "has_product_videos_widget": "?ive-videos-for-this-product-widget_feature_div", "has_3d_view": "?rhapsodyARIngress_feature_div",
+    },
+    "description": {"has_aplus": "?aplus_feature_div aplus", "has_brand_story": "?aplusBrandStory_feature_div"},
+    "variants": {"has_size_chart": "?sizeChartV2Data_feature_div"},
+    "delivery": {
+        "availability": "availability availabilityInsideBuyBox_feature_div",
+        "delivery_message": "deliveryBlockMessage deliveryBlock_feature_div mir-layout-DELIVERY_BLOCK",
+        "merchant_info": "merchant-info merchantInfoFeature_feature_div",
+        "offer_display": "offerDisplayFeatures_desktop offer-display-features", "seller_name": "sellerProfileTriggerId",
+        "has_quantity_selector": "?quantityRelocate_feature_div quantity", "has_add_to_cart": "?add-to-cart-button",
+        "has_buy_now": "?buy-now-button",
+    },
+    "returns": {
+        "return_policy": "returnsInfoFeature_feature_div productSupportAndReturnPolicy-return_policy_feature_div",
+        "warranty_info": "dynamicLegalWarrantyInfoFeature_feature_div",
+        "secure_transaction": "dynamicSecureTransactionFeature_feature_div", "package_info": "dynamicPackageInfoFeature_feature_div",
+    },
+    "marketing": {
+        "promotion_text": "promoPriceBlockMessage_feature_div", "has_fbt": "?sims-fbt sims-fbt-form",
+        "has_comparison_table": "?HLCXComparisonTable *ComparisonTable",
+        "has_gift_option": "?dynamicGiftWrapInfoFeature_feature_div giftwrap_feature_div gift-wrap",
+        "has_climate_pledge": "?climatePledgeFriendlyATF_feature_div climatePledgeFriendlyBTF_feature_div climatePledgeFriendly",
+        "has_sponsored_section": "?sp_detail sponsoredProducts2-2_feature_div sp_detail2",
+        "has_subscribe_save": "?snsDetailPageFeature sns-feature snsAccordion sns-base-price",
+        "other_sellers_text": "olp_feature_div", "frequently_returned_warning": "dpFrequentlyReturnedMessage",
+    },
+    "brand": {"brand_snapshot": "brandSnapshot_feature_div"},
+    "safety": {
+        "eu_product_safety": "legalEUBtf_feature_div legalEUAtf_feature_div", "energy_efficiency": "energyEfficiency_feature_div",
+        "safety_resources": "buffetServiceCard_feature_div", "important_info": "importantInformation_feature_div",
+        "safety_warning": "cpsiaProductSafetyWarning-2_feature_div", "product_documents": "productDocuments_feature_div",
+    },
+    "related": {
+        "has_similar_products": "?*sims-simsContainer_feature_div", "has_discovery_inspiration": "?*sims-discoveryAndInspiration",
+        "whats_in_box": "postPurchaseWhatsInTheBox_MP_feature_div", "has_newer_version": "?newerVersion_feature_div",
+    },
+    "review_section": {"has_reviews_section": "?customer-reviews_feature_div"},
+    "stock": {"fod_message": "fod-cx-box fodcx_feature_div", "no_featured_offer": "?outOfStockBuyBox_feature_div"},
+}
+_BLOCK_IDS = {i for fields_ in GROUPS.values() for spec in fields_.values() for i in spec.lstrip("?").split()} | {"productDescription"}
+_ANYWHERE = tuple(i[1:] for i in _BLOCK_IDS if i.startswith("*"))
+
 
 def _table(page: Element, test: Callable[[Element], bool]) -> list[tuple[str, str]]:
     """Key and value cells of the rows of a block."""
@@ -302,44 +398,71 @@ def _table(page: Element, test: Callable[[Element], bool]) -> list[tuple[str, st
     return pairs
 
 
+def _details(page: Element, _: str = "") -> Iterator[dict]:
+    by_id: dict[str, Element] = {}
+    for e in page.walk():
+        if name := e.get("id"):
+            by_id.setdefault(name, e)
+            for part in _ANYWHERE:
+                if part in name:
+                    by_id.setdefault(f"*{part}", e)
+    block = lambda *ids: next((by_id[i] for i in ids if i in by_id), None)
+    rows = page.all(inside(_ROW_BLOCKS, lambda e: e.tag in ("li", "tr")))
+    bullets = [r.text().split(":", 1) for r in rows if r.tag == "li"]
+    attributes = dict(_table(page, _ROW_BLOCKS))
+    attributes |= {k.strip(): v.strip() for k, v in (b for b in bullets if len(b) == 2) if k.strip()}
+    image = block("landingImage", "imgBlkFront")
+    crumbs = block("wayfinding-breadcrumbs_feature_div")
+    scripts = page.all(lambda e: e.tag == "script")
+    linked_data = [e for e in scripts if e.get("type") == "application/ld+json"]
+    source = lambda e: "".join(c for c in e.content if isinstance(c, str))
+    extra = page.all(has_id("acBadge_feature_div", "zeitgeistBadge_feature_div", "badge_feature_div"))
+    brand, twister, buybox = block("bylineInfo"), block("twister_feature_div", "twisterContainer"), block("tabular-buybox")
+    points = block("feature-bullets")
+    value = lambda *ids: next((by_id[i].get("value") for i in ids if i in by_id), None)
+    yield {
+        "title": _text(block("productTitle")),
+        "price_text": _text(page.find(inside(has_id("corePrice_feature_div"), has_class("a-offscreen")), _PRICE)),
+        "rating_text": _text(page.find(inside(has_id("acrPopover"), has_class("a-icon-alt")))),
+        "review_text": _text(block("acrCustomerReviewText")),
+        "image_url": (image.get("data-old-hires") or image.get("src")) if image is not None else None,
+        "ranks_text": _text(block("prodDetails", "detailBulletsWrapper_feature_div", "productDetails_db_sections")),
+        "rows": [r.text() for r in rows],
+        "attributes": attributes,
+        "overview": dict(_table(page, has_id("productOverview_feature_div", "poExpander"))),
+        "variants": len(page.all(inside(has_id("twister_feature_div"), lambda e: e.tag == "li" and bool(e.get("data-defaultasin"))))),
+        "bullets": len(page.all(inside(has_id("feature-bullets"), lambda e: e.tag == "li"))),
+        "images": len(page.all(inside(has_id("altImages"), lambda e: e.tag == "img"))),
+        "sellers_text": _text(block("olp_feature_div", "aod-offer-list")),
+        "delivery_text": _text(block("mir-layout-DELIVERY_BLOCK", "deliveryBlockMessage")),
+        "merchant_text": _text(page.find(has_id("merchant-info"), has_id("merchantInfoFeature"))),
+        "offer_text": _text(page.find(has_class("offer-display-feature-text"), has_id("tabular-buybox"))),
+        "badges": " ".join([_badges(page), *[e.text() for e in extra]]).strip(),
+        "breadcrumbs": [a.text() for a in crumbs.all(lambda e: e.tag == "a")] if crumbs is not None else [],
+        "stars_text": _text(block("histogramTable")),
+        "json_ld": source(linked_data[0]) if linked_data else None,
+        "description": _text(block("productDescription", "aplus")),
+        "brand_url": brand.get("href") if brand is not None else None,
+        "original_price": _text(page.find(inside(has_class("a-text-price"), has_class("a-offscreen")))),
+        "discount_text": _text(page.find(has_class("savingsPercentage"), has_id("dealprice_savings"))),
+        "has_video": any("videoCount" in c or c in _VIDEO_CLASSES for e in page.walk() for c in e.classes()) or "vse-vw-dp-container" in by_id,
+        "bullet_texts": [t for e in points.all(has_class("a-list-item")) if (t := e.text())] if points is not None else [],
+        "variant_labels": [e.text().rstrip(":") for e in twister.all(has_class("a-form-label"))] if twister is not None else [],
+        "buybox_texts": [e.text() for e in buybox.all(has_class("tabular-buybox-text"))] if buybox is not None else [],
+        "item_input": value("ASIN"),
+        "parent_input": value("parentAsin", "parentASIN"),
+        "n_json_ld": len(linked_data),
+        "has_twister_data": any("twister-js-init" in (t := source(e)) or "dimensionValuesDisplayData" in t for e in scripts),
+        "n_offers": len(page.all(lambda e: e.get("id") == "aod-offer")),
+        "blocks": {i: by_id[i].text() for i in _BLOCK_IDS if i in by_id},
+    }
+
+
 def detail_blocks(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The text blocks of item detail pages, one row for each page."""
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        block = lambda *ids: page.find(*[has_id(i) for i in ids])
-        rows = page.all(inside(_ROW_BLOCKS, lambda e: e.tag in ("li", "tr")))
-        bullets = [r.text().split(":", 1) for r in rows if r.tag == "li"]
-        attributes = dict(_table(page, _ROW_BLOCKS))
-        attributes |= {k.strip(): v.strip() for k, v in (b for b in bullets if len(b) == 2) if k.strip()}
-        image = block("landingImage", "imgBlkFront")
-        crumbs = block("wayfinding-breadcrumbs_feature_div")
-        json_ld = page.find(lambda e: e.tag == "script" and e.get("type") == "application/ld+json")
-        extra = page.all(has_id("acBadge_feature_div", "zeitgeistBadge_feature_div", "badge_feature_div"))
-        yield {
-            "title": _text(block("productTitle")),
-            "price_text": _text(page.find(inside(has_id("corePrice_feature_div"), has_class("a-offscreen")), _PRICE)),
-            "rating_text": _text(page.find(inside(has_id("acrPopover"), has_class("a-icon-alt")))),
-            "review_text": _text(block("acrCustomerReviewText")),
-            "image_url": (image.get("data-old-hires") or image.get("src")) if image is not None else None,
-            "ranks_text": _text(block("prodDetails", "detailBulletsWrapper_feature_div", "productDetails_db_sections")),
-            "rows": [r.text() for r in rows],
-            "attributes": attributes,
-            "overview": dict(_table(page, has_id("productOverview_feature_div", "poExpander"))),
-            "variants": len(page.all(inside(has_id("twister_feature_div"), lambda e: e.tag == "li" and bool(e.get("data-defaultasin"))))),
-            "bullets": len(page.all(inside(has_id("feature-bullets"), lambda e: e.tag == "li"))),
-            "images": len(page.all(inside(has_id("altImages"), lambda e: e.tag == "img"))),
-            "sellers_text": _text(block("olp_feature_div", "aod-offer-list")),
-            "delivery_text": _text(block("mir-layout-DELIVERY_BLOCK", "deliveryBlockMessage")),
-            "merchant_text": _text(page.find(has_id("merchant-info"), has_id("merchantInfoFeature"))),
-            "offer_text": _text(page.find(has_class("offer-display-feature-text"), has_id("tabular-buybox"))),
-            "badges": " ".join([_badges(page), *[e.text() for e in extra]]).strip(),
-            "breadcrumbs": [a.text() for a in crumbs.all(lambda e: e.tag == "a")] if crumbs is not None else [],
-            "stars_text": _text(block("histogramTable")),
-            "json_ld": "".join(c for c in json_ld.content if isinstance(c, str)) if json_ld is not None else None,
-            "description": _text(block("productDescription", "aplus")),
-        }
 
-    return _per_page(pages, DETAIL_BLOCKS, make, keep)
+    return _per_page(pages, DETAIL_BLOCKS, _details, keep)
 
 
 def _labelled(attribute: str) -> Column:
@@ -409,70 +532,159 @@ def arrival_fields(blocks: DataFrame, decimal_sep: Column) -> DataFrame:
     )
 
 
+def block_text(spec: str) -> Column:
+    """The text of the first block that a page has of some element ids; null where it has none or it is empty."""
+    return F.nullif(F.coalesce(*[F.try_element_at("blocks", F.lit(i)) for i in spec.lstrip("?").split()]), F.lit(""))
+
+
+def has_block(spec: str) -> Column:
+    """Whether a page has a block of any of some element ids."""
+    return F.coalesce(F.arrays_overlap(F.map_keys("blocks"), F.array(*[F.lit(i) for i in spec.lstrip("?").split()])), F.lit(False))
+
+
+def _group(name: str, more: dict[str, Column] | None = None) -> Column:
+    """The struct of a group: its fields from blocks, and ``more``."""
+    own = {f: has_block(spec) if spec.startswith("?") else block_text(spec) for f, spec in GROUPS.get(name, {}).items()}
+    return F.struct(*[c.alias(f) for f, c in (own | (more or {})).items()]).alias(name)
+
+
 def inventory(blocks: DataFrame) -> DataFrame:
-    """Nested record of all fields found on a page, grouped; open attributes stay a map."""
+    """Nested record of all fields found on a page: 19 groups, open attributes as maps, and typed ranks and sizes.
+
+    What a page lacks is null, false, 0 or empty.
+    """
     typed = detail_fields(blocks)
-    structs = {
-        "basic": ["title", "price_text", "image_url", "description"],
-        "reviews": ["rating_text", "review_text"],
-        "ranks": ["bsr_main_rank", "bsr_main_category", "bsr_sub_rank", "bsr_sub_category"],
-        "physical": ["item_weight", "item_dimensions", "country_of_origin", "date_first_available"],
-        "offer": ["shipping_fee", "shipping_fee_value", "fulfillment_type", "other_sellers_count", "variant_option_count"],
-        "badge": ["is_amazon_choice", "is_bestseller"],
-        "media": ["images", "bullets"],
-    }
-    present = {
-        "has_description": fields.present(F.col("description"), 20),
-        "has_breadcrumbs": F.size("breadcrumbs") > 0,
-    }
+    c = F.col
     return typed.select(
         "page_id",
-        *[F.struct(*names).alias(group) for group, names in structs.items()],
-        F.struct(*[c.alias(n) for n, c in present.items()]).alias("presence"),
-        "breadcrumbs",
+        _group(
+            "core",
+            {"brand_url": c("brand_url"), "has_brand_store": F.coalesce(c("brand_url").contains("/stores/"), F.lit(False)), "asin": c("item_input")},
+        ),
+        _group("price", {"price": c("price_text"), "original_price": c("original_price"), "discount_pct": c("discount_text")}),
+        _group("ratings", {"rating": c("rating_text"), "bsr_raw": c("ranks_text"), "is_amazons_choice": c("is_amazon_choice") == 1}),
+        _group("media", {"main_image_url": c("image_url"), "image_count": c("images"), "has_video": c("has_video")}),
+        F.struct("breadcrumbs").alias("category"),
+        _group(
+            "description",
+            {
+                "bullet_count": F.size("bullet_texts"),
+                "bullets_sample": F.left(F.get("bullet_texts", F.lit(0)), F.lit(100)),
+                "has_description": fields.present(c("description"), 20),
+            },
+        ),
         "attributes",
         "overview",
-        fields.star_histogram(F.col("stars_text")).alias("rating_distribution"),
-        fields.json_type(F.col("json_ld")).alias("json_ld_type"),
+        _group("variants", {"variant_dimensions": c("variant_labels"), "variant_option_count": c("variants")}),
+        _group("delivery", {"shipping_fee": c("shipping_fee"), "fulfillment_type": c("fulfillment_type")}),
+        _group("returns"),
+        _group("marketing"),
+        _group("brand"),
+        _group("safety"),
+        _group("related"),
+        _group("review_section", {"rating_distribution": fields.star_histogram(c("stars_text"))}),
+        F.struct("date_first_available").alias("listed"),
+        F.struct(c("n_json_ld").alias("json_ld_count"), "has_twister_data", c("parent_input").alias("parent_asin")).alias("hidden"),
+        _group("stock"),
+        F.struct("bsr_main_rank", "bsr_main_category", "bsr_sub_rank", "bsr_sub_category").alias("ranks"),
+        F.struct("item_weight", "item_dimensions", "country_of_origin").alias("physical"),
+        fields.json_type(c("json_ld")).alias("json_ld_type"),
     )
 
 
+def flat_probe(blocks: DataFrame) -> DataFrame:
+    """One flat row for each page: the fields that a first look at a detail page asks for."""
+    c = F.col
+    attribute = lambda *keys: fields.first_value(list(keys), c("attributes"))
+    size_keys = ("Package Dimensions", "Product Dimensions", "Item Dimensions L x W", "Item Dimensions LxWxH", "Item Dimensions")
+    wanted = lambda t: ~t.contains("Make sure this")
+    points = F.filter("bullet_texts", wanted)
+    of = lambda group, *names: {n: GROUPS[group][n] for n in names}
+    specs = (
+        of("price", "coupon_text", "has_coupon") | of("ratings", "qa_count") | of("delivery", "seller_name", "availability")
+        | of("marketing", "has_subscribe_save", "has_climate_pledge", "has_fbt", "has_comparison_table", "has_sponsored_section", "has_gift_option")
+        | of("description", "has_aplus")
+    )
+    columns = {
+        "title": c("title"),
+        "brand_raw": block_text("bylineInfo"),
+        "brand_url": c("brand_url"),
+        "price": c("price_text"),
+        "original_price": c("original_price"),
+        "discount_pct": c("discount_text"),
+        "rating": c("rating_text"),
+        "review_count": c("review_text"),
+        "main_image": c("image_url"),
+        "image_count": c("images"),
+        "has_video": c("has_video"),
+        "breadcrumbs": c("breadcrumbs"),
+        "bullet_point_count": F.size(points),
+        "bullet_points_sample": F.slice(points, 1, 2),
+        "details": F.map_filter("attributes", lambda k, _: ~k.contains("Customer Reviews")),
+        "bsr": fields.sales_ranks_cut(c("ranks_text")),
+        "asin": c("item_input"),
+        "date_first_available": attribute("Date First Available"),
+        "variant_types": c("variant_labels"),
+        "variant_option_count": c("variants"),
+        "buybox_info": c("buybox_texts"),
+        "description_len": F.length(block_text("productDescription")),
+        "dimensions": attribute(*size_keys),
+        "weight": attribute("Item Weight"),
+        "manufacturer": attribute("Manufacturer"),
+        "country_of_origin": attribute("Country of Origin"),
+        "has_brand_store": F.coalesce(c("brand_url").contains("/stores/"), F.lit(False)),
+        "delivery_info": F.left(c("delivery_text"), F.lit(150)),
+        "other_sellers_count": c("n_offers"),
+        "new_used_offers": F.left(c("sellers_text"), F.lit(100)),
+        "has_promotion": has_block("promoPriceBlockMessage_feature_div"),
+        "has_return_policy": has_block(GROUPS["returns"]["return_policy"]),
+    }
+    columns |= {n: has_block(spec) if spec.startswith("?") else block_text(spec) for n, spec in specs.items()}
+    return blocks.select("page_id", *[v.alias(k) for k, v in columns.items()])
+
+
 # --- trees -------------------------------------------------------------------
 
 
+def _class_part(name: str) -> Callable[[Element], bool]:
+    return lambda e: any(name in c for c in e.classes())
+
+
+def _is_group(e: Element) -> bool:
+    return e.tag == "ul" and _class_part("zg-browse-group")(e)
+
+
+def _child_box(root: Element) -> Element | None:
+    selected = root.find(_class_part("zg-selected"))
+    if selected is None:
+        groups = root.all(_is_group)
+        return groups[-1] if groups else None
+    item = selected
+    while item is not None and item.tag != "li":
+        item = item.parent
+    siblings = [c for c in item.parent.content if isinstance(c, Element) and c.tag == "li"] if item is not None else []
+    after = siblings[siblings.index(item) + 1 :] if item in siblings else []
+    return after[0].find(_is_group) if after else None
+
+
+def _sidebar(page: Element, _: str = "") -> Iterator[dict]:
+    root = page.find(lambda e: e.tag == "ul" and _class_part("zg-browse-root")(e))
+    box = _child_box(root) if root is not None else None
+    for pos, item in enumerate(c for c in (box.content if box is not None else []) if isinstance(c, Element) and c.tag == "li"):
+        if any("browse-up" in c for c in item.classes()):
+            continue
+        link = item.find(*[lambda e, p=p: e.tag == "a" and p in e.get("href") for p in ("/gp/", "/zgbs/", "/zgns/", "")])
+        if link is not None:
+            yield {"pos": pos, "name": link.text(""), "href": link.get("href")}
+
+
 def sidebar_children(pages: DataFrame, domain: Column, keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """(pos, name, child_url, node_id, slug) of the child categories in a page's side bar, each URL once per page."""
-    part = lambda name: lambda e: any(name in c for c in e.classes())
-    group = lambda e: e.tag == "ul" and part("zg-browse-group")(e)
-
-    def container(root: Element) -> Element | None:
-        selected = root.find(part("zg-selected"))
-        if selected is None:
-            groups = root.all(group)
-            return groups[-1] if groups else None
-        item = selected
-        while item is not None and item.tag != "li":
-            item = item.parent
-        siblings = [c for c in item.parent.content if isinstance(c, Element) and c.tag == "li"] if item is not None else []
-        after = siblings[siblings.index(item) + 1 :] if item in siblings else []
-        return after[0].find(group) if after else None
-
-    def make(page: Element, _: str) -> Iterator[dict]:
-        root = page.find(lambda e: e.tag == "ul" and part("zg-browse-root")(e))
-        box = container(root) if root is not None else None
-        for pos, item in enumerate(c for c in (box.content if box is not None else []) if isinstance(c, Element) and c.tag == "li"):
-            if any("browse-up" in c for c in item.classes()):
-                continue
-            link = item.find(*[lambda e, p=p: e.tag == "a" and p in e.get("href") for p in ("/gp/", "/zgbs/", "/zgns/", "")])
-            if link is not None:
-                yield {"pos": pos, "name": link.text(""), "href": link.get("href")}
-
-    raw = _per_page(pages, "pos int, name string, href string", make, keep)
+    raw = _per_page(pages, "pos int, name string, href string", _sidebar, keep)
     clean = F.trim(fields.strip_marks(F.col("name")))
     rows = raw.withColumn("name", clean).where((F.col("name") != "") & (F.col("href") != "") & ~F.col("name").rlike(r"^\d+$"))
     rows = rows.withColumn("child_url", urls.normalize_url(urls.absolute_url(domain, F.col("href"))))
-    first = F.expr(f"row_number() over (partition by {keep[0]}, child_url order by pos)")
-    return rows.withColumn("first", first).where("first = 1").select(
+    return first_rows(rows, [keep[0], "child_url"], ["pos"]).select(
         *keep,
         "pos",
         "name",
@@ -482,6 +694,18 @@ def sidebar_children(pages: DataFrame, domain: Column, keep: tuple[str, ...] = (
     )
 
 
+def chart_children(pages: DataFrame, domain: Column, key: str = "node") -> DataFrame:
+    """(key, node_id, name, child_url, slug, page_no): children in the side bars of a node's chart pages, each id once.
+
+    ``pages`` has key (the node whose pages they are) and page_no besides
+    page_id, url and html; a child without an id is left out, of equal ids the
+    one on the first page and place stays.
+    """
+    rows = sidebar_children(pages, domain, ("page_id", key, "page_no")).where("node_id is not null")
+    first = first_rows(rows, [key, "node_id"], ["page_no", "pos", "page_id"])
+    return first.select(key, "node_id", "name", "child_url", "slug", "page_no")
+
+
 def _crumbs(page: Element, _: str = "") -> Iterator[dict]:
     box = page.find(has_id("wayfinding-breadcrumbs_feature_div"))
     for pos, a in enumerate(box.all(lambda e: e.tag == "a") if box is not None else []):
@@ -495,30 +719,34 @@ def breadcrumb_rows(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> D
     return rows.select(*keep, "pos", "name", "node_id")
 
 
+def _root_links(page: Element, _: str = "") -> Iterator[dict]:
+    root = page.find(
+        lambda e: e.tag == "ul" and any("zg-browse-root" in c for c in e.classes()), has_id("zg_browseRoot")
+    )
+    for a in root.all(lambda e: e.tag == "a" and bool(e.get("href"))) if root is not None else []:
+        yield {"href": a.get("href")}
+
+
 def root_slugs(pages: DataFrame) -> DataFrame:
     """Distinct slugs of the category links of a root directory page, with the skip flag."""
     from shelflight.operators.filters import is_skipped
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        root = page.find(
-            lambda e: e.tag == "ul" and any("zg-browse-root" in c for c in e.classes()), has_id("zg_browseRoot")
-        )
-        for a in root.all(lambda e: e.tag == "a" and bool(e.get("href"))) if root is not None else []:
-            yield {"href": a.get("href")}
 
-    raw = _per_page(pages, "href string", make, ("page_id",))
+    raw = _per_page(pages, "href string", _root_links, ("page_id",))
     slugs = raw.select(urls.chart_slug(F.col("href")).alias("slug")).where("slug is not null").distinct()
     return slugs.withColumn("skipped", is_skipped(F.col("slug")))
 
 
+def _headings(page: Element, _: str = "") -> Iterator[dict]:
+    selected = page.find(lambda e: any("zg-selected" in c for c in e.classes()))
+    yield {"selected": _text(selected), "heading": _text(page.find(lambda e: e.tag == "h1"))}
+
+
 def root_name(pages: DataFrame) -> DataFrame:
     """(page_id, name): localised name of a root page, by its selected entry, else by its heading."""
 
-    def make(page: Element, _: str) -> Iterator[dict]:
-        selected = page.find(lambda e: any("zg-selected" in c for c in e.classes()))
-        yield {"selected": _text(selected), "heading": _text(page.find(lambda e: e.tag == "h1"))}
 
-    raw = _per_page(pages, "selected string, heading string", make, ("page_id",))
+    raw = _per_page(pages, "selected string, heading string", _headings, ("page_id",))
     name = F.coalesce(F.nullif(F.trim("selected"), F.lit("")), fields.heading_name(F.col("heading"), F.col("heading")))
     return raw.select("page_id", name.alias("name"))
 
@@ -538,19 +766,39 @@ def page_items(pages: DataFrame, n: int = 10) -> DataFrame:
     return pages.select("page_id", F.posexplode(urls.first_items(F.col("html"), n)).alias("pos", "asin"))
 
 
-def register_table_functions(spark) -> None:
-    """SQL table functions ``page_links(html)`` and ``page_crumbs(html)`` for LATERAL joins."""
+#: Raw texts of each kind of page: the function over one page, and its columns.
+EXTRACTORS = {
+    "page_links": (_links, "pos int, href string, name string"),
+    "page_crumbs": (_crumbs, "pos int, name string, href string"),
+    "page_cards": (_chart, CARD_FIELDS),
+    "page_movers": (_movers, MOVER_FIELDS),
+    "page_results": (_results, RESULT_FIELDS),
+    "page_blocks": (_details, DETAIL_BLOCKS),
+    "page_children": (_sidebar, "pos int, name string, href string"),
+    "page_root_links": (_root_links, "href string"),
+    "page_headings": (_headings, "selected string, heading string"),
+}
+
+
+def _table_function(make: Callable[[Element, str], Iterator[dict]], schema: str):
     from pyspark.sql.functions import udtf
 
-    class Links:
-        def eval(self, html: str):
-            for found in _links(read_page(html)):
-                yield found["pos"], found["href"], found["name"]
+    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
 
-    class Crumbs:
+    class Rows:
         def eval(self, html: str):
-            for found in _crumbs(read_page(html)):
-                yield found["pos"], found["name"], found["href"]
+            for found in make(read_page(html), html or ""):
+                yield tuple(found.get(n) for n in names)
+
+    return udtf(Rows, returnType=schema)
 
-    spark.udtf.register("page_links", udtf(Links, returnType="pos int, href string, name string"))
-    spark.udtf.register("page_crumbs", udtf(Crumbs, returnType="pos int, name string, href string"))
+
+def register_table_functions(spark) -> None:
+    """SQL table functions of the extractors for LATERAL joins, each with a page's HTML as argument.
+
+    page_links, page_crumbs, page_cards, page_movers, page_results, page_blocks,
+    page_children, page_root_links and page_headings give the raw texts; typed
+    values come from the functions over them.
+    """
+    for name, (make, schema) in EXTRACTORS.items():
+        spark.udtf.register(name, _table_function(make, schema))

@@ -60,8 +60,8 @@ def pending(nodes: DataFrame, flag: str = "na_valid") -> DataFrame:
 
 
 def with_cache(nodes: DataFrame, cache: DataFrame, flags: list[str]) -> DataFrame:
-    """``nodes`` with null flags filled from the cache (one row per node_id)."""
-    cached = cache.select("node_id", *[F.col(f).alias(f"__{f}") for f in flags])
+    """``nodes`` with null flags filled from the cache, of several rows of a node from the greatest flag."""
+    cached = cache.groupBy("node_id").agg(*[F.max(f).alias(f"__{f}") for f in flags])
     joined = nodes.join(cached, "node_id", "left")
     return joined.select(*[F.coalesce(c, f"__{c}").alias(c) if c in flags else F.col(c) for c in nodes.columns])
 
@@ -111,6 +111,17 @@ def field_presence(df: DataFrame, doc: str, groups: dict[str, str] | None = None
     return own
 
 
+def field_samples(df: DataFrame, doc: str, most: int = 3) -> DataFrame:
+    """(field, samples): the ids of the least ``most`` documents in which a field has a value; fields without one are left out."""
+    kinds = dict(df.dtypes)
+    entries = F.array(*[F.struct(F.lit(c).alias("field"), truthy(F.col(c), kinds[c]).alias("has")) for c in df.columns if c != doc])
+    rows = df.select(doc, F.explode(entries).alias("e")).where("e.has").select(doc, F.col("e.field").alias("field")).distinct()
+    # the least few of each field by a window limit, not the whole list of a field that all documents have
+    nth = F.expr(f"row_number() over (partition by field order by {doc})")
+    few = rows.withColumn("nth", nth).where(F.col("nth") <= most)
+    return few.groupBy("field").agg(F.array_sort(F.collect_list(doc)).alias("samples"))
+
+
 def coverage(presence: DataFrame, promote_from: int = 2) -> DataFrame:
     """Presence with the text 'n/m' and whether the field deserves a column of its own."""
     return presence.withColumn(

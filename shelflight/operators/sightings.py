@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.operators.filters import ListGate, PageFilter, clamp
+from shelflight.sources.tables import first_rows
 
 
 def list_positions(items: DataFrame) -> DataFrame:
@@ -29,9 +30,8 @@ def list_positions(items: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key in the given order of processing."""
-    first = F.expr(f"row_number() over (partition by {', '.join(keys)} order by {', '.join(order)})")
-    return rows.withColumn("__first", first).where("__first = 1").drop("__first")
+    """The first row of each key in the given order of processing; nulls are one key."""
+    return first_rows(rows, keys, order)
 
 
 def gated(rows: DataFrame, gate: ListGate, order: list[str], dedupe: tuple[str, ...] = ("asin",)) -> DataFrame:
@@ -59,7 +59,7 @@ def rollup(sightings: DataFrame, tie_break: list[str]) -> DataFrame:
     grouped = sightings.groupBy("asin").agg(
         best.alias("best"),
         joined("list_type").alias("lists"),
-        F.countDistinct("list_type").alias("list_count"),
+        F.size(F.collect_set("list_type")).cast("long").alias("list_count"),
         joined("node_id").alias("categories"),
         F.min("rank").alias("best_rank"),
         F.min("scraped_at").alias("first_seen"),
@@ -93,9 +93,8 @@ def items_by_list(sightings: DataFrame) -> DataFrame:
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
-    """The latest row of each key."""
-    last = F.expr(f"row_number() over (partition by {key} order by {', '.join(o + ' desc' for o in order)})")
-    return rows.withColumn("__last", last).where("__last = 1").drop("__last")
+    """The latest row of each key; nulls are one key."""
+    return first_rows(rows, [key], order, last=True)
 
 
 def best_per_key(rows: DataFrame, key: str, metric: str, columns: list[str]) -> DataFrame:
@@ -109,11 +108,13 @@ def best_per_key(rows: DataFrame, key: str, metric: str, columns: list[str]) ->
 def enriched(sightings: DataFrame, details: DataFrame, passes: Column | None, fields: list[str]) -> DataFrame:
     """Sightings with detail fields, without any row of an item whose details fail.
 
-    ``details`` has one row per asin. Items without details stay as they are;
-    ``passes`` None filters nothing.
+    Of several details of an item each field has its least value, and all must
+    pass. Items without details stay as they are; ``passes`` None filters nothing.
     """
-    known = details if passes is None else details.withColumn("__passes", F.coalesce(passes, F.lit(False)))
-    new = known.select("asin", *[F.col(f).alias(f"__{f}") for f in fields], *([] if passes is None else ["__passes"]))
+    test = F.lit(True) if passes is None else F.coalesce(passes, F.lit(False))
+    new = details.withColumn("__passes", test).groupBy("asin").agg(
+        F.bool_and("__passes").alias("__passes"), *[F.min(f).alias(f"__{f}") for f in fields]
+    )
     joined = sightings.join(new, "asin", "left")
     if passes is not None:
         joined = joined.where(F.coalesce("__passes", F.lit(True)))

@@ -1,8 +1,10 @@
 """Category trees kept as adjacency lists (node_id, parent_node_id, ...).
 
-Walks join one level at a time and stop at nodes seen before, so cycles end.
-Descendants are counted by exploding each node's ancestors: linear in nodes
-times depth, with no self join on paths.
+Paths double in length each round, so a tree of depth d takes log d joins. Other
+walks join one level at a time and stop at nodes seen before, so cycles end; no
+walk stops at a fixed depth unless it is asked to. Descendants are counted by
+exploding each node's ancestors: linear in nodes times depth, with no self join
+on paths.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from shelflight.functions import fields, urls
 from shelflight.functions.urls import slug_name
 from shelflight.operators.filters import is_blank
-from shelflight.sources.tables import materialise
+from shelflight.sources.tables import first_rows, materialise
 
 
 def child_counts(nodes: DataFrame) -> DataFrame:
@@ -30,79 +32,70 @@ def child_counts(nodes: DataFrame) -> DataFrame:
     )
 
 
-def paths(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
+def paths(nodes: DataFrame) -> DataFrame:
     """(node_id, path, labels, cyclic) with the ancestors of each node, root first, itself last.
 
-    A node whose parent is blank or missing is a root. Nodes on a cycle, and
-    nodes deeper than ``most_levels``, have cyclic true and the part of the path
-    that was walked. Repeated node ids count once. One join per level, on a table
-    that is written out each time, so the plan stays short.
+    A node whose parent is blank or missing is a root. Nodes on a cycle or below
+    one have cyclic true and the part of the path up to the first node that comes
+    twice. Repeated node ids count once. Each round a node takes over what its
+    furthest known ancestor knows, on a table that is written out each time.
     """
     parent = nodes.where(F.col("node_id").isNotNull()).groupBy("node_id").agg(F.max("parent_node_id").alias("parent"))
-    known = parent.select(F.col("node_id").alias("up"), F.col("parent").alias("up_parent"))
-    walk = parent.select(
-        "node_id", F.array("node_id").alias("path"), F.nullif(F.trim("parent"), F.lit("")).alias("next"), F.lit(False).alias("cyclic")
+    walk = materialise(
+        parent.select(
+            "node_id", F.array("node_id").alias("up"), F.nullif(F.trim("parent"), F.lit("")).alias("next"), F.lit(False).alias("cyclic")
+        ),
+        "paths",
     )
-    walk = materialise(walk, "paths")
-    done = walk.where("next is null")
-    for _ in range(most_levels):
-        walk = walk.where("next is not null")
-        if walk.isEmpty():
-            break
-        step = walk.join(known, F.col("next") == F.col("up"), "left")
-        loop = F.array_contains("path", F.col("next"))
-        walk = materialise(
-            step.select(
-                "node_id",
-                F.when(F.col("up").isNull() | loop, F.col("path")).otherwise(F.concat(F.array("next"), "path")).alias("path"),
-                F.when(F.col("up").isNotNull() & ~loop, F.nullif(F.trim("up_parent"), F.lit(""))).alias("next"),
-                loop.alias("cyclic"),
-            ),
-            "paths",
-        )
-        done = done.unionByName(walk.where("next is null"))
-    else:
-        done = done.unionByName(walk.where("next is not null").withColumn("cyclic", F.lit(True)))
-    labels = F.array_join(F.transform("path", fields.path_label), ".")
-    return done.select("node_id", "path", labels.alias("labels"), "cyclic")
+    while not walk.where("next is not null").isEmpty():
+        known = walk.select(F.col("node_id").alias("at"), F.col("up").alias("more"), F.col("next").alias("further"), F.col("cyclic").alias("loops"))
+        step = walk.where("next is not null").join(known, F.col("next") == F.col("at"), "left")
+        # from the first node that comes twice on all have been met before
+        whole = F.concat("up", F.coalesce("more", F.array().cast("array<string>")))
+        step = step.select("node_id", F.array_distinct(whole).alias("up"), "further", "loops", F.size(whole).alias("n"))
+        loop = (F.size("up") < F.col("n")) | F.coalesce("loops", F.lit(False))
+        step = step.select("node_id", "up", F.when(~loop, F.col("further")).alias("next"), loop.alias("cyclic"))
+        walk = materialise(walk.where("next is null").unionByName(step), "paths")
+    path = F.reverse("up")
+    return walk.select("node_id", path.alias("path"), F.array_join(F.transform(path, fields.path_label), ".").alias("labels"), "cyclic")
 
 
 def descendant_counts(path_table: DataFrame) -> DataFrame:
     """(node_id, descendants) for every node of a path table, itself not counted."""
-    above = path_table.select(F.explode(F.slice("path", 1, F.size("path") - 1)).alias("node_id"))
-    counts = above.groupBy("node_id").agg(F.count("*").alias("n"))
-    return path_table.select("node_id").join(counts, "node_id", "left").select(
-        "node_id", F.coalesce("n", F.lit(0)).cast("long").alias("descendants")
-    )
+    members = path_table.select(F.explode("path").alias("above"), "node_id")
+    return members.groupBy(F.col("above").alias("node_id")).agg(F.count_if(F.col("above") != F.col("node_id")).alias("descendants"))
 
 
-def subtree(nodes: DataFrame, roots: DataFrame, most_levels: int = 64) -> DataFrame:
+def subtree(nodes: DataFrame, roots: DataFrame, most_levels: int | None = None) -> DataFrame:
     """(node_id, level) of the nodes below ``roots`` (node_id), roots included at level 0.
 
-    A node reached by several roots has the least level. Works level by level;
-    a node that was reached is not visited again.
+    A node reached by several roots has the least level. Works level by level,
+    to the deepest or to ``most_levels``; a node that was reached is not visited
+    again. What was found is written as one table every eight levels.
     """
-    edges = nodes.where(~is_blank(F.col("parent_node_id"))).select("node_id", F.col("parent_node_id").alias("parent")).distinct()
-    found = materialise(
-        nodes.join(roots.select("node_id").distinct(), "node_id", "left_semi").select("node_id").distinct().withColumn("level", F.lit(0)),
-        "subtree",
-    )
-    frontier = found
-    for level in range(1, most_levels + 1):
-        below = (
-            edges.join(frontier.select(F.col("node_id").alias("parent")), "parent", "left_semi")
-            .select("node_id")
-            .distinct()
-            .join(found, "node_id", "left_anti")
-            .withColumn("level", F.lit(level))
-        )
-        frontier = materialise(below, "subtree")
+    edges = nodes.where(~is_blank(F.col("parent_node_id"))).select("node_id", F.col("parent_node_id").alias("parent"))
+    edges = materialise(edges.distinct(), "edges")
+    first = nodes.join(roots.select("node_id").distinct(), "node_id", "left_semi").select("node_id").distinct()
+    found = frontier = materialise(first.withColumn("level", F.lit(0)), "subtree")
+    level = 0
+    while level != most_levels:
+        level += 1
+        below = edges.join(frontier.select(F.col("node_id").alias("parent")), "parent", "left_semi").select("node_id").distinct()
+        frontier = materialise(below.join(found, "node_id", "left_anti").withColumn("level", F.lit(level)), "subtree")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
+        if level % 8 == 0:
+            found = materialise(found, "subtree")
     return found
 
 
+def expanded(nodes: DataFrame, roots: DataFrame | None = None, depths: list[int] | None = None) -> DataFrame:
+    """The rows of ``nodes`` in the subtrees of ``roots`` (all below depth 0 for None), of those the given depths if there are any."""
+    rows = nodes.where("depth > 0") if roots is None else nodes.join(subtree(nodes, roots).select("node_id"), "node_id", "left_semi")
+    return rows.where(F.col("depth").isin(*depths)) if depths else rows
+
+
 def subtree_by_path(path_table: DataFrame, roots: list[str]) -> DataFrame:
     """Nodes whose path holds any of a few roots: one scan, no join."""
     return path_table.where(F.arrays_overlap("path", F.array(*[F.lit(r) for r in roots])))
@@ -115,6 +108,7 @@ def subtree_by_url(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     match goes by the URL's own prefixes, so it is an equi join.
     """
     parts = F.split(F.col("url"), "/")
+    # the roots are few, but their number has no bound: both sides are shuffled
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))
     )
@@ -122,7 +116,7 @@ def subtree_by_url(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     wanted = roots.select(urls.normalize_url(F.col("url")).alias("__prefix")).unionByName(
         roots.select(F.concat(F.lit("id:"), "node_id").alias("__prefix"))
     )
-    return keyed.join(wanted.distinct(), "__prefix", "left_semi").drop("__prefix").distinct()
+    return keyed.join(wanted.distinct().hint("merge"), "__prefix", "left_semi").drop("__prefix").distinct()
 
 
 def children(nodes: DataFrame, parent: str) -> DataFrame:
@@ -138,11 +132,11 @@ def leaves(nodes: DataFrame) -> DataFrame:
 def unseen(found: DataFrame, known: DataFrame, order: list[str]) -> DataFrame:
     """Rows of ``found`` whose url and node_id are both unknown, the first of each by ``order``."""
     fresh = found.join(known.select("url").distinct(), "url", "left_anti")
-    fresh = fresh.join(known.select("node_id").distinct(), "node_id", "left_anti")
+    fresh = fresh.join(known.select("node_id").distinct(), "node_id", "left_anti").select(*found.columns)
     for key in ("url", "node_id"):
-        first = F.expr(f"row_number() over (partition by {key} order by {', '.join(order)})")
         # rows without a key are no duplicates of each other
-        fresh = fresh.withColumn("__first", first).where(F.col(key).isNull() | (F.col("__first") == 1)).drop("__first")
+        first = first_rows(fresh.where(F.col(key).isNotNull()), [key], order)
+        fresh = first.unionByName(fresh.where(F.col(key).isNull()))
     return fresh
 
 
@@ -157,6 +151,12 @@ def placed_below(found: DataFrame, known: DataFrame) -> DataFrame:
     )
 
 
+def site_totals(nodes: DataFrame) -> DataFrame:
+    """The roots of each site with child_count, the number of all nodes of the site."""
+    totals = nodes.groupBy("site").agg(F.count("*").alias("child_count"))
+    return nodes.where("depth = 0").drop("child_count").join(totals, "site")
+
+
 def root_rows(nodes: DataFrame) -> DataFrame:
     """Entry rows of each site: its roots at depth 0, else a row for each parent of depth-1 rows, else one synthetic row."""
     first = nodes.where("depth = 0").select("site", "node_id", "name", F.lit(1).alias("choice"))
@@ -178,16 +178,20 @@ def top_level(nodes: DataFrame) -> DataFrame:
     the URLs of deeper rows only, named after themselves. child_count is the
     number of deeper rows with the slug in their URL.
     """
-    own = nodes.where((F.col("depth") == 1) & (F.col("slug") != "")).groupBy("slug").agg(F.min("name").alias("name"))
-    deeper = nodes.where("depth > 1").select(urls.chart_slug(F.col("url")).alias("slug")).where("slug is not null")
-    counts = deeper.groupBy("slug").agg(F.count("*").alias("child_count"))
-    listed = own.join(counts, "slug", "left").select(
-        "slug", "name", F.coalesce("child_count", F.lit(0)).alias("child_count"), F.lit(0).alias("discovered")
+    top = (F.col("depth") == 1) & (F.col("slug") != "")
+    deep = F.col("depth") > 1
+    keyed = nodes.where(top | deep).select(
+        F.when(top, F.col("slug")).otherwise(urls.chart_slug(F.col("url"))).alias("slug"),
+        F.when(top, F.col("name")).alias("name"),
+        top.alias("top"),
     )
-    orphans = counts.join(own, "slug", "left_anti").select(
-        "slug", slug_name(F.col("slug")).alias("name"), "child_count", F.lit(1).alias("discovered")
+    counted = keyed.where("slug is not null").groupBy("slug").agg(
+        F.min("name").alias("name"), F.max("top").alias("listed"), F.count_if(~F.col("top")).alias("child_count")
     )
-    return listed.unionByName(orphans).orderBy("name", "slug")
+    shown = F.when(F.col("listed"), F.col("name")).otherwise(slug_name(F.col("slug")))
+    return counted.select(
+        "slug", shown.alias("name"), "child_count", F.when(F.col("listed"), 0).otherwise(1).alias("discovered")
+    ).orderBy("name", "slug")
 
 
 def chart_targets(nodes: DataFrame, lists: DataFrame, domain: Column) -> DataFrame:
@@ -220,14 +224,14 @@ def edges_of_crumbs(crumbs: DataFrame, known: DataFrame) -> DataFrame:
     return placed.withColumn("first", first).where("first = 1").select("page_id", "pos", "node_id", "name", "parent_node_id")
 
 
-def fill_from_crumbs(crumbs: DataFrame, known: DataFrame, most_rounds: int = 16) -> DataFrame:
+def fill_from_crumbs(crumbs: DataFrame, known: DataFrame) -> DataFrame:
     """Nodes that breadcrumbs add to ``known`` (node_id, depth, slug, url), with depth, slug and URL.
 
     Rounds go on while a page's crumbs attach below nodes that another page added.
     """
     known = known.select("node_id", F.col("depth").cast("int").alias("depth"), "slug")
     added = None
-    for _ in range(most_rounds):
+    while True:
         new = edges_of_crumbs(crumbs, known)
         step = materialise(new, "crumbs")
         if step.isEmpty():
@@ -244,18 +248,22 @@ def fill_from_crumbs(crumbs: DataFrame, known: DataFrame, most_rounds: int = 16)
     return added.withColumn("source", F.lit("breadcrumb"))
 
 
-def grow(edges: DataFrame, roots: DataFrame, most_depth: int = 16) -> DataFrame:
+def grow(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """Breadth-first growth over captured pages.
 
     ``edges`` (parent_url, name, url, node_id, slug) are the children found on
     captured pages, ``roots`` (url, node_id, name, slug) the start. Returns every
     node with its depth and parent_node_id; a node is placed where it is met
     first, ties going to the least parent url. Edges are extracted once; each
-    level is one join and two anti joins.
+    level is one join and two anti joins. The growth ends where nothing new is
+    found, or at ``most_depth``.
     """
+    edges = materialise(edges, "grown-edges")
     known = materialise(roots.select("url", "node_id", "name", "slug").withColumns({"depth": F.lit(0), "parent_node_id": F.lit(None).cast("string")}), "grown")
     frontier = known
-    for depth in range(1, most_depth + 1):
+    depth = 0
+    while depth != most_depth:
+        depth += 1
         parents = frontier.select(F.col("url").alias("parent_url"), F.col("node_id").alias("parent_node_id"))
         found = edges.join(parents, "parent_url").withColumn("depth", F.lit(depth))
         fresh = unseen(found, known, ["parent_url", "url", "name"])
@@ -263,6 +271,8 @@ def grow(edges: DataFrame, roots: DataFrame, most_depth: int = 16) -> DataFrame:
         if frontier.isEmpty():
             break
         known = known.unionByName(frontier)
+        if depth % 8 == 0:
+            known = materialise(known, "grown")
     return known
 
 

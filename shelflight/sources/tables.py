@@ -34,6 +34,14 @@ def table_or_empty(spark: SparkSession, name: str, schema: T.StructType) -> Data
     return spark.table(name) if spark.catalog.tableExists(name) else spark.createDataFrame([], schema)
 
 
+def table_at(spark: SparkSession, path: str, schema: T.StructType, **options: object) -> DataFrame:
+    """A Parquet table at a path, or no rows of its schema where nothing is there yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).options(**options).parquet(path)
+
+
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """A relational table in ``parts`` ranges of a numeric key; the driver jar is the caller's."""
     reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
@@ -73,14 +81,19 @@ def _no_nulls(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
+def first_rows(df: DataFrame, keys: list[str], order: list[str], last: bool = False) -> DataFrame:
+    """The first (or last) row of each key by ``order``, with partial aggregation: a key with many rows stays spread."""
+    pick = F.max_by if last else F.min_by
+    best = pick(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("__row")
+    return df.groupBy(*keys).agg(best).select("__row.*")
+
+
 def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The rows of ``batch`` that an insert would add: unknown keys, the first of each by ``order``.
 
     Rows with a null in a key column are all added.
     """
-    whole = batch.where(_no_nulls(keys))
-    first = F.expr(f"row_number() over (partition by {', '.join(keys)} order by {', '.join(order)})")
-    fresh = whole.withColumn("__first", first).where("__first = 1").drop("__first")
+    fresh = first_rows(batch.where(_no_nulls(keys)), keys, order)
     fresh = fresh.join(target.select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
     return fresh.unionByName(batch.where(~_no_nulls(keys)))
 
@@ -96,26 +109,28 @@ def append_new(path: str, batch: DataFrame, keys: list[str], order: list[str]) -
 def upsert(target: DataFrame, batch: DataFrame, keys: list[str], replaced: list[str], order: list[str]) -> DataFrame:
     """``target`` after the batch: new keys are added, known keys get the batch's ``replaced`` columns, nulls too.
 
-    Of several batch rows with one key the last by ``order`` counts.
+    Of several batch rows with one key the last by ``order`` counts. Batch rows
+    with a null in a key column are all added. A column that the batch lacks is
+    left as it is, and null in new rows.
     """
-    last = F.expr(
-        f"row_number() over (partition by {', '.join(keys)} order by {', '.join(o + ' desc' for o in order)})"
-    )
-    new = batch.withColumn("__last", last).where("__last = 1").drop("__last")
+    keyless = batch.where(~_no_nulls(keys))
+    new = first_rows(batch.where(_no_nulls(keys)), keys, order, last=True)
     new = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns], F.lit(True).alias("__new"))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__new_{k}") for k in keys])
     joined = target.withColumn("__old", F.lit(True)).join(new, on, "full_outer")
     columns = []
     for c in target.columns:
         fresh = F.col(f"__new_{c}") if f"__new_{c}" in new.columns else F.lit(None)
-        use_new = F.col("__old").isNull() if c not in replaced else F.col("__new").isNotNull()
+        given = c in replaced and f"__new_{c}" in new.columns
+        use_new = F.col("__new").isNotNull() if given else F.col("__old").isNull()
         columns.append(F.when(use_new, fresh).otherwise(F.col(c)).alias(c))
-    return joined.select(*columns)
+    added = [F.col(c) if c in batch.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns]
+    return joined.select(*columns).unionByName(keyless.select(*added))
 
 
 def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """``target`` with non-null values of ``updates`` (one row per key) in ``columns``; other rows stay."""
-    new = updates.select(*keys, *[F.col(c).alias(f"__new_{c}") for c in columns])
+    """``target`` with non-null values of ``updates`` in ``columns``; other rows stay. Of several values of a key the greatest counts."""
+    new = updates.groupBy(*keys).agg(*[F.max(c).alias(f"__new_{c}") for c in columns])
     joined = target.join(new, keys, "left")
     return joined.select(
         *[F.coalesce(f"__new_{c}", c).alias(c) if c in columns else F.col(c) for c in target.columns]
@@ -123,9 +138,8 @@ def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], colum
 
 
 def latest_per_key(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The last row of each key by ``order``."""
-    last = F.expr(f"row_number() over (partition by {', '.join(keys)} order by {', '.join(o + ' desc' for o in order)})")
-    return updates.withColumn("__last", last).where("__last = 1").drop("__last")
+    """The last row of each key by ``order``; rows with a null in a key column all stay."""
+    return first_rows(updates.where(_no_nulls(keys)), keys, order, last=True).unionByName(updates.where(~_no_nulls(keys)))
 
 
 def flags_by_list(checks: DataFrame, flags: dict[str, str]) -> DataFrame:

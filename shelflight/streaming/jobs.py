@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelflight.functions import urls
-from shelflight.sources.tables import insert_or_ignore
+from shelflight.sources.tables import insert_or_ignore, table_at
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -50,6 +50,11 @@ def first_in_window(events: DataFrame, key: str, ts: str, delay: str) -> DataFra
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def first_of_run(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first event of each key over the whole run, however late: the state keeps every key."""
+    return events.dropDuplicates(keys)
+
+
 def counters(events: DataFrame, ts: str, width: str, delay: str, ok: Column) -> DataFrame:
     """Entries and failures of each tumbling window, once the watermark has passed it."""
     return (
@@ -84,8 +89,7 @@ def insert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        target = spark.read.schema(batch.schema).option("recursiveFileLookup", True).parquet(path)
+        target = table_at(batch.sparkSession, path, batch.schema, recursiveFileLookup=True)
         own = f"{path}/batch-{batch_id:08d}"
         target = target.where(~F.input_file_name().contains(f"batch-{batch_id:08d}"))
         insert_or_ignore(target, batch, keys, order).write.mode("overwrite").parquet(own)
@@ -93,6 +97,32 @@ def insert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
     return write
 
 
+def keep_counts(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``flush`` writer that keeps child counts up to date with batches of changes (parent_node_id, op).
+
+    Each batch writes the counts after it to a folder of its own number, from
+    those of the batch before: a batch that runs again gives the same. The folder
+    before the last is deleted. ``kept_counts`` reads the present counts.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = table_at(spark, f"{path}/after-{batch_id - 1:08d}", COUNTS)
+        count_deltas(batch, before).write.mode("overwrite").parquet(f"{path}/after-{batch_id:08d}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/after-{batch_id - 2:08d}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+    return write
+
+
+def kept_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The counts after the last batch of ``keep_counts``."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    batches = sorted(s.getPath().getName() for s in store.listStatus(root)) if store.exists(root) else []
+    return table_at(spark, f"{path}/{batches[-1] if batches else 'none'}", COUNTS)
+
+
 def count_deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
     """Child counts after a batch of changes (parent_node_id, op = insert or delete); never below 0."""
     signed = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
@@ -102,6 +132,7 @@ def count_deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
     return joined.select("node_id", F.greatest(total, F.lit(0)).cast("long").alias("child_count"))
 
 
+COUNTS = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("child_count", T.LongType())])
 STREAK = "key string, event_id long, ts timestamp, streak int, tripped boolean"
 
 
@@ -137,6 +168,12 @@ def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour",
     )
 
 
+def went_quiet(events: DataFrame, key: str, ts: str, idle: str = "60 seconds", delay: str = "10 seconds") -> DataFrame:
+    """(key, last_at): each time that a key had no event for ``idle``, as soon as the watermark shows it."""
+    quiet = events.withWatermark(ts, delay).groupBy(key, F.session_window(ts, idle).alias("w")).agg(F.count("*").alias("n"))
+    return quiet.select(key, (F.col("w.end") - F.expr(f"interval {idle}")).alias("last_at"), "n")
+
+
 def stale_keys(events: DataFrame, key: str, ts: str, as_of: Column, seconds: int = 60) -> DataFrame:
     """Keys with their last event, and whether it is older than ``seconds`` at ``as_of``."""
     last = events.groupBy(key).agg(F.max(ts).alias("last_at"))
