@@ -89,6 +89,86 @@ FROM {part}
 """
 
 
+#: Ranked-list pages in two layouts: two cards of items and one without a link.
+CHART_PAGES = f"""
+SELECT CAST(asin AS BIGINT) AS page_id, 'https://shop.example/gp/bestsellers/' AS url, site,
+       concat(open1, '<a href="/Thing/dp/B', lpad(asin, 9, '0'), '/ref=z"><span><div>', name, '</div></span></a><img src="i', asin, '.png">',
+              '<span class="zg-badge-text">#', CAST(size AS STRING), '</span><span class="a-price"><span class="a-offscreen">', price_text,
+              '</span></span><i class="a-icon-alt">', rating_text, '</i><a class="a-size-small" href="#r"><span>1,',
+              CAST(size + 100 AS STRING), '</span></a>',
+              CASE CAST(k % 4 AS INT) WHEN 0 THEN '<span class="a-badge" data-a-badge-type="best-seller">Best Seller</span>'
+                   WHEN 1 THEN '<span class="a-badge" data-a-badge-type="amazons-choice">x</span>' ELSE '' END,
+              CASE CAST(k % 3 AS INT) WHEN 0 THEN concat('<b class="x zg-percent-change">+', CAST(size AS STRING), '%</b><i>9%</i>')
+                   WHEN 1 THEN concat('<span>up</span><span>+', CAST(size * 2 AS STRING), '%</span>') ELSE '' END, '</div>',
+              open2, '<a href="https://shop.example/dp/C', lpad(asin, 9, '0'), '"><div class="p13n-sc-truncate">', brand,
+              '</div></a><span class="x-sc-price">none</span></div>', open3, '<a href="/nothing">x</a></div>',
+              CASE CAST(k % 2 AS INT) WHEN 0 THEN CASE site WHEN 'DE' THEN '1.234 Ergebnisse' WHEN 'JP' THEN '1,234 件中'
+                   WHEN 'FR' THEN '1 234 résultats' ELSE '1-48 of 1,234 results' END ELSE '' END) AS html
+FROM (SELECT asin, site, name, brand, size, price_text, rating_text, CAST(asin AS BIGINT) AS k,
+             CASE WHEN CAST(asin AS BIGINT) % 3 = 0 THEN '<div class="zg-grid-general-faceout">' ELSE '<div id="gridItemRoot1">' END AS open1,
+             CASE WHEN CAST(asin AS BIGINT) % 3 = 0 THEN '<div class="zg-grid-general-faceout">' ELSE '<div id="gridItemRoot2">' END AS open2,
+             CASE WHEN CAST(asin AS BIGINT) % 3 = 0 THEN '<div class="zg-grid-general-faceout">' ELSE '<div id="gridItemRoot3">' END AS open3
+      FROM ({DETAILS}) d) cards
+"""
+
+#: Search pages: none to three results, a next control, a sort control, and pages that are no results.
+SEARCH_PAGES = """
+SELECT p_partkey AS page_id, concat('https://shop.example/s?page=', CAST(p_partkey AS STRING)) AS url,
+       CASE CAST(p_partkey % 11 AS INT) WHEN 1 THEN NULL WHEN 2 THEN 'Type the characters you see' WHEN 3 THEN '<p>Leider keine Ergebnisse</p>'
+            WHEN 4 THEN 'try api-services'
+            ELSE concat('<div class="a-spacing-small"><span>', CAST(p_size AS STRING), ' results</span></div>',
+              CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('<select id="s-result-sort-select"><option value="relevance">r</option>',
+                   CASE WHEN p_partkey % 2 = 0 THEN '<option value="date-desc-rank">n</option>' ELSE '' END, '</select>') END,
+              CASE WHEN p_size % 4 >= 1 THEN concat('<div data-component-type="s-search-result" data-asin="B', lpad(CAST(p_partkey AS STRING), 9, '0'),
+                   '"><a href="/x#customerReviews">(', CAST(p_size AS STRING), ')</a></div>') ELSE '' END,
+              '<div data-component-type="s-search-result" data-asin=" "></div>',
+              CASE WHEN p_size % 4 >= 2 THEN '<div data-component-type="s-search-result" data-asin="B999999999"></div>' ELSE '' END,
+              CASE WHEN p_size % 4 >= 3 THEN '<div data-component-type="s-search-result" data-asin="B888888888"><span class="a-size-base s-underline-text">7</span></div>' ELSE '' END,
+              CASE CAST(p_partkey % 3 AS INT) WHEN 0 THEN '<a class="s-pagination-next">Next</a>'
+                   WHEN 1 THEN '<a class="s-pagination-next s-pagination-disabled">Next</a>' ELSE '' END) END AS html
+FROM {part}
+"""
+
+#: Detail pages that hold the texts of DETAILS in their blocks.
+DETAIL_PAGES = f"""
+SELECT k AS page_id, concat('https://shop.example/dp/B', lpad(asin, 9, '0')) AS url, site,
+       concat('<span id="productTitle"> ', name, ' </span><a id="bylineInfo" href="', CASE WHEN k % 2 = 0 THEN '/stores/x' ELSE '/b' END, '">Visit ', brand, '</a>',
+              '<div id="corePrice_feature_div"><span class="a-price"><span class="a-offscreen">', price_text, '</span></span></div>',
+              '<div id="acrPopover"><i class="a-icon-alt">', rating_text, '</i></div><span id="acrCustomerReviewText">', review_text, '</span>',
+              '<div id="prodDetails"><table>',
+              CASE WHEN k % 2 = 0 THEN '<tr><th>Item Weight</th><td>' ELSE '<tr><th>Artikelgewicht</th><td>' END, item_weight, '</td></tr>',
+              CASE WHEN item_dimensions IS NULL THEN '' ELSE concat('<tr><th>Item Dimensions</th><td>', item_dimensions, '</td></tr>') END,
+              '<tr><td>', origin_text, '</td></tr><tr><td>Date First Available ', date_text, '</td></tr><tr><th>Manufacturer :</th><td>', brand,
+              '</td></tr><tr><th>Best Sellers Rank</th><td>', ranks_text, '</td></tr></table></div>',
+              CASE WHEN merchant_text IS NULL THEN '' ELSE concat('<div id="merchant-info">', merchant_text, '</div>') END,
+              CASE WHEN delivery_text IS NULL THEN '' ELSE concat('<div id="deliveryBlockMessage">', delivery_text, '</div>') END,
+              CASE CAST(k % 4 AS INT) WHEN 0 THEN '<div id="zeitgeistBadge_feature_div">#1 Best Seller in Rings</div>'
+                   WHEN 1 THEN '<span class="a-badge" data-a-badge-type="amazons-choice">x</span>' ELSE '' END,
+              '<div id="twister_feature_div"><span class="a-form-label">Size:</span><ul>', repeat('<li data-defaultasin="x">', CAST(size % 3 AS INT)), '</ul></div>',
+              CASE WHEN k % 3 < 2 THEN concat('<div id="olp_feature_div">', CAST(size % 5 + 1 AS STRING), ' new from here</div>') ELSE '' END,
+              '<ul id="wayfinding-breadcrumbs_feature_div"><li><a href="/b?node=', CAST(k + 100 AS STRING), '">', name, '</a><li><a href="/b?node=',
+              CAST(size + 7 AS STRING), '">', brand, '</a><li><a>none</a></ul>',
+              '<div id="feature-bullets"><ul>', repeat('<li><span class="a-list-item">A point</span></li>', CAST(size % 4 AS INT)), '</ul></div>',
+              CASE WHEN k % 5 = 0 THEN '<div id="sims-fbt"></div>' ELSE '' END, CASE WHEN k % 7 = 0 THEN '<div id="x-ComparisonTable-1">t</div>' ELSE '' END,
+              CASE WHEN k % 3 = 0 THEN '<div id="returnsInfoFeature_feature_div">30 days</div>' ELSE '' END,
+              CASE WHEN k % 2 = 0 THEN concat('<script type="application/ld+json">', chr(123), '"@type": "Product"', chr(125), '</script>') ELSE '' END,
+              '<input id="ASIN" value="B', lpad(asin, 9, '0'), '"><div id="productDescription">', repeat('text ', CAST(size % 6 AS INT)), '</div>') AS html
+FROM (SELECT *, CAST(asin AS BIGINT) AS k FROM ({DETAILS}) d) e
+"""
+
+#: Ranked-list pages of customers: side bar with an up link, repeated, numeric and foreign children; a root list; five pages each.
+TREE_PAGES = """
+SELECT c_custkey * 5 + p AS page_id, c_custkey AS node, CAST(p AS INT) AS page_no, concat('https://shop.example/gp/bestsellers/s-1/', CAST(c_custkey + 1000 AS STRING), '/') AS url,
+       concat('<h1>Best Sellers in ', c_mktsegment, '</h1><ul class="x-zg-browse-root"><li class="browse-up"><a href="/gp/bestsellers/">Any</a></li><li>',
+              CASE WHEN c_custkey % 3 = 0 THEN '<i></i>' ELSE concat('<span class="zg-selected">', c_name, '</span>') END,
+              '</li><li><ul class="zg-browse-group"><li><a href="/gp/bestsellers/s-1/', CAST(c_custkey + 2000 AS STRING), '/ref=zz?x=1">First</a></li>',
+              '<li><a href="/gp/bestsellers/s-1/', CAST(c_custkey + 2000 AS STRING), '/">Again</a></li><li><a href="/gp/bestsellers/s-1/99999">12345</a></li>',
+              '<li><a href="/zgbs/books/', CAST((c_custkey * 3 + p) % 700 + 5000 AS STRING), '">Books</a></li>',
+              '<li><a href="https://other.example/page/">Elsewhere</a></li></ul></li></ul>') AS html
+FROM {customer} CROSS JOIN (SELECT 0 AS p UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) ps
+"""
+
+
 def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
 

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shelflight.operators import arrivals, filters, quality, sightings, tracking, tree
+from shelflight.operators import arrivals, browse, filters, quality, sightings, tracking, tree
 from shelflight.sources import tables
 
 
@@ -185,3 +185,91 @@ def test_reports(spark):
     assert (sizes.least, sizes.most, sizes.mean, sizes.next_share) == (1, 5, 3.0, 0.5)
     assert quality.depth_map(checks).first().depths == {"L1": 2, "L2": 1, "L9": 1}
     assert quality.nested_child_sum(spark.createDataFrame([(None,), (None,)], "child_count long")).first().n == 0
+
+
+def _chain(spark, n):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, f"u{i}/", f"name {i}", 0, "s") for i in range(n)]
+    return spark.createDataFrame(rows, "node_id string, parent_node_id string, url string, name string, depth int, slug string")
+
+
+def test_long_chains_are_whole(spark):
+    nodes = _chain(spark, 300)
+    found = {r.node_id: r for r in tree.paths(nodes).collect()}
+    assert len(found) == 300 and not any(r.cyclic for r in found.values())
+    assert found["n299"].path == [f"n{i}" for i in range(300)] and found["n299"].labels.startswith("n0.n1.")
+    counts = {r.node_id: r.descendants for r in tree.descendant_counts(tree.paths(nodes)).collect()}
+    assert counts == {f"n{i}": 299 - i for i in range(300)}
+
+
+def test_walks_have_no_last_level(spark):
+    nodes = _chain(spark, 20)
+    levels = {r.node_id: r.level for r in tree.subtree(nodes, nodes.where("node_id = 'n0'")).collect()}
+    assert levels == {f"n{i}": i for i in range(20)}
+    assert tree.subtree(nodes, nodes.where("node_id = 'n0'"), most_levels=3).count() == 4
+    edges = [(f"u{i - 1}/", f"name {i}", f"u{i}/", f"n{i}", "s") for i in range(1, 20)] + [("u19/", "back", "u0/", "n0", "s")]
+    edges = spark.createDataFrame(edges, "parent_url string, name string, url string, node_id string, slug string")
+    grown = {r.node_id: r.depth for r in tree.grow(edges, nodes.where("node_id = 'n0'")).collect()}
+    assert grown == {f"n{i}": i for i in range(20)}
+    crumbs = spark.createDataFrame([(1, i, f"n{i}", f"name {i}") for i in range(20)], "page_id long, pos int, node_id string, name string")
+    added = tree.fill_from_crumbs(crumbs, nodes.where("node_id = 'n0'")).collect()
+    assert {r.node_id: r.depth for r in added} == {f"n{i}": i for i in range(1, 20)}
+
+
+def test_paths_of_cycles_and_of_what_hangs_on_them(spark):
+    rows = [("a", "b"), ("b", "a"), ("x", "a"), ("y", "x"), ("self", "self"), ("lost", "nowhere"), ("r", ""), ("c", "r"), (None, "r")]
+    found = {r.node_id: r for r in tree.paths(spark.createDataFrame(rows, "node_id string, parent_node_id string")).collect()}
+    assert {k for k, r in found.items() if r.cyclic} == {"a", "b", "x", "y", "self"}
+    assert found["y"].path == ["b", "a", "x", "y"] and found["self"].path == ["self"] and found["lost"].path == ["lost"]
+    assert found["c"].path == ["r", "c"] and len(found) == 8
+
+
+def test_rows_without_a_key_never_conflict(spark):
+    schema = "k string, a int, b int"
+    target = spark.createDataFrame([("x", 1, 1), (None, 9, 9)], schema)
+    batch = spark.createDataFrame([(None, 2, 2), (None, 3, 3), ("x", 5, 5), ("x", 4, 4), ("y", 6, 6)], schema)
+    got = sorted(map(tuple, tables.upsert(target, batch, ["k"], ["a"], ["a"]).collect()), key=repr)
+    assert got == sorted([("x", 5, 1), ("y", 6, 6), (None, 9, 9), (None, 2, 2), (None, 3, 3)], key=repr)
+    last = sorted(map(tuple, tables.latest_per_key(batch, ["k"], ["a"]).collect()), key=repr)
+    assert last == sorted([(None, 2, 2), (None, 3, 3), ("x", 5, 5), ("y", 6, 6)], key=repr)
+    part = tables.upsert(target, batch.select("k", "b"), ["k"], ["b"], ["b"])  # a column the batch lacks
+    assert ("x", 1, 5) in set(map(tuple, part.collect())) and ("y", None, 6) in set(map(tuple, part.collect()))
+    found = spark.createDataFrame([(None, "1"), (None, "2"), ("u", None), ("v", None), ("u", "3"), ("w", "1")], "url string, node_id string")
+    known = spark.createDataFrame([("w", "7")], "url string, node_id string")
+    fresh = sorted(map(tuple, tree.unseen(found, known, ["url", "node_id"]).collect()), key=repr)
+    assert fresh == sorted([(None, "1"), (None, "2"), ("u", None), ("v", None)], key=repr)
+
+
+def test_repeated_keys_do_not_multiply_rows(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", 1)], "node_id string, f int")
+    twice = spark.createDataFrame([("a", 1), ("a", 2), ("a", None)], "node_id string, f int")
+    assert sorted(map(tuple, quality.with_cache(nodes, twice, ["f"]).collect())) == [("a", 2), ("b", 1)]
+    assert sorted(map(tuple, tables.update_columns(nodes, twice, ["node_id"], ["f"]).collect())) == [("a", 2), ("b", 1)]
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "asin string, price int")
+    details = spark.createDataFrame([("a", 5), ("a", 3), ("b", 9)], "asin string, size int")
+    assert sorted(map(tuple, sightings.enriched(rows, details, None, ["size"]).collect())) == [("a", 1, 3), ("b", 2, 9)]
+    assert sorted(map(tuple, sightings.enriched(rows, details, F.col("size") < 5, ["size"]).collect())) == []
+
+
+def test_series_is_written_by_day(spark, tmp_path):
+    day = lambda d: dt.date(2024, 1, d)
+    schema = "asin string, price double, rank int, rating double, review_count int, snapshot_date date"
+    path = f"file://{tmp_path}/series"
+    write = lambda *rows: tracking.track_into(path, spark.createDataFrame(rows, schema))
+    write(("a", 1.0, 1, 1.0, 1, day(1)), ("b", 2.0, 2, 2.0, 2, day(1)))
+    write(("a", 3.0, 1, 1.0, 1, day(2)))
+    write(("a", 9.0, None, 1.0, 1, day(1)))  # a rerun of a day replaces the rows it has
+    got = {(r.asin, r.snapshot_date): (r.price, r["rank"]) for r in spark.read.parquet(path).collect()}
+    assert got == {("a", day(1)): (9.0, None), ("b", day(1)): (2.0, 2), ("a", day(2)): (3.0, 1)}
+
+
+def test_listings_page_and_order(spark):
+    rows = [(f"c{i}", f"n{i}", 1, "s", "r", "X", 1, 0) for i in range(5)] + [("top", "r", 0, "s", None, "X", None, 5), ("cc", "m", 2, "s", "n1", "X", 0, 0)]
+    nodes = spark.createDataFrame(rows, "name string, node_id string, depth int, slug string, parent_node_id string, site string, na_valid int, child_count long")
+    got = browse.tree_children(nodes, "r", "X", limit=2, offset=1).collect()
+    assert [(r.name, r.child_count) for r in got] == [("c1", 1), ("c2", 0)]
+    assert [r.name for r in browse.tree_children(nodes, "r", "X", text="c3").collect()][0] == "c3"
+    assert [(r.node_id, r.child_count) for r in browse.tree_children(nodes, "root", "X").collect()] == [("r", 7)]
+    assert [r.node_id for r in browse.capable(nodes, "X", limit=2, offset=3).collect()] == ["n3", "n4"]
+    assert browse.tree_children(nodes, "nothing", "X").count() == 0
+    assert [r.node_id for r in browse.stored_children(nodes.where("depth > 0"), "root", "X").collect()] == [f"n{i}" for i in range(5)]
+    assert [r.node_id for r in tree.expanded(nodes, None, [2]).collect()] == ["m"]

@@ -130,3 +130,50 @@ def test_item_query_lists_all_items_of_a_page(spark, tmp_path):
     spark.createDataFrame([(1, html), (2, "none")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalogue.stream_items(spark, str(tmp_path)).collect()
     assert sorted((r.page_id, r.pos, r.asin) for r in got) == [(1, n, i) for n, i in enumerate(items)]
+
+
+def test_deeply_nested_pages_do_not_end_a_job(spark):
+    deep = "<span>" * 5000 + '<a href="/dp/B000000001">x</a>'
+    rows = extract.page_links(_pages(spark, deep, None, "<p>" * 3000)).collect()
+    assert [(r.page_id, r.href) for r in rows] == [(0, "/dp/B000000001")]
+    assert extract.detail_blocks(_pages(spark, deep)).first().title is None
+
+
+def test_first_of_several_tests_wins():
+    page = extract.read_page('<b id="one">1</b><i id="two">2</i>')
+    is_tag = lambda t: lambda e: e.tag == t
+    assert page.find(is_tag("i"), is_tag("b")).get("id") == "two"
+    assert page.find(is_tag("u"), is_tag("b"), is_tag("i")).get("id") == "one" and page.find(is_tag("u")) is None
+
+
+def test_all_extractors_are_table_functions(spark):
+    extract.register_table_functions(spark)
+    _pages(spark, CHART, SEARCH, DETAIL, SIDEBAR).createOrReplaceTempView("all_pages")
+    count = lambda f: spark.sql(f"SELECT page_id FROM all_pages, LATERAL {f}(html)").count()
+    assert {f: count(f) for f in extract.EXTRACTORS} == {
+        "page_links": 12, "page_crumbs": 3, "page_cards": 2, "page_movers": 3, "page_results": 2, "page_blocks": 4,
+        "page_children": 4, "page_root_links": 5, "page_headings": 4,
+    }
+    row = spark.sql("SELECT title, blocks['merchant-info'] AS m FROM all_pages, LATERAL page_blocks(html) WHERE page_id = 2").first()
+    assert (row.title, row.m) == ("A thing", "Fulfilled by Amazon")
+
+
+def test_insert_into_a_table_that_is_not_there_yet(spark, tmp_path):
+    batch = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "k string, n int")
+    write = jobs.insert_batches(f"file://{tmp_path}/none", ["k"], ["n"])
+    write(batch, 0)
+    write(batch, 0)
+    write(batch.where("k = 'a'"), 1)
+    got = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/none").collect()
+    assert sorted((r.k or "", r.n) for r in got) == [("", 3), ("a", 1)]
+
+
+def test_counts_over_batches(spark, tmp_path):
+    path = f"file://{tmp_path}/counts"
+    write = jobs.keep_counts(path)
+    batch = lambda *rows: spark.createDataFrame(rows, "parent_node_id string, op string")
+    write(batch(("a", "insert"), ("a", "insert"), ("b", "delete")), 0)
+    write(batch(("a", "delete"), ("b", "insert")), 1)
+    write(batch(("a", "delete"), ("b", "insert")), 1)  # comes twice
+    assert {r.node_id: r.child_count for r in jobs.kept_counts(spark, path).collect()} == {"a": 1, "b": 1}
+    assert jobs.kept_counts(spark, f"file://{tmp_path}/none").count() == 0
