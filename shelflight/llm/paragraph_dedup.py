@@ -1,26 +1,28 @@
 """Repeated passages: MinHash banding of paragraphs, exact Jaccard, components.
 
-A passage that repeats need not start or end at a line, so a paragraph here is a
-run of words between content-defined cuts: a word is a cut where the hash of it
-and its neighbour is the least within ``reach`` words on either side. The same
-passage is cut at the same words wherever it stands, and a passage of over 50
-words holds whole paragraphs of its own.
-
-1. Every text gives its paragraphs: place, and one long for each MinHash band.
-   Bands are counted with partial aggregation; only those that occur twice go on.
-   They are few, and written; the paragraphs are then worked out again and joined
-   with them, which is cheaper than to keep all paragraphs of the corpus.
-2. The words of paragraphs that met another are cut from the texts. Equal
-   paragraphs collapse by hash, so copies cost one row.
-3. Distinct paragraphs meet in the buckets of their bands. A bucket above
-   ``cell_rows`` is cut into blocks, each pair of blocks a cell of its own.
-4. In a cell, paragraphs are compared by the exact Jaccard similarity of their
-   five-word shingles. A cell returns a spanning forest of the links, not all pairs.
-5. Components of the links are groups. Neighbouring paragraphs of groups found in
-   two or more documents form a passage, which counts if it is long enough or
-   stands in a run of over 50 words that another document has word by word: a
-   heading or a licence line that many documents share is left alone. A
-   paragraph stays in the document with the least id of its group and is marked
+A passage is a run of ``least_words`` words or more that two documents share,
+anywhere in their lines. Two kinds of paragraphs find passages:
+
+- Lines of ``least_words`` words or more. The minima of several hashes over a
+  line's five-word shingles are its bands; distinct lines that meet in a band are
+  compared by the exact Jaccard similarity of their shingles, so edited copies
+  are found as well as equal ones.
+- Runs of ``run`` words. Every window of ``least_words`` words gives its MinHash
+  over runs: the run with the least hash (one band of one row). Windows that lie
+  side by side mostly have the same one, which is kept once. Equal windows have
+  equal minima, so a passage of ``least_words`` words shares a run wherever it
+  stands: none is lost. Runs are short, so they link only if they are equal.
+
+1. Each text gives its paragraphs: place, a hash of the words, and a line's bands.
+2. Distinct lines meet in the buckets of their bands. A bucket above ``cell_rows``
+   is cut into blocks, each pair of blocks a cell of its own. A cell returns a
+   spanning forest of its links, not all pairs; their components, and else
+   equal contents, are the groups. Groups found in two or more documents go on.
+3. Neighbouring paragraphs of a document that go on form a chain. A chain of
+   ``least_words`` words counts. In a shorter one a run counts if it stands in
+   ``least_words`` words that another document has word by word: a heading or a
+   licence line that many documents share is left alone.
+4. A paragraph stays in the document with the least id of its group and is marked
    for removal elsewhere.
 """
 
@@ -36,32 +38,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import materialise
+from shelflight.llm.common import discard, join_per_key, materialise
 from shelflight.llm.components import connected_components
 
+
 @dataclass(frozen=True)
 class Bands:
-    """Paragraph cuts, MinHash bands and the similarity that links two paragraphs.
+    """Sizes of passages and paragraphs, MinHash bands and the similarity that links two lines.
 
     At a Jaccard similarity of 0.8, ``bands`` of ``rows`` minima meet in one
-    bucket at least with probability 1 - (1 - 0.8^rows)^bands: 0.992 here. Cuts
-    with these bounds leave a whole paragraph in 99.4 of 100 passages of 51 words.
+    bucket at least with probability 1 - (1 - 0.8^rows)^bands: 0.992 here.
     """
 
-    reach: int = 5
-    least_words: int = 7
+    least_words: int = 23  # of a passage: 25 words with an edit at either end
+    run: int = 8  # words; at most least_words
     shingle: int = 5
     rows: int = 1
     bands: int = 3
     similarity: float = 0.8
     cell_rows: int = 1 << 14
-    least_chars: int = 120  # from first to last of a passage's whole paragraphs: about 20 words
-    run_words: int = 51  # a repeated run of this many words counts, however short its whole paragraphs are
-    most_gap: int = 64  # characters between neighbours, for the short paragraphs left out
+    most_gap: int = 4  # words between neighbours of one chain: room for an edit
+    slice_bytes: int = 1 << 18  # texts that are worked on in one go
 
 
 BANDS = Bands()
 _ODD = np.random.default_rng(20240229).integers(1, 1 << 62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_NONE = ~np.uint64(0)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,15 +73,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _sliding_least(values: np.ndarray, reach: int) -> np.ndarray:
-    """For each place the least value within ``reach`` on either side."""
-    n, width = len(values), 2 * reach + 1
-    padded = np.full(n + 2 * reach, ~np.uint64(0))
-    padded[reach : reach + n] = values
-    out, done = padded, 1
+def _sliding(best: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    """The best (np.minimum or np.maximum) of each ``width`` values side by side."""
+    out, done = values, 1
     while done < width:  # windows double
         step = min(done, width - done)
-        out = np.minimum(out[:-step], out[step:])
+        out = best(out[:-step], out[step:])
         done += step
     return out
 
@@ -125,99 +124,140 @@ def word_hashes(content: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return starts, ends, _mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def paragraphs(h: np.ndarray, bands: Bands = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and end word of each paragraph of the hashed words, and its band keys as a matrix.
+def _sums(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Running sums over hashed words, and the factors that scale a difference back to its first word."""
+    up, down = _POWERS.upto(len(h) + 1)
+    return np.concatenate(([np.uint64(0)], np.cumsum(h * up[:-1]))), down
+
+
+def _run_places(runs: np.ndarray, owner: np.ndarray, bands: Bands) -> np.ndarray:
+    """Places of the runs that are the least of a window of ``least_words`` words of one text.
 
-    Paragraphs of fewer than ``least_words`` words are left out.
+    Of equal runs side by side (one word, many times) only the first takes part.
     """
-    n, width = len(h), bands.shingle
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bands.bands), np.uint64)
-    if n < max(bands.least_words, width):
-        return none
-    # the hash of a word and the next one, so that a frequent word is no cut of its own
-    pair = _mix(h + np.append(h[1:], np.uint64(0)) * np.uint64(0x9E3779B97F4A7C15))
-    cut = pair == _sliding_least(pair, bands.reach)
-    cut[1:] &= pair[1:] != pair[:-1]  # in runs of one word only the first
-    starts = np.flatnonzero(cut)
-    starts = np.concatenate(([0], starts[starts > 0]))
-    ends = np.append(starts[1:], n)
-    long = ends - starts >= max(bands.least_words, width)
+    width = bands.least_words - bands.run + 1
+    runs = runs.copy()
+    runs[1:][(runs[1:] == runs[:-1]) & (owner[1 : len(runs)] == owner[: len(runs) - 1])] = _NONE
+    least = _sliding(np.minimum, runs, width)
+    whole = owner[: len(least)] == owner[bands.least_words - 1 :]  # first and last word are of one text
+    least = np.where(whole & (least != _NONE), least, np.uint64(0))
+    pad = np.zeros(width - 1, np.uint64)
+    # the greatest of the minima of all windows that a run stands in is the run itself, if it is one of them
+    return np.flatnonzero(_sliding(np.maximum, np.concatenate([pad, least, pad]), width) == runs)
+
+
+def paragraphs(h: np.ndarray, owner: np.ndarray, line: np.ndarray, bands: Bands = BANDS) -> tuple[np.ndarray, ...]:
+    """First word, end word and content hash of each paragraph, and the band keys of the lines among them, which come last.
+
+    ``h`` are hashed words of several texts in a row, ``owner`` and ``line``
+    the numbers of each word's text and line, which grow from word to word.
+    """
+    n, k = len(h), bands.run
+    empty = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, bands.bands), np.uint64)
+    if n < bands.least_words:
+        return empty
+    sums, down = _sums(h)
+    runs = _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    at = _run_places(runs, owner, bands)
+    edges = np.flatnonzero(line[1:] != line[:-1]) + 1
+    starts, ends = np.concatenate(([0], edges)), np.append(edges, n)
+    long = ends - starts >= bands.least_words
     starts, ends = starts[long], ends[long]
-    if not len(starts):
-        return none
-    shingle = np.zeros(n - width + 1, np.uint64)
-    for k in range(width):
-        shingle = _mix(shingle * np.uint64(0x9E3779B97F4A7C15) + h[k : n - width + 1 + k])
-    # minima over the shingles inside each paragraph: every other slice of reduceat
-    edges = np.stack([starts, ends - width + 1], axis=1).ravel()
-    if edges[-1] == len(shingle):
-        edges = edges[:-1]
     keys = np.zeros((len(starts), bands.bands), np.uint64)
-    for b in range(bands.bands):
-        key = np.full(len(starts), np.uint64(b), np.uint64)
-        for r in range(bands.rows):
-            minima = np.minimum.reduceat(_mix(shingle * _ODD[b * bands.rows + r]), edges)[::2]
-            key = _mix(key * np.uint64(0x9E3779B97F4A7C15) + minima)
-        keys[:, b] = key
-    return starts, ends, keys
+    if len(starts):
+        width = bands.shingle
+        shingles = _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
+        # minima over the shingles inside each line: every other slice of reduceat
+        cuts = np.stack([starts, ends - width + 1], axis=1).ravel()
+        if cuts[-1] == len(shingles):
+            cuts = cuts[:-1]
+        for b in range(bands.bands):
+            key = np.full(len(starts), np.uint64(b), np.uint64)
+            for r in range(bands.rows):
+                minima = np.minimum.reduceat(shingles * _ODD[b * bands.rows + r], cuts)[::2]
+                key = _mix(key * np.uint64(_RATIO) + minima)
+            keys[:, b] = key
+    return (
+        np.concatenate([at, starts]),
+        np.concatenate([at + k, ends]),
+        np.concatenate([runs[at], _mix((sums[ends] - sums[starts]) * down[starts])]),
+        keys,
+    )
 
 
-def _lowered(text: str) -> tuple[bytes, np.ndarray]:
+def _lowered(text: str) -> tuple[bytes, bytes]:
     """The UTF-8 bytes of a text, and as many bytes of it in lower case."""
     plain = text.encode()
     lower = text.lower().encode()
     if len(lower) != len(plain):  # a few letters change their size: then only A to Z are lowered
         lower = plain.lower()
-    return plain, np.frombuffer(lower, np.uint8)
+    return plain, lower
 
 
-def _characters(text: str, plain: bytes, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte places of a text as character places."""
-    if len(plain) == len(text):
-        return first, end
-    heads = np.frombuffer(plain, np.uint8) & 0xC0 != 0x80
+def text_paragraphs(texts: list[str], bands: Bands = BANDS) -> tuple[np.ndarray, ...]:
+    """Text number, first and end word, first and end character, content and band keys of the paragraphs of texts."""
+    plain, lower = zip(*map(_lowered, texts))
+    content = np.frombuffer(b"\n".join(lower), np.uint8)
+    begins = np.cumsum([0, *(len(p) + 1 for p in plain[:-1])])
+    first, end, h = word_hashes(content)
+    owner = np.searchsorted(begins, first, "right") - 1
+    lines = np.cumsum(content == 10)
+    starts, ends, contents, keys = paragraphs(h, owner, lines[first] if len(first) else first, bands)
+    if not len(starts):
+        return owner[:0], starts, ends, starts, ends, contents, keys
+    own = owner[starts]
+    heads = np.frombuffer(b"\n".join(plain), np.uint8) & 0xC0 != 0x80
     chars = np.concatenate(([0], np.cumsum(heads)))
-    return chars[first], chars[end]
-
-
-def paragraph_rows(df: DataFrame, doc: str, text: str, bands: Bands = BANDS) -> DataFrame:
-    """(doc, place, key): a row for each band of each paragraph of each text.
-
-    ``doc`` is a column of longs. place holds the first and the end character of
-    the paragraph in its upper and lower 32 bits.
+    words = np.searchsorted(first, begins)  # each text's first word
+    begin = chars[begins][own]
+    return own, starts - words[own], ends - words[own], chars[first[starts]] - begin, chars[end[ends - 1]] - begin, contents, keys
+
+
+def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, list[str]]]:
+    """A column's texts, some at a time: as many as ``most`` bytes hold, one at least."""
+    at, held, size = 0, [], 0
+    for i, t in enumerate(texts):
+        text = t.as_py()
+        held.append(text)
+        size += len(text)
+        if size >= most:
+            yield at, held
+            at, held, size = i + 1, [], 0
+    if held:
+        yield at, held
+
+
+def paragraph_rows(df: DataFrame, bands: Bands = BANDS) -> DataFrame:
+    """(doc, doc_id, words, chars, content, band0, ...): the paragraphs of each text.
+
+    ``df`` has longs doc and doc_id and no null text. words and chars hold the
+    first and the end place in their upper and lower 32 bits. Bands are null for
+    runs.
     """
-    names = [f"key{b}" for b in range(bands.bands)]
+    names = [f"band{b}" for b in range(bands.bands)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                owner, places, found = [], [], []
-                for i, t in enumerate(part.column(1)):
-                    text = t.as_py()
-                    plain, content = _lowered(text)
-                    first, end, hashes = word_hashes(content)
-                    starts, ends, keys = paragraphs(hashes, bands)
-                    if len(starts):
-                        first, end = first[starts], end[ends - 1]
-                        first, end = _characters(text, plain, first, end)
-                        owner += [i] * len(starts)
-                        places.append((first << 32) | end)
-                        found.append(keys.view(np.int64))
-                if owner:
-                    keys = np.concatenate(found)
+            for at, texts in _slices(batch.column(2), bands.slice_bytes):
+                own, w0, w1, c0, c1, contents, keys = text_paragraphs(texts, bands)
+                if len(own):
+                    rows = pa.array(own + at)
+                    no_bands = pa.nulls(len(own) - len(keys), pa.int64())
+                    columns = [pa.array(np.ascontiguousarray(keys[:, b]).view(np.int64)) for b in range(bands.bands)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            part.column(0).take(pa.array(owner, pa.int32())),
-                            pa.array(np.concatenate(places)),
-                            *[pa.array(np.ascontiguousarray(keys[:, b])) for b in range(bands.bands)],
+                            batch.column(0).take(rows),
+                            batch.column(1).take(rows),
+                            pa.array(w0 << 32 | w1),
+                            pa.array(c0 << 32 | c1),
+                            pa.array(contents.view(np.int64)),
+                            *[pa.concat_arrays([no_bands, c]) for c in columns],
                         ],
-                        names=["doc", "place", *names],
+                        names=["doc", "doc_id", "words", "chars", "content", *names],
                     )
 
-    rows = df.where(F.col(text).isNotNull()).select(doc, text)
-    rows = rows.mapInArrow(run, "doc long, place long, " + ", ".join(f"{n} long" for n in names))
-    return rows.select("doc", "place", F.explode(F.array(*names)).alias("key"))
+    schema = ", ".join(f"{n} long" for n in ("doc", "doc_id", "words", "chars", "content", *names))
+    return df.select("doc", "doc_id", "text").mapInArrow(run, schema)
 
 
 def _shingle_set(text: str, width: int) -> frozenset:
@@ -288,19 +328,16 @@ def _linker(bands: Bands):
 def runs_around(text: str, places: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Index into ``places`` and hash of every run of ``words`` words that holds the paragraph at the place.
 
+    A place has the first word in its upper, the end word in its lower 32 bits.
     Of a paragraph of more words the runs inside it are taken.
     """
-    plain, content = _lowered(text)
-    first, end, h = word_hashes(content)
+    h = word_hashes(np.frombuffer(_lowered(text)[1], np.uint8))[2]
     n = len(h)
     if n < words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    first, end = _characters(text, plain, first, end)
-    up, down = _POWERS.upto(n)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(h * up)))
+    sums, down = _sums(h)
     runs = _mix((sums[words:] - sums[:-words]) * down[: n - words + 1])
-    starts = np.searchsorted(first, places >> 32)
-    ends = np.searchsorted(end, places & 0xFFFFFFFF) + 1
+    starts, ends = places >> 32, places & 0xFFFFFFFF
     low = np.maximum(np.minimum(starts, ends - words), 0)
     high = np.minimum(np.maximum(starts, ends - words), n - words)
     count = np.maximum(high - low + 1, 0)
@@ -310,7 +347,7 @@ def runs_around(text: str, places: np.ndarray, words: int) -> tuple[np.ndarray,
 
 
 def in_repeated_runs(texts: DataFrame, spots: DataFrame, bands: Bands = BANDS) -> DataFrame:
-    """(doc_id, place) of ``spots`` that stand in a run of ``run_words`` that another document holds at one of its spots.
+    """(doc, place) of ``spots`` in a run of ``least_words`` words that another document holds at one of its spots.
 
     ``texts`` has doc, doc_id and text, ``spots`` doc and place. Runs meet by their
     hash, so a paragraph that many documents hold costs no pairs.
@@ -319,110 +356,137 @@ def in_repeated_runs(texts: DataFrame, spots: DataFrame, bands: Bands = BANDS) -
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                places = np.array(batch.column(2)[at].as_py(), np.int64)
-                owner, runs = runs_around(batch.column(1)[at].as_py(), places, bands.run_words)
+                places = np.array(batch.column(3)[at].as_py(), np.int64)
+                owner, runs = runs_around(batch.column(2)[at].as_py(), places, bands.least_words)
                 if len(owner):
+                    same = lambda c: pa.array(np.full(len(owner), batch.column(c)[at].as_py(), np.int64))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(owner), batch.column(0)[at].as_py(), np.int64)),
-                            pa.array(places[owner]),
-                            pa.array(runs.view(np.int64)),
-                        ],
-                        names=["doc_id", "place", "run"],
+                        [same(0), same(1), pa.array(places[owner]), pa.array(runs.view(np.int64))],
+                        names=["doc", "doc_id", "place", "run"],
                     )
 
-    places = materialise(spots.groupBy("doc").agg(F.collect_set("place").alias("places")), "run-places")
-    runs = texts.join(places, "doc").select("doc_id", "text", "places").mapInArrow(run, "doc_id long, place long, run long")
-    runs = materialise(runs, "runs")
+    used: list[str] = []
+    # written, so that their true size decides how they meet the texts
+    places = materialise(spots.groupBy("doc").agg(F.collect_set("place").alias("places")), "run-places", used)
+    runs = texts.join(places, "doc").select("doc", "doc_id", "text", "places")
+    runs = materialise(runs.mapInArrow(run, "doc long, doc_id long, place long, run long"), "runs", used)
     ends = runs.groupBy("run").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    shared = materialise(ends.where("least < most").select("run"), "shared-runs")
-    return runs.join(shared, "run", "left_semi").select("doc_id", "place").distinct()
+    shared = materialise(ends.where("least < most").select("run"), "shared-runs", used)
+    found = materialise(runs.join(shared, "run", "left_semi").select("doc", "place").distinct(), "spots-in-runs")
+    discard(texts.sparkSession, used)
+    return found
 
 
-def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: Bands = BANDS) -> DataFrame:
-    """(doc_id, passage_id, first_char, end_char, n_documents, kept_in, removed).
+def _first(packed: str):
+    return F.shiftrightunsigned(F.col(packed), 32)
 
-    One row per paragraph of a group that occurs in two or more documents, where
-    it is part of a passage of ``least_chars`` or of a run of ``run_words`` that
-    another document holds word by word. passage_id names the group, kept_in is the least doc_id that holds it, and
-    removed is true in all other documents. Characters count from 0. Words are
-    compared in lower case. Null, empty and short texts have no paragraphs. Rows
-    without a doc_id cannot be named and are left out; rows that repeat a doc_id
-    are one document, and exactly repeated rows are reported once. Repeats
-    inside a single document are no repeated passage. Other columns are ignored.
-    """
-    texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    texts = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
-    rows = paragraph_rows(texts, "doc", "text", bands)
-    twice = materialise(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bands")
-    # no hint: a written table has a true size, and a small one is sent to all tasks
-    hits = materialise(rows.join(twice, "key").select("key", "doc", "place"), "band-hits")
 
-    cut = F.substring(
-        F.col("text"),
-        F.shiftrightunsigned("place", 32).cast("int") + F.lit(1),
-        (F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftrightunsigned("place", 32)).cast("int"),
-    )
-    spots = hits.groupBy("doc", "place").agg(F.lit(1)).select("doc", "place")
-    spots = materialise(
-        texts.join(spots.hint("merge"), "doc")
-        .select("doc", "doc_id", "place", F.lower(F.regexp_replace(cut, r"[\x20\x09-\x0D]+", " ")).alias("words"))
-        .withColumn("content", F.xxhash64("words")),
-        "paragraphs",
-    )
-    contents = spots.groupBy("content").agg(F.min("words").alias("words"))
+def _end(packed: str):
+    return F.col(packed).bitwiseAND(F.lit(0xFFFFFFFF))
+
 
-    met = hits.join(spots.select("doc", "place", "content").hint("merge"), ["doc", "place"])
-    met = materialise(met.groupBy("key", "content").agg(F.lit(1)).select("key", "content"), "band-contents")
-    sizes = materialise(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes")
+def line_groups(rows: DataFrame, texts: DataFrame, bands: Bands = BANDS) -> DataFrame:
+    """(content, root, n) of lines that are near another content: the least content of the component, and how many rows there are."""
+    spark, used = rows.sparkSession, []
+    keys = [f"band{b}" for b in range(bands.bands)]
+    lines = rows.where("band0 is not null").groupBy("content").agg(
+        F.min(F.struct("doc", "chars")).alias("place"), F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]
+    )
+    lines = materialise(lines, "lines", used)
+    met = lines.select("content", F.explode(F.array(*keys)).alias("key"))
+    sizes = materialise(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "band-sizes", used)
     cells = (
-        met.join(sizes, "key")
+        join_per_key(met, sizes, "key")
         .withColumn("blocks", F.ceil(F.col("n") / F.lit(bands.cell_rows)).cast("long"))
         .withColumn("own", F.pmod(F.xxhash64("content"), F.col("blocks")))
         .withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
         .select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "content")
     )
+    cells = materialise(cells, "cells", used)
+    wanted = lines.join(cells.select("content").distinct().hint("merge"), "content", "left_semi")
+    wanted = materialise(wanted.select("content", "place.*"), "cell-lines", used)
+    cut = F.substring(F.col("text"), _first("chars").cast("int") + F.lit(1), (_end("chars") - _first("chars")).cast("int"))
+    # no hint: a written table has a true size, and a small one is sent to all tasks
+    words = texts.join(wanted, "doc").select("content", F.lower(F.regexp_replace(cut, r"[\x20\x09-\x0D]+", " ")).alias("words"))
+    words = materialise(words.dropDuplicates(["content"]), "line-words", used)
     links = (
-        cells.join(contents.hint("merge"), "content")
+        cells.join(words.hint("merge"), "content")
         .repartition("cell")
         .sortWithinPartitions("cell")
         .select("cell", "content", "words")
         .mapInArrow(_linker(bands), "a long, b long")
     )
-    groups = connected_components(links, "a", "b")
-    named = (
-        spots.select("doc_id", "place", "content").distinct()
-        .join(groups.hint("merge"), F.col("content") == F.col("node"), "left")
-        .select("doc_id", "place", F.coalesce("root", "content").alias("passage_id"))
+    groups = connected_components(links, "a", "b").withColumnRenamed("node", "content")
+    groups = materialise(groups.join(lines.select("content", "n").hint("merge"), "content"), "line-groups")
+    discard(spark, used)
+    return groups
+
+
+def repeated_passages(df: DataFrame, doc_id: str = "doc_id", text: str = "text", bands: Bands = BANDS) -> DataFrame:
+    """(doc_id, passage_id, first_char, end_char, n_documents, kept_in, removed).
+
+    One row per paragraph (line or run) of a group that occurs in two or more
+    documents, where it is part of a passage of ``least_words`` words. passage_id
+    names the group, n_documents counts the documents that have rows of it,
+    kept_in is the least doc_id among them, and removed is true in all others.
+    Characters count from 0; runs of one passage overlap. Words are compared in
+    lower case. Null and empty texts, and texts of fewer than ``least_words``
+    words, have no passages. Rows without a doc_id cannot be named and are left
+    out; rows that repeat a doc_id are one document, and exactly repeated rows
+    are reported once. Repeats inside a single document are no repeated passage.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    texts = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    texts = texts.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    texts = texts.withColumn("doc", F.xxhash64("doc_id", "text"))
+    spark, used = df.sparkSession, []
+    rows = materialise(paragraph_rows(texts, bands), "paragraphs", used)
+
+    ends = [F.min("doc_id").alias("least"), F.max("doc_id").alias("most")]
+    groups = line_groups(rows, texts, bands)
+    near = join_per_key(rows.where("band0 is not null"), groups, "content").groupBy("root").agg(*ends).where("least < most")
+    near = groups.join(near.hint("merge"), "root").select("content", F.col("root").alias("passage_id"), "n")
+    equal = rows.groupBy("content").agg(*ends, F.count("*").alias("n")).where("least < most")
+    equal = equal.join(groups.hint("merge"), "content", "left_anti").select("content", F.col("content").alias("passage_id"), "n")
+    passages = materialise(equal.unionByName(near), "passage-contents", used)
+    hits = join_per_key(rows, passages, "content").select("doc", "doc_id", "passage_id", "words", "chars")
+    # rows of the table that repeat exactly: a key of one long is counted, and only their paragraphs made distinct
+    again = materialise(texts.groupBy("doc").count().where("count > 1").select("doc"), "repeated-rows", used)
+    if not again.isEmpty():
+        hits = materialise(hits, "hits", used)
+        twice = hits.join(again.hint("merge"), "doc", "left_semi").distinct()
+        hits = hits.join(again.hint("merge"), "doc", "left_anti").unionByName(twice)
+
+    in_order = Window.partitionBy("doc").orderBy("words")
+    before = F.max(_end("words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(_first("words") - before > F.lit(bands.most_gap), F.lit(True))
+    chained = hits.withColumn("apart", apart.cast("int")).withColumn("chain", F.sum("apart").over(in_order))
+    chain = Window.partitionBy("doc", "chain")
+    length = F.max(_end("words")).over(chain) - F.min(_first("words")).over(chain)
+    chained = chained.withColumn("long", length >= F.lit(bands.least_words)).drop("apart", "chain")
+    done, used = used, []
+    chained = materialise(chained, "chains", used)
+    discard(spark, done)
+    long, short = chained.where("long"), chained.where("not long")
+    # a run of a short chain may stand in a long passage all the same: its group is looked at in every document
+    short_groups = materialise(short.select("passage_id").distinct(), "short-groups", used)
+    asked = chained.join(short_groups, "passage_id", "left_semi").select("doc", F.col("words").alias("place"))
+    found = materialise(in_repeated_runs(texts, asked, bands).withColumnRenamed("place", "words"), "in-runs", used)
+    kept = long.unionByName(short.join(found, ["doc", "words"], "left_semi"))
+    kept = materialise(kept.select("doc_id", "passage_id", "chars"), "kept")
+    discard(spark, used)
+
+    members = kept.groupBy("passage_id", "doc_id").agg(F.count("*").alias("n"))
+    named = members.groupBy("passage_id").agg(
+        F.count("*").alias("n_documents"), F.min("doc_id").alias("kept_in"), F.sum("n").alias("n")
     )
-    named = materialise(named, "passages")
-    members = named.groupBy("passage_id", "doc_id").agg(F.lit(1))
-    groups = members.groupBy("passage_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("kept_in"))
-    groups = materialise(groups.where("n_documents > 1"), "passage-groups")
-    repeated = named.join(groups, "passage_id").select(
+    named = materialise(named.where("n_documents > 1"), "passage-groups")
+    return join_per_key(kept, named, "passage_id").select(
         "doc_id",
         "passage_id",
-        F.shiftrightunsigned("place", 32).alias("first_char"),
-        F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end_char"),
+        _first("chars").alias("first_char"),
+        _end("chars").alias("end_char"),
         "n_documents",
         "kept_in",
         (F.col("doc_id") != F.col("kept_in")).alias("removed"),
     )
-    in_order = Window.partitionBy("doc_id").orderBy("first_char", "end_char")
-    apart = F.col("first_char") - F.lag("end_char", 1).over(in_order) > F.lit(bands.most_gap)
-    chained = repeated.withColumn("chain", F.sum(F.coalesce(apart, F.lit(True)).cast("int")).over(in_order))
-    chain = Window.partitionBy("doc_id", "chain")
-    length = F.max("end_char").over(chain) - F.min("first_char").over(chain)
-    chained = materialise(chained.withColumn("length", length).drop("chain"), "chains")
-    long = chained.where(F.col("length") >= bands.least_chars).drop("length")
-    short = chained.where(F.col("length") < bands.least_chars).drop("length")
-    # a short one may stand in a long run: its group is looked at in every document
-    asked = named.join(short.select("passage_id").distinct(), "passage_id", "left_semi").select("doc_id", "place")
-    asked = spots.select("doc", "doc_id", "place").distinct().join(asked.hint("merge"), ["doc_id", "place"]).select("doc", "place")
-    found = in_repeated_runs(texts, asked, bands).select(
-        "doc_id",
-        F.shiftrightunsigned("place", 32).alias("first_char"),
-        F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("end_char"),
-    )
-    return long.unionByName(short.join(found.hint("merge"), ["doc_id", "first_char", "end_char"], "left_semi"))
