@@ -34,6 +34,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def surrogate_key(spark: SparkSession) -> str:
+    """The secret of the surrogates, from the session's setting ``spark.shelflight.surrogate.secret``.
+
+    Where it is unset (tests, trials) a key that is no secret is used: whoever
+    knows it can test guesses against surrogates.
+    """
+    return spark.conf.get("spark.shelflight.surrogate.secret", "not secret")
+
+
 #: Spark's setting that removes a query's shuffle files when the query ends.
 _RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

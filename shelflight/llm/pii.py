@@ -4,29 +4,42 @@ Entities are found by one alternation of bounded patterns. Every entity has a
 canonical form, so that the spellings of one phone or card number share one
 surrogate (coreference), and a surrogate is drawn from a keyed hash of kind,
 canonical form and attempt. Surrogates keep the kind's format: digits stay
-digits, letters stay letters of their script and case, card numbers keep their
-scheme digit and the truth of their check digit, names keep title, gender and
-script, secrets keep their name and prefix.
+digits, letters stay letters of their script and case, card and account numbers
+keep their scheme or country and the truth of their check digits, secrets keep
+their name and prefix.
+
+A person is found by a title, and then by the full name anywhere in the same
+text. Given and family name have surrogates of their own, so "Dr. Anna Smith",
+"Mrs. Smith" and "Anna Smith" agree, whatever the title. The given name keeps
+its script and gender: that of a title the person has in the text, else what the
+name's ending says; where texts disagree about a person, what most entities of
+the corpus say. A name without any title in its text is not found, nor one in a
+script without capitals. One word behind a title is taken for a family name.
 
 Distinctness is checked over all entities of the corpus: a surrogate that two
 entities share, or that is itself an entity of the corpus, is drawn again for
 all but the first. Surrogates of attempt 0 need no lookup, they are worked out
-in place, so replacing is one pass over the text without a shuffle; only the
-few that were drawn again are joined in by document.
+in place, so replacing is one pass over the text without a shuffle; only what
+was drawn again, and people whose gender was settled by the corpus, are joined
+in by document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelflight.llm.common import materialise
 
-_MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа"
-_EITHER = "Dr|Prof"
+_MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|Κύριος|κύριος|κ"
+_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа|Κυρία|κυρία|κα"
+_EITHER = "Dr|Prof|Δρ|д-р"
 _TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? "
 _NAME = r"\p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40})?"
+#: Beginnings of access tokens (fixed values).
+_TOKEN = r"(?:github_pat_|gh[opusr]_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)"
 _SECRET_KEY = r"(?i:password|passwd|pwd|secret|api_key|apikey|token) ?[=:] ?[\"']?"
 
 #: First four digits of cards of the 2 series.
@@ -35,31 +48,33 @@ _TWO = r"(?:222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)"
 #: kind: pattern. Repetitions are bounded or of one class of characters, so long texts need no deep recursion.
 PATTERNS = {
     "secret": rf"(?<![A-Za-z0-9]){_SECRET_KEY}[A-Za-z0-9_+/.-]{{8,}}+",
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
+    "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[\p{L}0-9-]{1,63}(?:\.[\p{L}0-9-]{1,63}){1,8}",
+    "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _TOKEN + r"[A-Za-z0-9_-]{16,}+)",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[.-]\d{4})(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
+    "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "card": rf"(?<![\w-])(?:[3-6]\d{{12,18}}|{_TWO}\d{{12}}|(?:[3-6]\d{{3}}|{_TWO})(?:[ -]\d{{4}}){{3}}|3\d{{3}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-])",
     "name": _TITLE + _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text needs to hold before the patterns are tried.
-MAYBE = rf"[0-9@]|AKIA|{_SECRET_KEY}|{_TITLE}"
-
-#: Given names by gender and script, and syllables of family names (fixed values).
-GIVEN = {
-    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Martin Noel Oscar Paul".split(),
-    ("f", "latin"): "Anna Berta Clara Diana Elena Flora Greta Hanna Irene Julia Katia Laura Maria Nora Olga Paula".split(),
-    ("n", "latin"): "Alex Andrea Chris Dominique Eden Gabriele Jamie Kim Lou Maxime Noa Robin Sacha Sam Toni Val".split(),
-    ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Иван Кирилл Лев Максим Никита Олег Павел Роман Семён Фёдор".split(),
-    ("f", "cyrillic"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Раиса Софья Юлия".split(),
-    ("n", "cyrillic"): "Саша Женя Валя Слава Паша Никита Шура Миша Кира Тоня Лёня Рая Гена Люба Митя Надя".split(),
-}
-SYLLABLES = {
-    "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa po ra re ro sa se so ta to".split(),
-    "cyrillic": "ба бе бо да де до фа фе га го ка ке ко ла ле ло ма ме мо на не но па по ра ре ро са се со та то".split(),
-}
+MAYBE = rf"[0-9@]|A[KS]IA|{_TOKEN}|{_SECRET_KEY}|{_TITLE}"
+
+#: By script: the letters that draw letters, syllables of names, endings of men's and women's given names (fixed values).
+SCRIPTS = {
+    "latin": ("abcdefghijklmnopqrstuvwxyz", "ba be bi bo da de di do fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no pa po ra re ri ro sa se so ta te to va ve",
+              "n l s k rd", "na la sa ria lia"),
+    "cyrillic": ("абвгдежзиклмнопрстуфхцчшэюя", "ба бе бо да де ди до фа фе га го ка ке ко ла ле ли ло ма ме ми мо на не но па по ра ре ро са се со та то ва ве",
+                 "н л с к р", "на ла са рия лия"),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψω", "βα βε βο δα δε δο φα φε γα γο κα κε κο λα λε λο μα με μο να νε νο πα πο ρα ρε ρο σα σε σο τα το",
+              "νος λος ρης κης μος", "να λα νη ρα μη"),
+    "armenian": ("աբգդեզէթժիլխծկհձղճմյնշչպջռսվտրցփքֆ", "բա բե բո դա դե դո գա գո կա կե կո լա լե լո մա մե մո նա նե նո պա պո ռա ռե սա սե սո տա տո",
+                 "ն լ կ մ պ", "նա լա կա մա պա"),
+}
+#: Endings that mark a given name as a woman's where no title tells (fixed values).
+_SHE = r"[aeiаяαηίάήաե]$"
 MAX_ATTEMPTS = 32
 
 
@@ -69,7 +84,7 @@ def _let(value: Column, body) -> Column:
 
 
 def entities(text: Column) -> Column:
-    """Entities of a text in order of place, as they stand."""
+    """Entities of a text in order of place, as they stand, but for full names without a title."""
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
@@ -89,7 +104,8 @@ def prefix_of(entity: Column, kind: Column) -> Column:
     """What stays before the part that is replaced: a secret's name, a key's scheme, a person's title."""
     return (
         F.when(kind == "secret", F.regexp_extract(entity, _SECRET_KEY, 0))
-        .when(kind == "key", F.lit("AKIA"))
+        .when(kind == "key", F.regexp_extract(entity, rf"^(?:A[KS]IA|{_TOKEN})", 0))
+        .when(kind == "iban", F.substring(entity, 1, 2))
         .when(kind == "name", F.regexp_extract(entity, _TITLE, 0))
         .otherwise(F.lit(""))
     )
@@ -100,6 +116,7 @@ def _body(entity: Column, kind: Column) -> Column:
 
 
 def _gender(entity: Column) -> Column:
+    """m or f by the title of an entity; n where it has none or one for both."""
     return (
         F.when(entity.rlike(rf"^(?:{_FEMALE})\b"), F.lit("f"))
         .when(entity.rlike(rf"^(?:{_MALE})\b"), F.lit("m"))
@@ -107,14 +124,43 @@ def _gender(entity: Column) -> Column:
     )
 
 
+def person_of(entity: Column) -> Column:
+    """Given and family name of a name entity in lower case, a blank between; the family name alone of one word."""
+    return F.lower(_body(entity, F.lit("name")))
+
+
+def _family(person: Column) -> Column:
+    return F.substring_index(person, " ", -1)
+
+
+def _given(person: Column) -> Column:
+    """The first of two names; null for one."""
+    return F.when(person.contains(" "), F.substring_index(person, " ", 1))
+
+
+def guessed_gender(given: Column) -> Column:
+    """m or f by a given name's ending."""
+    return F.when(given.rlike(_SHE), F.lit("f")).otherwise(F.lit("m"))
+
+
+def script_of(text: Column) -> Column:
+    return (
+        F.when(text.rlike(r"\p{IsCyrillic}"), F.lit("cyrillic"))
+        .when(text.rlike(r"\p{IsGreek}"), F.lit("greek"))
+        .when(text.rlike(r"\p{IsArmenian}"), F.lit("armenian"))
+        .otherwise(F.lit("latin"))
+    )
+
+
 def canonical_of(entity: Column, kind: Column) -> Column:
-    """One form for all spellings of an entity. A name's holds gender and script too."""
+    """One form for all spellings of an entity; of a name the person."""
     body = _body(entity, kind)
     return (
         F.when(kind.isin("card", "ssn"), _digits(entity))
         .when(kind == "phone", _last(_digits(entity), 10))
-        .when(kind == "email", F.lower(entity))
-        .when(kind == "name", F.concat(_gender(entity), F.lit(" "), F.lower(body)))
+        .when(kind.isin("email", "ipv6"), F.lower(entity))
+        .when(kind == "iban", F.translate(entity, " ", ""))
+        .when(kind == "name", person_of(entity))
         .otherwise(body)
     )
 
@@ -145,17 +191,39 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(places, F.lit(0), add)
 
 
+def _mod97(text: Column) -> Column:
+    """The remainder by 97 of digits and capitals, A counting as 10."""
+
+    def add(total: Column, c: Column) -> Column:
+        digit = c.rlike("[0-9]")
+        value = F.when(digit, F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+        return (total * F.when(digit, 10).otherwise(100) + value) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _by_script(script: Column, values: Callable[[str], Column]) -> Column:
+    out = values("latin")
+    for other in SCRIPTS:
+        out = out if other == "latin" else F.when(script == other, values(other)).otherwise(out)
+    return out
+
+
 def _drawn_chars(body: Column, digest: Column, fixed_from: Column, hexadecimal: Column) -> Column:
     """``body`` with letters and digits before ``fixed_from`` drawn anew in their class and script."""
 
+    def letter(c: Column, b: Column) -> Column:
+        letters = F.when(c.rlike("[A-Za-z]"), F.lit(SCRIPTS["latin"][0])).otherwise(_by_script(script_of(c), lambda s: F.lit(SCRIPTS[s][0])))
+        size = F.when(hexadecimal, 6).otherwise(F.length(letters))
+        new = F.substring(letters, b % size + F.lit(1), F.lit(1))
+        return F.when(c == F.lower(c), new).otherwise(F.upper(new))
+
     def draw(c: Column, i: Column) -> Column:
         b = _byte(digest, i)
-        lower = F.when(hexadecimal, F.char(F.lit(97) + b % 6)).otherwise(F.char(F.lit(97) + b % 26))
         return (
             F.when(i >= fixed_from, c)
             .when(c.rlike("[0-9]"), (b % 10).cast("string"))
-            .when(c.rlike("[a-z]"), lower)
-            .when(c.rlike("[A-Z]"), F.upper(lower))
+            .when(c.rlike(r"\p{L}"), letter(c, b))
             .otherwise(c)
         )
 
@@ -163,56 +231,57 @@ def _drawn_chars(body: Column, digest: Column, fixed_from: Column, hexadecimal:
 
 
 def surrogate_of(kind: Column, canonical: Column, attempt: Column, key: str) -> Column:
-    """The keyed surrogate of a canonical form, itself in canonical form."""
+    """The keyed surrogate of a canonical form, itself in canonical form.
+
+    Parts of names have kinds of their own: given-m, given-f and family.
+    """
     digest = F.sha2(F.concat_ws("\x01", F.lit(key), kind, attempt.cast("string"), canonical).cast("binary"), 512)
-    return _let(digest, lambda d: _surrogate(kind, canonical, d))
+    return _let(digest, lambda d: _surrogate(kind, canonical, d, attempt))
+
+
+def _name_part(kind: Column, canonical: Column, digest: Column, attempt: Column) -> Column:
+    """Syllables of the name's script, longer with each attempt, and an ending by gender."""
+    script = script_of(canonical)
+    words = lambda at: _by_script(script, lambda s: F.array(*map(F.lit, SCRIPTS[s][at].split())))
+    pick = lambda options, n: F.get(options, n % F.size(options))
+    often = F.when(kind == "family", F.lit(4)).otherwise(F.lit(3)) + attempt
+    drawn = _let(words(1), lambda w: F.array_join(F.transform(F.sequence(F.lit(1), often), lambda i: pick(w, _byte(digest, i))), ""))
+    return F.concat(drawn, pick(F.when(kind == "given-f", words(3)).otherwise(words(2)), _byte(digest, F.lit(0))))
 
 
-def _surrogate(kind: Column, canonical: Column, digest: Column) -> Column:
+def _surrogate(kind: Column, canonical: Column, digest: Column, attempt: Column) -> Column:
     byte = lambda n: _byte(digest, F.lit(n))
-    everywhere = F.lit(1 << 30)
-
-    def number(low: int, span: int) -> Column:
-        """All digits drawn, the first in a range."""
-        rest = _drawn_chars(canonical, digest, everywhere, F.lit(False))
-        first = (F.lit(low) + byte(0) % span).cast("string")
-        return _let(rest, lambda r: F.concat(first, F.substring(r, F.lit(2), F.length(r))))
-
-    def card() -> Column:
-        drawn = _drawn_chars(canonical, digest, everywhere, F.lit(False))
-        scheme = _let(
-            drawn, lambda r: F.concat(F.substring(canonical, 1, 1), F.substring(r, F.lit(2), F.length(r) - F.lit(2)))
-        )
 
-        def checked(r: Column) -> Column:
-            check = F.pmod(F.lit(10) - _luhn_sum(F.concat(r, F.lit("0"))) % 10, F.lit(10))
-            wrong = F.lit(1) + byte(63) % 9
-            shift = F.when(_luhn_sum(canonical) % 10 == 0, F.lit(0)).otherwise(wrong)
-            return F.concat(r, F.pmod(check + shift, F.lit(10)).cast("string"))
+    def number(r: Column) -> Column:
+        """All digits drawn, the first from 2 for a phone, from 1 for others."""
+        low = F.when(kind == "phone", 2).otherwise(1)
+        return F.concat((low + byte(0) % 8).cast("string"), F.substring(r, F.lit(2), F.length(r)))
 
-        return _let(scheme, checked)
+    def card(r: Column) -> Column:
+        own = F.concat(F.substring(canonical, 1, 1), F.substring(r, F.lit(2), F.length(r) - F.lit(2)))
+        check = F.pmod(F.lit(10) - _luhn_sum(F.concat(own, F.lit("0"))) % 10, F.lit(10))
+        shift = F.when(_luhn_sum(canonical) % 10 == 0, F.lit(0)).otherwise(F.lit(1) + byte(63) % 9)
+        return F.concat(own, F.pmod(check + shift, F.lit(10)).cast("string"))
 
-    def name(script: str) -> Column:
-        gender = F.substring(canonical, 1, 1)
-        given = (
-            F.when(gender == "m", _pick(GIVEN["m", script], byte(0)))
-            .when(gender == "f", _pick(GIVEN["f", script], byte(0)))
-            .otherwise(_pick(GIVEN["n", script], byte(0)))
-        )
-        family = F.initcap(F.concat(*[_pick(SYLLABLES[script], byte(n)) for n in range(1, 6)]))
-        one = F.size(F.split(canonical, " ")) < 3
-        return F.concat(gender, F.lit(" "), F.when(one, family).otherwise(F.concat(given, F.lit(" "), family)))
+    def account(r: Column) -> Column:
+        country, own = F.substring(canonical, 1, 2), F.substring(r, F.lit(5), F.length(r))
+        right = _mod97(F.concat(F.substring(canonical, F.lit(5), F.length(canonical)), F.substring(canonical, 1, 4))) == 1
+        check = F.lit(98) - _mod97(F.concat(own, country, F.lit("00")))
+        shift = F.when(right, F.lit(0)).otherwise(F.lit(1) + byte(63) % 95)
+        return F.concat(country, F.lpad((F.pmod(check - 2 + shift, F.lit(97)) + 2).cast("string"), 2, "0"), own)
 
     ip = F.concat_ws(".", (F.lit(1) + byte(0) % 223).cast("string"), *[byte(n).cast("string") for n in (1, 2, 3)])
-    label = F.length(F.substring_index(canonical, ".", -1))
+    # an address keeps its last label; hexadecimal secrets stay hexadecimal
+    fixed = F.when(kind == "email", F.length(canonical) - F.length(F.substring_index(canonical, ".", -1))).otherwise(F.lit(1 << 30))
+    hexadecimal = (kind == "ipv6") | canonical.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")
+    by_char = _let(
+        _drawn_chars(canonical, digest, fixed, hexadecimal),
+        lambda r: F.when(kind.isin("phone", "ssn"), number(r)).when(kind == "card", card(r)).when(kind == "iban", account(r)).otherwise(r),
+    )
     return (
-        F.when(kind == "phone", number(2, 8))
-        .when(kind == "ssn", number(1, 8))
-        .when(kind == "card", card())
-        .when(kind == "ip", ip)
-        .when(kind == "email", _drawn_chars(canonical, digest, F.length(canonical) - label, F.lit(False)))
-        .when(kind == "name", F.when(canonical.rlike(r"\p{IsCyrillic}"), name("cyrillic")).otherwise(name("latin")))
-        .otherwise(_drawn_chars(canonical, digest, everywhere, canonical.rlike(r"\A(?:[0-9a-f]+|[0-9A-F]+)\z")))
+        F.when(kind == "ip", ip)
+        .when(kind.isin("given-m", "given-f", "family"), _name_part(kind, canonical, digest, attempt))
+        .otherwise(by_char)
     )
 
 
@@ -220,32 +289,69 @@ def render(entity: Column, kind: Column, surrogate: Column) -> Column:
     """A canonical surrogate in the spelling of an entity: its punctuation, case, prefix and country code."""
     start = F.struct(F.lit("").alias("done"), F.lit(1).alias("at"))
 
-    def numbers(filled: Column) -> Column:
+    def filled_in(filled: Column, place: str) -> Column:
+        """The entity with the characters of ``filled`` in turn where it has one of the class ``place``."""
+
         def fill(state: Column, c: Column) -> Column:
-            digit = c.rlike("[0-9]")
+            taken = c.rlike(place)
             return F.struct(
-                F.concat(state["done"], F.when(digit, F.substring(filled, state["at"], F.lit(1))).otherwise(c)).alias("done"),
-                (state["at"] + digit.cast("int")).alias("at"),
+                F.concat(state["done"], F.when(taken, F.substring(filled, state["at"], F.lit(1))).otherwise(c)).alias("done"),
+                (state["at"] + taken.cast("int")).alias("at"),
             )
 
         return F.aggregate(F.split(entity, ""), start, fill, lambda s: s["done"])
 
     def letter(c: Column, i: Column) -> Column:
         new = F.substring(surrogate, i + F.lit(1), F.lit(1))
-        return F.when(c.rlike("[A-Z]"), F.upper(new)).otherwise(new)
+        return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
+
+    def word(old: Column, new: Column) -> Column:
+        return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
+
+    def words(body: Column) -> Column:
+        family = word(_family(body), _family(surrogate))
+        return F.when(body.contains(" "), F.concat(word(F.substring_index(body, " ", 1), F.substring_index(surrogate, " ", 1)), F.lit(" "), family)).otherwise(family)
 
     kept = F.length(_digits(entity)) - F.length(surrogate)  # a country code before the number
     filled = F.concat(F.substring(_digits(entity), F.lit(1), kept), surrogate)
-    person = F.substring(surrogate, F.lit(3), F.length(surrogate))
-    shout = _let(_body(entity, kind), lambda b: (b == F.upper(b)) & (F.length(b) > 2))
     return (
-        F.when(kind.isin("phone", "card", "ssn"), _let(filled, numbers))
-        .when(kind == "email", F.array_join(F.transform(F.split(entity, ""), letter), ""))
-        .when(kind == "name", F.concat(prefix_of(entity, kind), F.when(shout, F.upper(person)).otherwise(person)))
+        F.when(kind.isin("phone", "card", "ssn"), _let(filled, lambda f: filled_in(f, "[0-9]")))
+        .when(kind == "iban", filled_in(surrogate, "[A-Z0-9]"))
+        .when(kind.isin("email", "ipv6"), F.array_join(F.transform(F.split(entity, ""), letter), ""))
+        .when(kind == "name", F.concat(prefix_of(entity, kind), _let(_body(entity, kind), words)))
         .otherwise(F.concat(prefix_of(entity, kind), surrogate))
     )
 
 
+# --- persons of a text -----------------------------------------------------------
+
+
+def _titled(text: Column) -> Column:
+    """(person, gender) of the full names behind a title in a text: what one text says of its people."""
+    named = F.regexp_extract_all(text, F.lit(_TITLE + _NAME), F.lit(0))
+    people = F.transform(named, lambda e: F.struct(person_of(e).alias("person"), _gender(e).alias("gender")))
+    return F.filter(people, lambda p: p["person"].contains(" "))
+
+
+def _full_names(text: Column) -> Column:
+    """The full names behind a title in a text, as they stand, each once."""
+    bodies = F.transform(F.regexp_extract_all(text, F.lit(_TITLE + _NAME), F.lit(0)), lambda e: _body(e, F.lit("name")))
+    return F.array_distinct(F.filter(bodies, lambda b: b.contains(" ")))
+
+
+def pattern_of(names: Column) -> Column:
+    """The alternation of all patterns and of the full names of a text."""
+    quoted = F.array_join(F.transform(names, lambda n: F.concat(F.lit(r"\Q"), n, F.lit(r"\E"))), "|")
+    own = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), quoted, F.lit(r")(?![\p{L}\p{N}])"))
+    return F.when(F.size(names) > 0, own).otherwise(F.lit(ANY))
+
+
+def gender_in(people: Column, person: Column) -> Column:
+    """The gender of a person in a text: that of the first title that tells, else by the given name."""
+    told = F.get(F.filter(people, lambda p: (p["person"] == person) & (p["gender"] != "n")), F.lit(0))["gender"]
+    return F.coalesce(told, guessed_gender(_given(person)))
+
+
 def _redrawn(found: DataFrame, key: str) -> DataFrame | None:
     """(kind, canonical, surrogate) of entities whose first surrogate was taken; None if there are none.
 
@@ -285,28 +391,55 @@ def _redrawn(found: DataFrame, key: str) -> DataFrame | None:
     return None if attempt == 1 else drawn.where("attempt > 0").select("kind", "canonical", "surrogate")
 
 
-def _replaced(text: Column, key: str, redrawn: Column | None) -> Column:
+def _people(names: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(person, gender) of full names, and of those the people of whom texts disagree; None if there are none.
+
+    ``names`` has distinct person, gender (as a text has it) and told (by a title).
+    """
+    votes = F.count_if(F.col("told") & (F.col("gender") == "f")) - F.count_if(F.col("told") & (F.col("gender") == "m"))
+    seen = names.groupBy("person").agg(
+        votes.alias("votes"), F.bool_or("told").alias("told"), F.min("gender").alias("least"), F.max("gender").alias("most")
+    )
+    by_votes = F.when(F.col("votes") > 0, F.lit("f")).when(F.col("votes") < 0, F.lit("m")).otherwise(guessed_gender(_given(F.col("person"))))
+    settled = materialise(
+        seen.select("person", F.when(F.col("least") == F.col("most"), F.col("least")).otherwise(by_votes).alias("gender"), (F.col("least") != F.col("most")).alias("open")),
+        "people",
+    )
+    disputed = settled.where("open").select("person", "gender")
+    return settled.select("person", "gender"), None if disputed.isEmpty() else disputed
+
+
+def _replaced(text: Column, entities_: Column, pattern: Column, people: Column, key: str, table: Column | None) -> Column:
     """The text with every entity's surrogate in its place."""
 
-    def drawn(kind: Column, canonical: Column) -> Column:
-        first = surrogate_of(kind, canonical, F.lit(0), key)
-        if redrawn is None:
-            return first
-        return F.coalesce(F.try_element_at(redrawn, F.concat_ws("\x01", kind, canonical)), first)
+    def known(kind: Column, canonical: Column, otherwise: Column) -> Column:
+        if table is None:
+            return otherwise
+        return F.coalesce(F.try_element_at(table, F.concat_ws("\x01", kind, canonical)), otherwise)
+
+    def parts(kind: Column, canonical: Column) -> Column:
+        """What is drawn for an entity: (kind, canonical), for a person each name."""
+        part = lambda k, c: F.struct(k.alias("kind"), c.alias("canonical"))
+        given = F.concat(F.lit("given-"), known(F.lit("person"), canonical, gender_in(people, canonical)))
+        family = part(F.lit("family"), _family(canonical))
+        whole = F.when(canonical.contains(" "), F.array(part(given, _given(canonical)), family)).otherwise(F.array(family))
+        return F.when(kind == "name", whole).otherwise(F.array(part(kind, canonical)))
+
+    def drawn(part: Column) -> Column:
+        return known(part["kind"], part["canonical"], surrogate_of(part["kind"], part["canonical"], F.lit(0), key))
 
     def one(entity: Column) -> Column:
-        return _let(
-            kind_of(entity),
-            lambda kind: _let(
-                canonical_of(entity, kind),
-                lambda canonical: _let(drawn(kind, canonical), lambda new: render(entity, kind, new)),
-            ),
-        )
+        def with_kind(kind: Column) -> Column:
+            new = _let(canonical_of(entity, kind), lambda canonical: F.array_join(F.transform(parts(kind, canonical), drawn), " "))
+            return _let(new, lambda n: render(entity, kind, n))
 
-    between = F.split(text, ANY, -1)
-    shown = F.transform(entities(text), one)
+        return _let(kind_of(entity), with_kind)
+
+    between = F.split(text, pattern, -1)
     # the text between entities is one longer than the entities
-    return F.array_join(F.flatten(F.zip_with(between, shown, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    return F.array_join(
+        F.flatten(F.zip_with(between, F.transform(entities_, one), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""
+    )
 
 
 def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | None = "n_entities") -> DataFrame:
@@ -315,32 +448,74 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | N
     Null texts stay null and have 0 entities; texts without entities are
     unchanged. The same entity has the same surrogate in every row, different
     entities have different ones, and no surrogate is an entity of the corpus.
-    Repeated rows stay; other columns pass through, one called like ``count`` is
-    replaced. The rows are read twice: for the check, and for the replacing.
+    Texts of any length are whole: patterns are bounded, or runs of one class of
+    characters. Repeated rows stay; other columns pass through, one called like
+    ``count`` is replaced. An empty table gives no rows. The rows are read twice:
+    for the check, and for the replacing.
     """
-    own = F.col(f"`{text}`")
+    # own names inside, so that no column of the caller's can clash
+    columns = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    df = df.select(*[F.col(f"`{c}`").alias(n) for c, n in columns.items()])
+    own = F.col(columns[text])
     maybe = F.coalesce(own.rlike(MAYBE), F.lit(False))
-    listed = df.where(maybe).select(F.explode(F.array_distinct(entities(own))).alias("entity"))
-    listed = listed.groupBy("entity").agg(F.lit(1)).select("entity", kind_of(F.col("entity")).alias("kind"))
-    found = materialise(
-        listed.select("kind", canonical_of(F.col("entity"), F.col("kind")).alias("canonical")).distinct(), "entities"
+    titled = F.coalesce(own.rlike(_TITLE), F.lit(False))
+    nobody = F.array().cast("array<string>")
+    # a text without a title has no people: its pattern is always the same, and compiled once for texts in a row
+    names = F.when(titled, _full_names(own)).otherwise(nobody)
+    marked = df.withColumns({"__maybe": maybe, "__names": names}).where("__maybe")
+
+    def found_in(names_: Column) -> Column:
+        return F.regexp_extract_all(own, pattern_of(names_), F.lit(0))
+
+    people = F.when(F.size("__names") > 0, _titled(own)).otherwise(F.array().cast("array<struct<person:string,gender:string>>"))
+    listed = marked.select(F.explode(F.array_distinct(found_in(F.col("__names")))).alias("entity"), people.alias("people"))
+    listed = listed.withColumn("kind", kind_of(F.col("entity")))
+    plain = listed.where("kind <> 'name'").groupBy("kind", "entity").agg(F.lit(1)).select("kind", canonical_of(F.col("entity"), F.col("kind")).alias("canonical"))
+    person = person_of(F.col("entity"))
+    named = listed.where("kind = 'name'").select(
+        person.alias("person"),
+        gender_in(F.col("people"), person).alias("gender"),
+        F.exists("people", lambda p: (p["person"] == person) & (p["gender"] != "n")).alias("told"),
     )
+    named = materialise(named.distinct(), "names")
+    settled, disputed = _people(named.where(F.col("person").contains(" ")))
+    parts = settled.select(F.concat(F.lit("given-"), "gender").alias("kind"), _given(F.col("person")).alias("canonical"))
+    families = named.select(F.lit("family").alias("kind"), _family(F.col("person")).alias("canonical"))
+    found = materialise(plain.unionByName(parts).unionByName(families).distinct(), "entities")
     redrawn = _redrawn(found, key)
-    names = [c for c in df.columns if count is None or c.lower() != count.lower()]
-    number = [] if count is None else [F.when(maybe, F.size(entities(own))).otherwise(0).cast("long").alias(count)]
+    lookups = [redrawn] if redrawn is not None else []
+    if disputed is not None:
+        lookups.append(disputed.select(F.lit("person").alias("kind"), F.col("person").alias("canonical"), F.col("gender").alias("surrogate")))
 
-    def shown(part: DataFrame, table: Column | None) -> DataFrame:
-        new = F.when(maybe, _replaced(own, key, table)).otherwise(own).alias(text)
-        return part.select(*[new if c == text else F.col(f"`{c}`") for c in names], *number)
+    columns = {c: n for c, n in columns.items() if count is None or c.lower() != count.lower()}
 
-    if redrawn is None:
+    def shown(part: DataFrame, table: Column | None) -> DataFrame:
+        part = part.withColumns({"__maybe": maybe, "__names": names})
+        part = part.withColumn("__entities", F.when(F.col("__maybe"), found_in(F.col("__names"))))
+        replaced = _replaced(own, F.col("__entities"), pattern_of(F.col("__names")), people, key, table)
+        new = F.when(F.size("__entities") > 0, replaced).otherwise(own).alias(text)
+        number = [] if count is None else [F.greatest(F.coalesce(F.size("__entities"), F.lit(0)), F.lit(0)).cast("long").alias(count)]
+        return part.select(*[new if c == text else F.col(n).alias(c) for c, n in columns.items()], *number)
+
+    if not lookups:
         return shown(df, None)
+    lookup = materialise(lookups[0] if len(lookups) == 1 else lookups[0].unionByName(lookups[1]), "lookups")
     rows = df.where(maybe).withColumn("__hash", F.xxhash64(own))
-    uses = rows.select("__hash", F.explode(F.array_distinct(entities(own))).alias("entity")).distinct()
+    uses = rows.withColumn("__names", names).select("__hash", F.explode(F.array_distinct(found_in(F.col("__names")))).alias("entity")).distinct()
     uses = uses.withColumn("kind", kind_of(F.col("entity")))
     uses = uses.withColumn("canonical", canonical_of(F.col("entity"), F.col("kind")))
+    # a name may ask for its family, its given name as either gender, and the person
+    asked = F.when(
+        F.col("kind") == "name",
+        F.array(
+            F.struct(F.lit("family").alias("kind"), _family(F.col("canonical")).alias("canonical")),
+            *[F.struct(F.lit(k).alias("kind"), _given(F.col("canonical")).alias("canonical")) for k in ("given-m", "given-f")],
+            F.struct(F.lit("person").alias("kind"), F.col("canonical").alias("canonical")),
+        ),
+    ).otherwise(F.array(F.struct("kind", "canonical")))
+    uses = uses.select("__hash", F.explode(asked).alias("a")).select("__hash", "a.kind", "a.canonical")
     tables = (
-        uses.join(redrawn.hint("merge"), ["kind", "canonical"])
+        uses.join(lookup.hint("merge"), ["kind", "canonical"])
         .select("__hash", F.concat_ws("\x01", "kind", "canonical").alias("entity"), "surrogate")
         .distinct()
         .groupBy("__hash")

@@ -24,17 +24,13 @@ from shelflight.llm import (
     warc,
     zstd_quality,
 )
-from shelflight.llm.common import shared_dir
+from shelflight.llm.common import shared_dir, surrogate_key
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Key of the surrogates in the registered query; production passes a secret of its own.
-SURROGATE_KEY = "shelflight"
-
-
 def op1_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard among 16 by jump consistent hashing of doc_id."""
     return sharding.assign_shards(_table(spark, sf_dir, "documents"), 16)
@@ -78,7 +74,7 @@ def op6_zstd_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with keyed surrogates in place of personal data."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.replace_entities(docs, SURROGATE_KEY)
+    return pii.replace_entities(docs, surrogate_key(spark))
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
