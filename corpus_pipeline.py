@@ -12,9 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.llm import decontam, pii, simhash, spm, zstd_quality
-from shelflight.llm.common import shared_dir
-
-SURROGATE_KEY = "shelflight"
+from shelflight.llm.common import shared_dir, surrogate_key
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,7 +36,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates in place of personal data; n_chars follows the new text."""
-    replaced = pii.replace_entities(docs, SURROGATE_KEY, count=None)
+    replaced = pii.replace_entities(docs, surrogate_key(spark), count=None)
     length = F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return replaced.withColumn("n_chars", length)
 
