@@ -21,12 +21,13 @@ def normalize_url(url: Column) -> Column:
     return F.when(bare.endswith("/"), bare).otherwise(F.concat(bare, F.lit("/")))
 
 
+#: The two forms of a ranked list's path (fixed values).
+CHART_PATHS = (rf"/gp/(?:{_LISTS})/([a-z][a-z0-9-]+)", r"/zg(?:bs|ns)/([a-z][a-z0-9-]+)")
+
+
 def chart_slug(url: Column) -> Column:
     """Category slug of a ranked-list URL in either of its two forms; null if it is neither."""
-    return F.coalesce(
-        _found(url, rf"/gp/(?:{_LISTS})/([a-z][a-z0-9-]+)"),
-        _found(url, r"/zg(?:bs|ns)/([a-z][a-z0-9-]+)"),
-    )
+    return F.coalesce(*[_found(url, path) for path in CHART_PATHS])
 
 
 def path_slug(url: Column) -> Column:

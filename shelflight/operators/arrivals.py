@@ -80,3 +80,35 @@ def funnel(stages: dict[str, DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def run_funnel(
+    found: DataFrame, nodes: DataFrame, details: DataFrame, as_of: Column, rules: ArrivalRules = RULES, known: DataFrame | None = None
+) -> DataFrame:
+    """(stage, place, n) of a whole run: nodes, found, unique, ok, filtered, error, signals, saved.
+
+    ``found`` and ``nodes`` are those of ``candidates``, ``details`` those of
+    ``arrivals``, once for an item; an item without details is an error. saved
+    counts the accepted items that ``known`` (asin) does not hold.
+    """
+    rows = candidates(found, nodes).join(details.withColumn("__has", F.lit(True)), "asin", "left")
+    if known is not None:
+        rows = rows.join(known.select("asin", F.lit(True).alias("__known")).distinct(), "asin", "left")
+    else:
+        rows = rows.withColumn("__known", F.lit(None).cast("boolean"))
+    age = F.datediff(as_of, F.col("listing_date"))
+    has = F.col("__has").isNotNull()
+    ok = has & accepted(F.col("bsr_main_rank"), age, rules)
+    counted = rows.agg(
+        F.count("*").alias("unique"),
+        F.count_if(ok).alias("ok"),
+        F.count_if(has & ~ok).alias("filtered"),
+        F.count_if(~has).alias("error"),
+        F.count_if(ok & is_signal(F.col("bsr_main_rank"), age, F.col("review_count"), rules)).alias("signals"),
+        F.count_if(ok & F.col("__known").isNull()).alias("saved"),
+    )
+    # one row each
+    whole = counted.crossJoin(nodes.agg(F.count_distinct("node_id").alias("nodes"))).crossJoin(found.agg(F.count("*").alias("found")))
+    stages = ["nodes", "found", "unique", "ok", "filtered", "error", "signals", "saved"]
+    entries = F.array(*[F.struct(F.lit(n).alias("stage"), F.lit(i).alias("place"), F.col(n).alias("n")) for i, n in enumerate(stages)])
+    return whole.select(F.inline(entries))

@@ -198,6 +198,15 @@ class DetailFilter:
 COARSE = PageFilter(price_min=15, price_max=60, review_max=100)
 FINAL_REVIEWS, FINAL_COMPETITION = 50, 5000
 
+
+def screened(competition: Column, final: bool = True) -> Column:
+    """The coarse preset, and with ``final`` the caps on reviews and on competing results too; null fails a cap."""
+    tests = [COARSE.column()]
+    if final:
+        tests += [within(F.col("review_count"), None, FINAL_REVIEWS), within(competition, None, FINAL_COMPETITION)]
+    return all_of(tests)
+
+
 #: Words in slugs of categories that are skipped, and words that keep one all the same (fixed values).
 SKIP_WORDS = (
     "books", "book", "buch", "fremdsprachig", "lesen",

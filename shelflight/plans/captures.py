@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.functions import fields, urls
-from shelflight.operators import browse, extract, filters, quality, tracking, tree
+from shelflight.operators import arrivals, browse, extract, filters, quality, tracking, tree
 from shelflight.plans import views
-from shelflight.plans.catalogue import FLAGS, query
-from shelflight.plans.views import WITH_DETAILS, WITH_NODES, duckdb_sql
+from shelflight.plans.catalogue import AS_OF, FLAGS, query
+from shelflight.plans.views import WITH_DETAILS, WITH_NODES, WITH_SIGHTINGS
 from shelflight.schema import with_locale
 from shelflight.sources import tables
 from shelflight.streaming import jobs
@@ -288,6 +288,50 @@ def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""WITH {_D} SELECT asin, CASE WHEN k % 3 = 0 OR size % 4 = 0 THEN 'FBA' WHEN k % 3 = 1 OR size % 4 = 1 THEN 'FBM' END AS fulfilment,
+ k % 2 = 0 AS long_text FROM d""")
+def extended_fulfilment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fulfilment by either of two blocks, and whether a block has more than a few characters."""
+    kind = F.col("size") % 4
+    offer = F.when(kind == 0, "Ships from Amazon, Fulfilled by Amazon").when(kind == 1, "Ships from a shop")
+    return views.details(spark, sf_dir).select(
+        "asin",
+        fields.fulfilment_extended(F.col("merchant_text"), offer).alias("fulfilment"),
+        fields.present(F.when(F.col("asin").cast("long") % 2 == 0, F.lit("x" * 21)).otherwise(F.lit("x" * 20)), 20).alias("long_text"),
+    )
+
+
+@query(f"""WITH {WITH_SIGHTINGS} SELECT asin, list_type, l_orderkey, l_linenumber, review_count <= 50 AND l_suppkey * 97 <= 5000 AS final FROM (
+ SELECT * REPLACE (price / 1000 AS price) FROM sightings) WHERE price BETWEEN 15 AND 60 AND review_count <= 100""")
+def screened_sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sightings behind the coarse screening, and which of them the final one keeps."""
+    rows = views.sightings(spark, sf_dir).withColumn("price", F.col("price") / 1000).withColumn("competition", F.col("l_suppkey") * 97)
+    kept = rows.where(filters.screened(F.col("competition"), final=False))
+    final = filters.screened(F.col("competition"))
+    return kept.select("asin", "list_type", "l_orderkey", "l_linenumber", final.alias("final"))
+
+
+@query(f"""WITH {WITH_SIGHTINGS}, {_D}, y AS (SELECT k, size % 20 AS reviews, {_MAIN} AS main_rank, date_diff('day', {_DAY}, DATE '2024-07-01') AS age, k % 7 <> 0 AS has
+ FROM d WHERE asin IN (SELECT asin FROM sightings)), z AS (SELECT *, has AND coalesce(age <= 30, true) AND main_rank <= 200000 AS ok FROM y),
+ n AS (SELECT count(*) AS "unique", count(*) FILTER (ok) AS ok, count(*) FILTER (has AND NOT ok) AS filtered, count(*) FILTER (NOT has) AS error,
+ count(*) FILTER (ok AND coalesce(age <= 25, false) AND reviews < 10 AND main_rank <= 50000) AS signals, count(*) FILTER (ok AND k % 2 = 1) AS saved FROM z)
+SELECT 'nodes' AS stage, 0 AS place, (SELECT count(DISTINCT p_brand) FROM part) AS n UNION ALL SELECT 'found', 1, (SELECT count(*) FROM sightings)
+UNION ALL SELECT 'unique', 2, "unique" FROM n UNION ALL SELECT 'ok', 3, ok FROM n UNION ALL SELECT 'filtered', 4, filtered FROM n
+UNION ALL SELECT 'error', 5, error FROM n UNION ALL SELECT 'signals', 6, signals FROM n UNION ALL SELECT 'saved', 7, saved FROM n""")
+def run_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of a run over new arrivals, from nodes to saved rows."""
+    found = views.sightings(spark, sf_dir).select("asin", "node_id", F.col("l_linenumber").alias("page_no"), F.col("l_orderkey").alias("idx"))
+    nodes = views.view(spark, sf_dir, "SELECT DISTINCT p_brand AS node_id, p_brand AS name, 1 AS depth FROM {part}")
+    main, _, _ = fields.split_ranks(fields.sales_ranks(F.col("ranks_text")))
+    details = views.details(spark, sf_dir).select(
+        "asin", fields.month_date(F.col("date_text")).alias("listing_date"), main["rank"].alias("bsr_main_rank"),
+        (F.col("size") % 20).alias("review_count"),
+    )
+    number = F.col("asin").cast("long")
+    known = details.where(number % 2 == 0).select("asin")
+    return arrivals.run_funnel(found, nodes, details.where(number % 7 != 0), F.lit(AS_OF), arrivals.ArrivalRules(signal_age_days=25), known)
+
+
 # --- the browser's listings -----------------------------------------------------
 
 _UP = """up AS (
@@ -430,13 +474,6 @@ def stream_first_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(jobs.first_of_run(twice, ["user_id", "event_type"]).select("user_id", "event_type"))
 
 
-@query("SELECT event_id, user_id FROM events")
-def stream_repeated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of a stream that comes twice, each once, with state inside the watermark only."""
-    twice = _stream(spark, sf_dir).unionByName(_stream(spark, sf_dir))
-    return _drained(jobs.first_in_window(twice, "event_id", "ts", "1 day").select("event_id", "user_id"))
-
-
 @query(f"""WITH {_D} SELECT k AS page_id, 0 AS pos, concat('B', lpad(asin, 9, '0')) AS asin FROM d
 UNION ALL SELECT k, 1, concat('C', lpad(asin, 9, '0')) FROM d""")
 def stream_page_items(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,26 +259,23 @@ def nodes_by_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {WITH_NODES}, l(list_type) AS (VALUES ('new-releases'), ('bestsellers'), ('movers-and-shakers'), ('most-wished-for'), ('most-gifted'))
-SELECT node_id, list_type, concat('https://shop.example/gp/', list_type, '/', slug, '/', node_id, '/') AS url FROM nodes, l WHERE depth < 3""")
+SELECT node_id, list_type, concat('https://shop.example/gp/', list_type, '/', slug, '/', node_id, '/') AS url FROM nodes, l""")
 def chart_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every node on every ranked list."""
     from shelflight.schema import list_types
 
-    nodes = views.nodes(spark, sf_dir).where("depth < 3")
-    return tree.chart_targets(nodes, list_types(spark), F.lit("https://shop.example"))
+    return tree.chart_targets(views.nodes(spark, sf_dir), list_types(spark), F.lit("https://shop.example"))
 
 
-@query(f"""WITH {WITH_NODES} SELECT node_id FROM nodes WHERE name ILIKE '%order#%' OR name ILIKE '%00_1%' ESCAPE '\\'
- OR name ILIKE '%mer#00000001%'""")
+@query(f"""WITH {WITH_NODES}, named AS (SELECT node_id, CASE WHEN depth = 2 THEN replace(name, '#00', '_0%') ELSE name END AS name FROM nodes)
+SELECT node_id FROM named WHERE contains(lower(name), '_0%') AND contains(lower(name), 'mer_0%') OR contains(lower(name), 'er 3-')""")
 def name_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Substring search; % and _ are plain characters."""
+    """Substring search; % and _ are plain characters, which some names hold."""
+    nodes = views.nodes(spark, sf_dir)
+    named = nodes.withColumn("name", F.when(F.col("depth") == 2, F.replace("name", F.lit("#00"), F.lit("_0%"))).otherwise(F.col("name")))
     name = F.col("name")
-    wanted = filters.name_contains(name, "order#") | filters.name_contains(name, "mer#00000001")
-    return views.nodes(spark, sf_dir).where(wanted).select("node_id")
-
-
-ORACLE_SQL["name_search"] = f"""WITH {WITH_NODES} SELECT node_id FROM nodes
-WHERE contains(lower(name), 'order#') OR contains(lower(name), 'mer#00000001')"""
+    wanted = (filters.name_contains(name, "_0%") & filters.name_contains(name, "MER_0%")) | filters.name_contains(name, "er 3-")
+    return named.where(wanted).select("node_id")
 
 
 @query(f"""WITH {WITH_NODES} SELECT node_id, least(depth, 2) AS bucket FROM nodes
@@ -322,17 +319,25 @@ def crumb_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.edges_of_crumbs(views.view(spark, sf_dir, _CRUMBS), known)
 
 
-@query(f"""WITH RECURSIVE {WITH_NODES}, e AS (SELECT p.url AS parent_url, n.* FROM nodes n JOIN nodes p ON n.parent_node_id = p.node_id WHERE n.depth < 3 AND n.url NOT IN (SELECT url FROM nodes GROUP BY url HAVING count(*) > 1)),
-g AS (SELECT url, node_id, 0 AS depth FROM nodes WHERE depth = 0
-  UNION ALL SELECT e.url, e.node_id, g.depth + 1 FROM g JOIN e ON e.parent_url = g.url)
-SELECT node_id, depth FROM g""")
+def _grown_oracle() -> str:
+    """Four levels written out: at each, children of the last level whose url and id are unknown, one to a url, then one to an id."""
+    first = "row_number() OVER (PARTITION BY {} ORDER BY parent_url, url, name, node_id) = 1"
+    sql = f"""WITH {WITH_NODES}, e AS (SELECT p.url AS parent_url, n.name, n.url, n.node_id FROM nodes n JOIN nodes p ON n.parent_node_id = p.node_id),
+    known0 AS (SELECT url, node_id, 0 AS depth FROM nodes WHERE depth = 0)"""
+    for n in range(1, 5):
+        sql += f""", found{n} AS (SELECT DISTINCT e.* FROM e JOIN known{n - 1} k ON e.parent_url = k.url AND k.depth = {n - 1}
+          WHERE e.url NOT IN (SELECT url FROM known{n - 1}) AND e.node_id NOT IN (SELECT node_id FROM known{n - 1})),
+        once{n} AS (SELECT * FROM found{n} QUALIFY {first.format('url')}), level{n} AS (SELECT * FROM once{n} QUALIFY {first.format('node_id')}),
+        known{n} AS (SELECT * FROM known{n - 1} UNION ALL SELECT url, node_id, {n} FROM level{n})"""
+    return sql + " SELECT node_id, depth FROM known4"
+
+
+@query(_grown_oracle())
 def grown_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Breadth-first growth from the roots over captured edges."""
+    """Breadth-first growth from the roots over all captured edges; many pages share a URL."""
     nodes = views.nodes(spark, sf_dir)
-    repeated = nodes.groupBy("url").count().where("count > 1").select("url")
     parents = nodes.select(F.col("url").alias("parent_url"), F.col("node_id").alias("parent"))
-    own = nodes.where("depth < 3").join(repeated, "url", "left_anti")
-    edges = own.join(parents, F.col("parent_node_id") == F.col("parent")).select("parent_url", "name", "url", "node_id", "slug")
+    edges = nodes.join(parents, F.col("parent_node_id") == F.col("parent")).select("parent_url", "name", "url", "node_id", "slug")
     return tree.grow(edges, nodes.where("depth = 0")).select("node_id", "depth")
 
 
@@ -398,11 +403,11 @@ def marked_and_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {WITH_SIGHTINGS} SELECT asin, node_id, list_type, l_orderkey FROM (
   SELECT *, row_number() OVER (PARTITION BY asin, node_id, list_type ORDER BY l_orderkey, l_linenumber, l_suppkey, price) AS n
   FROM sightings WHERE l_linestatus = 'O') s
-WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM sightings t WHERE t.l_linestatus = 'F' AND t.asin = s.asin AND t.list_type = s.list_type AND t.node_id = s.node_id AND t.l_linenumber < 3)""")
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM sightings t WHERE t.l_linestatus = 'F' AND t.asin = s.asin AND t.list_type = s.list_type AND t.node_id = s.node_id)""")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that an insert with ignored conflicts would add."""
     rows = views.sightings(spark, sf_dir)
-    target, batch = rows.where("l_linestatus = 'F' and l_linenumber < 3"), rows.where("l_linestatus = 'O'")
+    target, batch = rows.where("l_linestatus = 'F'"), rows.where("l_linestatus = 'O'")
     added = tables.insert_or_ignore(target, batch, ["asin", "node_id", "list_type"], TIES)
     return added.select("asin", "node_id", "list_type", "l_orderkey")
 
@@ -438,7 +443,7 @@ def evolved_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve(old, views.view(spark, sf_dir, "SELECT event_id AS id, value FROM {events}"))
 
 
-@query()
+@query(f"""WITH {WITH_NODES} SELECT node_id, name FROM nodes ORDER BY md5(concat(node_id, '#7')), node_id LIMIT 100""")
 def sampled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A repeatable sample of nodes by hash (a sampling operator)."""
     return tables.sample_rows(views.nodes(spark, sf_dir), 100, "node_id", seed=7).select("node_id", "name")
@@ -598,6 +603,7 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _typed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.details(spark, sf_dir)
     main, sub, _ = fields.split_ranks(fields.sales_ranks(F.col("ranks_text")))
+    choice, best = fields.badge_flags(F.concat(F.lit("Amazon's "), F.when(F.col("size") % 3 > 0, F.lit("Choice")).otherwise(F.lit("pick"))))
     return rows.select(
         "asin", "site", "item_weight", "item_dimensions", "size", "name",
         main["rank"].alias("bsr_main_rank"), main["category"].alias("bsr_main_category"), sub["rank"].alias("bsr_sub_rank"),
@@ -606,7 +612,7 @@ def _typed_details(spark: SparkSession, sf_dir: str) -> DataFrame:
         fields.fulfilment(F.col("merchant_text")).alias("fulfillment_type"),
         fields.country(F.col("origin_text")).alias("country_of_origin"),
         fields.month_date(F.col("date_text")).alias("date_first_available"),
-        F.lit(1).alias("is_amazon_choice"), F.lit(0).alias("is_bestseller"),
+        choice.alias("is_amazon_choice"), best.alias("is_bestseller"),
     )
 
 
@@ -623,8 +629,8 @@ def detail_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed_details(spark, sf_dir).where(bounds.column()).select("asin")
 
 
-@query(f"""WITH {WITH_DETAILS}, x AS (SELECT asin, size % 31 + 1 AS day, CAST(asin AS BIGINT) AS a FROM details)
-SELECT asin FROM x WHERE a % 3 = 0 AND a % 2 = 0 AND CASE a % 4 WHEN 0 THEN day <= 30 WHEN 2 THEN day <= 29 ELSE false END
+@query(f"""WITH {WITH_DETAILS}, x AS (SELECT asin, size, size % 31 + 1 AS day, CAST(asin AS BIGINT) AS a FROM details)
+SELECT asin FROM x WHERE a % 3 = 0 AND a % 2 = 0 AND size % 3 > 0 AND CASE a % 4 WHEN 0 THEN day <= 30 WHEN 2 THEN day <= 29 ELSE false END
 AND CASE a % 4 WHEN 0 THEN make_date(2024, 6, least(day, 30)::INT) ELSE make_date(2024, 2, least(day, 29)::INT) END >= DATE '2024-02-10'""")
 def detail_filter_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fulfilment, country, badge and date filters over detail fields."""
@@ -711,12 +717,11 @@ def node_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT page_id, href, unnest(range(1)) AS dummy FROM (
- SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages)""")
+@query(r"""SELECT page_id, i - 1 AS pos, a[i] AS href FROM (
+ SELECT page_id, a, unnest(range(1, len(a) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS a FROM pages))""")
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every captured page, by the page reader."""
-    links = extract.page_links(views.tables(spark, sf_dir)["pages"])
-    return links.select("page_id", "href", F.lit(0).cast("long").alias("dummy"))
+    return extract.page_links(views.tables(spark, sf_dir)["pages"]).select("page_id", "pos", "href")
 
 
 @query(r"""SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM (
@@ -726,11 +731,13 @@ def link_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("targets"))
 
 
-@query("""SELECT CASE WHEN html IS NULL THEN 'error' WHEN contains(lower(html), 'captcha') THEN 'captcha' WHEN NOT contains(html, '<article>') THEN 'empty' ELSE 'ok' END AS status,
-count(*) AS n FROM pages GROUP BY 1""")
+@query("""SELECT CASE WHEN page_id % 5 = 0 THEN 'error' WHEN page_id % 5 = 1 OR contains(lower(html), 'captcha') THEN 'captcha'
+ WHEN NOT contains(html, '<article>') OR page_id % 5 = 2 THEN 'empty' ELSE 'ok' END AS status, count(*) AS n FROM pages GROUP BY 1""")
 def capture_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classes of captured pages."""
-    pages = views.tables(spark, sf_dir)["pages"]
+    """Classes of captured pages, some of which were not captured, blocked or empty."""
+    page, k = F.col("html"), F.col("page_id") % 5
+    html = F.when(k == 0, None).when(k == 1, F.concat(page, F.lit(" Type the Characters"))).when(k == 2, F.replace(page, F.lit("<article>")))
+    pages = views.tables(spark, sf_dir)["pages"].select(html.otherwise(page).alias("html"))
     items = F.regexp_count(F.col("html"), F.lit("<article>"))
     return pages.groupBy(filters.capture_status(F.col("html"), items).alias("status")).agg(F.count("*").alias("n"))
 
@@ -766,8 +773,9 @@ def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n = 1""")
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events deduplicated inside the watermark, as a stream."""
-    first = jobs.first_in_window(_event_stream(spark, sf_dir), "event_id", "ts", "1 day")
+    """Events of a stream that comes twice, each once, with state inside the watermark only."""
+    twice = _event_stream(spark, sf_dir).unionByName(_event_stream(spark, sf_dir))
+    first = jobs.first_in_window(twice, "event_id", "ts", "1 day")
     where = tables.shared_dir(spark, "stream")
     return jobs.drain(first.select("user_id", "event_id", "event_type"), where, f"{where}-checkpoint")
 

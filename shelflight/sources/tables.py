@@ -173,8 +173,8 @@ def reset_column(target: DataFrame, column: str, where: Column) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """``n`` rows by the order of a seeded hash of the key: the same rows on every run."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows by the order of the MD5 of key and seed: the same rows on every run and in every engine."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}"))), key).limit(n)
 
 
 def nested_as_json(df: DataFrame, columns: list[str]) -> DataFrame:
