@@ -469,15 +469,19 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | N
 
     people = F.when(F.size("__names") > 0, _titled(own)).otherwise(F.array().cast("array<struct<person:string,gender:string>>"))
     listed = marked.select(F.explode(F.array_distinct(found_in(F.col("__names")))).alias("entity"), people.alias("people"))
+    # one pass over the texts: what is listed is small, and written
     listed = listed.withColumn("kind", kind_of(F.col("entity")))
-    plain = listed.where("kind <> 'name'").groupBy("kind", "entity").agg(F.lit(1)).select("kind", canonical_of(F.col("entity"), F.col("kind")).alias("canonical"))
-    person = person_of(F.col("entity"))
-    named = listed.where("kind = 'name'").select(
-        person.alias("person"),
-        gender_in(F.col("people"), person).alias("gender"),
-        F.exists("people", lambda p: (p["person"] == person) & (p["gender"] != "n")).alias("told"),
+    canonical, is_name = canonical_of(F.col("entity"), F.col("kind")), F.col("kind") == "name"
+    told = F.exists("people", lambda p: (p["person"] == F.col("canonical")) & (p["gender"] != "n"))
+    listed = listed.withColumn("canonical", canonical).select(
+        "kind",
+        "canonical",
+        F.when(is_name, gender_in(F.col("people"), F.col("canonical"))).alias("gender"),
+        F.when(is_name, told).alias("told"),
     )
-    named = materialise(named.distinct(), "names")
+    listed = materialise(listed.distinct(), "listed")
+    plain = listed.where(~is_name).select("kind", "canonical")
+    named = listed.where(is_name).select(F.col("canonical").alias("person"), "gender", "told")
     settled, disputed = _people(named.where(F.col("person").contains(" ")))
     parts = settled.select(F.concat(F.lit("given-"), "gender").alias("kind"), _given(F.col("person")).alias("canonical"))
     families = named.select(F.lit("family").alias("kind"), _family(F.col("person")).alias("canonical"))
