@@ -17,8 +17,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``, or below a temporary folder where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")
+    """A new folder name below ``spark.checkpoint.dir``; in local mode below a temporary folder where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all its machines share")
+    base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
