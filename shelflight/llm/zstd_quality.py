@@ -3,22 +3,23 @@
 One dictionary is trained on texts labelled good, one on texts labelled bad. A
 text is cut into pieces and each piece is compressed with both; text that looks
 like the good class comes out smaller with the good dictionary. The difference
-of the two sums over the text's size is calibrated to a probability by logistic
-regression on labelled rows that the dictionaries have not seen. The regression
-also takes the text's size (a short text's difference says less) and the better
-of the two ratios (runs of one word are small with either dictionary).
+of the two sums over the text's size is the only feature; logistic regression on
+labelled texts that the dictionaries have not seen turns it into a probability.
 
 Fitting uses a bounded sample of the labelled rows: ``Sample`` has the bounds.
-Scoring reads every whole text.
+Texts of any length take part: only pieces of those for the dictionaries, and
+one number of each of the others, reach the driver. Scoring reads every whole
+text.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,15 +30,14 @@ class Sample:
     """Bounds of the labelled sample and of the dictionaries fitted on it."""
 
     rows: int = 1500  # of each class, those with the least hashes of their doc_id
-    longest: int = 20_000  # characters; longer texts are left out of the sample
+    pieces: int = 6000  # of each class's texts for its dictionary, those with the least hashes
     dictionary_bytes: int = 32 << 10
-    piece: int = 800  # bytes
-    level: int = 1
-    fit_share: float = 2 / 3  # of the sample, for the dictionaries; the rest calibrates
+    piece: int = 400  # bytes
+    level: int = 3
 
 
 SAMPLE = Sample()
-#: Added to a text's size, so that empty and tiny texts have finite features.
+#: Added to a text's size, so that an empty text has a feature too.
 BASE = 40
 
 
@@ -50,8 +50,7 @@ def _pieces(text: bytes, size: int) -> list[bytes]:
     return [text[i : i + size] for i in range(0, len(text), size)] or [b""]
 
 
-def _dictionary(texts: list[bytes], sample: Sample) -> bytes:
-    pieces = [p for t in texts for p in _pieces(t, sample.piece)]
+def _dictionary(pieces: list[bytes], sample: Sample) -> bytes:
     try:
         return zstandard.train_dictionary(sample.dictionary_bytes, pieces).as_bytes()
     except zstandard.ZstdError:  # too few samples: their text itself
@@ -65,9 +64,7 @@ class Model:
     good: bytes
     bad: bytes
     sample: Sample
-    weights: list[float] = field(default_factory=list)
-    mean: list[float] = field(default_factory=list)
-    spread: list[float] = field(default_factory=list)
+    weights: tuple[float, float] = (0.0, 0.0)  # constant and slope of the log odds
 
     def __post_init__(self) -> None:
         self._pair = None
@@ -88,50 +85,46 @@ class Model:
                 )
         return self._pair
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        content = (text or "").encode()
-        size, difference, least = len(content) + BASE, 0, 0
+    def difference(self, text: str | None) -> float:
+        """Compressed size with the bad dictionary less that with the good one, over the text's size."""
+        content, total = (text or "").encode(), 0
         good, bad = (c.compress for c in self._compressors())
         for piece in _pieces(content, self.sample.piece):
-            g, b = len(good(piece)), len(bad(piece))
-            difference += b - g
-            least += min(g, b)
-        return difference / size, BASE / size, least / size
+            total += len(bad(piece)) - len(good(piece))
+        return total / (len(content) + BASE)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """Probability of the good class for each text."""
-        if not self.mean:  # fitted on one class or none: the prior
-            return np.full(len(texts), self.weights[0])
-        x = np.array([self.features(t) for t in texts]).reshape(-1, 3)
-        z = self.weights[0] + ((x - self.mean) / self.spread) @ np.array(self.weights[1:])
+        constant, slope = self.weights
+        if not slope:  # fitted on one class or none: the prior
+            return np.full(len(texts), 1 / (1 + np.exp(-constant)))
+        z = constant + slope * np.array([self.difference(t) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float], list[float]]:
-    """Weights (the constant first), means and spreads of a slightly regularised fit by Newton steps."""
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = np.c_[np.ones(len(x)), (x - mean) / spread]
-    w, ridge = np.zeros(x.shape[1]), 1e-2
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Constant and slope of a slightly regularised fit by Newton steps."""
+    mean, spread = x.mean(), x.std() + 1e-9
+    rows = np.c_[np.ones(len(x)), (x - mean) / spread]
+    w, ridge = np.zeros(2), 1e-2
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(hessian, x.T @ (y - p) - ridge * w)
-    return w.tolist(), mean.tolist(), spread.tolist()
-
-
-def fit_texts(good: list[str], bad: list[str], sample: Sample = SAMPLE) -> Model:
-    """A model from texts of both classes, in the order given; without one class the score is the other's prior."""
-    if not good or not bad:
-        prior = 0.5 if not good and not bad else float(bool(good))
-        return Model(b"", b"", sample, [prior])
-    cut = [max(1, int(len(t) * sample.fit_share)) for t in (good, bad)]
-    parts = [[t.encode() for t in texts[:n]] for texts, n in zip((good, bad), cut)]
-    model = Model(_dictionary(parts[0], sample), _dictionary(parts[1], sample), sample)
-    rest = [texts[n:] or texts for texts, n in zip((good, bad), cut)]
-    x = np.array([model.features(t) for texts in rest for t in texts])
-    y = np.repeat([1.0, 0.0], [len(t) for t in rest])
-    model.weights, model.mean, model.spread = _logistic(x, y)
-    return model
+        p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
+        hessian = (rows * (p * (1 - p) + 1e-6)[:, None]).T @ rows + ridge * np.eye(2)
+        w += np.linalg.solve(hessian, rows.T @ (y - p) - ridge * w)
+    return float(w[0] - w[1] * mean / spread), float(w[1] / spread)
+
+
+def _sampled_pieces(texts: DataFrame, sample: Sample) -> list[bytes]:
+    """Pieces of whole texts (turn, text), those with the least hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for turn, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                pieces = _pieces(text.as_py().encode(), sample.piece)
+                turns = [xxhash.xxh64_intdigest(f"{turn} {i}") >> 1 for i in range(len(pieces))]
+                yield pa.RecordBatch.from_arrays([pa.array(turns, pa.int64()), pa.array(pieces, pa.binary())], names=["turn", "piece"])
+
+    found = texts.select("turn", "text").mapInArrow(run, "turn long, piece binary")
+    return [bytes(r.piece) for r in found.orderBy("turn", "piece").limit(sample.pieces).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: Sample = SAMPLE) -> Model:
@@ -139,8 +132,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = SAMPLE) -> Model:
 
     ``labels`` has doc_id and quality (1 good, 0 bad; other values and null are
     ignored, and so are ids labelled both ways). ``docs`` has doc_id and text;
-    null texts are ignored. At most ``sample.rows`` texts of each class reach
-    the driver.
+    null texts are ignored. Two thirds of the sampled ids of each class are for
+    its dictionary, one third for the calibration. Without texts of one class
+    for either, every score is the share of the good class: 0.5 without labels.
     """
     marked = (
         labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out())
@@ -149,14 +143,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = SAMPLE) -> Model:
         .where("quality = most")
         .select("doc_id", "quality", F.xxhash64("doc_id").alias("turn"))
     )
-    texts: dict[int, list[str]] = {}
-    usable = docs.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= sample.longest))
-    for quality in (1, 0):
-        ids = marked.where(F.col("quality") == quality).orderBy("turn", "doc_id").limit(sample.rows)
-        # as many rows as the sample has: a bounded broadcast
-        rows = usable.join(F.broadcast(ids), "doc_id").orderBy("turn", "doc_id", "text").limit(sample.rows)
-        texts[quality] = [r.text for r in rows.select("text").collect()]
-    return fit_texts(texts[1], texts[0], sample)
+    few = [marked.where(F.col("quality") == q).orderBy("turn", "doc_id").limit(sample.rows) for q in (1, 0)]
+    # as many rows as the sample has: a bounded broadcast
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    calibrates = F.pmod("turn", F.lit(3)) == 0
+    pieces = [_sampled_pieces(texts.where(~calibrates & (F.col("quality") == q)), sample) for q in (1, 0)]
+    model = Model(*(_dictionary(p, sample) if p else b"" for p in pieces), sample)
+
+    def differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [model.difference(t.as_py()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], names=["quality", "x"])
+
+    rest = texts.where(calibrates).select(F.col("quality").cast("int").alias("quality"), "text")
+    held = rest.mapInArrow(differences, "quality int, x double").orderBy(F.xxhash64("x"), "quality").limit(2 * sample.rows).collect()
+    y = np.array([r.quality for r in held], float)
+    if not all(pieces) or len(set(y)) < 2:
+        good = y.sum() + bool(pieces[0])
+        share = good / (len(y) + bool(pieces[0]) + bool(pieces[1])) if len(y) or any(pieces) else 0.5
+        share = min(max(share, 1e-6), 1 - 1e-6)
+        model.weights = (float(np.log(share / (1 - share))), 0.0)
+    else:
+        model.weights = _logistic(np.array([r.x for r in held]), y)
+    return model
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", keep_text: bool = True) -> DataFrame:
