@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all its machines share")
         base = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="spark-")
         if not set_dir.isDefined():
             spark.sparkContext.setCheckpointDir(base)

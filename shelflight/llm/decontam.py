@@ -43,6 +43,10 @@ class Limits:
     common_share: float = 0.25
     block_bytes: int = 16 << 20  # of test items per index
 
+    def __post_init__(self) -> None:
+        if self.common_share >= self.score:  # an item could then be found by words that are never looked up
+            raise ValueError("common_share must be below score")
+
 
 def tokens(text: str) -> list[bytes]:
     """Lower-case words, cut at white space and ASCII punctuation."""
@@ -235,19 +239,26 @@ def _spark_tokens(text: str):
     return F.filter(F.split(plain, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def _distinct_items(items: DataFrame) -> DataFrame:
+    """Items with a text, exactly repeated ones once, so that a block's share of items is what its hash says."""
+    return items.select("item_id", "text").where(F.trim(F.coalesce("text", F.lit(""))) != "").distinct()
+
+
 def find_leaks(
     docs: DataFrame, items: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word, end_word): one row per document and leaked item.
 
     ``items`` has item_id and text. Null and empty texts, and items without a
-    word, give no rows; a repeated document or item gives rows of its own. An
-    item that occurs more than once in a text is reported once, at its best
+    word, give no rows; a repeated document gives rows of its own, an exactly
+    repeated item counts once, and equal texts under several ids are all
+    reported. Texts and items may be of any length. An empty table on either side
+    gives no rows. An item that occurs more than once in a text is reported once, at its best
     window. Other columns are ignored.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).where(F.col("text").isNotNull())
-    items = items.select("item_id", "text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    items = _distinct_items(items)
     kinds = dict(rows.dtypes)["doc_id"], dict(items.dtypes)["item_id"]
     schema = (
         f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, "
@@ -278,11 +289,14 @@ def _search(rows: DataFrame, index, schema: str) -> DataFrame:
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """The rows of ``docs`` (all columns) in whose text no item is found; null texts stay."""
+    """The rows of ``docs`` (all columns, whatever their names) in whose text no item is found.
+
+    Null and empty texts stay, and so do repeated rows; without items all rows stay.
+    """
     spark = docs.sparkSession
     if not docs.columns:
         return docs
-    items = items.select("item_id", "text").where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    items = _distinct_items(items)
     for index in _blocks(items, limits):
         docs = _drop(docs, spark.sparkContext.broadcast(index))
     return docs

@@ -11,6 +11,8 @@ is held as two 32-bit halves in longs and multiplied by 16-bit digits.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,14 @@ def jump_hash(key: Column, shards: int) -> Column:
             F.struct(hi.alias("hi"), lo.alias("lo"), state["j"].alias("b"), ahead.cast("long").alias("j")),
         ).otherwise(state)
 
-    steps = F.sequence(F.lit(1), F.lit(shards))  # j grows with each jump
-    return F.aggregate(steps, start, jump, lambda s: s["b"].cast("int"))
+    # j grows with each jump, by about a factor of e: few keys go on after these, none beyond one step a shard
+    few = min(shards, 8 + 3 * math.ceil(math.log(shards + 1)))
+    state = F.aggregate(F.sequence(F.lit(1), F.lit(few)), start, jump)
+    if few == shards:
+        return state["b"].cast("int")
+    rest = lambda s: F.aggregate(F.sequence(F.lit(1), F.lit(shards - few)), s, jump)
+    done = F.transform(F.array(state), lambda s: F.when(s["j"] < shards, rest(s)).otherwise(s))
+    return F.get(done, F.lit(0))["b"].cast("int")
 
 
 def assign_shards(

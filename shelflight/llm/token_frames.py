@@ -146,8 +146,9 @@ def write_tokens(
         path = f"file://{os.path.abspath(path)}"
     rows = df.select(
         F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")
-    ).withColumn("hash", F.xxhash64("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash")]
+    ).withColumns({"hash": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})
+    # rows that repeat exactly still differ in their turn, so that they need not fall into one shard
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("turn")]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
