@@ -81,17 +81,17 @@ def discard(spark: SparkSession, paths: list[str]) -> None:
     paths.clear()
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str = "n") -> DataFrame:
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, count: str = "n", hot_keys: int = HOT_KEYS) -> DataFrame:
     """``rows`` joined with ``per_key``, which has one row for each key, without gathering a hot key in one task.
 
     ``count`` is a column of ``per_key``: how many ``rows`` have the key. Keys
-    with more than one in HOT_KEYS of all rows, fewer than HOT_KEYS by that
+    with more than one in ``hot_keys`` of all rows, fewer than ``hot_keys`` by that
     bound, are sent to all tasks; the rows of the other keys are shuffled. Rows
     without a partner are left out. Both should be written tables: they are read
     more than once.
     """
     total = per_key.agg(F.sum(count)).first()[0] or 0
-    hot = F.col(count) > F.lit(total / HOT_KEYS)
+    hot = F.col(count) > F.lit(total / hot_keys)
     few, many = per_key.where(hot), per_key.where(~hot)
     spread = rows.join(F.broadcast(few), key)
     rest = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(many.hint("merge"), key)

@@ -6,6 +6,7 @@ parameters and derives the columns of its contract.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
@@ -13,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.llm import (
+    align,
     decontam,
+    merkle,
     paragraph_dedup,
     pii,
     quality_rules,
@@ -25,6 +28,7 @@ from shelflight.llm import (
     zstd_quality,
 )
 from shelflight.llm.common import shared_dir, surrogate_key
+from shelflight.llm.merkle_sql import MANIFEST_SQL
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -118,6 +122,21 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.read_digests(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, proof and root, checked for copies of which a third have lower-cased texts."""
+    docs = _table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    claimed = {"text": F.when(tampered, lowered).otherwise(F.col("text"))}
+    return merkle.prove(docs, ["doc_id", "source", "lang", "n_chars", "text"], "lang", "doc_id", claimed).drop("proof")
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers cover every document's bytes, with corpus-wide counts of linked ids."""
+    byte_level, pieces = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align_documents(_table(spark, sf_dir, "documents"), byte_level, pieces)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_line_quality_rules": op2_line_quality_rules,
@@ -129,7 +148,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_warc_derivatives": op9_warc_derivatives,
     "op10_token_frames": op10_token_frames,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 #: The other results rest on hashes, models or libraries that SQL does not have.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_merkle_manifest": MANIFEST_SQL}
