@@ -20,6 +20,7 @@ from shelflight.llm import (
     paragraph_dedup,
     pii,
     quality_rules,
+    secret_scan,
     sharding,
     simhash,
     spm,
@@ -137,6 +138,18 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_documents(_table(spark, sf_dir, "documents"), byte_level, pieces)
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: fixed patterns, and literals that reach names of secrets."""
+    found = secret_scan.scan_secrets(_table(spark, sf_dir, "documents"))
+    own = F.col("findings")
+    return found.select(
+        "doc_id",
+        *[secret_scan.of_kind(own, kind).alias(f"n_{kind}") for kind in secret_scan.BASE_KINDS],
+        F.sha2(secret_scan.spelled(own, secret_scan.BASE_KINDS), 256).alias("base_sha256"),
+        secret_scan.spelled(own).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_jump_sharding": op1_jump_sharding,
     "op2_line_quality_rules": op2_line_quality_rules,
@@ -150,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_frames": op10_token_frames,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 #: The other results rest on hashes, models or libraries that SQL does not have.
