@@ -16,7 +16,8 @@ from shelflight.plans.catalogue import AS_OF, FLAGS, query
 from shelflight.plans.views import WITH_DETAILS, WITH_NODES, WITH_SIGHTINGS
 from shelflight.schema import with_locale
 from shelflight.sources import tables
-from shelflight.streaming import jobs
+from shelflight.sources.keyed import KeyedTable
+from shelflight.streaming import flow, health, jobs
 
 DOMAIN = "https://shop.example"
 
@@ -455,10 +456,15 @@ def nested_insert(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streaming ------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    events = jobs.stream_of(spark, path, spark.read.parquet(path).schema)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _stream(spark: SparkSession, sf_dir: str, parts: int = 6) -> DataFrame:
+    """The events as files in order of time, a file each batch."""
+    events, where = _events(spark, sf_dir), tables.shared_dir(spark, "events")
+    jobs.replay(jobs.by_time(events, "ts", parts), where)
+    return jobs.stream_of(spark, where, events.schema, files_per_batch=1)
 
 
 def _drained(df: DataFrame, mode: str = "append") -> DataFrame:
@@ -470,7 +476,7 @@ def _drained(df: DataFrame, mode: str = "append") -> DataFrame:
 def stream_first_of_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user and kind of event once over the whole run, from a stream that comes twice."""
     events = _stream(spark, sf_dir)
-    twice = events.unionByName(_stream(spark, sf_dir))
+    twice = events.unionByName(_stream(spark, sf_dir, parts=4))
     return _drained(jobs.first_of_run(twice, ["user_id", "event_type"]).select("user_id", "event_type"))
 
 
@@ -510,17 +516,20 @@ def stream_failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _stream(spark, sf_dir).select(
         F.col("user_id").cast("string").alias("key"), "event_id", "ts", (F.col("event_type") != "error").alias("ok")
     )
-    return _drained(jobs.failure_streaks(events, threshold=2)).select("key", "event_id", "streak", "tripped")
+    return _drained(jobs.failure_streaks(events, threshold=2, idle="3650 days")).select("key", "event_id", "streak", "tripped")
 
 
-@query("""SELECT CAST(user_id AS VARCHAR) AS node_id, greatest(sum(CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 0 ELSE 1 END), 0)::BIGINT AS child_count
+@query("""SELECT CAST(user_id AS VARCHAR) AS node_id, sum(CASE event_type WHEN 'error' THEN -1 WHEN 'view' THEN 0 ELSE 1 END)::BIGINT AS child_count
 FROM events GROUP BY 1""")
 def stream_child_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Child counts kept up to date by a stream of insertions and deletions."""
+    """Child counts kept up to date by insertions and deletions, over two runs of three batches each."""
     op = F.when(F.col("event_type") == "error", "delete").when(F.col("event_type") != "view", "insert")
-    changes = _stream(spark, sf_dir).select(F.col("user_id").cast("string").alias("parent_node_id"), op.alias("op"))
-    where = tables.shared_dir(spark, "counts")
-    jobs.flush(changes, jobs.keep_counts(where), f"{where}-checkpoint").awaitTermination()
+    parts, where = jobs.by_time(_events(spark, sf_dir), "ts", 6), tables.shared_dir(spark, "counts")
+    for run in (parts[:3], parts[3:]):  # the second run goes on where the first one stopped
+        jobs.replay(run, f"{where}-events")
+        events = jobs.stream_of(spark, f"{where}-events", parts[0].schema, files_per_batch=1)
+        changes = events.select(F.col("user_id").cast("string").alias("parent_node_id"), op.alias("op"))
+        jobs.flush(changes, jobs.keep_counts(where), f"{where}-checkpoint").awaitTermination()
     return jobs.kept_counts(spark, where)
 
 
@@ -542,11 +551,86 @@ def stale_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id, user_id, event_type FROM events WHERE event_id % 2 = 0 OR event_id % 3 = 0""")
 def stream_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table after a stream of inserts whose known keys are ignored."""
-    where = tables.shared_dir(spark, "target")
+    """A table after a stream of inserts whose known keys are ignored; each batch reads only the folders that may hold its keys."""
     columns = ["event_id", "user_id", "event_type"]
-    log = spark.read.parquet(f"{sf_dir}/events.parquet").select(*columns)
-    log.where("event_id % 2 = 0").write.parquet(f"{where}/batch-base")
+    log = _events(spark, sf_dir).select(*columns)
+    target = KeyedTable(tables.shared_dir(spark, "target"), log.schema, ("event_id",), buckets=8, expected_keys=1 << 20)
+    target.insert(log.where("event_id % 2 = 0"), -1, ["event_type"])
     arriving = _stream(spark, sf_dir).where("event_id % 3 = 0").select(*columns)
-    jobs.flush(arriving, jobs.insert_batches(where, ["event_id"], ["event_type"]), f"{where}-checkpoint").awaitTermination()
-    return spark.read.schema(log.schema).option("recursiveFileLookup", True).parquet(where)
+    jobs.flush(arriving, target.writer(["event_type"]), f"{target.path}-checkpoint").awaitTermination()
+    return target.read(spark)
+
+
+@query(f"""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, date_trunc('milliseconds', ts) AS ts, event_type <> 'error' AS ok FROM events),
+g AS (SELECT *, coalesce(ts > lag(ts) OVER w + INTERVAL 6 HOUR, FALSE) AS broke, lead(ts) OVER w AS following FROM e WINDOW w AS (PARTITION BY key ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CAST(ok OR broke AS INT)) OVER (PARTITION BY key ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM g),
+s AS (SELECT *, CAST(sum(CAST(NOT ok AS INT)) OVER (PARTITION BY key, run ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS INT) AS streak FROM r)
+SELECT key, 'event' AS kind, event_id, ts, streak, streak >= 2 AS tripped FROM s WHERE ts <= {_MARK} - INTERVAL 10 MINUTE
+UNION ALL SELECT key, 'quiet', NULL, ts, streak, FALSE FROM s WHERE (following IS NULL OR following > ts + INTERVAL 6 HOUR) AND ts + INTERVAL 6 HOUR <= {_MARK} - INTERVAL 10 MINUTE""")
+def stream_source_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streaks of failures and quiet times of each source from one stateful processor, over two runs of three batches each."""
+    parts, where = jobs.by_time(_events(spark, sf_dir), "ts", 6), tables.shared_dir(spark, "health")
+    out = None
+    with health.rocks_state(spark):
+        for run in (parts[:3], parts[3:]):
+            jobs.replay(run, f"{where}-events")
+            events = jobs.stream_of(spark, f"{where}-events", parts[0].schema, files_per_batch=1)
+            ok = (F.col("event_type") != "error").alias("ok")
+            keyed = events.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", ok)
+            out = jobs.drain(health.source_health(keyed, 2, "6 hours", "10 minutes"), where, f"{where}-checkpoint")
+    return out
+
+
+_FLOW_START = "TIMESTAMP '2024-01-01 00:00:00'"
+_FLOW = f"""SELECT p_partkey AS k, p_size, CAST({_FLOW_START} AS TIMESTAMP) + make_interval(0, 0, 0, 0, 0, CAST(p_partkey AS INT)) AS found_at FROM {{part}}"""
+
+
+@query(f"""WITH {_D}, i AS (SELECT k, size, asin, {_FLOW_START} + to_minutes(k) AS found_at FROM d),
+items AS (SELECT k AS page_id, 0 AS pos, concat('B', lpad(asin, 9, '0')) AS asin, found_at FROM i UNION ALL SELECT k, 1, concat('C', lpad(asin, 9, '0')), found_at FROM i),
+arriving AS (SELECT concat('B', lpad(asin, 9, '0')) AS asin, k AS detail_id, found_at + to_minutes(CAST(size * 2 - 5 AS INT)) + INTERVAL 30 SECOND AS arrived_at FROM i WHERE size % 4 > 0),
+mark AS (SELECT least((SELECT max(found_at) FROM items), (SELECT max(arrived_at) FROM arriving)) - INTERVAL 10 MINUTE AS at)
+SELECT page_id, pos, i.asin, found_at, detail_id, arrived_at FROM items i LEFT JOIN arriving t ON t.asin = i.asin AND arrived_at BETWEEN found_at AND found_at + INTERVAL 1 HOUR, mark
+WHERE detail_id IS NOT NULL OR found_at + INTERVAL 1 HOUR < mark.at""")
+def stream_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of list pages with their detail pages, while both arrive in five files; some details come too late or never."""
+    times = views.view(spark, sf_dir, _FLOW)
+    lists = _pages(spark, sf_dir, views.CHART_PAGES).join(times, F.col("page_id") == F.col("k")).select("page_id", "html", "found_at")
+    late = F.expr("make_interval(0, 0, 0, 0, 0, cast(p_size * 2 - 5 as int), 30)")
+    details = _pages(spark, sf_dir, views.DETAIL_PAGES).join(times.where("p_size % 4 > 0"), F.col("page_id") == F.col("k"))
+    details = details.select("page_id", "url", (F.col("found_at") + late).alias("arrived_at"))
+    streams = []
+    for name, frame, ts in (("lists", lists, "found_at"), ("details", details, "arrived_at")):
+        where = tables.shared_dir(spark, name)
+        jobs.replay(jobs.by_time(tables.materialise(frame, name), ts, 5), where)
+        streams.append(jobs.stream_of(spark, where, frame.schema, files_per_batch=1))
+    items, arrived = flow.found_items(streams[0], "found_at"), flow.arrived_details(streams[1], "arrived_at")
+    found = _drained(flow.items_with_details(items, arrived, "1 hour"))
+    return found.select("page_id", "pos", "asin", "found_at", "detail_id", "arrived_at")
+
+
+@query("""SELECT user_id, CAST(ts AS DATE) AS snapshot_date, max_by(event_id, struct_pack(ts, event_id)) AS event_id, max_by(value, struct_pack(ts, event_id)) AS value
+FROM events GROUP BY 1, 2""")
+def stream_daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A daily series of each user's last event, kept by batches that rewrite their own days only."""
+    path = tables.shared_dir(spark, "series")
+    write = jobs.track_batches(path, "user_id", "ts", ["value"], "event_id")
+    jobs.flush(_stream(spark, sf_dir), write, f"{path}-checkpoint").awaitTermination()
+    return spark.read.parquet(path).select("user_id", "snapshot_date", "event_id", "value")
+
+
+@query("""SELECT 'events' AS name, count(*)::DOUBLE AS total FROM events UNION ALL SELECT 'failed', count(*) FILTER (event_type = 'error') FROM events
+UNION ALL SELECT 'input_rows', count(*) FROM events""")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters that a running stream reports batch by batch, written as rows and added up."""
+    path = tables.shared_dir(spark, "progress")
+    events = _stream(spark, sf_dir)
+    watched = flow.counted(events, "events", {"events": F.count("*"), "failed": F.count_if(F.col("event_type") == "error")})
+    listener = flow.ProgressRows(spark, path, "events")
+    spark.streams.addListener(listener)
+    try:
+        query = jobs.flush(watched, lambda batch, _: batch.write.format("noop").mode("append").save(), f"{path}-checkpoint")
+        query.awaitTermination()
+        listener.wait(query)
+    finally:
+        spark.streams.removeListener(listener)
+    return flow.progress_rows(spark, path).groupBy("name").agg(F.sum("value").alias("total"))

@@ -80,7 +80,13 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def _no_nulls(keys: list[str]) -> Column:
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder where there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def no_nulls(keys: list[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
 
 
@@ -96,9 +102,9 @@ def insert_or_ignore(target: DataFrame, batch: DataFrame, keys: list[str], order
 
     Rows with a null in a key column are all added.
     """
-    fresh = first_rows(batch.where(_no_nulls(keys)), keys, order)
+    fresh = first_rows(batch.where(no_nulls(keys)), keys, order)
     fresh = fresh.join(target.select(*keys).distinct(), keys, "left_anti").select(*batch.columns)
-    return fresh.unionByName(batch.where(~_no_nulls(keys)))
+    return fresh.unionByName(batch.where(~no_nulls(keys)))
 
 
 def append_new(path: str, batch: DataFrame, keys: list[str], order: list[str]) -> int:
@@ -116,8 +122,8 @@ def upsert(target: DataFrame, batch: DataFrame, keys: list[str], replaced: list[
     with a null in a key column are all added. A column that the batch lacks is
     left as it is, and null in new rows.
     """
-    keyless = batch.where(~_no_nulls(keys))
-    new = first_rows(batch.where(_no_nulls(keys)), keys, order, last=True)
+    keyless = batch.where(~no_nulls(keys))
+    new = first_rows(batch.where(no_nulls(keys)), keys, order, last=True)
     new = new.select(*[F.col(c).alias(f"__new_{c}") for c in new.columns], F.lit(True).alias("__new"))
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"__new_{k}") for k in keys])
     joined = target.withColumn("__old", F.lit(True)).join(new, on, "full_outer")
@@ -142,7 +148,7 @@ def update_columns(target: DataFrame, updates: DataFrame, keys: list[str], colum
 
 def latest_per_key(updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by ``order``; rows with a null in a key column all stay."""
-    return first_rows(updates.where(_no_nulls(keys)), keys, order, last=True).unionByName(updates.where(~_no_nulls(keys)))
+    return first_rows(updates.where(no_nulls(keys)), keys, order, last=True).unionByName(updates.where(~no_nulls(keys)))
 
 
 def flags_by_list(checks: DataFrame, flags: dict[str, str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelflight.functions import urls
-from shelflight.sources.tables import insert_or_ignore, table_at
+from shelflight.sources.tables import first_rows, insert_or_ignore, materialise, remove_folder, table_at
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -27,6 +27,21 @@ def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_ba
     return reader.parquet(path)
 
 
+def by_time(df: DataFrame, ts: str, parts: int) -> list[DataFrame]:
+    """``df`` in equal spans of ``ts``, the earliest first; rows without a time in the last."""
+    at = F.col(ts).cast("timestamp").cast("double")
+    low, high = df.agg(F.min(at), F.max(at)).first()
+    width = ((high or 0.0) - (low or 0.0)) / parts or 1.0
+    part = F.coalesce(F.least(F.floor((at - F.lit(low or 0.0)) / width), F.lit(parts - 1)), F.lit(parts - 1))
+    return [df.where(part == k) for k in range(parts)]
+
+
+def replay(frames: list[DataFrame], path: str) -> None:
+    """Write frames below ``path`` one after another, a file each: a file source takes them in this order."""
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(path)
+
+
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there now into a Parquet folder, and read it. The checkpoint resumes a run."""
     query = (
@@ -97,42 +112,102 @@ def insert_batches(path: str, keys: list[str], order: list[str]) -> Callable[[Da
     return write
 
 
-def keep_counts(path: str) -> Callable[[DataFrame, int], None]:
-    """A ``flush`` writer that keeps child counts up to date with batches of changes (parent_node_id, op).
+BUCKETS = 64
+
 
-    Each batch writes the counts after it to a folder of its own number, from
-    those of the batch before: a batch that runs again gives the same. The folder
-    before the last is deleted. ``kept_counts`` reads the present counts.
+def keep_counts(path: str) -> Callable[[DataFrame, int], None]:
+    """A ``flush`` writer that keeps child counts up to date with batches of changes (parent_node_id, op = insert or delete).
+
+    Counts are signed sums, as many as the changes give, so they do not depend on
+    how changes are cut into batches; a deletion may come before its insertion.
+    Nodes lie in buckets by their hash. A batch reads and writes only the buckets
+    that it changes, into a folder of its own number; the version of a bucket
+    before it stays until the next batch is done. So a batch that runs again, even
+    after one that broke off, begins from what the batches before it left.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = table_at(spark, f"{path}/after-{batch_id - 1:08d}", COUNTS)
-        count_deltas(batch, before).write.mode("overwrite").parquet(f"{path}/after-{batch_id:08d}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/after-{batch_id - 2:08d}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+        bucket = F.pmod(F.xxhash64("node_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+        deltas = materialise(count_deltas(batch, spark.createDataFrame([], COUNTS)).select("*", bucket), "deltas")
+        touched = [r.bucket for r in deltas.select("bucket").distinct().collect()]  # BUCKETS at most
+        versions = _versions(spark, path, batch_id)
+        before = _counts_in(spark, [versions[b][-1] for b in touched if b in versions])
+        after = _added(before.unionByName(deltas.select("node_id", "child_count")))
+        parted = after.select("*", bucket).repartition("bucket")
+        parted.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/after-{batch_id:08d}")
+        for own in versions.values():
+            for old in own[:-1]:  # replaced before this batch began
+                remove_folder(spark, old)
 
     return write
 
 
-def kept_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The counts after the last batch of ``keep_counts``."""
+def count_deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
+    """Child counts after a batch of changes (parent_node_id, op = insert or delete)."""
+    signed = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
+    deltas = changes.where("parent_node_id is not null").select(F.col("parent_node_id").alias("node_id"), signed.cast("long").alias("child_count"))
+    return _added(counts.unionByName(deltas))
+
+
+def _added(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("node_id").agg(F.sum("child_count").alias("child_count"))
+
+
+def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, list[str]]:
+    """The folders of each bucket by batch, of the batches that were written whole and come before the given one."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    batches = sorted(s.getPath().getName() for s in store.listStatus(root)) if store.exists(root) else []
-    return table_at(spark, f"{path}/{batches[-1] if batches else 'none'}", COUNTS)
+    names = sorted(s.getPath().getName() for s in store.listStatus(root)) if store.exists(root) else []
+    found: dict[int, list[str]] = {}
+    for name in names:
+        own = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        late = before is not None and int(name.removeprefix("after-")) >= before
+        if late or not store.exists(spark._jvm.org.apache.hadoop.fs.Path(own, "_SUCCESS")):
+            continue
+        for part in store.listStatus(own):
+            if part.isDirectory():
+                last = part.getPath().getName()
+                found.setdefault(int(last.removeprefix("bucket=")), []).append(f"{path}/{name}/{last}")
+    return found
 
 
-def count_deltas(changes: DataFrame, counts: DataFrame) -> DataFrame:
-    """Child counts after a batch of changes (parent_node_id, op = insert or delete); never below 0."""
-    signed = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).otherwise(0)
-    deltas = changes.where("parent_node_id is not null").groupBy("parent_node_id").agg(F.sum(signed).alias("delta"))
-    joined = counts.join(deltas.withColumnRenamed("parent_node_id", "node_id"), "node_id", "full_outer")
-    total = F.coalesce("child_count", F.lit(0)) + F.coalesce("delta", F.lit(0))
-    return joined.select("node_id", F.greatest(total, F.lit(0)).cast("long").alias("child_count"))
+def _counts_in(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(COUNTS).parquet(*folders) if folders else spark.createDataFrame([], COUNTS)
+
+
+def kept_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(node_id, child_count) after the last whole batch of ``keep_counts``; a count is below 0 where more was deleted than inserted."""
+    return _counts_in(spark, [own[-1] for own in _versions(spark, path).values()])
 
 
 COUNTS = T.StructType([T.StructField("node_id", T.StringType()), T.StructField("child_count", T.LongType())])
+
+
+def track_batches(path: str, key: str, ts: str, measures: list[str], tie: str) -> Callable[[DataFrame, int], None]:
+    """A ``flush`` writer that keeps a daily series: the latest row of each key and day, in a table by snapshot_date.
+
+    A batch reads and overwrites only the days of its own rows. The later of two
+    rows of a day stays, by ``ts`` and then ``tie``, whichever came first; so a
+    batch that comes again, or late, changes nothing that it should not. Rows
+    without key or time are left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        columns = list(dict.fromkeys([key, *measures, ts, tie]))
+        rows = batch.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(*columns, F.to_date(ts).alias("snapshot_date"))
+        today = materialise(first_rows(rows, [key, "snapshot_date"], [ts, tie], last=True), "snapshot")
+        days = [r.snapshot_date for r in today.select("snapshot_date").distinct().collect()]  # a row for each day of a batch
+        if not days:
+            return
+        old = table_at(spark, path, today.schema).where(F.col("snapshot_date").isin(days)).select(*today.columns)
+        new = materialise(first_rows(today.unionByName(old), [key, "snapshot_date"], [ts, tie], last=True), "series")
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_date").parquet(path)
+
+    return write
+
+
 STREAK = "key string, event_id long, ts timestamp, streak int, tripped boolean"
 
 

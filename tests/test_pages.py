@@ -175,5 +175,5 @@ def test_counts_over_batches(spark, tmp_path):
     write(batch(("a", "insert"), ("a", "insert"), ("b", "delete")), 0)
     write(batch(("a", "delete"), ("b", "insert")), 1)
     write(batch(("a", "delete"), ("b", "insert")), 1)  # comes twice
-    assert {r.node_id: r.child_count for r in jobs.kept_counts(spark, path).collect()} == {"a": 1, "b": 1}
+    assert {r.node_id: r.child_count for r in jobs.kept_counts(spark, path).collect()} == {"a": 1, "b": 0}
     assert jobs.kept_counts(spark, f"file://{tmp_path}/none").count() == 0
