@@ -24,6 +24,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from shelflight.llm.common import discard, materialise
 
 K1, B = 1.2, 0.75
 #: Postings to a block of the index, each with its greatest weight.
@@ -213,8 +217,8 @@ class Index:
         return list(best.values())
 
 
-def _blocks(items: DataFrame, limits: Limits) -> Iterator[Index]:
-    """The items' index in blocks of bounded size, with statistics over all items."""
+def _blocks(items: DataFrame, limits: Limits) -> Iterator[tuple[Index, bool]]:
+    """The items' index in blocks of bounded size, with statistics over all items, and whether a block is the last."""
     size, count = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0)), F.count("*")).first()
     n = max(1, -(-size // limits.block_bytes))
     placed = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
@@ -230,7 +234,7 @@ def _blocks(items: DataFrame, limits: Limits) -> Iterator[Index]:
         for _, text in rows:  # words whose lower case differs between the JVM and Python
             for w in set(tokens(text)) - df.keys():
                 df[w] = 1
-        yield Index(rows, df, count, lengths or 1.0, limits)
+        yield Index(rows, df, count, lengths or 1.0, limits), block == n - 1
 
 
 def _spark_tokens(text: str):
@@ -265,15 +269,21 @@ def find_leaks(
         "answer_overlap double, first_word int, end_word int"
     )
     found = None
-    for index in _blocks(items, limits):
-        part = _search(rows, spark.sparkContext.broadcast(index), schema)
+    for index, last in _blocks(items, limits):
+        sent = spark.sparkContext.broadcast(index)
+        part = _search(rows, sent, schema)
+        if not last:  # its hits are written before the next index is made, so that one is held at a time
+            part = materialise(part, "leaks")
+            sent.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
 
 def _search(rows: DataFrame, index, schema: str) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    kinds = [f.type for f in to_arrow_schema(T.StructType.fromDDL(schema))]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             out = [
                 (batch.column(0)[i].as_py(), *leak)
@@ -281,9 +291,7 @@ def _search(rows: DataFrame, index, schema: str) -> DataFrame:
                 for leak in index.value.leaks(t.as_py())
             ]
             if out:
-                columns = [pa.array(c) for c in zip(*out)]
-                columns[-2:] = [c.cast(pa.int32()) for c in columns[-2:]]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     return rows.mapInArrow(run, schema)
 
@@ -297,8 +305,15 @@ def without_leaks(docs: DataFrame, items: DataFrame, limits: Limits = Limits())
     if not docs.columns:
         return docs
     items = _distinct_items(items)
-    for index in _blocks(items, limits):
-        docs = _drop(docs, spark.sparkContext.broadcast(index))
+    used: list[str] = []
+    for index, last in _blocks(items, limits):
+        sent = spark.sparkContext.broadcast(index)
+        docs = _drop(docs, sent)
+        if not last:  # as in ``find_leaks``; what an earlier block left is read no more
+            before, used = used, []
+            docs = materialise(docs, "unleaked", used)
+            discard(spark, before)
+            sent.destroy()
     return docs
 
 

@@ -182,25 +182,36 @@ COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def clean_lines(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: LineRules = RULES, with_text: bool = True
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    rules: LineRules = RULES,
+    with_text: bool = True,
+    recurring: DataFrame | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, the counters, both verdicts, removed_words and the cleaned text.
 
     Null and empty texts have no words: they fail the base rules and are not
     kept. Repeated rows stay. An empty table gives no rows. Other columns are
     ignored. ``with_text=False`` leaves the column ``cleaned`` out.
+
+    ``recurring`` has the lines that recur in a corpus (``recurring_lines``, kept as
+    a table): then what a document loses depends on itself and on that table only,
+    not on what else is cleaned with it. For None they are found among ``df``.
     """
     rows = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     n = len(COLUMNS) - (not with_text)
     schema = f"doc_id {dict(rows.dtypes)['doc_id']}, " + ", ".join(SCHEMA.split(", ")[:n])
-    recurring = materialise(recurring_lines(rows, "text", rules), "recurring-lines")
+    if recurring is None:
+        recurring = recurring_lines(rows, "text", rules)
+    recurring = materialise(recurring.select("line").distinct(), "recurring-lines")
     known: frozenset = frozenset()
     if recurring.count() <= rules.broadcast_lines:
         known = frozenset(r.line for r in recurring.collect())  # bounded by the count
         rows = rows.withColumn("recurring", F.lit(None).cast("array<long>"))
     else:  # each text's own recurring lines, joined by the text's hash
         lines = F.transform(F.split("text", "\n"), lambda x: F.xxhash64(F.btrim(x, F.lit(_BLANKS))))
-        rows = rows.withColumn("held", F.xxhash64("text"))
+        rows = rows.withColumn("held", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
         places = rows.select("held", F.explode(F.array_distinct(lines)).alias("line")).distinct()
         own = places.join(recurring.hint("merge"), "line").groupBy("held").agg(F.collect_list("line").alias("recurring"))
         rows = rows.join(own.hint("merge"), "held", "left").select("doc_id", "text", "recurring")

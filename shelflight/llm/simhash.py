@@ -70,7 +70,8 @@ def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint") ->
     Null and empty texts get 0. A column of the name ``out`` is replaced.
     """
     kept = [c for c in df.columns if c != text and c.lower() != out.lower()]
-    wanted = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    # by place: no name of a column clashes with the text's
+    wanted = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").alias("text"))
     schema = df.select(*[F.col(f"`{c}`") for c in kept], F.lit(0).cast("long").alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,11 +375,15 @@ def keep_first(df: DataFrame, radius: int = RADIUS) -> DataFrame:
     chosen = materialise(
         chosen.select(F.col("row.doc_id").alias("kept_id"), F.col("row.text_hash").alias("kept_hash"), "row.n"), "kept"
     )
-    marked = df.withColumn("__text_hash", F.xxhash64("text"))
-    own = marked["doc_id"].eqNullSafe(F.col("kept_id")) & (marked["__text_hash"] == F.col("kept_hash"))
+    # columns by place, so that none clashes with those of the choice
+    places = [f"c{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*places)
+    doc_id, text = (places[df.columns.index(c)] for c in ("doc_id", "text"))
+    marked = plain.withColumn("text_hash", F.xxhash64(text))
+    own = marked[doc_id].eqNullSafe(F.col("kept_id")) & (marked["text_hash"] == F.col("kept_hash"))
     kept = marked.join(chosen.where("n = 1").hint("merge"), own, "left_semi")
     repeated = chosen.where("n > 1")
     if not repeated.isEmpty():  # rows that repeat exactly
         again = marked.join(repeated.hint("merge"), own, "left_semi")
-        kept = kept.unionByName(again.dropDuplicates(["doc_id", "__text_hash"]))
-    return kept.drop("__text_hash")
+        kept = kept.unionByName(again.dropDuplicates([doc_id, "text_hash"]))
+    return kept.select(*places).toDF(*df.columns)

@@ -79,7 +79,8 @@ def _with_columns(df: DataFrame, source: str, outs: dict[str, T.DataType], drop_
     """``df`` with columns made from ``source`` by ``run``, which gives arrays for slices of a batch in order."""
     taken = {o.lower() for o in outs}
     kept = [f for f in df.schema.fields if f.name.lower() not in taken and not (drop_source and f.name == source)]
-    wanted = df.select(F.col(f"`{source}`").alias("__source"), *[F.col(f"`{f.name}`") for f in kept])
+    # by place: no name of a column clashes with the source's
+    wanted = df.select(F.col(f"`{source}`").alias("source"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
     schema = T.StructType([*kept, *[T.StructField(n, t) for n, t in outs.items()]])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +88,7 @@ def _with_columns(df: DataFrame, source: str, outs: dict[str, T.DataType], drop_
             at = 0
             for arrays in run(part.column(0)):
                 columns = [c.slice(at, len(arrays[0])) for c in part.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*columns, *arrays], names=[*part.schema.names[1:], *outs])
+                yield pa.RecordBatch.from_arrays([*columns, *arrays], names=schema.names)
                 at += len(arrays[0])
 
     return wanted.mapInArrow(batches, schema)

@@ -44,8 +44,45 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 LEVEL = 3
 
 
-def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
-    """The store of a path or URI, and the path in it."""
+#: Settings of Hadoop's S3 connector that its files are opened with here too.
+_S3 = {
+    "fs.s3a.access.key": "access_key",
+    "fs.s3a.secret.key": "secret_key",
+    "fs.s3a.session.token": "session_token",
+    "fs.s3a.endpoint": "endpoint_override",
+    "fs.s3a.endpoint.region": "region",
+}
+
+
+def store_settings(spark: SparkSession) -> dict[str, str]:
+    """What the session's Hadoop settings say of stores that Python opens itself; read on the driver and sent to the tasks."""
+    conf = spark._jsc.hadoopConfiguration()
+    names = (*_S3, "fs.s3a.connection.ssl.enabled", "fs.s3a.path.style.access")
+    return {n: v for n in names if (v := conf.get(n))}
+
+
+def s3_options(settings: dict[str, str]) -> dict[str, object]:
+    options: dict[str, object] = {own: settings[n] for n, own in _S3.items() if n in settings}
+    plain = settings.get("fs.s3a.connection.ssl.enabled") == "false"
+    if "endpoint_override" in options:
+        scheme, _, host = str(options["endpoint_override"]).rpartition("://")
+        options["endpoint_override"] = host.rstrip("/")
+        plain = scheme == "http" or (plain and scheme != "https")
+        # without an endpoint of its own the store's names are hosts anyway
+        options["force_virtual_addressing"] = settings.get("fs.s3a.path.style.access") != "true"
+    return options | {"scheme": "http" if plain else "https"}
+
+
+def filesystem(path: str, settings: dict[str, str] | None = None) -> tuple[pafs.FileSystem, str]:
+    """The store of a path or URI, and the path in it.
+
+    s3a and s3n are Hadoop's names of S3: they are opened with the session's keys and
+    endpoint (``store_settings``), and with what the environment grants where it
+    names none. hdfs and viewfs need Hadoop's native client library on every machine.
+    """
+    scheme = path.partition(":")[0].lower()
+    if scheme in ("s3", "s3a", "s3n"):
+        return pafs.S3FileSystem(**s3_options(settings or {})), path.partition("://")[2]
     return pafs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
 
 
@@ -149,11 +186,12 @@ def write_tokens(
     ).withColumns({"hash": F.xxhash64("text"), "turn": F.monotonically_increasing_id()})
     # rows that repeat exactly still differ in their turn, so that they need not fall into one shard
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("turn")]
+    settings = store_settings(df.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard = context.partitionId()
-        store, at = filesystem(path)
+        store, at = filesystem(path, settings)
         name = f"{at}/shard-{shard:06d}.tokens"
         own = f"{at}/_attempt-{shard:06d}-{context.taskAttemptId()}"
         table, docs, total = _table(tokenizer), 0, 0
@@ -182,7 +220,7 @@ def write_tokens(
     for row in sorted(written.collect()):  # a row for each partition
         manifest.append({"shard": row.shard, "docs": row.docs, "tokens": row.tokens, "start": start})
         start += row.tokens
-    store, at = filesystem(path)
+    store, at = filesystem(path, settings)
     store.create_dir(at, recursive=True)  # an empty table has no tasks
     with store.open_output_stream(f"{at}/manifest.json") as stream:
         stream.write(json.dumps(manifest).encode())
@@ -212,7 +250,8 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
 def _read(spark: SparkSession, path: str, schema: str, *columns) -> DataFrame:
     if not re.match(r"\w+:", path):
         path = f"file://{os.path.abspath(path)}"
-    store, at = filesystem(path)
+    settings = store_settings(spark)
+    store, at = filesystem(path, settings)
     with store.open_input_file(f"{at}/manifest.json") as file:
         manifest = [m for m in json.loads(file.read()) if m["docs"]]
     names = [f.split()[0] for f in schema.split(", ")]
@@ -220,7 +259,7 @@ def _read(spark: SparkSession, path: str, schema: str, *columns) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                store, at = filesystem(path)
+                store, at = filesystem(path, settings)
                 with store.open_input_file(f"{at}/shard-{shard:06d}.tokens") as file:
                     reader = ShardReader(file)
                     starts = start + np.concatenate(([0], np.cumsum(reader.frames[:, 1].astype(np.int64) // 4)))

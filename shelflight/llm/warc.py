@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.token_frames import filesystem
+from shelflight.llm.token_frames import filesystem, store_settings
 
 VERSION = "WARC/1.1"
 #: Of the gzip members.
@@ -267,9 +267,10 @@ def _write(df: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator
     """Write the (headers, block) pairs that ``records`` makes of each partition; the manifest."""
     if not re.match(r"\w+:", path):
         path = f"file://{os.path.abspath(path)}"
+    settings = store_settings(df.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, (store, at) = TaskContext.get(), filesystem(path)
+        context, (store, at) = TaskContext.get(), filesystem(path, settings)
         store.create_dir(at, recursive=True)
         own = f"part-{context.partitionId():06d}-{context.taskAttemptId()}"
         stream, name, count, size, n = None, "", 0, 0, 0
@@ -323,10 +324,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """
     if not re.match(r"\w+:", path):
         path = f"file://{os.path.abspath(path)}"
+    settings = store_settings(spark)
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for (name,) in _rows(batches):
-            store, at = filesystem(path)
+            store, at = filesystem(path, settings)
             with store.open_input_stream(f"{at}/{name}", compression=None, buffer_size=1 << 20) as stream:
                 file = gzip.GzipFile(fileobj=stream)
                 while file.readline():

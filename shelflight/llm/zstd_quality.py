@@ -24,6 +24,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelflight.llm.common import materialise
+
 
 @dataclass(frozen=True)
 class Sample:
@@ -146,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: Sample = SAMPLE) -> Model:
     few = [marked.where(F.col("quality") == q).orderBy("turn", "doc_id").limit(sample.rows) for q in (1, 0)]
     # as many rows as the sample has: a bounded broadcast
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(few[0].unionByName(few[1])), "doc_id")
+    texts = materialise(texts, "labelled")  # read three times
     calibrates = F.pmod("turn", F.lit(3)) == 0
     pieces = [_sampled_pieces(texts.where(~calibrates & (F.col("quality") == q)), sample) for q in (1, 0)]
     model = Model(*(_dictionary(p, sample) if p else b"" for p in pieces), sample)
@@ -175,7 +178,8 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
     column of the name ``out`` is replaced.
     """
     kept = [f for f in df.schema.fields if f.name.lower() != out.lower() and (keep_text or f.name != text)]
-    wanted = df.select(F.col(f"`{text}`").alias("__text"), *[F.col(f"`{f.name}`") for f in kept])
+    # by place: no name of a column clashes with the text's
+    wanted = df.select(F.col(f"`{text}`").alias("text"), *[F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(kept)])
     schema = df.select(*[F.col(f"`{f.name}`") for f in kept], F.lit(0.0).alias(out)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +187,7 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score", k
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = model.scores(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found)], names=[*part.schema.names[1:], out])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found)], names=schema.names)
 
     return wanted.mapInArrow(run, schema)
 
