@@ -9,8 +9,11 @@ keep their scheme or country and the truth of their check digits, secrets keep
 their name and prefix.
 
 A person is found by a title, and then by the full name anywhere in the same
-text. Given and family name have surrogates of their own, so "Dr. Anna Smith",
-"Mrs. Smith" and "Anna Smith" agree, whatever the title. The given name keeps
+text. Behind a title come up to two given names and initials, particles (von,
+de la), and a family name; names on both sides of a hyphen are names of their
+own. Each name has a surrogate of its own, so "Dr. Anna Maria Smith", "Mrs.
+Smith" and "Anna Smith" agree, whatever the title; particles stay, and an initial
+becomes another. The given name keeps
 its script and gender: that of a title the person has in the text, else what the
 name's ending says; where texts disagree about a person, what most entities of
 the corpus say. A name without any title in its text is not found, nor one in a
@@ -31,13 +34,28 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelflight.llm.common import materialise
+from shelflight.llm.common import join_per_key, materialise
 
-_MALE = "Mr|Herr|Monsieur|Señor|Sr|господин|г-н|Κύριος|κύριος|κ"
-_FEMALE = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа|г-жа|Κυρία|κυρία|κα"
-_EITHER = "Dr|Prof|Δρ|д-р"
-_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:{_FEMALE}|{_MALE}|{_EITHER})\.? "
-_NAME = r"\p{Lu}[\p{L}'’-]{1,40}(?: \p{Lu}[\p{L}'’-]{1,40})?"
+#: Titles by gender, and what may stand between the names of a person (fixed values). Latin titles also stand in capitals.
+_MALE_TITLES = ("Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "Signor")
+_FEMALE_TITLES = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mademoiselle", "Mlle", "Señorita", "Srta", "Señora", "Sra", "Signora", "Signorina")
+_OTHER_TITLES = ("Professor", "Doctor", "Doktor", "Docteur", "Dr", "Prof")
+PARTICLES = "von van vom zu zur zum der den de del della di da do dos du la le el al bin ibn ben ter ten af av".split()
+
+
+def _either_case(titles: tuple[str, ...]) -> str:
+    return "|".join(f"{t}|{t.upper()}" for t in titles)
+
+
+# a French M stands with its point only, which a lone capital also is: two names follow it, or a family name
+_MALE = _either_case(_MALE_TITLES) + r"|M(?=\. \p{Lu}\p{Ll})|господин|г-н|Κύριος|κύριος|κ"
+_FEMALE = _either_case(_FEMALE_TITLES) + "|госпожа|г-жа|Κυρία|κυρία|κα"
+_EITHER = _either_case(_OTHER_TITLES) + "|Δρ|д-р"
+_TITLE = rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_FEMALE}|{_MALE}|{_EITHER})(?:\. ?|[ ])\n?)+"
+_WORD = r"(?:(?:al|el)-)?\p{Lu}[\p{L}'’-]{1,40}"
+_INITIAL = r"\p{Lu}\."
+#: Up to two names or initials, each alone or behind another initial, particles, and the last name.
+_NAME = rf"(?:{_INITIAL}[ \n]?){{0,3}}(?:{_WORD} (?:{_INITIAL} ?){{0,2}}){{0,2}}(?:(?:{'|'.join(PARTICLES)}) ){{0,3}}{_WORD}"
 #: Beginnings of access tokens (fixed values).
 _TOKEN = r"(?:github_pat_|gh[opusr]_|glpat-|xox[abprs]-|sk_live_|sk_test_|sk-|AIza)"
 _SECRET_KEY = r"(?i:password|passwd|pwd|secret|api_key|apikey|token) ?[=:] ?[\"']?"
@@ -50,12 +68,14 @@ PATTERNS = {
     "secret": rf"(?<![A-Za-z0-9]){_SECRET_KEY}[A-Za-z0-9_+/.-]{{8,}}+",
     "email": r"(?<![\p{L}0-9._%+-])[\p{L}0-9._%+-]{1,64}@[\p{L}0-9-]{1,63}(?:\.[\p{L}0-9-]{1,63}){1,8}",
     "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])|" + _TOKEN + r"[A-Za-z0-9_-]{16,}+)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
-    "phone": r"(?<![\w+.])(?:\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[.-]\d{4})(?![\w-])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])[a-z]{2}\d{2}(?: (?=[a-z]{0,3}\d)[a-z0-9]{4}){2,7}(?: [a-z0-9]{1,3}(?![A-Za-z0-9]))?(?![A-Za-z0-9])",
+    "phone": r"(?<![\w+.])(?:(?:\+|00(?=[1-9]))\d{1,3}[ .-]?(?:\(0\) ?)?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}|\(?\d{3}\)?[ .-]\d{3}[.-]\d{4}"
+    r"|(?<!-)(?:\(?0[1-9]\d{1,4}\)?[ /-]{1,3}(?:\d{5,8}|\d{3,4}[ -]?\d{3,5}|\d{2,4}(?:[ -]\d{2,4}){2,4})|0[1-9](?:[ .-]\d{2}){4}))(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?!\w|\.\d)",
     "ipv6": r"(?<![\w:.])(?=[0-9A-Fa-f:]*\d)(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
-    "card": rf"(?<![\w-])(?:[3-6]\d{{12,18}}|{_TWO}\d{{12}}|(?:[3-6]\d{{3}}|{_TWO})(?:[ -]\d{{4}}){{3}}|3\d{{3}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-])",
+    "card": rf"(?<![\w-])(?:[3-6]\d{{12,18}}|{_TWO}\d{{12}}|(?:[3-6]\d{{3}}|{_TWO})(?:[ .-]\d{{4}}){{3}}|3\d{{3}}[ .-]\d{{6}}[ .-]\d{{5}})(?![\w-])",
     "name": _TITLE + _NAME,
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -125,8 +145,9 @@ def _gender(entity: Column) -> Column:
 
 
 def person_of(entity: Column) -> Column:
-    """Given and family name of a name entity in lower case, a blank between; the family name alone of one word."""
-    return F.lower(_body(entity, F.lit("name")))
+    """All names of a name entity in lower case, a blank between; the family name alone of one word."""
+    spaced = F.regexp_replace(_body(entity, F.lit("name")), r"\.(?=[^ \n])", ". ")
+    return F.lower(F.regexp_replace(spaced, r"[ \n]+", " "))
 
 
 def _family(person: Column) -> Column:
@@ -134,8 +155,35 @@ def _family(person: Column) -> Column:
 
 
 def _given(person: Column) -> Column:
-    """The first of two names; null for one."""
-    return F.when(person.contains(" "), F.substring_index(person, " ", 1))
+    """The first of several names that is no initial and no particle; null for none."""
+    names = F.filter(F.split(person, " "), lambda w: ~w.endswith(".") & ~w.isin(*PARTICLES))
+    return F.when(F.size(names) > 1, F.get(names, F.lit(0)))
+
+
+def short_person(person: Column) -> Column:
+    """The first and the last name of a person of three words or more; null of fewer."""
+    first = _given(person)
+    return F.when((F.size(F.split(person, " ")) > 2) & first.isNotNull(), F.concat(first, F.lit(" "), _family(person)))
+
+
+def name_parts(person: Column, gender: Column) -> Column:
+    """(kind, canonical) of what a person's names are drawn from, in order: given-m or given-f, family, initial or particle.
+
+    Names with a hyphen have a part for each side.
+    """
+    words = F.split(person, " ")
+
+    def of(word: Column, at: Column) -> Column:
+        own = F.when(word.isin(*PARTICLES), F.lit("particle")).when(at == F.size(words) - 1, F.lit("family"))
+        own = own.when(word.endswith("."), F.lit("initial")).otherwise(F.concat(F.lit("given-"), gender))
+        sides = F.split(word, "-")
+        return F.transform(sides, lambda s: F.named_struct(F.lit("kind"), F.when(s.isin("al", "el"), F.lit("particle")).otherwise(own), F.lit("canonical"), s))
+
+    return F.flatten(F.transform(words, of))
+
+
+#: Parts of names that are checked for distinctness; initials are too few for it, particles stay.
+_DRAWN_PARTS = ("given-m", "given-f", "family")
 
 
 def guessed_gender(given: Column) -> Column:
@@ -157,14 +205,19 @@ def canonical_of(entity: Column, kind: Column) -> Column:
     body = _body(entity, kind)
     return (
         F.when(kind.isin("card", "ssn"), _digits(entity))
-        .when(kind == "phone", _last(_digits(entity), 10))
+        .when(kind == "phone", F.regexp_replace(_last(_digits(_without_trunk(entity)), 10), "^0(?!0)", ""))
         .when(kind.isin("email", "ipv6"), F.lower(entity))
-        .when(kind == "iban", F.translate(entity, " ", ""))
+        .when(kind == "iban", F.upper(F.translate(entity, " ", "")))
         .when(kind == "name", person_of(entity))
         .otherwise(body)
     )
 
 
+def _without_trunk(entity: Column) -> Column:
+    """A phone number whose ``(0)``, which is dialled at home only, counts as no digit."""
+    return F.replace(entity, F.lit("(0)"), F.lit("(\x02)"))
+
+
 def _last(text: Column, n: int) -> Column:
     return F.substring(text, F.greatest(F.length(text) - F.lit(n - 1), F.lit(1)), F.lit(n))
 
@@ -278,8 +331,10 @@ def _surrogate(kind: Column, canonical: Column, digest: Column, attempt: Column)
         _drawn_chars(canonical, digest, fixed, hexadecimal),
         lambda r: F.when(kind.isin("phone", "ssn"), number(r)).when(kind == "card", card(r)).when(kind == "iban", account(r)).otherwise(r),
     )
+    alone = F.concat(F.substring(_drawn_chars(F.substring(canonical, 1, 1), digest, F.lit(9), F.lit(False)), 1, 1), F.lit("."))
     return (
         F.when(kind == "ip", ip)
+        .when(kind == "initial", alone)
         .when(kind.isin("given-m", "given-f", "family"), _name_part(kind, canonical, digest, attempt))
         .otherwise(by_char)
     )
@@ -290,6 +345,9 @@ def render(entity: Column, kind: Column, surrogate: Column) -> Column:
     start = F.struct(F.lit("").alias("done"), F.lit(1).alias("at"))
 
     def filled_in(filled: Column, place: str) -> Column:
+        return filled_in_text(entity, filled, place)
+
+    def filled_in_text(entity: Column, filled: Column, place: str = "[0-9]") -> Column:
         """The entity with the characters of ``filled`` in turn where it has one of the class ``place``."""
 
         def fill(state: Column, c: Column) -> Column:
@@ -306,17 +364,25 @@ def render(entity: Column, kind: Column, surrogate: Column) -> Column:
         return F.when(c.rlike(r"\p{Lu}"), F.upper(new)).otherwise(new)
 
     def word(old: Column, new: Column) -> Column:
-        return F.when((old == F.upper(old)) & (F.length(old) > 1), F.upper(new)).otherwise(F.initcap(new))
+        """In capitals, with a capital, or as it is, by the name before."""
+        small = F.when(old == F.lower(old), new).otherwise(F.initcap(new))
+        return F.when((old == F.upper(old)) & (F.length(old) > 2), F.upper(new)).otherwise(small)
 
     def words(body: Column) -> Column:
-        family = word(_family(body), _family(surrogate))
-        return F.when(body.contains(" "), F.concat(word(F.substring_index(body, " ", 1), F.substring_index(surrogate, " ", 1)), F.lit(" "), family)).otherwise(family)
-
-    kept = F.length(_digits(entity)) - F.length(surrogate)  # a country code before the number
-    filled = F.concat(F.substring(_digits(entity), F.lit(1), kept), surrogate)
+        """The new names in the old ones' places, what stands between them kept."""
+        old = F.regexp_extract_all(body, F.lit(r"[^ \n.-]+\.?"), F.lit(0))
+        gaps = F.split(body, r"[^ \n.-]+\.?", -1)  # one more than names
+        new = F.zip_with(old, F.split(surrogate, " "), word)
+        return F.array_join(F.flatten(F.zip_with(gaps, new, lambda g, n: F.array(g, F.coalesce(n, F.lit(""))))), "")
+
+    whole = _digits(_without_trunk(entity))
+    kept = F.length(whole) - F.length(surrogate)  # a country code or a 0 before the number
+    filled = F.concat(F.substring(whole, F.lit(1), kept), surrogate)
+    account = filled_in(surrogate, "[A-Za-z0-9]")
     return (
-        F.when(kind.isin("phone", "card", "ssn"), _let(filled, lambda f: filled_in(f, "[0-9]")))
-        .when(kind == "iban", filled_in(surrogate, "[A-Z0-9]"))
+        F.when((kind == "phone") & entity.contains("(0)"), _let(filled, lambda f: F.replace(filled_in_text(_without_trunk(entity), f), F.lit("\x02"), F.lit("0"))))
+        .when(kind.isin("phone", "card", "ssn"), _let(filled, lambda f: filled_in(f, "[0-9]")))
+        .when(kind == "iban", F.when(entity == F.lower(entity), F.lower(account)).otherwise(account))
         .when(kind.isin("email", "ipv6"), F.array_join(F.transform(F.split(entity, ""), letter), ""))
         .when(kind == "name", F.concat(prefix_of(entity, kind), _let(_body(entity, kind), words)))
         .otherwise(F.concat(prefix_of(entity, kind), surrogate))
@@ -330,13 +396,18 @@ def _titled(text: Column) -> Column:
     """(person, gender) of the full names behind a title in a text: what one text says of its people."""
     named = F.regexp_extract_all(text, F.lit(_TITLE + _NAME), F.lit(0))
     people = F.transform(named, lambda e: F.struct(person_of(e).alias("person"), _gender(e).alias("gender")))
-    return F.filter(people, lambda p: p["person"].contains(" "))
+    short = F.transform(people, lambda p: F.named_struct(F.lit("person"), short_person(p["person"]), F.lit("gender"), p["gender"]))
+    return F.filter(F.concat(people, short), lambda p: p["person"].contains(" "))
 
 
 def _full_names(text: Column) -> Column:
-    """The full names behind a title in a text, as they stand, each once."""
+    """The full names behind a title in a text, as they stand, each once; of longer ones also the first and the last name."""
     bodies = F.transform(F.regexp_extract_all(text, F.lit(_TITLE + _NAME), F.lit(0)), lambda e: _body(e, F.lit("name")))
-    return F.array_distinct(F.filter(bodies, lambda b: b.contains(" ")))
+    full = F.filter(bodies, lambda b: b.contains(" "))
+    short = F.transform(full, lambda b: F.when((F.size(F.split(b, " ")) > 2) & ~b.contains("."), F.concat(F.substring_index(b, " ", 1), F.lit(" "), F.substring_index(b, " ", -1))))
+    # the longest first, so that none is cut by a part of its own
+    found = F.array_distinct(F.concat(full, F.filter(short, lambda s: s.isNotNull() & s.rlike(r"^\p{Lu}"))))
+    return F.transform(F.sort_array(F.transform(found, lambda n: F.struct((-F.length(n)).alias("size"), n.alias("name")))), lambda x: x["name"])
 
 
 def pattern_of(names: Column) -> Column:
@@ -419,14 +490,14 @@ def _replaced(text: Column, entities_: Column, pattern: Column, people: Column,
 
     def parts(kind: Column, canonical: Column) -> Column:
         """What is drawn for an entity: (kind, canonical), for a person each name."""
-        part = lambda k, c: F.struct(k.alias("kind"), c.alias("canonical"))
-        given = F.concat(F.lit("given-"), known(F.lit("person"), canonical, gender_in(people, canonical)))
-        family = part(F.lit("family"), _family(canonical))
-        whole = F.when(canonical.contains(" "), F.array(part(given, _given(canonical)), family)).otherwise(F.array(family))
-        return F.when(kind == "name", whole).otherwise(F.array(part(kind, canonical)))
+        gender = known(F.lit("person"), canonical, gender_in(people, canonical))
+        return F.when(kind == "name", _let(gender, lambda g: name_parts(canonical, g))).otherwise(
+            F.array(F.named_struct(F.lit("kind"), kind, F.lit("canonical"), canonical))
+        )
 
     def drawn(part: Column) -> Column:
-        return known(part["kind"], part["canonical"], surrogate_of(part["kind"], part["canonical"], F.lit(0), key))
+        new = known(part["kind"], part["canonical"], surrogate_of(part["kind"], part["canonical"], F.lit(0), key))
+        return F.when(part["kind"] == "particle", part["canonical"]).otherwise(new)
 
     def one(entity: Column) -> Column:
         def with_kind(kind: Column) -> Column:
@@ -483,9 +554,9 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | N
     plain = listed.where(~is_name).select("kind", "canonical")
     named = listed.where(is_name).select(F.col("canonical").alias("person"), "gender", "told")
     settled, disputed = _people(named.where(F.col("person").contains(" ")))
-    parts = settled.select(F.concat(F.lit("given-"), "gender").alias("kind"), _given(F.col("person")).alias("canonical"))
-    families = named.select(F.lit("family").alias("kind"), _family(F.col("person")).alias("canonical"))
-    found = materialise(plain.unionByName(parts).unionByName(families).distinct(), "entities")
+    alone = named.where(~F.col("person").contains(" ")).select("person", F.lit("m").alias("gender"))  # family names only
+    parts = settled.unionByName(alone).select(F.explode(name_parts(F.col("person"), F.col("gender"))).alias("p")).select("p.kind", "p.canonical")
+    found = materialise(plain.unionByName(parts.where(F.col("kind").isin(*_DRAWN_PARTS))).distinct(), "entities")
     redrawn = _redrawn(found, key)
     lookups = [redrawn] if redrawn is not None else []
     if disputed is not None:
@@ -508,13 +579,12 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | N
     uses = rows.withColumn("__names", names).select("__hash", F.explode(F.array_distinct(found_in(F.col("__names")))).alias("entity")).distinct()
     uses = uses.withColumn("kind", kind_of(F.col("entity")))
     uses = uses.withColumn("canonical", canonical_of(F.col("entity"), F.col("kind")))
-    # a name may ask for its family, its given name as either gender, and the person
+    # a name may ask for its family, its given names as either gender, and the person
     asked = F.when(
         F.col("kind") == "name",
-        F.array(
-            F.struct(F.lit("family").alias("kind"), _family(F.col("canonical")).alias("canonical")),
-            *[F.struct(F.lit(k).alias("kind"), _given(F.col("canonical")).alias("canonical")) for k in ("given-m", "given-f")],
-            F.struct(F.lit("person").alias("kind"), F.col("canonical").alias("canonical")),
+        F.concat(
+            *[name_parts(F.col("canonical"), F.lit(g)) for g in ("m", "f")],
+            F.array(F.struct(F.lit("person").alias("kind"), F.col("canonical").alias("canonical"))),
         ),
     ).otherwise(F.array(F.struct("kind", "canonical")))
     uses = uses.select("__hash", F.explode(asked).alias("a")).select("__hash", "a.kind", "a.canonical")
@@ -525,5 +595,8 @@ def replace_entities(df: DataFrame, key: str, text: str = "text", count: str | N
         .groupBy("__hash")
         .agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("__table"))
     )
-    joined = rows.join(tables.hint("merge"), "__hash", "left")
-    return shown(df.where(~maybe), None).unionByName(shown(joined, F.col("__table")))
+    # a text's copies may be many: those of a hot text stay where they lie
+    copies = rows.groupBy("__hash").agg(F.count("*").alias("n"))
+    tables = materialise(copies.join(tables.hint("merge"), "__hash", "left"), "tables")
+    joined = join_per_key(rows, tables, "__hash")
+    return shown(df.where(~maybe), None).unionByName(shown(joined.drop("n"), F.col("__table")))
