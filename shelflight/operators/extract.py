@@ -8,12 +8,17 @@ tags are common, so the page reader keeps open elements loosely.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from shelflight.functions import fields, urls
 from shelflight.sources.tables import first_rows
@@ -24,24 +29,22 @@ _BARRIER = {"ul", "ol", "table", "div", "select", "body"}
 
 
 class Element:
-    """One element: tag, attributes, parent, and its content in order (elements and texts)."""
+    """One element: tag, attributes, parent, and its content in order (elements and texts).
 
-    __slots__ = ("attrs", "content", "parent", "tag")
+    ``order`` numbers the elements of a page as they begin, ``last`` is the number of
+    the last one inside; so what lies inside an element is a slice of the page's list.
+    """
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None):
-        self.tag, self.attrs, self.parent, self.content = tag, attrs, parent, []
+    __slots__ = ("attrs", "content", "last", "order", "page", "parent", "tag")
 
-    def walk(self) -> Iterator[Element]:
-        """The elements inside, in order of the page; no recursion, so nesting may be of any depth."""
-        stack: list = [iter(self.content)]
-        while stack:
-            for c in stack[-1]:
-                if isinstance(c, Element):
-                    yield c
-                    stack.append(iter(c.content))
-                    break
-            else:
-                stack.pop()
+    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None, page: Page):
+        self.tag, self.attrs, self.parent, self.content, self.page = tag, attrs, parent, [], page
+        self.order = self.last = len(page.elements)
+        page.elements.append(self)
+
+    def walk(self) -> list[Element]:
+        """The elements inside, in order of the page."""
+        return self.page.elements[self.order + 1 : self.last + 1]
 
     def text(self, between: str = " ") -> str:
         parts: list[str] = []
@@ -61,78 +64,124 @@ class Element:
     def classes(self) -> list[str]:
         return self.get("class").split()
 
+    def _candidates(self, test: Callable[[Element], bool]) -> list[Element]:
+        """The elements inside that may pass a test: those with one of its keys, or all."""
+        keys = getattr(test, "keys", None)
+        if keys is None:
+            return self.walk()
+        lists = [self.page.having(k) for k in keys]
+        parts = [own[bisect_right(own, self.order) : bisect_right(own, self.last)] for own in lists]
+        numbers = parts[0] if len(parts) == 1 else sorted(set().union(*parts))
+        return [self.page.elements[i] for i in numbers]
+
     def find(self, *tests: Callable[[Element], bool]) -> Element | None:
-        """The first element of the first test that any element passes, in one walk."""
-        found: dict[int, Element] = {}
-        left = list(enumerate(tests))
-        for e in self.walk():
-            for i, test in left:
+        """The first element of the first test that any element passes."""
+        for test in tests:
+            for e in self._candidates(test):
                 if test(e):
-                    found[i] = e
-                    left = left[:i]  # only what would come before still matters
-                    break
-            if not left:
-                break
-        return found[min(found)] if found else None
+                    return e
+        return None
 
     def all(self, test: Callable[[Element], bool]) -> list[Element]:
-        return [e for e in self.walk() if test(e)]
+        return [e for e in self._candidates(test) if test(e)]
+
+
+class Page:
+    """The elements of a page in order, found by (what, name): ``id``, ``class`` or ``tag``."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.places: dict[tuple[str, str], list[int]] | None = None
+        self.covers: dict[Callable, tuple[list[int], list[int]]] = {}
+
+    def close(self) -> None:
+        for e in reversed(self.elements):
+            if e.parent is not None and e.last > e.parent.last:
+                e.parent.last = e.last
+
+    def having(self, key: tuple[str, str]) -> list[int]:
+        if self.places is None:
+            self.places = {}
+            for e in self.elements:
+                for own in {("tag", e.tag), ("id", e.get("id")), *(("class", c) for c in e.classes())}:
+                    self.places.setdefault(own, []).append(e.order)
+        return self.places.get(key, [])
+
+    def covered(self, outer: Callable[[Element], bool], e: Element) -> bool:
+        """Whether an element lies inside one that passes ``outer``."""
+        if outer not in self.covers:
+            found = self.elements[0].all(outer)
+            self.covers[outer] = [o.order for o in found], list(accumulate((o.last for o in found), max))
+        orders, furthest = self.covers[outer]
+        # of those that begin before it, one that ends behind its beginning holds it
+        k = bisect_left(orders, e.order)
+        return k > 0 and furthest[k - 1] >= e.order
 
 
 class _Reader(HTMLParser):
+    """Keeps the open elements as a path, and where on it each tag stands, so that no tag looks for its partner step by step."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Element("", {}, None)
+        self.page = Page()
+        self.path = [Element("", {}, None, self.page)]
+        self.open: dict[str, list[int]] = {}
+
+    def _cut(self, length: int) -> None:
+        while len(self.path) > length:
+            self.open[self.path.pop().tag].pop()
 
     def handle_starttag(self, tag, attrs):
-        closes, e = _CLOSES.get(tag, ()), self.at
-        while closes and e.parent is not None and e.tag not in _BARRIER:
-            if e.tag in closes:
-                self.at = e.parent
-            e = e.parent
-        element = Element(tag, {k: v or "" for k, v in attrs}, self.at)
-        self.at.content.append(element)
+        if closes := _CLOSES.get(tag):
+            barrier = max((own[-1] for b in _BARRIER if (own := self.open.get(b))), default=0)
+            opened = [own[k] for c in closes if (own := self.open.get(c)) and (k := bisect_right(own, barrier)) < len(own)]
+            if opened:
+                self._cut(min(opened))
+        element = Element(tag, {k: v or "" for k, v in attrs}, self.path[-1], self.page)
+        self.path[-1].content.append(element)
         if tag not in _VOID:
-            self.at = element
+            self.open.setdefault(tag, []).append(len(self.path))
+            self.path.append(element)
 
     def handle_endtag(self, tag):
-        e = self.at
-        while e.parent is not None and e.tag != tag:
-            e = e.parent
-        if e.parent is not None:
-            self.at = e.parent
+        if own := self.open.get(tag):
+            self._cut(own[-1])
 
     def handle_data(self, data):
-        self.at.content.append(data)
+        self.path[-1].content.append(data)
 
 
 def read_page(html: str | None) -> Element:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
-    return reader.root
+    reader.page.close()
+    return reader.page.elements[0]
+
+
+def _keyed(test: Callable[[Element], bool], *keys: tuple[str, str]) -> Callable[[Element], bool]:
+    """A test that only elements with one of the keys can pass."""
+    test.keys = keys
+    return test
 
 
 def has_id(*names: str) -> Callable[[Element], bool]:
-    return lambda e: e.get("id") in names
+    return _keyed(lambda e: e.get("id") in names, *[("id", n) for n in names])
 
 
 def has_class(*names: str) -> Callable[[Element], bool]:
-    return lambda e: any(n in e.classes() for n in names)
+    return _keyed(lambda e: any(n in e.classes() for n in names), *[("class", n) for n in names])
+
+
+def is_tag(*tags: str, where: Callable[[Element], bool] | None = None) -> Callable[[Element], bool]:
+    return _keyed(lambda e: e.tag in tags and (where is None or where(e)), *[("tag", t) for t in tags])
 
 
 def inside(outer: Callable[[Element], bool], inner: Callable[[Element], bool]) -> Callable[[Element], bool]:
     def test(e: Element) -> bool:
-        if not inner(e):
-            return False
-        p = e.parent
-        while p is not None:
-            if outer(p):
-                return True
-            p = p.parent
-        return False
+        return inner(e) and e.page.covered(outer, e)
 
-    return test
+    return _keyed(test, *inner.keys) if hasattr(inner, "keys") else test
 
 
 def _text(e: Element | None) -> str | None:
@@ -168,6 +217,13 @@ def _per_page(pages: DataFrame, schema: str, make: Callable[[Element, str], Iter
 
 _CARD = (lambda e: e.get("id").startswith("gridItemRoot"), has_class("zg-grid-general-faceout"))
 _PRICE = inside(has_class("a-price"), has_class("a-offscreen"))
+_STRUCK = inside(has_class("a-text-price"), has_class("a-offscreen"))
+_LINK = is_tag("a", where=lambda e: bool(e.get("href")))
+_ITEM_LINK = is_tag("a", where=lambda e: "/dp/" in e.get("href"))
+_SPANNED = inside(is_tag("span"), is_tag("div"))
+_SMALL = is_tag("span", where=lambda e: "a-size-small" in e.classes())
+_SMALL_LINK = inside(is_tag("a", where=lambda e: "a-size-small" in e.classes()), is_tag("span"))
+_TOTAL = inside(has_class("a-spacing-small"), is_tag("span"))
 _BADGE = lambda e: bool(e.get("data-a-badge-type")) or has_class("a-badge", "a-badge-label", "a-badge-label-inner")(e)
 
 
@@ -181,25 +237,25 @@ def _badges(e: Element) -> str:
 
 
 def _card(card: Element) -> dict | None:
-    link = card.find(lambda e: e.tag == "a" and "/dp/" in e.get("href"))
+    link = card.find(_ITEM_LINK)
     if link is None:
         return None
-    image = card.find(lambda e: e.tag == "img")
+    image = card.find(is_tag("img"))
     truncated = lambda e: any("line-clamp" in c or "truncate" in c for c in e.classes())
-    name = card.find(truncated, inside(lambda e: e.tag == "span", lambda e: e.tag == "div"))
+    name = card.find(truncated, _SPANNED)
     price = card.find(_PRICE, lambda e: any("sc-price" in c for c in e.classes()))
     return {
         "href": link.get("href"),
         "name": _text(name) or "",
         "image_url": image.get("src") if image is not None else None,
         "price_raw": _text(price),
-        "original_price": _text(card.find(inside(has_class("a-text-price"), has_class("a-offscreen")))),
+        "original_price": _text(card.find(_STRUCK)),
         "discount_pct": _text(card.find(has_class("a-badge-label-inner"), lambda e: e.get("data-a-badge-color") == "sx-orange")),
         "rating_text": _text(card.find(has_class("a-icon-alt"))),
         "review_text": _text(
             card.find(
-                inside(lambda e: e.tag == "a" and "a-size-small" in e.classes(), lambda e: e.tag == "span"),
-                lambda e: e.tag == "span" and "a-size-small" in e.classes(),
+                _SMALL_LINK,
+                _SMALL,
             )
         ),
         "rank_text": _text(card.find(has_class("zg-badge-text"))),
@@ -277,7 +333,7 @@ RESULT_FIELDS = "idx int, asin string, review_text string, has_next boolean, tot
 
 
 def _results(page: Element, _: str = "") -> Iterator[dict]:
-    total = _text(page.find(inside(has_class("a-spacing-small"), lambda e: e.tag == "span")))
+    total = _text(page.find(_TOTAL))
     following = page.find(lambda e: "s-pagination-next" in e.classes() and "s-pagination-disabled" not in e.classes())
     cards = page.all(lambda e: e.get("data-component-type") == "s-search-result" and bool(e.get("data-asin").strip()))
     for i, card in enumerate(cards):
@@ -391,8 +447,8 @@ _ANYWHERE = tuple(i[1:] for i in _BLOCK_IDS if i.startswith("*"))
 def _table(page: Element, test: Callable[[Element], bool]) -> list[tuple[str, str]]:
     """Key and value cells of the rows of a block."""
     pairs = []
-    for row in page.all(inside(test, lambda e: e.tag == "tr")):
-        cells = [c.text() for c in row.all(lambda e: e.tag in ("th", "td"))]
+    for row in page.all(inside(test, is_tag("tr"))):
+        cells = [c.text() for c in row.all(is_tag("th", "td"))]
         if len(cells) >= 2 and cells[0]:
             pairs.append((cells[0].strip(" :"), cells[1]))
     return pairs
@@ -407,13 +463,13 @@ def _details(page: Element, _: str = "") -> Iterator[dict]:
                 if part in name:
                     by_id.setdefault(f"*{part}", e)
     block = lambda *ids: next((by_id[i] for i in ids if i in by_id), None)
-    rows = page.all(inside(_ROW_BLOCKS, lambda e: e.tag in ("li", "tr")))
+    rows = page.all(inside(_ROW_BLOCKS, is_tag("li", "tr")))
     bullets = [r.text().split(":", 1) for r in rows if r.tag == "li"]
     attributes = dict(_table(page, _ROW_BLOCKS))
     attributes |= {k.strip(): v.strip() for k, v in (b for b in bullets if len(b) == 2) if k.strip()}
     image = block("landingImage", "imgBlkFront")
     crumbs = block("wayfinding-breadcrumbs_feature_div")
-    scripts = page.all(lambda e: e.tag == "script")
+    scripts = page.all(is_tag("script"))
     linked_data = [e for e in scripts if e.get("type") == "application/ld+json"]
     source = lambda e: "".join(c for c in e.content if isinstance(c, str))
     extra = page.all(has_id("acBadge_feature_div", "zeitgeistBadge_feature_div", "badge_feature_div"))
@@ -430,20 +486,20 @@ def _details(page: Element, _: str = "") -> Iterator[dict]:
         "rows": [r.text() for r in rows],
         "attributes": attributes,
         "overview": dict(_table(page, has_id("productOverview_feature_div", "poExpander"))),
-        "variants": len(page.all(inside(has_id("twister_feature_div"), lambda e: e.tag == "li" and bool(e.get("data-defaultasin"))))),
-        "bullets": len(page.all(inside(has_id("feature-bullets"), lambda e: e.tag == "li"))),
-        "images": len(page.all(inside(has_id("altImages"), lambda e: e.tag == "img"))),
+        "variants": len(page.all(inside(has_id("twister_feature_div"), is_tag("li", where=lambda e: bool(e.get("data-defaultasin")))))),
+        "bullets": len(page.all(inside(has_id("feature-bullets"), is_tag("li")))),
+        "images": len(page.all(inside(has_id("altImages"), is_tag("img")))),
         "sellers_text": _text(block("olp_feature_div", "aod-offer-list")),
         "delivery_text": _text(block("mir-layout-DELIVERY_BLOCK", "deliveryBlockMessage")),
         "merchant_text": _text(page.find(has_id("merchant-info"), has_id("merchantInfoFeature"))),
         "offer_text": _text(page.find(has_class("offer-display-feature-text"), has_id("tabular-buybox"))),
         "badges": " ".join([_badges(page), *[e.text() for e in extra]]).strip(),
-        "breadcrumbs": [a.text() for a in crumbs.all(lambda e: e.tag == "a")] if crumbs is not None else [],
+        "breadcrumbs": [a.text() for a in crumbs.all(is_tag("a"))] if crumbs is not None else [],
         "stars_text": _text(block("histogramTable")),
         "json_ld": source(linked_data[0]) if linked_data else None,
         "description": _text(block("productDescription", "aplus")),
         "brand_url": brand.get("href") if brand is not None else None,
-        "original_price": _text(page.find(inside(has_class("a-text-price"), has_class("a-offscreen")))),
+        "original_price": _text(page.find(_STRUCK)),
         "discount_text": _text(page.find(has_class("savingsPercentage"), has_id("dealprice_savings"))),
         "has_video": any("videoCount" in c or c in _VIDEO_CLASSES for e in page.walk() for c in e.classes()) or "vse-vw-dp-container" in by_id,
         "bullet_texts": [t for e in points.all(has_class("a-list-item")) if (t := e.text())] if points is not None else [],
@@ -453,7 +509,7 @@ def _details(page: Element, _: str = "") -> Iterator[dict]:
         "parent_input": value("parentAsin", "parentASIN"),
         "n_json_ld": len(linked_data),
         "has_twister_data": any("twister-js-init" in (t := source(e)) or "dimensionValuesDisplayData" in t for e in scripts),
-        "n_offers": len(page.all(lambda e: e.get("id") == "aod-offer")),
+        "n_offers": len(page.all(has_id("aod-offer"))),
         "blocks": {i: by_id[i].text() for i in _BLOCK_IDS if i in by_id},
     }
 
@@ -708,7 +764,7 @@ def chart_children(pages: DataFrame, domain: Column, key: str = "node") -> DataF
 
 def _crumbs(page: Element, _: str = "") -> Iterator[dict]:
     box = page.find(has_id("wayfinding-breadcrumbs_feature_div"))
-    for pos, a in enumerate(box.all(lambda e: e.tag == "a") if box is not None else []):
+    for pos, a in enumerate(box.all(is_tag("a")) if box is not None else []):
         yield {"pos": pos, "name": a.text(""), "href": a.get("href")}
 
 
@@ -723,7 +779,7 @@ def _root_links(page: Element, _: str = "") -> Iterator[dict]:
     root = page.find(
         lambda e: e.tag == "ul" and any("zg-browse-root" in c for c in e.classes()), has_id("zg_browseRoot")
     )
-    for a in root.all(lambda e: e.tag == "a" and bool(e.get("href"))) if root is not None else []:
+    for a in root.all(_LINK) if root is not None else []:
         yield {"href": a.get("href")}
 
 
@@ -739,7 +795,7 @@ def root_slugs(pages: DataFrame) -> DataFrame:
 
 def _headings(page: Element, _: str = "") -> Iterator[dict]:
     selected = page.find(lambda e: any("zg-selected" in c for c in e.classes()))
-    yield {"selected": _text(selected), "heading": _text(page.find(lambda e: e.tag == "h1"))}
+    yield {"selected": _text(selected), "heading": _text(page.find(is_tag("h1")))}
 
 
 def root_name(pages: DataFrame) -> DataFrame:
@@ -752,7 +808,7 @@ def root_name(pages: DataFrame) -> DataFrame:
 
 
 def _links(page: Element, _: str = "") -> Iterator[dict]:
-    for pos, a in enumerate(page.all(lambda e: e.tag == "a" and bool(e.get("href")))):
+    for pos, a in enumerate(page.all(_LINK)):
         yield {"pos": pos, "href": a.get("href"), "name": a.text("")}
 
 
@@ -793,12 +849,46 @@ def _table_function(make: Callable[[Element, str], Iterator[dict]], schema: str)
     return udtf(Rows, returnType=schema)
 
 
-def register_table_functions(spark) -> None:
-    """SQL table functions of the extractors for LATERAL joins, each with a page's HTML as argument.
+def _pages_function(make: Callable[[Element, str], Iterator[dict]], schema: str):
+    """A table function over whole pages: page_id, url and the extractor's columns; Arrow batches in and out."""
+    from pyspark.sql.functions import arrow_udtf
+
+    names = [c.split()[0] for c in re.split(r", (?![^<]*>)", schema)]
+    whole = f"page_id long, url string, {schema}"
+    arrow = to_arrow_schema(T.StructType.fromDDL(whole))
+
+    class Rows:
+        def eval(self, pages: pa.RecordBatch) -> Iterator[pa.Table]:
+            given = [pages.column(pages.schema.get_field_index(c)).to_pylist() for c in ("page_id", "url", "html")]
+            out: list = []
+            for page_id, url, html in zip(*given):
+                page = read_page(html)
+                out += [{"page_id": page_id, "url": url} | {n: found.get(n) for n in names} for found in make(page, html or "")]
+                if len(out) >= ROWS_AT_ONCE:
+                    yield pa.Table.from_pylist(out, arrow)
+                    out = []
+            yield pa.Table.from_pylist(out, arrow)
+
+    return arrow_udtf(Rows, returnType=whole)
+
 
-    page_links, page_crumbs, page_cards, page_movers, page_results, page_blocks,
-    page_children, page_root_links and page_headings give the raw texts; typed
-    values come from the functions over them.
+#: Extractors whose columns are plain values, and so may also be table functions over pages.
+PAGE_FUNCTIONS = {"links_of": "page_links", "crumbs_of": "page_crumbs", "cards_of": "page_cards", "results_of": "page_results",
+                  "children_of": "page_children", "headings_of": "page_headings"}
+
+
+def register_table_functions(spark) -> None:
+    """SQL table functions of the extractors.
+
+    For LATERAL joins, each with a page's HTML as argument: page_links, page_crumbs,
+    page_cards, page_movers, page_results, page_blocks, page_children,
+    page_root_links and page_headings. Over tables of pages (page_id, url, html and
+    more), a batch at a time: links_of, crumbs_of, cards_of, results_of, children_of
+    and headings_of, as in ``cards_of(TABLE(pages) PARTITION BY page_id)``; without
+    PARTITION BY pages are read where they lie. All give raw texts; typed values come
+    from the functions over them.
     """
     for name, (make, schema) in EXTRACTORS.items():
         spark.udtf.register(name, _table_function(make, schema))
+    for name, own in PAGE_FUNCTIONS.items():
+        spark.udtf.register(name, _pages_function(*EXTRACTORS[own]))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelflight.functions import fields
 from shelflight.functions.fields import truthy
 from shelflight.operators.filters import is_blank
 
@@ -59,6 +60,16 @@ def pending(nodes: DataFrame, flag: str = "na_valid") -> DataFrame:
     return nodes.where(F.col(flag).isNull() & ~is_blank(F.col("node_id")))
 
 
+def run_state(status: DataFrame, nodes: DataFrame, as_of: Column, flag: str = "na_valid") -> DataFrame:
+    """(id, phase, running, total, queue) of each run: whether it is alive at ``as_of``, and how many nodes it has and has still to check.
+
+    ``status`` has id, phase, paused, updated_at; a run without a heartbeat is not running.
+    """
+    work = nodes.agg(F.count_if(~is_blank(F.col("node_id"))).alias("total"), F.count_if(F.col(flag).isNull() & ~is_blank(F.col("node_id"))).alias("queue"))
+    alive = fields.is_running(F.col("phase"), F.col("updated_at"), as_of) & ~(F.coalesce(F.col("paused"), F.lit(0)) == 1)
+    return status.crossJoin(F.broadcast(work)).select("id", "phase", alive.alias("running"), "total", "queue")  # one row of work
+
+
 def with_cache(nodes: DataFrame, cache: DataFrame, flags: list[str]) -> DataFrame:
     """``nodes`` with null flags filled from the cache, of several rows of a node from the greatest flag."""
     cached = cache.groupBy("node_id").agg(*[F.max(f).alias(f"__{f}") for f in flags])

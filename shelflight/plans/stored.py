@@ -1,4 +1,4 @@
-"""Registered queries over stored structures: interval labels, trigrams, digests, sketches, relational tables, generations of files."""
+"""Registered queries over stored structures, table functions, and round trips of readers and writers."""
 
 from __future__ import annotations
 
@@ -7,8 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.operators import intervals, reconcile, similar, sketches
+from shelflight.functions import fields
+from shelflight.operators import extract, filters, intervals, quality, reconcile, similar, sketches
 from shelflight.plans import views
+from shelflight.plans.captures import _D, _pages
 from shelflight.plans.catalogue import _AFTER, _BEFORE, _TRIGRAMS, _UP, query
 from shelflight.plans.views import WITH_NODES, WITH_SIGHTINGS
 from shelflight.sources import relational, tables
@@ -110,3 +112,131 @@ def file_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, columns in enumerate((["asin"], ["asin", "list_type"], ["asin", "list_type", "price"])):
         orders.where(F.col("asin") % 3 == k).select(*columns).write.mode("append").parquet(path)
     return relational.read_generations(spark, path, orders.schema, {"price": 0.0})
+
+
+# --- table functions ------------------------------------------------------------
+
+
+@query(f"""WITH {_D} SELECT k AS page_id, 0 AS idx, concat('B', lpad(asin, 9, '0')) AS asin, name FROM d
+UNION ALL SELECT k, 1, concat('C', lpad(asin, 9, '0')), brand FROM d""")
+def sql_page_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item cards of ranked-list pages by a table function over the table of pages."""
+    extract.register_table_functions(spark)
+    pages = _pages(spark, sf_dir, views.CHART_PAGES).select("page_id", "url", "html")
+    sql = "SELECT page_id, idx, regexp_extract(href, '/dp/([A-Z0-9]{{10}})', 1) AS asin, name FROM cards_of(TABLE({pages}))"
+    return spark.sql(sql, pages=pages)
+
+
+@query(f"""WITH {_D} SELECT k AS page_id, 0 AS pos, name, CAST(k + 100 AS VARCHAR) AS node_id FROM d
+UNION ALL SELECT k, 1, brand, CAST(size + 7 AS VARCHAR) FROM d""")
+def sql_page_crumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadcrumbs of detail pages by a table function over pages dealt out by their id."""
+    extract.register_table_functions(spark)
+    pages = _pages(spark, sf_dir, views.DETAIL_PAGES).select("page_id", "url", "html")
+    sql = """SELECT page_id, pos, name, regexp_extract(href, 'node=([0-9]+)', 1) AS node_id
+             FROM crumbs_of(TABLE({pages}) PARTITION BY page_id) WHERE href LIKE '%node=%'"""
+    return spark.sql(sql, pages=pages)
+
+
+@query(f"""WITH {_D} SELECT k AS page_id, pos, CASE pos WHEN 0 THEN concat('B', lpad(asin, 9, '0')) ELSE concat('C', lpad(asin, 9, '0')) END AS asin FROM d, (SELECT unnest([0, 1]) AS pos)""")
+def sql_lateral_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item cards by a LATERAL join with a table function of each page's HTML."""
+    extract.register_table_functions(spark)
+    sql = """SELECT p.page_id, c.idx AS pos, regexp_extract(c.href, '/dp/([A-Z0-9]{{10}})', 1) AS asin
+             FROM {pages} p, LATERAL page_cards(p.html) c"""
+    return spark.sql(sql, pages=_pages(spark, sf_dir, views.CHART_PAGES).select("page_id", "html"))
+
+
+# --- round trips ----------------------------------------------------------------
+
+
+@query("""SELECT p_partkey AS id, p_name AS name, p_size AS size FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, p_name, p_size FROM part WHERE p_partkey % 3 = 0""")
+def reloaded_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table truncated and loaded twice, appended to without keys, written as nested JSON and as a report, and read back."""
+    parts = views.view(spark, sf_dir, "SELECT p_partkey AS id, p_name AS name, p_size AS size FROM {part}")
+    path = tables.shared_dir(spark, "reloaded")
+    for _ in range(2):
+        tables.overwrite(parts.where("id % 2 = 0"), f"{path}/table")
+    tables.append(parts.where("id % 3 = 0"), f"{path}/table")
+    whole = tables.table_at(spark, f"{path}/table", parts.schema)
+    tables.write_json(whole.select(F.struct(*parts.columns).alias("row")), f"{path}/json")
+    nested = spark.read.schema(f"row {parts.schema.simpleString()}").json(f"{path}/json").select("row.*")
+    tables.write_report(nested, ["size", "id", "name"], f"{path}/report")
+    return spark.read.option("header", True).schema("size long, id long, name string").csv(f"{path}/report").select(*parts.columns)
+
+
+@query("""SELECT CAST(p_partkey AS VARCHAR) AS id, CASE WHEN p_partkey % 5 > 0 THEN p_brand END AS name FROM part""")
+def table_or_nothing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of the catalog beside one that is not there."""
+    parts = views.view(spark, sf_dir, "SELECT CAST(p_partkey AS STRING) AS id, p_brand AS name FROM {part}")
+    named = f"brands_{uuid.uuid4().hex}"
+    parts.where("CAST(id AS LONG) % 5 > 0").createOrReplaceTempView(named)
+    there, missing = (tables.table_or_empty(spark, n, parts.schema) for n in (named, f"{named}_missing"))
+    return parts.select("id").join(there.unionByName(missing).hint("merge"), "id", "left")
+
+
+@query("""SELECT CAST(o_custkey AS VARCHAR) AS asin, max_by(o_orderstatus, struct_pack(o_orderdate, o_orderkey)) AS valid FROM orders WHERE o_orderkey % 11 > 0 GROUP BY 1
+UNION ALL SELECT NULL, o_orderstatus FROM orders WHERE o_orderkey % 11 = 0""")
+def latest_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the updates of each key the last; updates without a key all stay."""
+    sql = "SELECT CASE WHEN o_orderkey % 11 > 0 THEN CAST(o_custkey AS STRING) END AS asin, o_orderstatus AS valid, o_orderdate, o_orderkey FROM {orders}"
+    return tables.latest_per_key(views.view(spark, sf_dir, sql), ["asin"], ["o_orderdate", "o_orderkey"]).select("asin", "valid")
+
+
+@query(f"""WITH {WITH_SIGHTINGS}, sized AS (SELECT *, count(*) OVER (PARTITION BY node_id, list_type) AS list_total FROM sightings)
+SELECT node_id, list_type, count(*) AS n FROM sized WHERE list_total >= 30 GROUP BY 1, 2""")
+def sized_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that are long enough to be read at all."""
+    rows = views.sightings(spark, sf_dir)
+    totals = rows.groupBy("node_id", "list_type").agg(F.count("*").alias("list_total"))
+    sized = rows.join(totals.hint("merge"), ["node_id", "list_type"])
+    return sized.where(filters.ListGate(min_list_size=30).column()).groupBy("node_id", "list_type").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_partkey AS id, contains(lower(p_name), 'ring') AND NOT contains(lower(p_name), 'hot') AS skipped FROM part""")
+def kept_and_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows dealt into kept and skipped ones by words, of which some win."""
+    parts = views.view(spark, sf_dir, "SELECT p_partkey AS id, p_name AS slug FROM {part}")
+    flag = filters.is_skipped(F.col("slug"), ("ring",), ("hot",))
+    sides = [parts.where(flag == side).select("id", F.lit(side).alias("skipped")) for side in (False, True)]
+    return sides[0].unionByName(sides[1])
+
+
+@query("""SELECT p_partkey AS id, p_brand AS brand, CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) END AS size, CASE WHEN p_size > 9 THEN 2 ELSE 1 END::INT AS n FROM part""")
+def attribute_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a key and a value as a map: the first colon parts them, the last of equal keys stays, some keys are left out."""
+    sql = """SELECT p_partkey AS id, array('Brand: none', 'Rank: 1', 'no colon', concat('Brand: ', p_brand), ': empty',
+             concat('Size: ', CASE WHEN p_size > 9 THEN CAST(p_size AS STRING) ELSE '' END)) AS lines FROM {part}"""
+    found = views.view(spark, sf_dir, sql).withColumn("m", fields.key_values(F.col("lines"), ("Rank",)))
+    get = lambda k: F.try_element_at("m", F.lit(k))
+    return found.select("id", get("Brand").alias("brand"), get("Size").alias("size"), F.size("m").alias("n"))
+
+
+_OVERVIEW = """SELECT p_partkey AS page_id, 'https://shop.example/dp/B000000000' AS url,
+ concat('<div id="productOverview_feature_div"><table><tr><td>Brand</td><td>', p_brand, '</td></tr><tr><td>Material :</td><td>', p_type,
+        '</td></tr><tr><td>only one</td></tr></table></div>', CASE WHEN p_size % 2 = 0 THEN '/dp/B0ABCDEFGH /dp/B0ABCDEFGH /dp/B0ABCDEFGI' ELSE '' END) AS html FROM {part}"""
+
+
+@query("""SELECT p_partkey AS page_id, p_brand AS brand, p_type AS material, 2::INT AS n, CASE WHEN p_size % 2 = 0 THEN 2 ELSE 0 END::INT AS list_total FROM part""")
+def overview_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overview tables of detail pages, and the number of items that a page without any count names."""
+    pages = _pages(spark, sf_dir, _OVERVIEW)
+    blocks = extract.detail_blocks(pages, ("page_id",)).select("page_id", "overview")
+    totals = pages.select("page_id", fields.list_total(F.col("html"), F.lit(r"of (\d+) results"), F.lit(0)).alias("list_total"))
+    get = lambda k: F.try_element_at("overview", F.lit(k))
+    rows = blocks.join(totals.hint("merge"), "page_id")
+    return rows.select("page_id", get("Brand").alias("brand"), get("Material").alias("material"), F.size("overview").alias("n"), "list_total")
+
+
+@query(f"""WITH {WITH_NODES}, w AS (SELECT count(*) FILTER (coalesce(trim(node_id), '') <> '') AS total, count(*) FILTER (na_valid IS NULL AND coalesce(trim(node_id), '') <> '') AS queue FROM nodes),
+s AS (SELECT user_id AS id, arg_max(event_type, ts) AS phase, max(ts) AS updated_at, (SELECT max(ts) FROM events) AS as_of FROM events GROUP BY 1)
+SELECT id, phase, epoch(date_trunc('second', as_of)) - epoch(date_trunc('second', updated_at)) < 60 AND phase <> 'error' AND id % 3 > 0 AS running, total, queue FROM s, w""")
+def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs with their phase, whether they are alive, and the work that waits."""
+    events = views.fetch_log(spark, sf_dir)
+    log = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    status = log.groupBy(F.col("user_id").alias("id")).agg(F.max_by("event_type", "ts").alias("phase"), F.max("ts").alias("updated_at"))
+    paused = F.when(F.col("id") % 3 == 0, 1)
+    as_of = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
+    return quality.run_state(status.withColumn("paused", paused), views.nodes(spark, sf_dir), F.lit(as_of))
