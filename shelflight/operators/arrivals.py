@@ -46,7 +46,7 @@ def candidates(found: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     first = first_seen(found, ["asin"], ["node_id", "page_no", "idx"])
     named = nodes.select("node_id", F.col("name").alias("category_name"), F.col("depth").alias("category_depth"))
-    return first.join(named.dropDuplicates(["node_id"]), "node_id")
+    return first.join(named.dropDuplicates(["node_id"]).hint("merge"), "node_id")
 
 
 def arrivals(candidates: DataFrame, details: DataFrame, as_of: Column, rules: ArrivalRules = RULES) -> DataFrame:
@@ -54,7 +54,7 @@ def arrivals(candidates: DataFrame, details: DataFrame, as_of: Column, rules: Ar
 
     ``details`` has asin, listing_date, bsr_main_rank, review_count and whatever else is to be kept.
     """
-    aged = candidates.join(details, "asin").withColumn("listing_age_days", F.datediff(as_of, F.col("listing_date")))
+    aged = candidates.join(details.hint("merge"), "asin").withColumn("listing_age_days", F.datediff(as_of, F.col("listing_date")))
     kept = aged.where(accepted(F.col("bsr_main_rank"), F.col("listing_age_days"), rules))
     signal = is_signal(F.col("bsr_main_rank"), F.col("listing_age_days"), F.col("review_count"), rules)
     return kept.withColumn("is_signal", signal.cast("int"))
@@ -91,9 +91,9 @@ def run_funnel(
     ``arrivals``, once for an item; an item without details is an error. saved
     counts the accepted items that ``known`` (asin) does not hold.
     """
-    rows = candidates(found, nodes).join(details.withColumn("__has", F.lit(True)), "asin", "left")
+    rows = candidates(found, nodes).join(details.withColumn("__has", F.lit(True)).hint("merge"), "asin", "left")
     if known is not None:
-        rows = rows.join(known.select("asin", F.lit(True).alias("__known")).distinct(), "asin", "left")
+        rows = rows.join(known.select("asin", F.lit(True).alias("__known")).distinct().hint("merge"), "asin", "left")
     else:
         rows = rows.withColumn("__known", F.lit(None).cast("boolean"))
     age = F.datediff(as_of, F.col("listing_date"))

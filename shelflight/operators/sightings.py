@@ -115,7 +115,7 @@ def enriched(sightings: DataFrame, details: DataFrame, passes: Column | None, fi
     new = details.withColumn("__passes", test).groupBy("asin").agg(
         F.bool_and("__passes").alias("__passes"), *[F.min(f).alias(f"__{f}") for f in fields]
     )
-    joined = sightings.join(new, "asin", "left")
+    joined = sightings.join(new.hint("merge"), "asin", "left")
     if passes is not None:
         joined = joined.where(F.coalesce("__passes", F.lit(True)))
     have = set(sightings.columns)

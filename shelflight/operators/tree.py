@@ -209,7 +209,7 @@ def edges_of_crumbs(crumbs: DataFrame, known: DataFrame) -> DataFrame:
     one without a known ancestor is dropped. Of a node found on several pages the
     first by (page_id, pos) stays.
     """
-    marked = crumbs.join(known.select("node_id", F.lit(1).alias("known")).distinct(), "node_id", "left")
+    marked = crumbs.join(known.select("node_id", F.lit(1).alias("known")).distinct().hint("merge"), "node_id", "left")
     placed = marked.selectExpr(
         "page_id",
         "pos",
@@ -229,6 +229,8 @@ def fill_from_crumbs(crumbs: DataFrame, known: DataFrame) -> DataFrame:
 
     Rounds go on while a page's crumbs attach below nodes that another page added.
     """
+    # crumbs often come from pages: they are read once, not in each round
+    crumbs = materialise(crumbs.select("page_id", "pos", "node_id", "name"), "crumbs-read")
     known = known.select("node_id", F.col("depth").cast("int").alias("depth"), "slug")
     added = None
     while True:

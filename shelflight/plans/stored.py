@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelflight.functions import fields
-from shelflight.operators import extract, filters, intervals, quality, reconcile, similar, sketches
+from shelflight.operators import extract, filters, intervals, quality, reconcile, similar, sketches, tree
 from shelflight.plans import views
 from shelflight.plans.captures import _D, _pages
-from shelflight.plans.catalogue import _AFTER, _BEFORE, _TRIGRAMS, _UP, query
+from shelflight.plans.catalogue import _AFTER, _BEFORE, _CRUMBS, _TRIGRAMS, _UP, query
 from shelflight.plans.views import WITH_NODES, WITH_SIGHTINGS
 from shelflight.sources import relational, tables
 
@@ -240,3 +240,46 @@ def run_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     paused = F.when(F.col("id") % 3 == 0, 1)
     as_of = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
     return quality.run_state(status.withColumn("paused", paused), views.nodes(spark, sf_dir), F.lit(as_of))
+
+
+# --- all fields of the inventory ------------------------------------------------
+
+#: Element ids that fields are read from, each with a place of its own.
+_IDS = {i: n for n, i in enumerate(dict.fromkeys(i for g in extract.GROUPS.values() for spec in g.values() for i in spec.lstrip("?").split()))}
+_FULL_PAGES = "SELECT p_partkey AS page_id, 'https://shop.example/dp/B000000000' AS url, concat({}) AS html FROM {{part}}".format(
+    ", ".join(
+        f"""CASE WHEN (p_partkey + {n}) % 3 = 0 THEN concat('<div id="{i.replace('*', 'any-')}">v{n} of ', CAST(p_partkey AS STRING), '</div>') ELSE '' END"""
+        for i, n in _IDS.items()
+    )
+)
+
+
+def _field_sql(group: str, field: str, spec: str) -> str:
+    there = [f"(k + {_IDS[i]}) % 3 = 0" for i in spec.lstrip("?").split()]
+    if spec.startswith("?"):
+        value = f"CASE WHEN {' OR '.join(there)} THEN 'true' ELSE 'false' END"
+    else:
+        value = "CASE {} END".format(" ".join(f"WHEN {t} THEN concat('v{_IDS[i]} of ', k)" for t, i in zip(there, spec.split())))
+    return f"('{group}.{field}', {value})"
+
+
+_FIELDS = [(g, f, spec) for g, own in extract.GROUPS.items() for f, spec in own.items()]
+
+
+@query("""WITH d AS (SELECT p_partkey AS k FROM part), u AS (SELECT k, unnest([{}]) AS e FROM d) SELECT k AS page_id, e[1] AS field, e[2] AS value FROM u""".format(
+    ", ".join(_field_sql(*f) for f in _FIELDS)))
+def inventory_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every field that the inventory reads from a block, on pages that have a third of the blocks each."""
+    record = extract.inventory(extract.detail_blocks(_pages(spark, sf_dir, _FULL_PAGES), ("page_id",)))
+    entries = [F.struct(F.lit(f"{g}.{f}").alias("field"), F.col(f"`{g}`.`{f}`").cast("string").alias("value")) for g, f, _ in _FIELDS]
+    return record.select("page_id", F.inline(F.array(*entries)))
+
+
+@query(f"""WITH {WITH_NODES}, known AS (SELECT node_id FROM nodes WHERE depth <= 1), c AS ({views.duckdb_sql(_CRUMBS)}),
+w AS (SELECT *, lag(node_id) OVER (PARTITION BY page_id ORDER BY pos) AS parent FROM c),
+one AS (SELECT w.node_id, arg_min(parent, page_id) AS parent FROM w JOIN known ON known.node_id = w.parent WHERE pos = 1 GROUP BY 1)
+SELECT node_id, parent AS parent_node_id, 2 AS depth FROM one UNION ALL SELECT DISTINCT w.node_id, w.parent, 3 FROM w JOIN one ON one.node_id = w.parent WHERE pos = 2""")
+def filled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that breadcrumbs add to a tree of two levels, also below what other pages added."""
+    known = views.nodes(spark, sf_dir).where("depth <= 1")
+    return tree.fill_from_crumbs(views.view(spark, sf_dir, _CRUMBS), known).select("node_id", "parent_node_id", "depth")

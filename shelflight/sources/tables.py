@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,15 +18,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Folders of runs that are under way, the latest last.
+_RUNS: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below ``spark.checkpoint.dir``; in local mode below a temporary folder where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A new folder name in the folder of the run (``run_folder``), else in the session's checkpoint folder.
+
+    That is ``spark.checkpoint.dir``, or what ``setCheckpointDir`` has set; only in
+    local mode, where neither names one, a temporary folder is used.
+    """
+    base = _RUNS[-1] if _RUNS else spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("a cluster needs spark.checkpoint.dir: a folder that all its machines share")
     base = base or tempfile.mkdtemp(prefix="spark-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """Tables that the work inside writes on its way go to a folder of their own, which is deleted at the end.
+
+    Write the result elsewhere, or collect it, before the end: it reads those tables.
+    """
+    path = shared_dir(spark, name)
+    _RUNS.append(path)
+    try:
+        yield path
+    finally:
+        _RUNS.remove(path)
+        remove_folder(spark, path)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: its lineage ends there."""
     path = shared_dir(df.sparkSession, name)

@@ -177,3 +177,39 @@ def test_counts_over_batches(spark, tmp_path):
     write(batch(("a", "delete"), ("b", "insert")), 1)  # comes twice
     assert {r.node_id: r.child_count for r in jobs.kept_counts(spark, path).collect()} == {"a": 1, "b": 0}
     assert jobs.kept_counts(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_pages_made_to_be_slow():
+    """End tags without a start, open elements of great depth, and many blocks inside each other."""
+    import time
+
+    for html in ("</b>" * 100_000, "<ul><li>" + "<span>" * 100_000 + "</p>" * 10_000 + "<li>" * 1000, "<div class='a-price'>" * 20_000 + "<i class='a-offscreen'>" * 20_000):
+        began = time.process_time()
+        for name in ("page_blocks", "page_cards", "page_children"):
+            list(extract.EXTRACTORS[name][0](extract.read_page(html), html))
+        assert time.process_time() - began < 20
+
+
+def test_elements_by_key():
+    """Found by id, class and tag as by a walk; inside only what an element holds."""
+    page = extract.read_page("<div id=a class='x y'><p class=y>1<p id=a>2</div><p class='x'>3<img class=y></p></div>")
+    own = lambda test: [(e.tag, e.order) for e in page.all(test)]
+    for keyed, plain in (
+        (extract.has_id("a"), lambda e: e.get("id") == "a"),
+        (extract.has_class("x", "y"), lambda e: {"x", "y"} & set(e.classes())),
+        (extract.is_tag("p", "img"), lambda e: e.tag in ("p", "img")),
+    ):
+        assert own(keyed) == own(lambda e, t=plain: bool(t(e)))
+    within = extract.inside(extract.has_id("a"), extract.is_tag("p"))
+    assert own(within) == [("p", 2), ("p", 3)]
+    assert page.all(extract.has_class("x"))[1].find(extract.has_class("y")).tag == "img"
+    assert page.find(extract.has_id("none"), extract.is_tag("img")).tag == "img" and page.find(extract.has_id("none")) is None
+
+
+def test_table_functions_over_pages(spark):
+    extract.register_table_functions(spark)
+    _pages(spark, CHART, SEARCH, DETAIL, SIDEBAR).createOrReplaceTempView("all_pages")
+    for name, own in extract.PAGE_FUNCTIONS.items():
+        by_table = spark.sql(f"SELECT * FROM {name}(TABLE(all_pages) PARTITION BY page_id)").drop("url")
+        by_page = spark.sql(f"SELECT page_id, f.* FROM all_pages, LATERAL {own}(html) f")
+        assert sorted(map(tuple, by_table.collect()), key=repr) == sorted(map(tuple, by_page.collect()), key=repr)

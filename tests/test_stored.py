@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelflight.functions import fields
-from shelflight.operators import intervals, reconcile, similar, sketches
-from shelflight.sources import relational
+from shelflight.operators import intervals, reconcile, similar, sketches, tree
+from shelflight.sources import relational, tables
 
 
 def _plan(df):
@@ -180,3 +180,14 @@ def test_generations(spark, tmp_path):
     found = relational.read_generations(spark, path, schema, {"c": 1.5, "flag": 0})
     assert found.dtypes == [(f.name, f.dataType.simpleString()) for f in schema.fields]
     assert sorted(tuple(r) for r in found.collect()) == [(1.5, 1, None, None, 0), (1.5, 2, "x", None, 0), (1.5, 3, None, None, 0)]
+
+
+def test_a_run_leaves_no_tables(spark):
+    nodes = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b")], "node_id string, parent_node_id string")
+    with tables.run_folder(spark) as path:
+        assert tables.shared_dir(spark, "x").startswith(path)
+        assert tree.paths(nodes).count() == 3
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        assert len(store.listStatus(at)) >= 2
+    assert not store.exists(at) and not tables.shared_dir(spark, "x").startswith(path)
