@@ -313,7 +313,7 @@ def token_links(df: DataFrame, tokenizer: str, model: str, kind: str = "overlap"
                     blocks = [(entry_rows(entries), entries.columns, pa.array(entries.values, pa.int64()))]
                 else:
                     rows, columns = found.ends_together()
-                    parts = [(rows, columns)] if kind == "end" else found.shared_groups(np.unique(found.ends_a[rows]))
+                    parts = [(rows, columns)] if kind == "end" else found.shared_groups(found.ends_a[rows])
                     blocks = ((r, c, pa.nulls(len(r), pa.int64())) for r, c in parts)
                 for rows, columns, shared in blocks:
                     own = _numbers_per_text(found.stops_a, rows)
@@ -349,7 +349,7 @@ def _coded(df: DataFrame, tokenizer: str, model: str, doc_id: str, text: str) ->
                 found = Aligned(texts, tokenizer, model)
                 rows, columns = found.ends_together()
                 in_text = _numbers_per_text(found.stops_a, rows)
-                cuts = np.unique(found.ends_a[rows])
+                cuts = found.ends_a[rows]  # ascending: a token ends together with one other at most
                 n_links = np.bincount(in_text, minlength=n)
                 # a text's last cut is its end
                 n_groups = np.diff(np.searchsorted(cuts, np.concatenate(([0], found.ends_a))[found.stops_a], "right"), prepend=0)
