@@ -766,9 +766,11 @@ def field_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    events = jobs.stream_of(spark, path, spark.read.parquet(path).schema)
-    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as five files in order of time, a file each batch."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    where = tables.shared_dir(spark, "events")
+    jobs.replay(jobs.by_time(events, "ts", 5), where)
+    return jobs.stream_of(spark, where, events.schema, files_per_batch=1)
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts) AS n FROM events) WHERE n = 1""")
