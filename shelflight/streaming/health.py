@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: kind is "event", with the streak behind it, or "quiet": no event since ``ts`` for the idle time.
-HEALTH = "key string, kind string, event_id long, ts timestamp, streak int, tripped boolean"
+#: kind is "event", with the streak behind it, or "quiet": no event since ``at`` (milliseconds) for the idle time.
+HEALTH = "key string, kind string, event_id long, at long, streak int, tripped boolean"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,9 +50,7 @@ class SourceHealth(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
         new = [
-            (int(ts.value // 1_000_000), int(e), bool(ok))
-            for part in rows
-            for ts, e, ok in zip(part["ts"], part["event_id"], part["ok"])
+            (int(at), int(e), bool(ok)) for part in rows for at, e, ok in zip(part["at"], part["event_id"], part["ok"])
         ]
         self.waiting.appendList(new)
         yield self._advance(key, timerValues)
@@ -97,8 +95,8 @@ class SourceHealth(StatefulProcessor):
         due = min([e[0] for e in rest[:1]] + ([last + self.idle_ms] if last is not None else []), default=None)
         if due is not None:
             self.handle.registerTimer(max(due, mark + 1))
-        table = pd.DataFrame(out, columns=["key", "kind", "event_id", "ts", "streak", "tripped"])
-        return table.astype({"event_id": "Int64", "streak": "int32"}).assign(ts=pd.to_datetime(table["ts"], unit="ms"))
+        table = pd.DataFrame(out, columns=["key", "kind", "event_id", "at", "streak", "tripped"])
+        return table.astype({"event_id": "Int64", "at": "int64", "streak": "int32"})
 
     def _count(self, streak: int) -> None:
         """Ended streaks by length, to be read from the state by operators of the stream."""
@@ -108,19 +106,23 @@ class SourceHealth(StatefulProcessor):
 
 
 def source_health(events: DataFrame, threshold: int = 8, idle: str = "1 minute", delay: str = "10 seconds") -> DataFrame:
-    """Streaks behind each event and quiet times of each key (``HEALTH``), each once, when the watermark has passed it.
+    """Streaks behind each event and quiet times of each key, each once, when the watermark has passed it.
 
-    ``events`` has key, event_id, ts, ok. Times count in milliseconds. Events of one
-    time go by event_id. A key without an event for longer than ``idle`` is quiet
+    ``events`` has key, event_id, ts, ok; the rows are those of ``HEALTH`` with ts in
+    place of at. Times count in milliseconds, as watermarks do, and reach the
+    processor as numbers: pandas would show them in the session's time zone. Events
+    of one time go by event_id. A key without an event for longer than ``idle`` is quiet
     and its streak ends. Rows without a key or time are left out; events later than
     ``delay`` behind the latest one are dropped by the watermark. Start the stream
     inside ``rocks_state``.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     whole = events.where("key is not null and ts is not null")
-    return (
-        whole.select("key", "event_id", "ts", F.coalesce("ok", F.lit(False)).alias("ok"))
+    millis = F.unix_millis("ts")
+    found = (
+        whole.select("key", "event_id", F.timestamp_millis(millis).alias("ts"), millis.alias("at"), F.coalesce("ok", F.lit(False)).alias("ok"))
         .withWatermark("ts", delay)
         .groupBy("key")
         .transformWithStateInPandas(SourceHealth(threshold, idle_ms), HEALTH, "Append", "EventTime")
     )
+    return found.select("key", "kind", "event_id", F.timestamp_millis("at").alias("ts"), "streak", "tripped")

@@ -208,7 +208,7 @@ def track_batches(path: str, key: str, ts: str, measures: list[str], tie: str) -
     return write
 
 
-STREAK = "key string, event_id long, ts timestamp, streak int, tripped boolean"
+STREAK = "key string, event_id long, at long, streak int, tripped boolean"
 
 
 def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -216,7 +216,8 @@ def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour",
 
     ``events`` has key, event_id, ts, ok. State is one number for each key and
     is dropped once the watermark (``delay`` behind the latest event) is ``idle``
-    past the key's last event. Inside a batch events go by time.
+    past the key's last event. Inside a batch events go by time. Times reach the
+    state as microseconds: pandas would show them in the session's time zone.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
@@ -225,22 +226,24 @@ def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour",
             state.remove()
             return
         streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"])
+        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
         # failures since the last success: the running count less its value at that success
         failed = (~rows["ok"]).cumsum()
         base = failed.where(rows["ok"]).ffill().fillna(-streak)
         rows["streak"] = (failed - base).astype("int32")
         rows["tripped"] = rows["streak"] >= threshold
         state.update((int(rows["streak"].iloc[-1]),))
-        last = max(int(rows["ts"].max().timestamp() * 1000), state.getCurrentWatermarkMs())
+        last = max(int(rows["at"].max()) // 1000, state.getCurrentWatermarkMs())
         state.setTimeoutTimestamp(last + idle_ms)
-        yield rows[["key", "event_id", "ts", "streak", "tripped"]]
+        yield rows[["key", "event_id", "at", "streak", "tripped"]]
 
-    return (
-        events.withWatermark("ts", delay)
+    found = (
+        events.withColumn("at", F.unix_micros("ts"))
+        .withWatermark("ts", delay)
         .groupBy("key")
         .applyInPandasWithState(step, STREAK, "streak int", "append", GroupStateTimeout.EventTimeTimeout)
     )
+    return found.select("key", "event_id", F.timestamp_micros("at").alias("ts"), "streak", "tripped")
 
 
 def went_quiet(events: DataFrame, key: str, ts: str, idle: str = "60 seconds", delay: str = "10 seconds") -> DataFrame:

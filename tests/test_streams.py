@@ -72,9 +72,18 @@ def _health_by_hand(events, threshold, idle, mark):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_source_health_over_any_batches(spark, tmp_path, seed):
-    """Events out of order inside the delay, many batches, and a restart in between."""
+@pytest.fixture
+def zone(spark, request):
+    """The session's time zone for a test."""
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", request.param)
+    yield request.param
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("seed,zone", [(1, "UTC"), (2, "Asia/Tokyo"), (3, "America/New_York")], indirect=["zone"])
+def test_source_health_over_any_batches(spark, tmp_path, seed, zone):
+    """Events out of order inside the delay, many batches, a restart in between, and any time zone."""
     rng = random.Random(seed)
     events = [(rng.choice("abc"), i, rng.randrange(0, 400), rng.random() < 0.4) for i in range(120)]
     events += [("d", 900, 5, False), ("d", 901, 5, False), ("e", 902, 600, True)]
@@ -91,6 +100,20 @@ def test_source_health_over_any_batches(spark, tmp_path, seed):
     assert got == _health_by_hand(events, 3, 50, 600 - 90)
 
 
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"], indirect=True)
+def test_streaks_end_with_their_state_in_any_time_zone(spark, tmp_path, zone):
+    """State goes once the watermark is an hour past a key's last event, neither before nor long behind it."""
+    schema = "key string, event_id long, ts timestamp, ok boolean"
+    batches = [[("a", 1, 0, False)], [("b", 2, 50, True)], [("a", 3, 55, False)], [("b", 4, 200, True)], [("b", 5, 210, True)], [("a", 6, 215, False)]]
+    jobs.replay([spark.createDataFrame([(k, i, _at(m), ok) for k, i, m, ok in b], schema) for b in batches], f"{tmp_path}/in")
+    stream = jobs.stream_of(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    got = jobs.drain(jobs.failure_streaks(stream, threshold=2), f"{tmp_path}/out", f"{tmp_path}/check").collect()
+    # a's second failure is within the hour; its third comes when the streak is forgotten
+    assert {r.event_id: (r.ts, r.streak, r.tripped) for r in got if r.key == "a"} == {
+        1: (_at(0), 1, False), 3: (_at(55), 2, True), 6: (_at(215), 1, False),
+    }
+
+
 def test_keyed_inserts_read_few_folders(spark, tmp_path):
     schema = spark.createDataFrame([], "k long, j string, n int").schema
     table = KeyedTable(f"file://{tmp_path}/t", schema, ("k", "j"), buckets=8, expected_keys=1 << 14)
