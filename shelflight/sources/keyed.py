@@ -25,6 +25,8 @@ _INDEX = T.StructType(
 )
 #: Keys that share a word of the index on average, once the table has the keys that it was made for.
 _KEYS_A_WORD = 4
+#: The bits of no more keys than this, 20 bytes each, are sent to the tasks, which read the index as it lies; more are shuffled with it.
+FEW = 100_000
 
 
 @dataclass(frozen=True)
@@ -68,16 +70,20 @@ class KeyedTable:
         The part is chosen by folders: by the batches and buckets whose index has the keys' bits.
         """
         index = table_at(spark, f"{self.path}/index", _INDEX).where(F.col("batch") != batch_id)
-        placed = self._placed(batch.select(*self.keys).where(no_nulls(list(self.keys))).distinct())
-        met = placed.join(
-            index.hint("merge"), (F.col("__bucket") == F.col("bucket")) & (F.col("__word") == F.col("word")), "inner"
-        ).where(F.col("bits").bitwiseAND(F.col("__mask")) == F.col("__mask"))
-        maybe = materialise(met.select(*self.keys, "batch", "bucket").distinct(), "maybe-known")
+        placed = materialise(self._placed(batch.select(*self.keys).where(no_nulls(list(self.keys))).distinct()), "placed")
+        near = [r.bucket for r in placed.select(F.col("__bucket").alias("bucket")).distinct().collect()]  # ``buckets`` at most
+        index = index.where(F.col("bucket").isin(near) if near else F.lit(False))
+        own = placed.select("__bucket", "__word", "__mask").distinct()
+        own = F.broadcast(own) if placed.count() <= FEW else own.hint("merge")
+        has = F.col("bits").bitwiseAND(F.col("__mask")) == F.col("__mask")
+        met = index.join(own, (F.col("__bucket") == F.col("bucket")) & (F.col("__word") == F.col("word")), "inner").where(has)
+        met = materialise(met.select("__bucket", "__word", "__mask", "batch").distinct(), "met")
+        maybe = placed.join(met.hint("merge"), ["__bucket", "__word", "__mask"], "left_semi").select(*self.keys)
         # at most one row for each folder of the table
-        folders = maybe.select("batch", "bucket").distinct().collect()
+        folders = met.select("batch", F.col("__bucket").alias("bucket")).distinct().collect()
         rows = table_at(spark, f"{self.path}/rows", self._rows_schema())
         own = F.col("batch").isin({f.batch for f in folders}) & F.col("bucket").isin({f.bucket for f in folders})
-        return maybe.select(*self.keys).distinct(), rows.where(own if folders else F.lit(False)).select(*self.schema.names)
+        return maybe, rows.where(own if folders else F.lit(False)).select(*self.schema.names)
 
     def insert(self, batch: DataFrame, batch_id: int, order: list[str]) -> DataFrame:
         """Add the rows of ``batch`` whose keys are unknown, the first of each by ``order``; the rows added.

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from shelflight.sources import keyed
 from shelflight.sources.keyed import KeyedTable
 from shelflight.streaming import flow, health, jobs
 
@@ -114,7 +115,10 @@ def test_streaks_end_with_their_state_in_any_time_zone(spark, tmp_path, zone):
     }
 
 
-def test_keyed_inserts_read_few_folders(spark, tmp_path):
+@pytest.mark.parametrize("few", [keyed.FEW, 0])
+def test_keyed_inserts_read_few_folders(spark, tmp_path, monkeypatch, few):
+    """The same whether the batch's bits are sent to the index or shuffled with it."""
+    monkeypatch.setattr(keyed, "FEW", few)
     schema = spark.createDataFrame([], "k long, j string, n int").schema
     table = KeyedTable(f"file://{tmp_path}/t", schema, ("k", "j"), buckets=8, expected_keys=1 << 14)
     rows = lambda r: spark.createDataFrame(r, schema)
