@@ -41,11 +41,15 @@ def _earlier_siblings(nodes: DataFrame) -> DataFrame:
 
 
 def _jumped(state: DataFrame, added: str) -> DataFrame:
-    """A round of doubling: ``up`` moves on to what it knows itself, and ``added`` grows by what it has gathered."""
+    """A round of doubling: ``up`` moves on to what it knows itself, and ``added`` grows by what it has gathered.
+
+    Nodes that are through have no ``up`` and stay out of the join, where their nulls would meet in one task.
+    """
     known = state.select(F.col("node_id").alias("up"), F.col("up").alias("further"), F.col(added).alias("more"))
-    joined = state.join(known.hint("merge"), "up", "left")
+    joined = state.where("up is not null").join(known.hint("merge"), "up", "left")
     kept = [c for c in state.columns if c not in ("up", added)]
-    return joined.select(*kept, F.col("further").alias("up"), (F.col(added) + F.coalesce("more", F.lit(0))).alias(added))
+    moved = joined.select(*kept, F.col("further").alias("up"), (F.col(added) + F.coalesce("more", F.lit(0))).alias(added))
+    return moved.unionByName(state.where("up is null"))
 
 
 def interval_labels(nodes: DataFrame) -> DataFrame:
@@ -61,7 +65,8 @@ def interval_labels(nodes: DataFrame) -> DataFrame:
     parents = named.agg(F.max(F.nullif(F.trim("parent_node_id"), F.lit(""))).alias("parent"))
     parents = materialise(parents, "parents")
     ids = parents.select(F.col("node_id").alias("parent"), F.lit(True).alias("there"))
-    known = parents.join(ids.hint("merge"), "parent", "left").select("node_id", F.when(F.col("there"), F.col("parent")).alias("parent"))
+    named_parents = parents.where("parent is not null").join(ids.hint("merge"), "parent", "left")
+    known = named_parents.select("node_id", F.when(F.col("there"), F.col("parent")).alias("parent")).unionByName(parents.where("parent is null"))
     state = known.select("node_id", "parent", F.col("parent").alias("up"), F.col("parent").isNotNull().cast("long").alias("level"), F.lit(1).cast("long").alias("size"))
     state = materialise(state, "labels")
     rounds = math.ceil(math.log2(max(2, state.count()))) + 1
