@@ -73,12 +73,6 @@ def table_at(spark: SparkSession, path: str, schema: T.StructType, **options: ob
     return spark.read.schema(schema).options(**options).parquet(path)
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
-    """A relational table in ``parts`` ranges of a numeric key; the driver jar is the caller's."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
-    return reader.options(partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts).load()
-
-
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(url, html) of a folder of HTML files, one row each."""
     files = spark.read.text(path, wholetext=True).withColumnRenamed("value", "html")
