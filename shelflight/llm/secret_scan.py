@@ -19,7 +19,6 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -75,6 +74,8 @@ _TOKEN = re.compile(
     re.X | re.S,
 )
 _BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
+#: A name, or names and numbers joined by operators; the parts share no character, so that nothing is tried twice.
+_EXPRESSION = re.compile(r"[\w$.\->:]+\(?|[\w$]+[.+&~][\w$.+&~]*+")
 _ELEMENT = re.compile(r"<([A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>([^<>\n]{6,})</\1>")
 _ATTRIBUTES = re.compile(r"""\b(?:key|name)\s*+=\s*+["']([^"'\n]{1,200})["']\s++value\s*+=\s*+["']([^"'\n]{6,})["']""")
 _DEFINERS = frozenset("define setenv putenv set add setproperty put".split())
@@ -164,7 +165,7 @@ def assignments(text: str) -> Iterator[Assignment]:
         if active and expects and not calls and not terms:
             bare = _BARE.match(text, at)
             # a value that is no name and no expression, as in settings files
-            if bare and not _TOKEN.fullmatch(text, *bare.span()) and not re.fullmatch(r"[\w$.\->:]+\(?|[\w$]+(?:[.+&~][\w$.]*)+", bare[0]):
+            if bare and not _TOKEN.fullmatch(text, *bare.span()) and not _EXPRESSION.fullmatch(bare[0]):
                 terms.append(Literal(*bare.span(), False))
                 expects, at = False, bare.end()
                 recent.append(("bare", *bare.span()))
@@ -377,11 +378,12 @@ def scan_secrets(df: DataFrame, doc_id: str = "doc_id", text: str = "text", reda
             for first in range(0, len(batch), 256):
                 part = batch.slice(first, 256)
                 may = [pc.fill_null(pc.match_substring_regex(part.column(1), p), False).to_pylist() for p in (_MAY_HAVE_BASE, _MAY_HAVE_TARGET)]
-                wanted = part.column(1).to_pylist() if redact else pc.if_else(pa.array(np.any(may, 0)), part.column(1), None).to_pylist()
-                found = [findings(t, *m) if any(m) else [] for t, *m in zip(wanted, *may)]
+                # not pc.if_else: over a slice of a column with nulls it gives other rows' bytes
+                texts = part.column(1).to_pylist()
+                found = [findings(t, *m) if any(m) else [] for t, *m in zip(texts, *may)]
                 columns = [part.column(0), pa.array([[f._asdict() for f in own] for own in found], _ARROW)]
                 if redact:
-                    columns.append(pa.array([redacted(t, f) if t else t for t, f in zip(wanted, found)], pa.string()))
+                    columns.append(pa.array([redacted(t, f) if t else t for t, f in zip(texts, found)], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return rows.mapInArrow(run, schema)
