@@ -54,3 +54,15 @@ def test_filters_reach_the_scan(spark, sf_dir):
 def test_sample_is_repeatable(spark, sf_dir):
     one, two = (sorted(r.node_id for r in catalogue.QUERIES["sampled_nodes"](spark, sf_dir).collect()) for _ in range(2))
     assert one == two and len(one) == 100
+
+
+def test_children_whose_ids_meet(spark, tmp_path):
+    """Among customers 3000 to 3699 the two kinds of children have an id in common: it comes once, from the first place."""
+    keys = spark.range(2990, 3720).selectExpr("id AS c_custkey", "concat('Customer ', id) AS c_name", "'A' AS c_mktsegment")
+    keys.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW customer AS SELECT * FROM '{tmp_path}/customer.parquet/*.parquet'")
+    want = con.execute(catalogue.ORACLE_SQL["chart_page_children"]).fetchall()
+    rows = catalogue.QUERIES["chart_page_children"](spark, str(tmp_path)).select("node", "node_id", "page_no", "name")
+    assert sorted(tuple(r) for r in rows.collect()) == sorted(want)
+    assert len(want) < 6 * 730
