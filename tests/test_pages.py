@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelflight.operators import extract, filters, quality
@@ -213,3 +214,43 @@ def test_table_functions_over_pages(spark):
         by_table = spark.sql(f"SELECT * FROM {name}(TABLE(all_pages) PARTITION BY page_id)").drop("url")
         by_page = spark.sql(f"SELECT page_id, f.* FROM all_pages, LATERAL {own}(html) f")
         assert sorted(map(tuple, by_table.collect()), key=repr) == sorted(map(tuple, by_page.collect()), key=repr)
+
+
+def _dump(root):
+    return [
+        (e.tag, e.attrs, e.last, e.parent.order if e.parent else None, [c if isinstance(c, str) else c.order for c in e.content])
+        for e in root.page.elements
+    ]
+
+
+PLAIN = [
+    "<!DOCTYPE html><div id='a' CLASS=\"b  c\">x &amp; y<br/><img src=\"i?a=1&amp;b=2\" />z<!-- - c --></div>",
+    "<ul><li>a<li>b<ul><li>c</ul><li disabled>d</ul></b><p>e<p>f<script type='t'>{'k': 1 && 2}</script><option>g<option>h &lt",
+    "<table><tr><th>a<td>b<tr><td>c</table>&#65;<h1\n class='k'>t</h1 ><style>p > q</STYLE>",
+]
+ODD = ["<a href=x>y</a>", "<b a = 'c'>", "<div id='a'id='b'>", "<!x>y", "<?p>y", "a < b", "<script>if (a < b) {}</script>c", "<a", "</ div>", "<script>x", "<!-->y-->"]
+
+
+@pytest.mark.parametrize("html", PLAIN + ODD)
+def test_plain_markup_is_read_as_by_the_parser(html):
+    """One pattern reads plain markup; both readers build the same elements, and what is not plain goes to the parser."""
+    one, two = extract._Reader(), extract._Reader()
+    assert extract._read_plain(html, one) == (html in PLAIN)
+    two.feed(html)
+    two.close()
+    assert _dump(extract.read_page(html)) == _dump(two.whole())
+    if html in PLAIN:
+        assert _dump(one.whole()) == _dump(two.whole())
+
+
+def test_a_page_leaves_nothing_to_the_collector():
+    """Elements hold each other; when a page is done they are freed at once."""
+    import gc
+
+    gc.collect()
+    gc.disable()
+    try:
+        assert [list(extract._found(extract._links, "<ul><li><a href='/x'>y</a></ul>")) for _ in range(2)]
+        assert not [o for o in gc.get_objects() if isinstance(o, extract.Element)]
+    finally:
+        gc.enable()
