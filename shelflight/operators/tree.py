@@ -101,6 +101,10 @@ def subtree_by_path(path_table: DataFrame, roots: list[str]) -> DataFrame:
     return path_table.where(F.arrays_overlap("path", F.array(*[F.lit(r) for r in roots])))
 
 
+#: Prefixes and ids of roots up to which they are sent to the tasks, and copies of each beyond.
+ROOTS_SENT, ROOT_COPIES = 100_000, 64
+
+
 def subtree_by_url(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes whose URL begins with a root's URL, or whose id is a root's.
 
@@ -108,7 +112,6 @@ def subtree_by_url(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     match goes by the URL's own prefixes, so it is an equi join.
     """
     parts = F.split(F.col("url"), "/")
-    # the roots are few, but their number has no bound: both sides are shuffled
     prefixes = F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))
     )
@@ -116,7 +119,14 @@ def subtree_by_url(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     wanted = roots.select(urls.normalize_url(F.col("url")).alias("__prefix")).unionByName(
         roots.select(F.concat(F.lit("id:"), "node_id").alias("__prefix"))
     )
-    return keyed.join(wanted.distinct().hint("merge"), "__prefix", "left_semi").drop("__prefix").distinct()
+    wanted = wanted.distinct()
+    if wanted.limit(ROOTS_SENT + 1).count() <= ROOTS_SENT:
+        # a prefix that most nodes share stays where its rows lie
+        return keyed.join(F.broadcast(wanted), "__prefix", "left_semi").drop("__prefix").distinct()
+    # more roots are dealt out in copies, so that no prefix is one task's alone
+    copies = wanted.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(ROOT_COPIES - 1))))
+    dealt = keyed.withColumn("__part", F.pmod(F.xxhash64("node_id", "url"), F.lit(ROOT_COPIES)).cast("int"))
+    return dealt.join(copies.hint("merge"), ["__prefix", "__part"], "left_semi").select(*nodes.columns).distinct()
 
 
 def children(nodes: DataFrame, parent: str) -> DataFrame:

@@ -273,3 +273,28 @@ def test_listings_page_and_order(spark):
     assert browse.tree_children(nodes, "nothing", "X").count() == 0
     assert [r.node_id for r in browse.stored_children(nodes.where("depth > 0"), "root", "X").collect()] == [f"n{i}" for i in range(5)]
     assert [r.node_id for r in tree.expanded(nodes, None, [2]).collect()] == ["m"]
+
+
+def test_url_roots_that_most_nodes_share(spark, monkeypatch):
+    """Few roots are sent to the tasks, many are dealt out in copies: rows that share a prefix do not gather in one task."""
+    rows = [(str(i), f"https://x/gp/a/{i}/" if i % 10 else "https://y/z/") for i in range(500)] + [("500", None), (None, "https://x/gp/a/9/")]
+    nodes = spark.createDataFrame(rows, "node_id string, url string")
+    roots = spark.createDataFrame([("30", "https://x/gp/a/"), ("40", "https://none/")], "node_id string, url string")
+    want = sorted({r for r in rows if r[0] in ("30", "40") or (r[1] or "").startswith("https://x/gp/a/")}, key=repr)
+    few = tree.subtree_by_url(nodes, roots)
+    assert sorted((tuple(r) for r in few.collect()), key=repr) == want
+    assert "BroadcastHashJoin" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(tree, "ROOTS_SENT", 1)
+    many = tree.subtree_by_url(nodes, roots)
+    assert sorted((tuple(r) for r in many.collect()), key=repr) == want
+    assert "__part" in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_presence_holds_one_row_a_document(spark):
+    """Documents that repeat count once, those without an id not at all; no row is multiplied by the number of fields."""
+    docs = spark.createDataFrame([(1, "x", None), (1, None, "y"), (2, "", None), (None, "z", "z")], "doc long, a string, b string")
+    found = quality.field_presence(docs, "doc", {"b": "g"})
+    rows = sorted((r.field_group, r.field, r.n_docs, r.of_docs) for r in found.collect())
+    assert rows == [("", "a", 1, 2), ("g", "b", 1, 2)]
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert quality.field_presence(docs.limit(0), "doc").count() == 0
