@@ -37,9 +37,12 @@ def by_time(df: DataFrame, ts: str, parts: int) -> list[DataFrame]:
 
 
 def replay(frames: list[DataFrame], path: str) -> None:
-    """Write frames below ``path`` one after another, a file each: a file source takes them in this order."""
+    """Write frames below ``path`` one after another, a file each: a file source takes them in this order.
+
+    All cores read a frame and choose its rows; one task writes the file.
+    """
     for frame in frames:
-        frame.coalesce(1).write.mode("append").parquet(path)
+        frame.repartition(1).write.mode("append").parquet(path)
 
 
 def drain(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:

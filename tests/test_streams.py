@@ -1,8 +1,11 @@
 """Streams over several batches: the same result however the input is cut, replays, restarts and what each batch reads."""
 
+import collections
 import datetime as dt
+import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,6 +104,51 @@ def test_source_health_over_any_batches(spark, tmp_path, seed, zone):
     assert got == _health_by_hand(events, 3, 50, 600 - 90)
 
 
+class _Kept:
+    """A state of one kind, and how often it was called."""
+
+    calls = 0
+
+    def __init__(self, *_):
+        self.value, self.entries = None, {}
+
+    def __getattr__(self, name):
+        _Kept.calls += 1
+        return {
+            "exists": lambda: self.value is not None, "get": lambda: self.value, "clear": lambda: setattr(self, "value", None),
+            "update": lambda v: setattr(self, "value", v), "appendValue": lambda v: setattr(self, "value", [*(self.value or []), v]),
+            "containsKey": lambda k: k in self.entries, "getValue": self.entries.get, "updateValue": self.entries.__setitem__,
+            "registerTimer": lambda _: None, "listTimers": lambda: [], "getListState": _Kept, "getValueState": _Kept, "getMapState": _Kept,
+        }[name]
+
+
+def test_source_health_of_many_keys_of_a_bucket():
+    """The same rows and streak lengths as key by key, with as many state calls for a bucket of 200 keys as for one of few."""
+    rng = random.Random(4)
+    events = [(f"k{rng.randrange(200)}", i, rng.randrange(0, 400), rng.random() < 0.4) for i in range(4000)] + [("last", 9000, 600, True)]
+    step, out, calls = health.SourceHealth(3, 50), [], []
+    step.init(_Kept())
+    for low, mark in ((0, 0), (100, 80), (200, 190), (300, 290), (400, 400), (None, 510)):
+        batch = [e for e in events if low is not None and (low <= e[2] < low + 100 or low == 400 <= e[2])]
+        parts = [pd.DataFrame(part, columns=["key", "event_id", "at", "ok"]) for part in (batch[::2], batch[1::2]) if part]
+        clock = type("Clock", (), {"getCurrentWatermarkInMs": lambda _, m=mark: m})()
+        _Kept.calls = 0
+        for rows in step.handleInputRows((0,), iter(parts), clock) if parts else step.handleExpiredTimer((0,), clock, None):
+            out += [tuple(None if v is pd.NA else v for v in r) for r in rows.itertuples(index=False)]
+        calls.append(_Kept.calls)
+    assert sorted(out, key=repr) == _health_by_hand(events, 3, 50, 510)
+    assert max(calls) < 80
+    quiet = collections.Counter()
+    for key, own in itertools.groupby(sorted((r[0], r[3], r[1] == "quiet", r[2] or 0, r[4]) for r in out), key=lambda r: r[0]):
+        streak = 0
+        for _, _, is_quiet, _, behind in own:
+            if streak and (is_quiet or behind <= streak):
+                quiet[key, streak] += 1
+            streak = 0 if is_quiet else behind
+    kept = {(k, length): n for (length,), (keys, times) in step.lengths.entries.items() for k, n in zip(keys, times)}
+    assert kept == quiet
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"], indirect=True)
 def test_streaks_end_with_their_state_in_any_time_zone(spark, tmp_path, zone):
     """State goes once the watermark is an hour past a key's last event, neither before nor long behind it."""
