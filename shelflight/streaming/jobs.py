@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from shelflight.functions import urls
 from shelflight.sources.tables import first_rows, insert_or_ignore, materialise, remove_folder, table_at
+from shelflight.streaming.streaks import bucket_of, key_starts, streaks
 
 
 def stream_of(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
@@ -217,34 +219,47 @@ STREAK = "key string, event_id long, at long, streak int, tripped boolean"
 def failure_streaks(events: DataFrame, threshold: int = 8, idle: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Running failures of each key since its last success, over batches.
 
-    ``events`` has key, event_id, ts, ok. State is one number for each key and
-    is dropped once the watermark (``delay`` behind the latest event) is ``idle``
-    past the key's last event. Inside a batch events go by time. Times reach the
-    state as microseconds: pandas would show them in the session's time zone.
+    ``events`` has key, event_id, ts, ok. State is one number for each key, held
+    by bucket of keys, and is dropped once the watermark (``delay`` behind the latest
+    event) is ``idle`` past the key's last event. Inside a batch events go by time.
+    Times reach the state as microseconds: pandas would show them in the session's
+    time zone.
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        mark = state.getCurrentWatermarkMs()
+        known, streak, due = state.get if state.exists else ([], [], [])
+        rows = None if state.hasTimedOut else pd.concat(list(parts))
+        named = np.array(known, dtype=object)
+        codes, keys = pd.factorize(named if rows is None else np.concatenate([named, rows["key"].to_numpy(object)]), use_na_sentinel=False)
+        streak, due = (np.concatenate([np.array(v, np.int64), np.zeros(len(keys) - len(known), np.int64)]) for v in (streak, due))
+        arrived = np.zeros(len(keys), dtype=bool)
+        if rows is not None:
+            rows = rows.assign(code=codes[len(known) :]).sort_values(["code", "at", "event_id"])
+            code = rows["code"].to_numpy()
+            found = streaks(code, rows["ok"].to_numpy(bool), streak[code])
+            ends = np.append(key_starts(code)[1:], True)
+            arrived[code] = True
+            streak[code[ends]] = found[ends]
+            latest = rows.groupby("code")["at"].max()
+            due[latest.index] = np.fmax(latest.to_numpy() // 1000, mark) + idle_ms
+            rows = rows.assign(streak=found.astype("int32"), tripped=found >= threshold)
+            yield rows[["key", "event_id", "at", "streak", "tripped"]]
+        kept = arrived | (due >= mark)  # a key whose events are here goes on, however late
+        if kept.any():
+            state.update((keys[kept].tolist(), streak[kept].tolist(), due[kept].tolist()))
+            state.setTimeoutTimestamp(int(due[kept].min()))
+        else:
             state.remove()
-            return
-        streak = state.get[0] if state.exists else 0
-        rows = pd.concat(list(parts)).sort_values(["at", "event_id"])
-        # failures since the last success: the running count less its value at that success
-        failed = (~rows["ok"]).cumsum()
-        base = failed.where(rows["ok"]).ffill().fillna(-streak)
-        rows["streak"] = (failed - base).astype("int32")
-        rows["tripped"] = rows["streak"] >= threshold
-        state.update((int(rows["streak"].iloc[-1]),))
-        last = max(int(rows["at"].max()) // 1000, state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(last + idle_ms)
-        yield rows[["key", "event_id", "at", "streak", "tripped"]]
 
     found = (
-        events.withColumn("at", F.unix_micros("ts"))
+        events.withColumns({"at": F.unix_micros("ts"), "ok": F.coalesce("ok", F.lit(False)), "bucket": bucket_of("key")})
         .withWatermark("ts", delay)
-        .groupBy("key")
-        .applyInPandasWithState(step, STREAK, "streak int", "append", GroupStateTimeout.EventTimeTimeout)
+        .groupBy("bucket")
+        .applyInPandasWithState(
+            step, STREAK, "keys array<string>, streaks array<int>, due array<long>", "append", GroupStateTimeout.EventTimeTimeout
+        )
     )
     return found.select("key", "event_id", F.timestamp_micros("at").alias("ts"), "streak", "tripped")
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from shelflight.sources import keyed
 from shelflight.sources.keyed import KeyedTable
-from shelflight.streaming import flow, health, jobs
+from shelflight.streaming import flow, health, jobs, streaks
 
 START = dt.datetime(2024, 1, 1)
 
@@ -149,6 +149,22 @@ def test_source_health_of_many_keys_of_a_bucket():
     assert kept == quiet
 
 
+def test_streaks_of_many_keys_lie_in_few_states(spark, tmp_path, monkeypatch):
+    """States are as many as buckets, not keys, and keys of a bucket do not touch each other."""
+    monkeypatch.setattr(streaks, "BUCKETS", 2)
+    schema = "key string, event_id long, ts timestamp, ok boolean"
+    rows = [(f"k{i % 50}" if i % 50 else None, i, _at(i), i % 3 == 0) for i in range(400)]
+    jobs.replay([spark.createDataFrame(rows[k : k + 200], schema) for k in (0, 200)], f"{tmp_path}/in")
+    stream = jobs.stream_of(spark, f"{tmp_path}/in", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    got = jobs.drain(jobs.failure_streaks(stream, threshold=2, idle="9 days"), f"{tmp_path}/out", f"{tmp_path}/check").collect()
+    want, streak = {}, collections.Counter()
+    for key, i, _, ok in rows:
+        streak[key] = 0 if ok else streak[key] + 1
+        want[i] = (key, streak[key], streak[key] >= 2)
+    assert {r.event_id: (r.key, r.streak, r.tripped) for r in got} == want
+    assert spark.read.format("statestore").load(f"{tmp_path}/check").count() <= 2
+
+
 @pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo", "America/New_York"], indirect=True)
 def test_streaks_end_with_their_state_in_any_time_zone(spark, tmp_path, zone):
     """State goes once the watermark is an hour past a key's last event, neither before nor long behind it."""
