@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelflight.operators import extract, filters, quality
-from shelflight.plans import catalogue
+from shelflight.plans import captures, catalogue, views
 from shelflight.schema import with_locale
 from shelflight.streaming import jobs
 
@@ -254,3 +254,12 @@ def test_a_page_leaves_nothing_to_the_collector():
         assert not [o for o in gc.get_objects() if isinstance(o, extract.Element)]
     finally:
         gc.enable()
+
+
+@pytest.mark.parametrize("sql", [views.DETAIL_PAGES, views.TREE_PAGES, views.CHART_PAGES, views.SEARCH_PAGES])
+def test_pages_are_built_on_all_cores(spark, sf_dir, sql):
+    """The rows that pages are made from are dealt out, not the pages."""
+    pages = captures._pages(spark, sf_dir, sql)
+    assert pages.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+    plan = pages._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("AS html") < plan.index("Repartition")
