@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from shelflight.functions import fields
 from shelflight.operators import extract, filters, quality
 from shelflight.plans import captures, catalogue, views
 from shelflight.schema import with_locale
@@ -256,6 +257,26 @@ def test_a_page_leaves_nothing_to_the_collector():
         gc.enable()
 
 
+def test_detail_fields_from_the_blocks_they_read(spark):
+    """The same fields from those blocks as from all."""
+    pages = _pages(spark, DETAIL, "<p>nothing</p>", None)
+    few, every = extract.detail_blocks(pages, ("page_id",), extract.FIELD_BLOCKS), extract.detail_blocks(pages, ("page_id",))
+    assert set(few.columns) == {"page_id", *extract.FIELD_BLOCKS}
+    shown = [c for c in extract.detail_fields(few).columns]
+    assert extract.detail_fields(few).collect() == extract.detail_fields(every).select(*shown).collect()
+    few = extract.detail_blocks(pages, ("page_id",), extract.ARRIVAL_BLOCKS)
+    shown = [c for c in extract.arrival_fields(few, F.lit(".")).columns]
+    assert extract.arrival_fields(few, F.lit(".")).collect() == extract.arrival_fields(every, F.lit(".")).select(*shown).collect()
+
+
+def test_amounts_are_computed_once(spark):
+    """A text is searched once for its amount and once for its size, however often these are named."""
+    rows = spark.range(1).select(F.col("id").cast("string").alias("t"))
+    for column, most in ((fields.shipping_text(F.col("t")), 5), (fields.dimensions_text(F.col("t")), 4)):
+        plan = rows.select(column.alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("regexp_extract_all") <= most
+
+
 @pytest.mark.parametrize("sql", [views.DETAIL_PAGES, views.TREE_PAGES, views.CHART_PAGES, views.SEARCH_PAGES])
 def test_pages_are_built_on_all_cores(spark, sf_dir, sql):
     """The rows that pages are made from are dealt out, not the pages."""
