@@ -65,12 +65,41 @@ _WIDE = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}
 _ODD_SPACES = f"^ | $|{_WIDE} | {_WIDE}|{HEAD}"
 
 
+#: Latin letters and digits, and ASCII marks: no version of Unicode counts any of them as the other.
+_WORD = r"0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}"
+_MARK = r"!-/:-@\[-`{-~"
+
+
+def cuts_at_marks(whole: Sequence[str]) -> Callable[[pa.Array], pa.Array]:
+    """Further cuts for byte-level pieces, which join no letter or digit with a mark or line end behind it.
+
+    Single line ends are cut off on both sides. Chunks that hold one of the texts of ``whole`` stay as they are.
+    """
+
+    def finer(chunks: pa.Array) -> pa.Array:
+        cut = pc.replace_substring_regex(chunks, f"([{_WORD}])([{_MARK}\\n])", f"\\1 {HEAD}\\2")
+        cut = pc.replace_substring_regex(cut, f"([{_WORD}{_MARK}])\\n([{_WORD}{_MARK}])", f"\\1 {HEAD}\n {HEAD}\\2")
+        for text in whole:
+            cut = pc.if_else(pc.match_substring(chunks, text), chunks, cut)
+        return cut
+
+    return finer
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of an array one after another, and where the first ``ends`` of them end."""
+    stops = np.cumsum(sizes)
+    total = int(stops[-1]) if len(stops) else 0
+    return flat[np.arange(total) + np.repeat(starts - (stops - sizes), sizes)], np.concatenate(([0], stops))[np.asarray(ends, np.int64)]
+
+
 class ChunkTable:
     """Ids of texts by way of their distinct chunks.
 
     ``segment`` gives the ids of each of a list of texts; ``begins`` is true for
     the ids whose piece begins with a space; ``cut`` gives the chunks of a text.
-    With ``marked`` every text counts as if it began with a space.
+    With ``marked`` every text counts as if it began with a space. ``finer`` may
+    put further cuts, a space and ``HEAD`` each, into an array of distinct chunks.
     """
 
     def __init__(
@@ -82,8 +111,10 @@ class ChunkTable:
         max_chunks: int = 200_000,
         max_ids: int = 2_000_000,
         marked: bool = False,
+        finer: Callable[[pa.Array], pa.Array] | None = None,
     ):
         self.segment, self.begins, self.cut, self.group, self.marked = segment, begins, cut, group, marked
+        self.finer = finer
         self.max_chunks, self.max_ids = max_chunks, max_ids
         self._clear()
 
@@ -146,14 +177,10 @@ class ChunkTable:
                 rows[i] = self.rows[keys[i]]
         return np.asarray(rows, np.int64)
 
-    def _gather(self, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of rows one after another, and where those of the first ``ends`` rows end."""
-        self.uses[: len(self.rows)] += np.bincount(at, minlength=len(self.rows))
-        sizes = self.sizes[at]
-        stops = np.cumsum(sizes)
-        total = int(stops[-1]) if len(stops) else 0
-        ids = self.flat[np.arange(total) + np.repeat(self.starts[at] - (stops - sizes), sizes)]
-        return ids, np.concatenate(([0], stops))[np.asarray(ends, np.int64)]
+    def _gather(self, at: np.ndarray, ends: np.ndarray, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of rows one after another, and where those of the first ``ends`` rows end; a row counts as used ``times``."""
+        self.uses[: len(self.rows)] += np.bincount(at, times, len(self.rows)).astype(np.int64)
+        return _taken(self.flat, self.starts[at], self.sizes[at], ends)
 
     def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in one array, and the end of each text in it."""
@@ -174,12 +201,24 @@ class ChunkTable:
         if not self.marked:
             texts = pc.binary_join_element_wise(pa.scalar(HEAD), texts, pa.scalar(""))
         chunks = pc.split_pattern(texts, " ")
+        ends = np.cumsum(pc.list_value_length(chunks).to_numpy())
         distinct = chunks.flatten().dictionary_encode()
-        keys: list[Key] = distinct.dictionary.to_pylist()
-        if not self.marked:
-            keys = [(k[1:],) if k[:1] == HEAD else k for k in keys]
-        at = self._rows(keys)[distinct.indices.to_numpy()]
-        return self._gather(at, np.cumsum(pc.list_value_length(chunks).to_numpy()))
+        at = distinct.indices.to_numpy()
+        if self.finer is None:
+            return self._gather(self._rows(self._keys(distinct.dictionary))[at], ends)
+        # the ids of each distinct chunk by its own parts, then those of the texts by their chunks
+        parts = pc.split_pattern(self.finer(distinct.dictionary), " ")
+        counts = pc.list_value_length(parts).to_numpy()
+        pieces = parts.flatten().dictionary_encode()
+        rows = self._rows(self._keys(pieces.dictionary))[pieces.indices.to_numpy()]
+        times = np.repeat(np.bincount(at, minlength=len(counts)), counts)
+        ids, stops = self._gather(rows, np.cumsum(counts), times)
+        sizes = np.diff(stops, prepend=0)
+        return _taken(ids, (stops - sizes)[at], sizes[at], ends)
+
+    def _keys(self, chunks: pa.Array) -> list[Key]:
+        keys: list[Key] = chunks.to_numpy(zero_copy_only=False).tolist()
+        return keys if self.marked else [(k[1:],) if k[:1] == HEAD else k for k in keys]
 
     def encode_column(self, column: pa.Array, most_chars: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(number of texts, their ids, the ends) for slices of a column of texts; null counts as empty."""

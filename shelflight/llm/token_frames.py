@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelflight.llm.chunk_table import ChunkTable, chunks_by_line
+from shelflight.llm.chunk_table import ChunkTable, chunks_by_line, cuts_at_marks
 
 SKIPPABLE_DOCS = 0x184D2A50
 SKIPPABLE_SEEK = 0x184D2A5E
@@ -164,6 +164,7 @@ def _table(tokenizer: str) -> ChunkTable:
         chunks_by_line,
         max_chunks=800_000,
         max_ids=6_000_000,
+        finer=cuts_at_marks([t.content for t in own.get_added_tokens_decoder().values()]),
     )
 
 
@@ -200,7 +201,7 @@ def write_tokens(
             writer = ShardWriter(stream)
             for batch in batches:
                 keys, at_row = batch.column(0).to_pylist(), 0
-                for count, ids, ends in table.encode_column(batch.column(1)):
+                for count, ids, ends in table.encode_column(batch.column(1), most_chars=1 << 23):
                     begin = 0
                     for key, end in zip(keys[at_row : at_row + count], ends.tolist()):
                         writer.add(key, np.append(ids[begin:end], end_id))

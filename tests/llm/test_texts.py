@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 import xxhash
@@ -287,6 +288,18 @@ def test_token_frames_round_trip(spark, docs, none, tmp_path):
     assert token_frames.read_digests(spark, empty).count() == 0
 
 
+def test_words_are_segmented_once_whatever_mark_follows():
+    marks = ["", ",", ".", "!?", "$$$", "'s", "<|endoftext|>", ".\nNew", "\nNew", "\n\nNew", "\u0301,", "、"]
+    texts = [f"a {w}{m} {w}" for w in ("plain", "3", "größe", "日本") for m in marks] + ["x\n.\ny\nz,\n,", "n.\n", "don't,\ncan't"]
+    texts += ["".join(p) for p in itertools.product("a3é.'\n日 ", repeat=4)]
+    table = token_frames._table.__wrapped__(BYTES)
+    got = [i.tolist() for _, ids, ends in table.encode_column(pa.array(texts)) for i in np.split(ids, ends)[:-1]]
+    assert got == [e.ids for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)]
+    few = token_frames._table.__wrapped__(BYTES)
+    list(few.encode_column(pa.array([f"go {w}{m}" for w in ("plain", "größe") for m in marks[:6]])))
+    assert {k for k in few.rows if not isinstance(k, tuple)} == {"plain", "größe"}  # nothing new where only the mark is
+
+
 def test_token_frames_read_single_documents_and_find_damage(spark, docs, tmp_path):
     token_frames.write_tokens(docs.where("doc_id is not null").coalesce(1), str(tmp_path / "t"), BYTES, end_id=0)
     shard = next(p for p in sorted((tmp_path / "t").glob("shard-*")) if p.stat().st_size > 200)
