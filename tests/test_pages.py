@@ -284,3 +284,36 @@ def test_pages_are_built_on_all_cores(spark, sf_dir, sql):
     assert pages.rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
     plan = pages._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("AS html") < plan.index("Repartition")
+
+
+def test_parts_of_the_inventory_make_only_their_blocks(spark):
+    """Some fields as in the whole record; of a page only what they are read from is taken."""
+    full = DETAIL + "".join(f'<div id="{i.lstrip("*")}" value="v">{i} (12) 34%</div>' for i in sorted(extract._BLOCK_IDS)) + (
+        '<input id="ASIN" value="B1"><input id="parentAsin" value="P1"><div id="histogramTable">5 stars 60% 4 stars 40%</div><div id="altImages"><img></div>'
+        '<div id="productOverview_feature_div"><tr><td>Brand</td><td>x</td></tr></div><img id="landingImage" src="i.png"><i class="a-icon-vse"></i>'
+        '<span class="savingsPercentage">-5%</span><div id="feature-bullets"><ul><li><span class="a-list-item">Point</span></ul></div>'
+    )
+    pages = _pages(spark, full, "<p>nothing</p>", None)
+    names = (*extract.READ_FROM, *[f"{g}.{f}" for g, own in extract.GROUPS.items() for f in own])
+    whole = extract.inventory(extract.detail_blocks(pages, ("page_id",))).orderBy("page_id").cache()
+    every = {f"{c.name}.{f}" for c in whole.schema if hasattr(c.dataType, "names") for f in c.dataType.names} | {
+        c.name for c in whole.schema if not hasattr(c.dataType, "names") and c.name != "page_id"
+    }
+    assert every == set(names)
+    for part in (names[::9], names[4::9]):
+        assert extract.inventory_part(pages, part).orderBy("page_id").collect() == whole.select("page_id", *part).collect(), part
+    one = next(extract._details(extract.read_page(full), only=frozenset(["blocks"]), ids=frozenset(["sims-fbt"])))
+    assert one == {"blocks": {"sims-fbt": "sims-fbt (12) 34%"}}
+    probed = extract.flat_probe(extract.detail_blocks(pages, ("page_id",), extract.PROBE_BLOCKS))
+    assert probed.collect() == extract.flat_probe(extract.detail_blocks(pages, ("page_id",))).collect()
+
+
+def test_tags_are_remembered_up_to_a_length(spark):
+    extract._known_tag.cache_clear()
+    html = "<ul><li class='x' title='a > b'>1</li><li class='y'>2</li></ul>" + f'<img src="{"i" * 1000}">'
+    one, two = extract.read_page(html * 3), extract._Reader()
+    two.feed(html * 3)
+    two.close()
+    assert _dump(one) == _dump(two.whole())
+    info = extract._known_tag.cache_info()
+    assert info.hits >= 2 * 5 and info.currsize <= 6
