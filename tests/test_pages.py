@@ -317,3 +317,18 @@ def test_tags_are_remembered_up_to_a_length(spark):
     assert _dump(one) == _dump(two.whole())
     info = extract._known_tag.cache_info()
     assert info.hits >= 2 * 5 and info.currsize <= 6
+
+
+def test_headings_are_read_no_further_than_they_lie():
+    """The same headings from the beginning of a page as from all of it."""
+    seen = lambda html: len(extract.read_page(html, extract._headings.first_of).page.elements)
+    rest = "<ul>" + "<li><a href='/x'>y</a>" * 50 + "</ul>"
+    for page, most in [
+        (SIDEBAR, 10), ("<h1>In a <b>b</b></h1>" + rest, 4), ("<h1>a</h1><span class='zg-selected'>b<i>c</i></span>" + rest, 5),
+        ("<i class='x-zg-selected'>b</i><h1>In <b>c</b></h1>" + rest, 5), ("<h1>a<span class='zg-selected'>b" + rest, 200),
+        ("<li><h1>a<li class='zg&#45;selected'>b<li>c" + rest, 200), (rest, 200), ("<h1>a</h1><p title='zg-selected'>" + rest, 200),
+        ("<h1>a</h1 ><b class=zg-selected>odd</b>", 200), ("<img class='zg-selected'><h1>b</h1><script>x", 5), ("", 1),
+    ]:
+        whole = list(extract._headings(extract.read_page(page)))
+        assert list(extract._found(extract._headings, page)) == whole
+        assert seen(page) <= most, page
