@@ -28,13 +28,12 @@ anywhere in their lines. Two kinds of paragraphs find passages:
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +55,9 @@ class Bands:
     rows: int = 1
     bands: int = 3
     similarity: float = 0.8
-    cell_rows: int = 1 << 14
+    cell_rows: int = 1 << 12
+    few_rows: int = 16  # of a cell whose pairs are all counted
+    cell_bytes: int = 1 << 18  # lines of whole cells that are compared in one go
     most_gap: int = 4  # words between neighbours of one chain: room for an edit
     slice_bytes: int = 1 << 18  # texts that are worked on in one go
 
@@ -260,90 +261,199 @@ def paragraph_rows(df: DataFrame, bands: Bands = BANDS) -> DataFrame:
     return df.select("doc", "doc_id", "text").mapInArrow(run, schema)
 
 
-def _shingle_set(text: str, width: int) -> frozenset:
-    words = text.lower().split(" ")
-    return frozenset(tuple(words[i : i + width]) for i in range(len(words) - width + 1))
+def shingle_ids(texts: list[str], cell: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Id and row of each distinct shingle of each text, by id and then row.
 
+    ``cell`` has the number of each text's cell; shingles of two cells have no id in common.
+    """
+    content = np.frombuffer("\n".join(texts).lower().encode(), np.uint8)
+    first, _, h = word_hashes(content)
+    if len(h) < width:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner = np.cumsum(content == 10)[first]
+    sums, down = _sums(h)
+    n = len(h) - width + 1
+    inside = np.flatnonzero(owner[:n] == owner[width - 1 :])
+    rows = owner[inside]
+    keys = _mix(((sums[width:] - sums[:-width]) * down[:n])[inside] + cell[rows].astype(np.uint64) * _ODD[0])
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    other = np.append(True, keys[1:] != keys[:-1])
+    once = other | np.append(True, rows[1:] != rows[:-1])
+    return (np.cumsum(other) - 1)[once], rows[once]
+
+
+def _near_pairs(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows that reach the similarity, from the ids they share: for ids that few rows have."""
+    one, two, lag = [rows[:0]], [rows[:0]], 1
+    while len(same := np.flatnonzero(ids[lag:] == ids[:-lag])):
+        one.append(rows[same])
+        two.append(rows[same + lag])
+        lag += 1
+    pairs, shared = np.unique(np.concatenate(one) * len(sizes) + np.concatenate(two), return_counts=True)
+    a, b = np.divmod(pairs, len(sizes))
+    near = shared >= similarity * (sizes[a] + sizes[b] - shared)
+    return a[near], b[near]
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Those of some links that connect what all of them connect."""
+    above: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (up := above.get(i, i)) != i:
+            above[i] = i = above.get(up, up)
+        return i
+
+    links = []
+    for i, j in zip(a.tolist(), b.tolist()):
+        if (x := top(i)) != (y := top(j)):
+            above[x] = y
+            links.append((i, j))
+    return links
 
-def spanning_links(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
-    """Index pairs that connect what the links at ``similarity`` connect.
+
+def _reaching_links(ids: np.ndarray, rows: np.ndarray, sizes: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows that connect what the links at ``similarity`` connect; ``ids`` of each row, ``sizes`` how many it has.
 
     Two sets at a Jaccard similarity of s share one of their first n - ceil(s n) + 1
     members in any common order, so only sets that share one of those, the rarest
     first, are compared (prefix filtering: nothing is lost). Breadth first: a set
     that has been reached is not compared again as a target.
     """
-    often = Counter(s for own in sets for s in own)
-    prefixes = []
-    for own in sets:
-        needed = math.ceil(similarity * len(own) - 1e-9)
-        prefixes.append(sorted(own, key=lambda s: (often[s], s))[: len(own) - needed + 1])
-    holders: dict[tuple, list[int]] = {}
-    for i, prefix in enumerate(prefixes):
-        for s in prefix:
-            holders.setdefault(s, []).append(i)
-    links, reached = [], [False] * len(sets)
-    for first in range(len(sets)):
-        frontier = [] if reached[first] else [first]
-        reached[first] = True
+    if not len(ids):
+        return []
+    often = np.bincount(ids)
+    own = ids[np.lexsort((ids, often[ids], rows))]  # of row after row, the rarest first
+    row, starts = np.repeat(np.arange(len(sizes)), sizes), np.cumsum(sizes) - sizes
+    first = sizes - np.ceil(similarity * sizes - 1e-9).astype(np.int64) + 1
+    ahead = (np.arange(len(own)) - starts[row] < first[row]) & (often[own] > 1)
+    prefixes = np.split(own[ahead], np.cumsum(np.bincount(row[ahead], minlength=len(sizes)))[:-1])
+    by_id = np.argsort(own[ahead], kind="stable")
+    names, at = np.unique(own[ahead][by_id], return_index=True)
+    holders = dict(zip(names.tolist(), np.split(row[ahead][by_id], at[1:])))
+    links, reached, mine = [], np.zeros(len(sizes), bool), np.zeros(len(often), np.uint8)
+    for start in range(len(sizes)):
+        frontier = [] if reached[start] else [start]
+        reached[start] = True
         while frontier:
             i = frontier.pop()
-            own = sets[i]
-            for s in prefixes[i]:
-                rest = [j for j in holders[s] if not reached[j]]
-                holders[s] = rest
-                for j in rest:
-                    shared = len(own & sets[j])
-                    if shared >= similarity * (len(own) + len(sets[j]) - shared):
-                        reached[j] = True
-                        links.append((i, j))
-                        frontier.append(j)
+            met = [sizes[:0]]
+            for s in prefixes[i].tolist():
+                holders[s] = holders[s][~reached[holders[s]]]
+                met.append(holders[s])
+            others = np.unique(np.concatenate(met))
+            n = sizes[others]
+            alike = np.minimum(n, sizes[i]) >= similarity * np.maximum(n, sizes[i])
+            others, n = others[alike], n[alike]
+            if not len(others):
+                continue
+            own_ids = own[starts[i] : starts[i] + sizes[i]]
+            mine[own_ids] = 1
+            ends = np.cumsum(n)
+            members = own[np.arange(ends[-1]) + np.repeat(starts[others] - ends + n, n)]
+            shared = np.add.reduceat(mine[members], ends - n, dtype=np.int64)
+            mine[own_ids] = 0
+            near = others[shared >= similarity * (sizes[i] + n - shared)]
+            reached[near] = True
+            links += [(i, j) for j in near.tolist()]
+            frontier += near.tolist()
     return links
 
 
+def spanning_links(sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+    """Index pairs that connect what the links at ``similarity`` connect."""
+    number = {s: n for n, s in enumerate(sorted({s for own in sets for s in own}))}
+    sizes = np.array([len(own) for own in sets], np.int64)
+    ids = np.array([number[s] for own in sets for s in own], np.int64)
+    return _reaching_links(ids, np.repeat(np.arange(len(sets)), sizes), sizes, similarity)
+
+
+def cell_links(cells: np.ndarray, texts: list[str], bands: Bands = BANDS) -> list[tuple[int, int]]:
+    """Pairs of texts that connect what the links at ``bands.similarity`` inside each cell connect; a cell's texts lie together."""
+    starts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    counts = np.diff(np.append(starts, len(cells)))
+    ids, rows = shingle_ids(texts, np.repeat(np.arange(len(starts)), counts), bands.shingle)
+    sizes = np.bincount(rows, minlength=len(cells))
+    few = np.repeat(counts <= bands.few_rows, counts)[rows]
+    links = _forest(*_near_pairs(ids[few], rows[few], sizes, bands.similarity))
+    for start, n in zip(starts.tolist(), counts.tolist()):
+        if n > bands.few_rows:
+            inside = np.flatnonzero((rows >= start) & (rows < start + n))
+            local = np.unique(ids[inside], return_inverse=True)[1]
+            found = _reaching_links(local, rows[inside] - start, sizes[start : start + n], bands.similarity)
+            links += [(start + i, start + j) for i, j in found]
+    return links
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    """The rows of whole cells, as many cells at a time as ``most`` bytes of words hold, one at least."""
+
+    def parts(held: list[pa.RecordBatch]) -> Iterator[pa.Table]:
+        table = pa.Table.from_batches(held)
+        cells = table.column(0).to_numpy()
+        size = np.cumsum(pc.binary_length(table.column(2)).to_numpy())
+        starts = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+        at = 0
+        while at < len(cells):
+            before = size[at - 1] if at else 0
+            fits = np.searchsorted(size, before + most, "right")
+            end = max(starts[np.searchsorted(starts, fits, "right") - 1], starts[np.searchsorted(starts, at, "right")])
+            yield table.slice(at, end - at)
+            at = end
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells = batch.column(0).to_numpy()
+        changes = np.flatnonzero(cells[1:] != cells[:-1]) + 1
+        if held and held[-1].column(0)[-1].as_py() != cells[0]:
+            yield from parts(held)
+            held = []
+        if len(changes):
+            yield from parts([*held, batch.slice(0, changes[-1])])
+            held = []
+            batch = batch.slice(changes[-1])
+        held.append(batch)
+    if held:
+        yield from parts(held)
+
+
 def _linker(bands: Bands):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows: list[tuple[int, str]]) -> list[tuple[int, int]]:
-            found = dict(rows)
-            ids = list(found)
-            sets = [_shingle_set(found[i], bands.shingle) for i in ids]
-            return [(ids[i], ids[j]) for i, j in spanning_links(sets, bands.similarity)]
-
-        cell, rows = None, []
-        for batch in batches:
-            links = []
-            for c, content, words in zip(*(col.to_pylist() for col in batch.columns)):
-                if c != cell:
-                    links += out(rows) if len(rows) > 1 else []
-                    cell, rows = c, []
-                rows.append((content, words))
+        for part in _whole_cells(batches, bands.cell_bytes):
+            links = cell_links(part.column(0).to_numpy(), part.column(2).to_pylist(), bands)
             if links:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
-        if links := out(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links)], names=["a", "b"])
+                content = part.column(1).to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(content[list(x)]) for x in zip(*links)], names=["a", "b"])
 
     return run
 
 
-def runs_around(text: str, places: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+def runs_around(texts: list[str], owner: np.ndarray, places: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Index into ``places`` and hash of every run of ``words`` words that holds the paragraph at the place.
 
-    A place has the first word in its upper, the end word in its lower 32 bits.
-    Of a paragraph of more words the runs inside it are taken.
+    ``owner`` has the number of each place's text. A place has the first word in its
+    upper, the end word in its lower 32 bits. Of a paragraph of more words the runs
+    inside it are taken.
     """
-    h = word_hashes(np.frombuffer(_lowered(text)[1], np.uint8))[2]
-    n = len(h)
-    if n < words:
+    lower = [_lowered(t)[1] for t in texts]
+    begins = np.cumsum([0, *(len(t) + 1 for t in lower)])
+    first, _, h = word_hashes(np.frombuffer(b"\n".join(lower), np.uint8))
+    if len(h) < words:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     sums, down = _sums(h)
-    runs = _mix((sums[words:] - sums[:-words]) * down[: n - words + 1])
+    runs = _mix((sums[words:] - sums[:-words]) * down[: len(h) - words + 1])
+    edges = np.searchsorted(first, begins)  # each text's first word
+    last = np.diff(edges)[owner] - words  # first word of a text's last run, below 0 if it has none
     starts, ends = places >> 32, places & 0xFFFFFFFF
     low = np.maximum(np.minimum(starts, ends - words), 0)
-    high = np.minimum(np.maximum(starts, ends - words), n - words)
+    high = np.minimum(np.maximum(starts, ends - words), last)
     count = np.maximum(high - low + 1, 0)
-    owner = np.repeat(np.arange(len(places)), count)
-    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-    return owner, runs[at]
+    place = np.repeat(np.arange(len(places)), count)
+    at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(edges[:-1][owner] + low, count)
+    return place, runs[at]
 
 
 def in_repeated_runs(texts: DataFrame, spots: DataFrame, bands: Bands = BANDS) -> DataFrame:
@@ -355,13 +465,14 @@ def in_repeated_runs(texts: DataFrame, spots: DataFrame, bands: Bands = BANDS) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                places = np.array(batch.column(3)[at].as_py(), np.int64)
-                owner, runs = runs_around(batch.column(2)[at].as_py(), places, bands.least_words)
-                if len(owner):
-                    same = lambda c: pa.array(np.full(len(owner), batch.column(c)[at].as_py(), np.int64))  # noqa: E731, B023
+            for at, texts in _slices(batch.column(2), bands.slice_bytes):
+                asked = batch.column(3).slice(at, len(texts))
+                owner = pc.list_parent_indices(asked).to_numpy()
+                place, runs = runs_around(texts, owner, asked.flatten().to_numpy(), bands.least_words)
+                if len(place):
+                    rows = pa.array(owner[place] + at)
                     yield pa.RecordBatch.from_arrays(
-                        [same(0), same(1), pa.array(places[owner]), pa.array(runs.view(np.int64))],
+                        [batch.column(0).take(rows), batch.column(1).take(rows), asked.flatten().take(pa.array(place)), pa.array(runs.view(np.int64))],
                         names=["doc", "doc_id", "place", "run"],
                     )
 

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -535,6 +536,72 @@ def test_prefix_filter_loses_no_link():
     assert _roots(links, range(len(sets))) == _roots(full, range(len(sets)))
 
 
+def _linked(cells, texts, size):
+    """Pairs of row numbers that op4's linker gives for texts by cell, in batches of ``size`` rows."""
+    columns = [pa.array(cells, pa.int64()), pa.array(range(len(texts)), pa.int64()), pa.array(texts)]
+    table = pa.table(columns, names=["cell", "content", "words"])
+    found = paragraph_dedup._linker(paragraph_dedup.BANDS)(iter(table.to_batches(max_chunksize=size)))
+    return [tuple(x) for b in found for x in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_a_cell_of_many_near_copies_takes_seconds():
+    """1,500 copies of a line with edits of which few reach the similarity: all are compared, and no link is lost."""
+    rng = np.random.default_rng(12)
+    line = np.array(["".join(rng.choice(list("abcdefgh"), 5)) for _ in range(90)])
+    kept = rng.random((1500, 90)) > rng.choice([0.02, 0.04, 0.08], 1500)[:, None]
+    texts = [" ".join(np.where(k, line, [f"x{i}y{j}" for j in range(90)])) for i, k in enumerate(kept)]
+    began = time.process_time()
+    links = _linked([0] * len(texts), texts, 10_000)
+    assert time.process_time() - began < 12
+    whole = np.lib.stride_tricks.sliding_window_view(kept, 5, axis=1).all(2).astype(np.float32)
+    shared = whole @ whole.T
+    union = 2 * 86 - shared
+    full = [(i, j) for i, j in zip(*np.nonzero(shared >= 0.8 * union)) if i < j]
+    assert 0 < len(full) and _roots(links, range(len(texts))) == _roots(full, range(len(texts)))
+
+
+def test_cells_are_whole_however_batches_cut_them():
+    rng = np.random.default_rng(13)
+    cells, texts = [], []
+    for cell in range(60):
+        lines = [list(rng.choice(list("abcdefghijklmnop"), 40)) for _ in range(2)]
+        for _ in range(int(rng.choice([1, 2, 3, 9, 40]))):
+            words = list(lines[int(rng.integers(2))])
+            words[int(rng.integers(40))] = "\u00c4nd"
+            cells.append(cell)
+            texts.append(" ".join(words))
+    sets = [frozenset(_runs(t, 5)) for t in texts]
+    full = [
+        (i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
+        if cells[i] == cells[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    ]
+    want = _roots(full, range(len(texts)))
+    assert len(set(want.values())) < len(texts) - 60
+    for size in (1, 7, 64, 10_000):
+        links = _linked(cells, texts, size)
+        assert len(links) < len(texts) and _roots(links, range(len(texts))) == want, size
+
+
+def test_runs_around_places_of_many_texts():
+    """Every run of words that holds a place, of several texts at once, against brute force."""
+    rng = np.random.default_rng(14)
+    texts = ["", "a b", *(" ".join(rng.choice(["aa", "b\u00e9", "cc\n", "\u00d1d"], int(rng.integers(1, 60)))) for _ in range(30))]
+    owner = np.repeat(np.arange(len(texts)), 3)
+    lengths = np.array([len(t.split()) for t in texts])[owner]
+    starts = rng.integers(0, np.maximum(lengths, 1))
+    ends = np.minimum(starts + rng.choice([4, 30], len(starts)), np.maximum(lengths, 1))
+    place, runs = paragraph_dedup.runs_around(texts, owner, starts << 32 | ends, 9)
+    want = []
+    for p, (o, a, b) in enumerate(zip(owner.tolist(), starts.tolist(), ends.tolist())):
+        words = texts[o].lower().split()
+        for i in range(len(words) - 8):
+            if i <= a and b <= i + 9 or a <= i and i + 9 <= b:
+                want.append((p, tuple(words[i : i + 9])))
+    assert len(place) == len(want) and [p for p, _ in want] == place.tolist()
+    spelled = dict(zip(runs.tolist(), [w for _, w in want]))
+    assert [spelled[r] for r in runs.tolist()] == [w for _, w in want] and len(set(spelled.values())) == len(spelled)
+
+
 def test_word_hashes_do_not_depend_on_place():
     content = np.frombuffer("ab cd  ab\nçé ab".encode(), np.uint8)
     starts, ends, hashes = paragraph_dedup.word_hashes(content)
