@@ -1,9 +1,11 @@
+import collections
 import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
 
 from shelflight.operators import arrivals, browse, filters, quality, sightings, tracking, tree
+from shelflight.plans import captures, views
 from shelflight.sources import tables
 
 
@@ -298,3 +300,24 @@ def test_presence_holds_one_row_a_document(spark):
     assert rows == [("", "a", 1, 2), ("g", "b", 1, 2)]
     assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
     assert quality.field_presence(docs.limit(0), "doc").count() == 0
+
+
+def test_samples_of_a_field_are_all_its_documents(spark):
+    """More than a few documents, dates, repeated rows, a row without a document, and a field that none has."""
+    rows = [(i, i % 2, dt.date(2024, 1, 1) if i < 5 else None, "") for i in range(9)] + [(4, 7, None, ""), (None, 1, None, "x")]
+    docs = spark.createDataFrame(rows, "doc long, a int, b date, c string")
+    got = sorted((r.field, r.doc) for r in quality.field_samples(docs, "doc").collect())
+    assert got == [("a", i) for i in (1, 3, 4, 5, 7)] + [("b", i) for i in range(5)]
+    assert quality.field_samples(docs.limit(0), "doc").count() == 0
+
+
+def test_inventory_samples_reads_every_field_of_every_page(spark, sf_dir):
+    """All fields of the inventory are asked for, and a field that all pages have names all of them."""
+    rows = captures.inventory_samples(spark, sf_dir)
+    pages = {r.page_id for r in captures._pages(spark, sf_dir, views.DETAIL_PAGES).select("page_id").collect()}
+    by_field = collections.defaultdict(list)
+    for r in rows.collect():
+        by_field[r.field].append(r.page_id)
+    assert len(by_field) == 36 and len(pages) > 3
+    for field in ("title", "price", "attributes", "breadcrumbs"):
+        assert len(by_field[field]) == len(pages) and set(by_field[field]) == pages
